@@ -7,8 +7,9 @@ and only the pairs beside a merge are looked up again.
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from .common import slices, texts_of
 # The pre-tokenisation pattern that belongs to the published byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHED_WORDS = 400_000
+#: A space beside other white space.
+BESIDE = re.compile(r" [\s\x1c-\x1f]|[\s\x1c-\x1f] ")
 NONE = np.int64(2**62)
 
 
@@ -58,7 +61,7 @@ class BpeCodec:
         self.keys, self.rank, self.made = keys[order], np.arange(len(keys))[order], made[order]
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair (NONE if it never merges) and the symbol it makes."""
@@ -109,7 +112,7 @@ class BpeCodec:
             lens = lens - np.bincount(word[hits], minlength=len(who))
             word, sym, rank, made = word[stay], sym[stay], rank[stay], made[stay]
             moved = hits - np.arange(len(hits))
-            near = np.unique(np.concatenate([moved, moved - 1]))
+            near = np.concatenate([moved, moved - 1])
             near = near[near >= 0]
             rank[near] = NONE
             near = near[near + 1 < len(sym)]
@@ -129,22 +132,55 @@ class BpeCodec:
                 found += self.pattern.findall(piece)
         return found
 
+    def _ids(self, words: list) -> list[bytes]:
+        """Ids of each pre-token; distinct ones are merged together."""
+        known = dict.fromkeys(words)
+        plain = [w for w in known if isinstance(w, str)]
+        known.update(zip(plain, self.merge_words(plain)))
+        known.update((w, np.array([w], "<u4").tobytes()) for w in known if not isinstance(w, str))
+        return list(map(known.__getitem__, words))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.words(t) for t in texts]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        new = [w for w in {w for words in split for w in words if w not in cache}]
-        plain = [w for w in new if isinstance(w, str)]
-        cache.update(zip(plain, self.merge_words(plain)))
-        cache.update((w, np.array([w], "<u4").tobytes()) for w in new if not isinstance(w, str))
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Where single spaces alone part a text's pieces, no pre-token crosses them, so the ids of
+        ``" piece"`` are kept; other texts are split as a whole.
+        """
+        if len(self.pieces) > CACHED_WORDS:
+            self.pieces.clear()
+        pieces, out = self.pieces, [b""] * len(texts)
+        cut: dict[int, list[str]] = {}
+        whole: dict[int, list] = {}
+        for i, text in enumerate(texts):
+            if text[:1].isspace() or text[-1:].isspace() or BESIDE.search(text) or any(s in text for s in self.special):
+                whole[i] = self.words(text)
+            elif text:
+                cut[i] = text.split(" ")
+                whole[i] = self.pattern.findall(cut[i][0])
+        new = list({w for words in cut.values() for w in words[1:]}.difference(pieces))
+        tokens = self.pattern.findall(" " + " ".join(new)) if new else []
+        heads = [w[0] == " " for w in tokens]
+        bounds = [*np.flatnonzero(heads).tolist(), len(tokens)]
+        found = self._ids([*tokens, *(w for words in whole.values() for w in words)])
+        pieces.update((w, b"".join(found[a:b])) for w, a, b in zip(new, bounds, bounds[1:]))
+        at = len(tokens)
+        for i, words in whole.items():
+            out[i] = b"".join(found[at : at + len(words)])
+            at += len(words)
+        for i, words in cut.items():
+            out[i] += b"".join(map(pieces.__getitem__, words[1:]))
+        return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+@functools.lru_cache(2)
+def codec_of(path: str) -> BpeCodec:
+    """One codec for each worker process, with its cache."""
+    return BpeCodec(path)
+
+
 def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", *, decoded: bool = True) -> DataFrame:
     """Add ``ids`` (binary, little-endian uint32), ``n_tokens`` and, if asked, ``decoded`` text to ``docs``.
 
@@ -156,7 +192,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", *, decoded:
     at = fields.index(next(f for f in fields if f.lower() == text.lower()))
 
     def run(batches):
-        codec = BpeCodec(vocabulary)
+        codec = codec_of(vocabulary)
         for batch in slices(batches, fields[at]):
             ids = codec.encode(texts_of(batch, fields[at]))
             more = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
@@ -176,7 +212,3 @@ def bpe_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, from :func:`bpe_encode`."""
     made = bpe_encode(docs.select("doc_id", "text"), vocabulary)
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

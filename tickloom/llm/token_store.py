@@ -8,7 +8,9 @@ place of its first id within its shard).  A document is read with one slice of a
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import unicodedata
 import zlib
 
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe import visible_bytes
 from .common import slices, texts_of
 
 END_ID = 2
@@ -29,47 +32,77 @@ DICTIONARY_BYTES = 65_536
 #: The dictionary is trained on at most this many documents (smallest id hashes), this many bytes of ids of each.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES = 1_000, 8_192
 BLOCK_BYTES = 1_000_000
-CACHED_WORDS = 400_000
-#: Characters in which white space alone parts words and every Unicode version agrees on letters and numbers.
-SETTLED = regex.compile(r"[\x00-\x1b\x20-ɏΑ-ΡΣ-ωЀ-џ -⁯€　-〿ぁ-ゔァ-ヾ一-龥가-힣]*")
+CACHED_WORDS = 700_000
+#: Characters on which every Unicode version agrees about letters, numbers and lower case (no capital sigma).
+SETTLED = regex.compile(r"[\t-\r\x20-\x7e\x85\xa0-\u024f\u0391-\u03a1\u03b1-\u03c9\u0400-\u045f\u2000-\u206f\u20ac\u3000-\u3029\u3041-\u3094\u30a1-\u30fe\u4e00-\u9fa5\uac00-\ud7a3]*")
 
 
 class WordEncoder:
     """Encodes whole texts with the tokenizers library, asking it once for each distinct word.
 
-    Its pre-tokens never span white space, so the ids of a text are those of its words in order.
-    Texts with special tokens or characters on which Unicode versions differ are encoded whole.
+    A text of settled characters is normalised as the file says (NFC, lower case), split at white
+    space, which no pre-token spans, and each new word's pre-tokens go to the library's model.
+    Other texts, and those that hold special tokens, go to the library whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = spec["normalizer"]["normalizers"] if spec["normalizer"] else []
+        split = spec["pre_tokenizer"]["pretokenizers"][0]
+        self.plain = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and split["type"] == "Split" and split["invert"]
+        self.pattern = regex.compile(split["pattern"]["Regex"] + r"|\n")
+        self.words = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        self.ends[[i for w, i in spec["model"]["vocab"].items() if w.endswith(spec["model"]["end_of_word_suffix"])]] = True
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        self.stand_in = visible_bytes()
         self.cache: dict[str, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space: their pre-tokens go to the library as one text, and tokens that end a word part them again."""
+        if not words:
+            return []
+        found = self.pattern.findall("\n".join(words) + "\n")
+        ends = np.flatnonzero([w == "\n" for w in found])
+        line = " ".join([w if w.isascii() else "".join(map(self.stand_in.__getitem__, w.encode())) for w in found if w != "\n"])
+        ids = np.array(self.words.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        ends = stops[ends - np.arange(len(ends))]
+        data = ids.tobytes()
+        cuts = (4 * np.concatenate([[0], ends])).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split: dict[int, list[str]] = {}
-        for i, text in enumerate(texts):
-            if (text.isascii() or SETTLED.fullmatch(text)) and not any(c in text for c in "\x1c\x1d\x1e\x1f") and not any(s in text for s in self.special):
-                if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-                    text = unicodedata.normalize("NFC", text)
-                split[i] = text.split()
-        whole = [i for i in range(len(texts)) if i not in split]
-        for i, ids in zip(whole, self._ask([texts[i] for i in whole])):
-            out[i] = ids
+        out: list[bytes] = [b""] * len(texts)
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
-        cache = self.cache
-        new = list({w for words in split.values() for w in words if w not in cache})
-        cache.update(zip(new, self._ask(new)))
+        cache, whole = self.cache, []
+        split: dict[int, list[str]] = {}
+        for i, text in enumerate(texts):
+            if not self.plain or not SETTLED.fullmatch(text) or any(s in text for s in self.special):
+                whole.append(i)
+            else:
+                split[i] = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
+        new = list({w for words in split.values() for w in words}.difference(cache))
+        cache.update(zip(new, self._pieces(new)))
         for i, words in split.items():
             out[i] = b"".join(map(cache.__getitem__, words))
-        return out  # type: ignore[return-value]
+        for i, ids in zip(whole, self._ask([texts[i] for i in whole])):
+            out[i] = ids
+        return out
+
+
+@functools.lru_cache(2)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for each worker process, with its cache."""
+    return WordEncoder(path)
 
 
 def _narrow(ids: bytes) -> bytes:
@@ -105,7 +138,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     end = np.array([END_ID], "<u4").tobytes()
 
     def sample(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([_narrow(x + end)[:SAMPLE_BYTES] for x in encoder.encode(texts_of(batch))], pa.binary())], ["ids"])
 
@@ -117,7 +150,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     spark.createDataFrame([(bytearray(dictionary), sha, tokenizer.rpartition("/")[2])], "dictionary binary, sha256 string, tokenizer string").write.parquet(f"{path}/dictionary")
 
     def run(batches):
-        encoder, shard, place = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, shard, place = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary)) if dictionary else zstandard.ZstdCompressor(level=LEVEL)
         ids, counts, offsets, payload, first, block = [], [], [0], [], 0, 0
 
@@ -139,10 +172,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
         if ids:
             yield flush()
 
-    kind = dict(docs.dtypes)["doc_id"]
     BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("dictionary_sha256", pa.string()), ("first_place", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("payload", pa.binary())])
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    assert kind in ("bigint", "int", "smallint", "tinyint", "void"), f"doc_id is {kind}"
     ordered.select("doc_id", "text").mapInArrow(run, "shard int, block int, dictionary_sha256 string, first_place long, doc_ids array<long>, n_tokens array<long>, offsets array<long>, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
