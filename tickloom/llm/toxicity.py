@@ -195,8 +195,8 @@ def fit_extremes(most: np.ndarray, words: np.ndarray) -> tuple[float, float]:
 
 def surprise(model: ToxicityModel, words: int, sums: list[float]) -> tuple[float, list[float]]:
     """Total surprise of a document's significant segments, and the E-value of each segment."""
-    expected = [model.scale * max(words, 1) * math.exp(-model.rate * s) for s in sums]
-    return sum(-math.log(e) for e in expected if e < E_LIMIT), expected
+    logs = [math.log(model.scale * max(words, 1)) - model.rate * s for s in sums]
+    return sum(-e for e in logs if e < math.log(E_LIMIT)), [math.exp(e) for e in logs]
 
 
 def fit_link(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
