@@ -27,11 +27,11 @@ from .common import bounded_labels, counter_rows, merged_counters, slices, stage
 BUCKETS = 2**18
 STEMS = (4, 5)
 PIECE = regex.compile(r"\w+")
-DRIFT = 0.2
+DRIFT = 0.5
 #: Labels are learned from at most this many rows (smallest id hashes).
 TRAIN_ROWS = 50_000
 PRIOR_FLOOR, PRIOR_WEIGHT = 0.5, 50.0
-Z = 2.0
+Z = 2.5
 E_LIMIT = 0.05
 CACHED_WORDS = 400_000
 
