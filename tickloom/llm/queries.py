@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, pivot_index, quality, token_store, topk, toxicity
+from . import bpe, minhash, mixing, pivot_index, quality, token_store, topk, toxicity
 from .common import new_path, table, train_fold
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,11 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, path).drop("ids")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return rows.drop("source")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
 
@@ -50,7 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~train_fold(F.col("doc_id"))).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op3_pivot_index, op4_top_k, op7_bpe, op8_minhash, op9_quality, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op3_pivot_index, op4_top_k, op5_mixing, op7_bpe, op8_minhash, op9_quality, op10_toxicity)}
 
 _OP4_SQL = """
 WITH v AS (
@@ -78,4 +83,23 @@ SELECT e.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, c.c AS component_id, e.vec
 FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON e.vec_id = k.a
 JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) c ON e.vec_id = c.a
 """
-SQL: dict[str, str] = {"op3_pivot_index": _OP3_SQL, "op4_top_k": _OP4_SQL}
+_OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (
+  SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n, 2.0::DOUBLE * source_size AS most
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
+w AS (SELECT *, [3, 1, 2][((n - 1) % 3 + 1)::INT]::DOUBLE AS weight, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
+f AS (
+  SELECT *, (total - coalesce(sum(most) OVER (ORDER BY most / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY most / weight, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+g AS (
+  SELECT *, least(most, weight * (SELECT arg_min(level, {'a': most / weight, 'b': n}) FROM f WHERE level * weight <= most)) AS target FROM f),
+p AS (
+  SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, 'null')), doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS last FROM d)
+SELECT p.doc_id, p.size, g.source_size, g.target,
+       (greatest(0, least(p.last, floor(g.target)) - (p.last - p.size))
+        + greatest(0, least(p.last, floor(g.target) - g.source_size) - (p.last - p.size)))::BIGINT AS taken
+FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source
+"""
+SQL: dict[str, str] = {"op5_mixing": _OP5_SQL, "op3_pivot_index": _OP3_SQL, "op4_top_k": _OP4_SQL}
