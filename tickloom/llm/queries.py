@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, pivot_index, quality, token_store, topk, toxicity
+from . import bpe, minhash, mixing, pivot_index, quality, sanitise, token_store, topk, toxicity, url_filter
 from .common import new_path, table, train_fold
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,10 +26,31 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("source")
 
 
+def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.span_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
 
 
+def _url_lists(pages: DataFrame) -> DataFrame:
+    """A list log derived from the pages: some captures list or delist their host, domain or path when fetched."""
+    host = url_filter.host_of(F.col("url"))
+    step = F.regexp_extract("url", r"^[^:]+://[^/?#]*/([^/?#]+)", 1)
+    domain = F.regexp_replace(host, r"^[^.]*\.", "")
+    m = F.col("page_id") % 20
+    kind = F.when(m.isin(3, 7, 11), "host").when(m.isin(4, 14), "domain").when(m.isin(5, 9, 19), "prefix")
+    key = F.when(kind == "host", host).when(kind == "domain", domain).otherwise(F.concat(host, F.lit("/"), step))
+    return pages.select(F.when(m.isin(11, 19), "allow").otherwise("block").alias("list"), kind.alias("kind"), key.alias("key"), F.when(m.isin(7, 14, 9) | (F.col("page_id") % 3 == 0), "remove").otherwise("add").alias("action"), F.col("fetched_at").alias("at"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url").withColumn("fetched_at", F.timestamp_seconds(F.lit(1_704_067_200) + 60 * F.col("page_id")))
+    found = url_filter.evaluate_captures(pages, _url_lists(pages))
+    return found.select("page_id", "blocked", "n_active", F.unix_seconds("fetched_at").alias("fetched_s"), F.unix_seconds("blocked_since").alias("since_s"))
+
+
 def op3_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -55,7 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~train_fold(F.col("doc_id"))).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op3_pivot_index, op4_top_k, op5_mixing, op7_bpe, op8_minhash, op9_quality, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op2_url_filter, op3_pivot_index, op4_top_k, op5_mixing, op6_sanitise, op7_bpe, op8_minhash, op9_quality, op10_toxicity)}
 
 _OP4_SQL = """
 WITH v AS (
@@ -102,4 +123,27 @@ SELECT p.doc_id, p.size, g.source_size, g.target,
         + greatest(0, least(p.last, floor(g.target) - g.source_size) - (p.last - p.size)))::BIGINT AS taken
 FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source
 """
-SQL: dict[str, str] = {"op5_mixing": _OP5_SQL, "op3_pivot_index": _OP3_SQL, "op4_top_k": _OP4_SQL}
+_OP2_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, 1704067200 + 60 * page_id AS ts, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+         regexp_extract(url, '^[^:]+://[^/?#]*/([^/?#]+)', 1) AS step, page_id % 20 AS m,
+         list_filter(string_split(regexp_extract(url, '^[^:]+://[^/?#]*((?:/[^/?#]+)*)', 1), '/'), lambda s: s <> '') AS steps FROM pages),
+e AS (
+  SELECT CASE WHEN m IN (11, 19) THEN 'allow' ELSE 'block' END AS list,
+         CASE WHEN m IN (3, 7, 11) THEN 'host' WHEN m IN (4, 14) THEN 'domain' WHEN m IN (5, 9, 19) THEN 'prefix' END AS kind,
+         CASE WHEN m IN (3, 7, 11) THEN host WHEN m IN (4, 14) THEN regexp_replace(host, '^[^.]*\.', '') ELSE host || '/' || step END AS key,
+         ts, min(CASE WHEN m IN (7, 14, 9) OR page_id % 3 = 0 THEN 0 ELSE 1 END) AS act FROM p WHERE m IN (3, 7, 11, 4, 14, 5, 9, 19) GROUP BY 1, 2, 3, 4),
+k AS (
+  SELECT page_id, ts, 'host' AS kind, host AS key FROM p WHERE host <> ''
+  UNION SELECT page_id, ts, 'domain', array_to_string(string_split(host, '.')[-i:], '.') FROM p, range(2, 9) r(i) WHERE host <> '' AND len(string_split(host, '.')) >= i
+  UNION SELECT page_id, ts, 'prefix', host || '/' || array_to_string(steps[1:i], '/') FROM p, range(1, 5) r(i) WHERE host <> '' AND len(steps) >= i),
+c AS (
+  SELECT *, lead(ts) OVER (PARTITION BY list, kind, key ORDER BY ts) AS until FROM (
+    SELECT *, coalesce(lag(act) OVER (PARTITION BY list, kind, key ORDER BY ts), 0) AS was FROM e) WHERE act <> was),
+a AS (
+  SELECT k.page_id, count(*) AS n, max(c.ts) FILTER (c.list = 'block') AS since, count(*) FILTER (c.list = 'allow') AS allowed
+  FROM k JOIN c ON k.kind = c.kind AND k.key = c.key AND c.act = 1 AND c.ts <= k.ts AND (c.until IS NULL OR c.until > k.ts) GROUP BY 1)
+SELECT p.page_id, coalesce(since IS NOT NULL AND allowed = 0, false) AS blocked, coalesce(n, 0)::BIGINT AS n_active, p.ts AS fetched_s,
+       CASE WHEN allowed = 0 THEN since END AS since_s FROM p LEFT JOIN a USING (page_id)
+"""
+SQL: dict[str, str] = {"op2_url_filter": _OP2_SQL, "op5_mixing": _OP5_SQL, "op3_pivot_index": _OP3_SQL, "op4_top_k": _OP4_SQL}
