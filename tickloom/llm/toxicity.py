@@ -17,58 +17,63 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_labels, counter_rows, merged_counters, slices, stage, texts_of
 
 BUCKETS = 2**18
-STEMS = (4, 5)
-PIECE = regex.compile(r"\w+")
-DRIFT = 0.5
+STEMS = (4, 6)
+DRIFT = 1.0
 #: Labels are learned from at most this many rows (smallest id hashes).
 TRAIN_ROWS = 50_000
 PRIOR_FLOOR, PRIOR_WEIGHT = 0.5, 50.0
 Z = 2.5
 E_LIMIT = 0.05
-CACHED_WORDS = 400_000
 
 
-class Features:
-    """Hashed features of white-space chunks: each word in one, and its stems."""
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
+_FACTOR = 0x9E3779B97F4A7C15 | 1
 
-    def __init__(self):
-        self.cache: dict[str, tuple[int, ...]] = {}
 
-    def of(self, chunk: str) -> tuple[int, ...]:
-        found = []
-        for w in PIECE.findall(chunk):
-            found += [w, *("^" + w[:n] for n in STEMS if len(w) >= n)]
-        return tuple(xxhash.xxh32_intdigest(f) & (BUCKETS - 1) for f in found)
+@functools.lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the factor and of its inverse, modulo 2**64."""
+    up, down = np.full(n, np.uint64(_FACTOR)), np.full(n, np.uint64(pow(_FACTOR, -1, 2**64)))
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
-    def table(self, texts: list[str]):
-        """Chunk index of each word of each text, and the chunks' features: (words, lengths, features, counts)."""
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        split = [t.lower().split() for t in texts]
-        index: dict[str, int] = {w: i for i, w in enumerate(dict.fromkeys(w for words in split for w in words))}
-        for w in index:
-            if w not in self.cache:
-                self.cache[w] = self.of(w)
-        lists = [self.cache[w] for w in index]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((f for fs in lists for f in fs), np.int64, int(counts.sum()))
-        lens = np.fromiter(map(len, split), np.int64, len(split))
-        words = np.fromiter((index[w] for ws in split for w in ws), np.int64, int(lens.sum()))
-        return words, lens, flat, counts
 
+def word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of the words of each text in turn, and how many words each text has.
 
-@functools.lru_cache(1)
-def features() -> Features:
-    """One for each worker process, with its cache."""
-    return Features()
+    Words are runs of letters, digits and bytes beyond ASCII of the lower-cased text.  Features are
+    the word and its first 4 and 6 bytes; a word too short for a stem repeats its own.
+    """
+    raw = [t.lower().encode("utf-8") for t in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    inside = _IN_WORD[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edges = np.concatenate([[0], edges])
+    starts, ends = edges[0::2], edges[1::2]
+    lens = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+    each = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(lens)])))
+    # A hash of any run of bytes from running sums of byte * factor ** place.
+    up, down = _powers(1 << int(len(data)).bit_length())
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    out = np.empty((len(starts), 1 + len(STEMS)), np.int64)
+    base, back = sums[starts], down[starts]
+    for k, n in enumerate((None, *STEMS)):
+        stop = ends if n is None else np.minimum(starts + n, ends)
+        h = (sums[stop] - base) * back
+        if n is not None:
+            h = np.where(stop < ends, h + np.uint64(n), (sums[ends] - base) * back)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[:, k] = (h >> np.uint64(40)) & np.uint64(BUCKETS - 1)
+    return out, each
 
 
 @dataclass
@@ -112,12 +117,8 @@ def maximal_segments(at: list[int], values: list[float], drift: float) -> list[t
 
 def _segments(scores: np.ndarray, texts: list[str]):
     """Number of words and maximal segments of each text."""
-    words, lens, flat, counts = features().table(texts)
-    best = np.zeros(len(counts))
-    full = counts > 0
-    if full.any():
-        best[full] = np.maximum.reduceat(scores[flat], (np.cumsum(counts) - counts)[full])
-    score = best[words] - DRIFT
+    found, lens = word_features(texts)
+    score = scores[found].max(axis=1) - DRIFT if len(found) else np.zeros(0)
     hot = np.flatnonzero(score > 0)
     bounds = np.concatenate([[0], np.cumsum(lens)])
     cuts = np.searchsorted(hot, bounds)
@@ -140,15 +141,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", t
         for batch in slices(batches):
             texts = texts_of(batch)
             kind = np.array([2 if x is None else min(max(x, 0), 1) for x in batch.column("label").to_pylist()])
-            words, lens, flat, each = features().table(texts)
-            if len(each):
-                pair = np.unique(np.repeat(np.arange(len(texts)), lens) * len(each) + words)
-                doc, chunk = pair // len(each), pair % len(each)
-                starts = np.cumsum(each) - each
-                n = each[chunk]
-                where = np.repeat(starts[chunk] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                found = np.unique(np.repeat(doc, n) * BUCKETS + flat[where])
-                counts += np.bincount(kind[found // BUCKETS] * BUCKETS + found % BUCKETS, minlength=3 * BUCKETS).reshape(3, BUCKETS)
+            found, each = word_features(texts)
+            if len(found):
+                pair = np.unique(np.repeat(np.arange(len(texts)), each)[:, None] * BUCKETS + found)
+                counts += np.bincount(kind[pair // BUCKETS] * BUCKETS + pair % BUCKETS, minlength=3 * BUCKETS).reshape(3, BUCKETS)
             sizes[0, :3] += np.bincount(kind, minlength=3)
         yield from counter_rows(np.concatenate([counts, sizes]))
 
