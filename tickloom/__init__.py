@@ -1,0 +1 @@
+"""Point-in-time market-data analytics on Spark: lazy functions from DataFrames to DataFrames."""
