@@ -150,11 +150,11 @@ def last_per_day(spark, sf_dir):
 @register("stitch_aliases", f"""WITH {base.DB0}, x AS (SELECT asset, ts::DATE AS day, 1 + avg(close) / 1e7 AS v FROM db0 GROUP BY 1, 2),
   a AS (SELECT * FROM x WHERE asset = 'P1' AND day < DATE '1998-01-01'), b AS (SELECT * FROM x WHERE asset = 'P2' AND day > DATE '1997-06-01'),
   s AS (SELECT max(a.day) AS d, arg_max(a.v / b.v, a.day) AS k FROM a JOIN b USING (day))
-  SELECT day, round(v, 6) AS v FROM a WHERE NOT (day > (SELECT d FROM s) AND day IN (SELECT day FROM b)) UNION ALL SELECT day, round(v * k, 6) FROM b, s WHERE day > d""")
+  SELECT day, round(v, 4) AS v FROM a WHERE NOT (day > (SELECT d FROM s) AND day IN (SELECT day FROM b)) UNION ALL SELECT day, round(v * k, 4) FROM b, s WHERE day > d""")
 def stitch_aliases(spark, sf_dir):
     x = base.daily(spark, sf_dir).groupBy("asset", col("ts").cast("date").alias("day")).agg((1 + F.avg("close") / 1e7).alias("v"))
     x = x.where("(asset = 'P1' and day < '1998-01-01') or (asset = 'P2' and day > '1997-06-01')")
-    return A.stitch(x, ["P1", "P2"], "asset", "day", "v").select("day", F.round("v", 6).alias("v"))
+    return A.stitch(x, ["P1", "P2"], "asset", "day", "v").select("day", F.round("v", 4).alias("v"))
 
 
 @register("observation_log", "SELECT user_id, event_type, min(ts) AS first_observed FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2 UNION ALL SELECT user_id, event_type, min(ts) FROM events WHERE event_id % 3 <> 0 AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 3 = 0) GROUP BY 1, 2")
