@@ -133,13 +133,21 @@ def issuer_key(name, legal: list[str], share: list[str]) -> Column:
     return F.trim(F.regexp_replace(joined, r"( (" + "|".join(share) + r"))+$", ""))
 
 
+def bound(x: Column, f) -> Column:
+    """f(x) with x computed once: later uses refer to a variable, not to a copy of the expression."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def parse_number(text) -> Column:
     """A number as written in any locale: spaces and thin spaces group, the last comma or point is the decimal mark."""
-    s = F.regexp_replace(F.regexp_replace(c(text), r"[\s  %]", ""), "−", "-")
-    comma, point = F.length(s) - F.locate(",", F.reverse(s)), F.length(s) - F.locate(".", F.reverse(s))
-    has_comma, has_point = s.contains(","), s.contains(".")
-    s = F.when(has_comma & (~has_point | (comma > point)), F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(s, F.lit(","), F.lit("")))
-    return F.when(s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), s.cast("double"))
+    plain = F.translate(F.regexp_replace(c(text), r"[\s\u00a0\u2009\u202f%]", ""), "\u2212", "-")
+
+    def read(s):
+        after = lambda mark: F.length(s) - F.locate(mark, F.reverse(s))
+        decimal_comma = s.contains(",") & (~s.contains(".") | (after(",") > after(".")))
+        return F.when(decimal_comma, F.translate(s, ",.", ".")).otherwise(F.replace(s, F.lit(","), F.lit("")))
+
+    return bound(bound(plain, read), lambda s: F.when(s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), s.cast("double")))
 
 
 def parse_date_text(text) -> Column:
