@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.scalars import c, epoch_timestamp, isin_valid, normalize_text, parse_number
 
-BARS = StructType.fromDDL("ts_utc timestamp, asset string, interval_s int, open double, high double, low double, close double, volume double, quote_volume double, trades long")
+BARS = "ts_utc timestamp, asset string, interval_s int, open double, high double, low double, close double, volume double, quote_volume double, trades long"
+BAR_COLUMNS = [field.split()[0] for field in BARS.split(", ")]
 KLINE = "open_time string, open string, high string, low string, close string, volume string, close_time string, quote_volume string, trades string, rest string"
 
 
@@ -43,7 +43,7 @@ def upsert_bars(spark: SparkSession, path: str, new: DataFrame) -> None:
     """Merge bars into the store: only partitions with new rows are read and replaced."""
     touched = new.select("interval_s", "asset").distinct()
     old = spark.read.schema(BARS).parquet(path).join(touched, ["interval_s", "asset"], "left_semi")
-    merged = upsert(old, new.select(*BARS.names), ["interval_s", "asset", "ts_utc"]).select(*BARS.names)
+    merged = upsert(old, new.select(*BAR_COLUMNS), ["interval_s", "asset", "ts_utc"]).select(*BAR_COLUMNS)
     # The partitions read are those written, so the result is set down before it replaces them.
     write_bars(merged.checkpoint() if spark.sparkContext.getCheckpointDir() else merged.persist(), path)
 
