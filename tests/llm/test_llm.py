@@ -133,8 +133,7 @@ def test_near_duplicates_against_brute_force(spark):
     texts += [texts[0].upper(), "  " + texts[0], "", "", None, "one", "one", "one two", " ".join(words * 20)]
     rows = docs_of(spark, texts, [*range(len(texts) - 1), None])
     got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(rows, group=8).collect()}
-    lists = minhash.word_lists([t or "" for t in texts[:-1]])
-    value, counts, each = minhash.shingle_counts(lists)
+    value, counts, each = minhash.shingle_counts(*minhash.word_hashes([t or "" for t in texts[:-1]]))
     df, n = collections.Counter(value.tolist()), len(texts)
     weight = counts * np.array([np.clip(1 + math.log((n + 1) / (df[v] + 1)) / math.log(n + 1), 1, 2) for v in value.tolist()])
     parts = list(zip(np.split(value, np.cumsum(each)[:-1]), np.split(weight, np.cumsum(each)[:-1])))

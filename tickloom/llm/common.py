@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 import zlib
@@ -68,6 +69,17 @@ def bounded_labels(labels: DataFrame, column: str, bound: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
+_FACTOR = 0x9E3779B97F4A7C15 | 1
+
+
+@functools.lru_cache(2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the factor and of its inverse, modulo 2**64."""
+    up, down = np.full(n, np.uint64(_FACTOR)), np.full(n, np.uint64(pow(_FACTOR, -1, 2**64)))
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
 # ---------------------------------------------------------------- fixed-size counters
 
 

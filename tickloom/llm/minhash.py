@@ -12,16 +12,14 @@ components is verified, and none is emitted as a row.
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, counter_rows, merged_counters, slices, stage, texts_of
+from .common import components, counter_rows, merged_counters, powers, slices, stage, texts_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -30,8 +28,9 @@ SKETCH_ROWS, SKETCH_BITS = 2, 20
 LEADERS = 4
 GROUP = 256
 SMALL = 16
+#: Ids up to this many (16 MB) are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 TABLE_BITS = 16
-CACHED_WORDS = 700_000
 
 _rng = np.random.default_rng(20_101)
 _MIX = _rng.integers(1, 2**63, 64 + WORDS + SKETCH_ROWS, dtype=np.uint64) | np.uint64(1)
@@ -48,36 +47,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(1)
-def _word_cache() -> dict[str, int]:
-    return {}
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of each text in turn, and how many each text has.
 
-
-def word_lists(texts: list[str]) -> list[list[str]]:
-    return [t.lower().split() for t in texts]
+    Words are runs of bytes other than ASCII white space; their hashes come from running sums of
+    byte * factor ** place over the whole batch.
+    """
+    raw = [t.lower().encode("utf-8") for t in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edges = np.concatenate([[0], edges])
+    starts, ends = edges[0::2], edges[1::2]
+    lens = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+    each = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(lens)])))
+    up, down = powers(1 << int(len(data)).bit_length())
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts]), each
+
+
+def sequence_keys(words: np.ndarray, each: np.ndarray) -> list[bytes | None]:
+    """A 128-bit key of each text's word sequence; null for a text without words."""
+    keys: list[bytes | None] = [None] * len(each)
+    full = np.flatnonzero(each)
+    if len(full):
+        starts = np.cumsum(each[full]) - each[full]
+        place = np.arange(len(words)) - np.repeat(starts, each[full])
+        up, down = powers(1 << int(each.max()).bit_length())
+        both = np.stack([np.add.reduceat(words * p[place], starts) for p in (up, down)], axis=1).astype("<u8")
+        for k, row in zip(full.tolist(), both):
+            keys[k] = row.tobytes()
+    return keys
 
 
-def shingle_counts(lists: list[list[str]]):
+def shingle_counts(words: np.ndarray, lens: np.ndarray):
     """Distinct shingles of each document in turn: (hashes, counts, how many each document has).
 
     A text of one to four words has one shingle; an empty one has none.
     """
-    cache = _word_cache()
-    if len(cache) > CACHED_WORDS:
-        cache.clear()
-    for w in {w for words in lists for w in words}.difference(cache):
-        cache[w] = xxhash.xxh64_intdigest(w)
-    lens = np.fromiter(map(len, lists), np.int64, len(lists))
     padded = np.where(lens > 0, np.maximum(lens, WORDS), 0)
     flat = np.zeros(int(padded.sum()), np.uint64)
     starts = np.cumsum(padded) - padded
     place = np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-    flat[place] = np.fromiter((cache[w] for words in lists for w in words), np.uint64, int(lens.sum()))
+    flat[place] = words
     n = max(0, len(flat) - WORDS + 1)
     value = np.zeros(n, np.uint64)
     for i in range(WORDS):
         value += flat[i : i + n] * _WORD_MIX[i]
-    doc = np.repeat(np.arange(len(lists)), padded)
+    doc = np.repeat(np.arange(len(lens)), padded)
     inside = doc[:n] == doc[WORDS - 1 :] if n else np.zeros(0, bool)
     value, doc = mix(value[inside]), doc[:n][inside]
     order = np.lexsort((value, doc))
@@ -86,7 +105,7 @@ def shingle_counts(lists: list[list[str]]):
     fresh[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(fresh)
     counts = np.diff(np.append(first, len(value)))
-    return value[first], counts, np.bincount(doc[first], minlength=len(lists))
+    return value[first], counts, np.bincount(doc[first], minlength=len(lens))
 
 
 def sketch_of(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -97,7 +116,7 @@ def sketch_of(docs: DataFrame) -> tuple[np.ndarray, int]:
         table = np.zeros((SKETCH_ROWS, width), np.int64)
         rows = np.zeros((1, width), np.int64)
         for batch in slices(batches):
-            value, _, _ = shingle_counts(word_lists(texts_of(batch)))
+            value, _, _ = shingle_counts(*word_hashes(texts_of(batch)))
             for i, m in enumerate(_SKETCH_MIX):
                 table[i] += np.bincount((value * m) >> np.uint64(64 - SKETCH_BITS), minlength=width)
             rows[0, 0] += batch.num_rows
@@ -141,9 +160,9 @@ def band_keys(value: np.ndarray, weight: np.ndarray, each: np.ndarray) -> np.nda
     return out
 
 
-def _elements(lists, sketch, rows):
+def _elements(texts, sketch, rows):
     """Per document: hashes, and weights of counts times idf."""
-    value, counts, each = shingle_counts(lists)
+    value, counts, each = shingle_counts(*word_hashes(texts))
     weight = counts * idf_of(value, sketch, rows)
     cuts = np.cumsum(each)[:-1]
     return list(zip(np.split(value, cuts), np.split(weight, cuts)))
@@ -171,10 +190,10 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = THRESHOLD, lea
 
     def sign(batches):
         for batch in slices(batches):
-            lists = word_lists(texts_of(batch))
-            value, counts, each = shingle_counts(lists)
+            words, lens = word_hashes(texts_of(batch))
+            value, counts, each = shingle_counts(words, lens)
             keys = band_keys(value, counts * idf_of(value, held.value, rows), each).view(np.int64)
-            same = [xxhash.xxh3_128_digest("\n".join(words).encode()) if words else None for words in lists]
+            same = sequence_keys(words, lens)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["doc_id", "same", "bands"])
 
     usual = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -182,7 +201,13 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = THRESHOLD, lea
     equal = signed.groupBy("same").agg(F.min("doc_id").alias("rep"))
     members = stage(signed.select("doc_id", "same").join(equal, "same").select("doc_id", "rep").distinct(), "equal-texts")
     reps = members.select("rep").distinct()
-    texts = lambda ids: usual.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    def texts(ids: DataFrame) -> DataFrame:
+        """Texts of the given ids; few enough ids are broadcast, so that no text is shuffled to find them."""
+        ids = stage(ids.withColumnRenamed("id", "doc_id"), "wanted")
+        few = ids.count() <= BROADCAST_IDS
+        return usual.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
 
     posts = signed.select("doc_id", "same", F.posexplode("bands").alias("band", "key")).groupBy("band", "key", "same").agg(F.min("doc_id").alias("id"))
     posts = stage(posts.join(_buckets(posts, leaders), ["band", "key"]).select("band", "key", "id", "n", "first"), "postings")
@@ -198,7 +223,7 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = THRESHOLD, lea
     def near(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                parts = _elements(word_lists([row["leader_text"], *(m["text"] for m in row["members"])]), held.value, rows)
+                parts = _elements([row["leader_text"], *(m["text"] for m in row["members"])], held.value, rows)
                 found = [m["member"] for m, p in zip(row["members"], parts[1:]) if weighted_jaccard(parts[0], p) >= threshold]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([row["leader"]] * len(found), pa.int64()), pa.array(found, pa.int64())], ["a", "b"])
@@ -227,8 +252,8 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = THRESHOLD, lea
         for batch in batches:
             for row in batch.to_pylist():
                 a, b = row["left"], row["right"]
-                p = _elements(word_lists([x["text"] for x in a]), held.value, rows)
-                q = _elements(word_lists([x["text"] for x in b]), held.value, rows)
+                p = _elements([x["text"] for x in a], held.value, rows)
+                q = _elements([x["text"] for x in b], held.value, rows)
                 found = []
                 for x, u in zip(a, p):
                     met = {x["component"]}

@@ -11,7 +11,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from dataclasses import dataclass, field
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labels, counter_rows, merged_counters, slices, stage, texts_of
+from .common import bounded_labels, counter_rows, merged_counters, powers, slices, stage, texts_of
 
 BUCKETS = 2**18
 STEMS = (4, 6)
@@ -34,17 +33,6 @@ E_LIMIT = 0.05
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
-_FACTOR = 0x9E3779B97F4A7C15 | 1
-
-
-@functools.lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the factor and of its inverse, modulo 2**64."""
-    up, down = np.full(n, np.uint64(_FACTOR)), np.full(n, np.uint64(pow(_FACTOR, -1, 2**64)))
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 def word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of the words of each text in turn, and how many words each text has.
 
@@ -61,7 +49,7 @@ def word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lens = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
     each = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(lens)])))
     # A hash of any run of bytes from running sums of byte * factor ** place.
-    up, down = _powers(1 << int(len(data)).bit_length())
+    up, down = powers(1 << int(len(data)).bit_length())
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     out = np.empty((len(starts), 1 + len(STEMS)), np.int64)
