@@ -146,4 +146,46 @@ a AS (
 SELECT p.page_id, coalesce(since IS NOT NULL AND allowed = 0, false) AS blocked, coalesce(n, 0)::BIGINT AS n_active, p.ts AS fetched_s,
        CASE WHEN allowed = 0 THEN since END AS since_s FROM p LEFT JOIN a USING (page_id)
 """
-SQL: dict[str, str] = {"op2_url_filter": _OP2_SQL, "op5_mixing": _OP5_SQL, "op3_pivot_index": _OP3_SQL, "op4_top_k": _OP4_SQL}
+_OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+k AS (
+  SELECT doc_id, text, 0 AS kind, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS ms, string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS ps FROM d
+  UNION ALL SELECT doc_id, text, 1, regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), string_split_regex(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM d
+  UNION ALL SELECT doc_id, text, 2, regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+'), string_split_regex(text, '[0-9]([\x20-]?[0-9])+') FROM d
+  UNION ALL SELECT doc_id, text, 3, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]') FROM d),
+u AS (SELECT doc_id, text, kind, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM k),
+v AS (
+  SELECT doc_id, text, kind, ms[i] AS value, regexp_replace(ms[i], '[^0-9]', '', 'g') AS digits,
+         list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS a FROM u),
+b AS (
+  SELECT doc_id, text, kind, value, a::BIGINT AS a, (a + length(value))::BIGINT AS z,
+         kind || ':' || CASE kind WHEN 0 THEN lower(value) WHEN 1 THEN value ELSE digits END AS entity FROM v
+  WHERE CASE kind WHEN 0 THEN true
+    WHEN 1 THEN regexp_full_match(value, '0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(\.0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}')
+    WHEN 2 THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda j: CASE WHEN (length(digits) - j) % 2 = 0 THEN digits[j]::INT WHEN digits[j]::INT > 4 THEN 2 * digits[j]::INT - 9 ELSE 2 * digits[j]::INT END)) % 10 = 0
+    ELSE length(digits) BETWEEN 9 AND 15 END),
+c AS (
+  SELECT DISTINCT doc_id, entity, unnest(list_concat(
+    regexp_extract_all(lower(substring(text, greatest(a - 64, 0) + 1, least(a, 64))), '\p{L}{4,}')[-5:],
+    regexp_extract_all(lower(substring(text, z + 1, 64)), '\p{L}{4,}')[1:5])) AS term FROM b),
+pairs AS (SELECT entity, term, count(*) AS n_both FROM c GROUP BY 1, 2 HAVING count(*) >= 3),
+holds AS (SELECT entity, count(DISTINCT doc_id) AS n_entity FROM b GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+words AS (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}{4,}'))) AS term FROM d),
+df AS (SELECT term, count(*) AS n_term FROM words WHERE term IN (SELECT term FROM pairs) GROUP BY 1),
+n AS (SELECT count(*)::DOUBLE AS n FROM d),
+f AS (SELECT entity, term FROM pairs JOIN holds USING (entity) JOIN df USING (term), n WHERE n > n_entity AND ln(n * n_both / (n_entity * n_term)) >= ln(n / n_entity) / 1.5),
+t AS (SELECT b.doc_id, any_value(b.text) AS text, list(DISTINCT f.term) AS terms FROM b JOIN f USING (entity) GROUP BY 1),
+r AS (SELECT doc_id, terms, regexp_extract_all(text, '\p{L}+') AS ms, string_split_regex(text, '\p{L}+') AS ps FROM t),
+q AS (SELECT doc_id, terms, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM r),
+w AS (
+  SELECT doc_id, 4 AS kind, (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a, length(ms[i]) AS n
+  FROM q WHERE list_contains(terms, lower(ms[i]))),
+s AS (SELECT doc_id, kind, a, z FROM b UNION ALL SELECT doc_id, kind, a, a + n FROM w),
+o AS (SELECT *, ['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || a || ':' || z AS x FROM s),
+g AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+         string_agg(x, ',' ORDER BY a, kind, z) FILTER (kind < 4) AS base, string_agg(x, ',' ORDER BY a, kind, z) AS spans FROM o GROUP BY 1)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+SQL: dict[str, str] = {"op6_sanitise": _OP6_SQL, "op2_url_filter": _OP2_SQL, "op5_mixing": _OP5_SQL, "op3_pivot_index": _OP3_SQL, "op4_top_k": _OP4_SQL}
