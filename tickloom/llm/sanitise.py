@@ -30,8 +30,6 @@ TERM = r"\p{L}{4,}"
 #: Characters on either side of a span that are its context, and terms taken from each side.
 CONTEXT_CHARS, CONTEXT_TERMS = 64, 5
 SUPPORT, ALPHA = 3, 1.5
-#: Candidate terms up to this many are broadcast to count their documents; more are joined by shuffle.
-BROADCAST_TERMS = 100_000
 SPAN = "array<struct<start: int, kind: int, end: int, value: string>>"
 
 
@@ -98,10 +96,9 @@ def disclosing_terms(docs: DataFrame, dirty: DataFrame, *, support: int = SUPPOR
     both = dirty.select(F.explode(beside).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     both = stage(both, "term-pairs")
     holds = dirty.select(F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
-    terms = both.select("term").distinct()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    counted = words.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    # Counted first, with partial sums before the shuffle: the inner join below sees each word once.
+    counted = words.groupBy("term").agg(F.count("*").alias("n_term"))
     n = docs.count()
     ic = F.log(F.lit(float(n)) / F.col("n_entity"))
     pmi = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
