@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import bpe, minhash, mixing, sanitise, toxicity
-from tickloom.llm.common import stage
+from tickloom.llm.common import packed, stage, unpacked
 
 #: A document at or above this score is rejected.
 REJECT = 0.5
@@ -16,7 +16,7 @@ REJECT = 0.5
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not rejected as toxic; the classifier learns from the training fold of ``labels``."""
     model = toxicity.fit_toxicity(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_toxicity(docs, model).where(F.col("toxicity") < REJECT).select(docs.columns)
+    return unpacked(toxicity.score_toxicity(packed(docs, "text"), model).where(F.col("toxicity") < REJECT), docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -302,3 +302,35 @@ def test_url_filter_against_brute_force(spark):
         if blocked:
             assert got[page].blocked_since.timestamp() == max(s for x, s in active if x == "block")
     assert url_filter.evaluate_captures(p.limit(0), e).count() == 0 and url_filter.evaluate_captures(p, e.limit(0)).where("blocked").count() == 0
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Every stage on small documents with null, empty, repeated and clashing columns."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    words = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(240):
+        t = rng.choice(words, 60).tolist()
+        if i % 6 == 0:
+            t[10:20:3] = ["scoundrel"] * 4
+        rows.append((i, " ".join(t), "en", f"s{i % 3}", 0, "x", 0.5, "y", 3))
+        labels.append((i, 1, int(i % 6 == 0)))
+    rows += [(300, rows[1][1], "en", "s0", 0, "x", 0.5, "y", 3), (301, rows[2][1] + " mail me@here.example", "en", "s1", 0, "x", 0.5, "y", 3), (302, None, None, None, None, None, None, None, None), (303, "", "en", "s1", 0, "x", 0.5, "y", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, spans string, toxicity double, m_words string, packed int")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.toxicity_stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    clean = {r.doc_id: r for r in kept.collect()}
+    assert len([i for i in range(240) if (i in clean) == (i % 6 == 0)]) <= 3 and {300, 301, 302, 303} <= set(clean) and clean[1].toxicity == 0.5
+    unique = corpus_pipeline.near_duplicate_stage(spark, kept, str(tmp_path))
+    left = {r.doc_id for r in unique.collect()}
+    assert left == set(clean) - {300, 301} and unique.columns == docs.columns
+    safe = corpus_pipeline.sanitise_stage(spark, docs, str(tmp_path))
+    text = {r.doc_id: r for r in safe.collect()}
+    assert text[301].text.endswith("mail [EMAIL]") and text[301].spans == "x" and text[1].text == rows[1][1] and text[302].text is None and len(text) == len(rows)
+    mixed = corpus_pipeline.mixing_stage(spark, docs, str(tmp_path))
+    taken = {r.doc_id: round(r.taken / r.size) if r.size else 1 for r in mixing.mix(docs)[0].collect()}
+    assert collections.Counter(r.doc_id for r in mixed.collect()) == {k: v for k, v in taken.items() if v} and mixed.columns == docs.columns
+    assert corpus_pipeline.bpe_stage(spark, docs, str(tmp_path)).count() == len(rows)

@@ -40,6 +40,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep``, and all columns as one struct: no name of ``docs`` can clash with those added meanwhile."""
+    return docs.select(*keep, F.struct(*docs.columns).alias("packed_row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **new) -> DataFrame:
+    """The columns packed before, those in ``new`` replaced."""
+    return df.select(*(new[c].alias(c) if c in new else F.col("packed_row")[c].alias(c) for c in columns))
+
+
 def slices(batches, column: str = "text", budget: int = SLICE_BYTES):
     """Cut Arrow batches into pieces of about ``budget`` bytes of ``column``; a longer value stands alone."""
     for batch in batches:

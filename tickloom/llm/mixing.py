@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import packed, stage, unpacked
 
 BLOCK_WORDS = 4_096
 WEIGHTS = (3, 1, 2)
@@ -132,6 +132,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows, _ = mix(docs, **options)
     times = rows.groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("k"))
     times = times.select(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size"), F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / (F.col("size") * F.col("k")))).cast("int").alias("times"))
-    own = docs.withColumn("m_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    own = packed(docs, "doc_id", "text").withColumn("m_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     kept = own.join(times, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("m_words") == F.col("m_size"))).where("times > 0")
-    return kept.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+    return unpacked(kept.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("times")))), docs.columns)

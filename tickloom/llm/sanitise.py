@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import packed, stage, unpacked
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The contract's patterns, written so that no text makes them backtrack: an address starts where its
@@ -142,7 +142,7 @@ def span_digest(docs: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, same columns, with every span's text replaced by its kind's mark (n_chars follows, if there)."""
-    clean, dirty = found_spans(docs)
+    clean, dirty = found_spans(packed(docs, "text"))
     marks = F.array(*(F.lit(MARKS[k]) for k in KINDS))
     text = F.col("text")
 
@@ -155,6 +155,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(0).cast("int").alias("at"), F.lit("").alias("out"))
     new = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     fixed = dirty.withColumn("text", new)
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        fixed = fixed.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return clean.select(docs.columns).union(fixed.select(docs.columns))
+        changed["n_chars"] = F.length("text").cast(dict(docs.dtypes)["n_chars"])
+    return unpacked(clean, docs.columns).union(unpacked(fixed, docs.columns, **changed))
