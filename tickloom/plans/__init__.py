@@ -4,7 +4,7 @@ import importlib
 
 from ..registry import QUERIES, SQL
 
-MODULES = ("q_windows", "q_joins", "q_aggregates", "q_cross", "q_stats", "q_quality", "q_folds")
+MODULES = ("q_windows", "q_joins", "q_aggregates", "q_cross", "q_stats", "q_quality", "q_folds", "q_more")
 
 
 def load():
