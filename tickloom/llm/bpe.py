@@ -21,7 +21,7 @@ from .common import slices, texts_of
 
 # The pre-tokenisation pattern that belongs to the published byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 #: A space beside other white space.
 BESIDE = re.compile(r" [\s\x1c-\x1f]|[\s\x1c-\x1f] ")
 NONE = np.int64(2**62)

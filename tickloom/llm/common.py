@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 COUNTERS_IN_CHUNK = 4096
 
 
@@ -82,9 +82,9 @@ def bounded_labels(labels: DataFrame, column: str, bound: int) -> DataFrame:
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the factor and of its inverse, modulo 2**64."""
+    """At least the first ``n`` powers of the factor and of its inverse, modulo 2**64; one pair of arrays is kept."""
     up, down = np.full(n, np.uint64(_FACTOR)), np.full(n, np.uint64(pow(_FACTOR, -1, 2**64)))
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
