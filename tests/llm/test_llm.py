@@ -334,3 +334,11 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     taken = {r.doc_id: round(r.taken / r.size) if r.size else 1 for r in mixing.mix(docs)[0].collect()}
     assert collections.Counter(r.doc_id for r in mixed.collect()) == {k: v for k, v in taken.items() if v} and mixed.columns == docs.columns
     assert corpus_pipeline.bpe_stage(spark, docs, str(tmp_path)).count() == len(rows)
+
+
+def test_disclosing_terms_of_one_document(spark):
+    """An address in a single document is judged, too; 'the' and 'person' stand in too many documents to disclose it."""
+    texts = ["the person Zorblat bob@y.example the"] + [f"the person text number {i} about the weather" for i in range(60)]
+    got = {r.doc_id: r.spans for r in sanitise.span_digest(docs_of(spark, texts)).collect()}
+    assert "email:19:32" in got[0] and "term:11:18" in got[0] and "term:0:3" not in got[0] and "term:4:10" not in got[0]
+    assert got[5] == ""

@@ -4,8 +4,8 @@ Base spans (email, ip, card, phone) are found by patterns and checks.  Every val
 protected entity e.  Over the whole corpus, a term t beside e discloses it if
 PMI(e; t) >= IC(e) / alpha, where IC(e) = log(N / n(e)) and
 PMI(e; t) = log(N n(e, t) / (n(e) n(t))), n counting documents (C-sanitisation, Sanchez and Batet,
-2016), given at least ``support`` documents that hold both.  In documents that hold e, all places of
-its disclosing terms become spans, which are generalised.  DataFrame functions only.
+2016).  Entities and terms of a single document are judged as well.  In documents that hold e, all
+places of its disclosing terms become spans, which are generalised.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 TERM = r"\p{L}{4,}"
 #: Characters on either side of a span that are its context, and terms taken from each side.
 CONTEXT_CHARS, CONTEXT_TERMS = 64, 5
-SUPPORT, ALPHA = 3, 1.5
+ALPHA = 1.5
 SPAN = "array<struct<start: int, kind: int, end: int, value: string>>"
 
 
@@ -89,13 +89,13 @@ def _context(text: Column, span: Column) -> Column:
     return F.concat(F.slice(before, F.greatest(F.size(before) - CONTEXT_TERMS, F.lit(0)) + 1, F.lit(CONTEXT_TERMS)), F.slice(after, 1, CONTEXT_TERMS))
 
 
-def disclosing_terms(docs: DataFrame, dirty: DataFrame, *, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
+def disclosing_terms(docs: DataFrame, dirty: DataFrame, *, alpha: float = ALPHA) -> DataFrame:
     """entity and the terms that disclose it (array); ``dirty`` has text and base of documents with base spans."""
     text = F.coalesce("text", F.lit(""))
     beside = F.array_distinct(F.flatten(F.transform("base", lambda s: F.transform(_context(text, s), lambda t: F.struct(_entity(s).alias("entity"), t.alias("term"))))))
-    both = dirty.select(F.explode(beside).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    both = dirty.select(F.explode(beside).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both"))
     both = stage(both, "term-pairs")
-    holds = dirty.select(F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    holds = dirty.select(F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
     # Counted first, with partial sums before the shuffle: the inner join below sees each word once.
     counted = words.groupBy("term").agg(F.count("*").alias("n_term"))
@@ -107,7 +107,7 @@ def disclosing_terms(docs: DataFrame, dirty: DataFrame, *, support: int = SUPPOR
     return found.groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
-def found_spans(docs: DataFrame, *, support: int = SUPPORT, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
+def found_spans(docs: DataFrame, *, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
     """``clean`` rows of ``docs`` without base spans, and ``dirty`` rows with ``base`` and ``spans`` added.
 
     Both keep all columns.  ``spans`` holds the base spans and those of disclosing terms, by start
@@ -117,11 +117,10 @@ def found_spans(docs: DataFrame, *, support: int = SUPPORT, alpha: float = ALPHA
     all_base = base_spans(F.col("text"))
     clean = docs.where(F.size(all_base) == 0)
     dirty = stage(docs.withColumn("base", all_base).where(F.size("base") > 0).withColumn("p_row", F.monotonically_increasing_id()), "personal")
-    reveals = disclosing_terms(docs, dirty, support=support, alpha=alpha)
+    reveals = disclosing_terms(docs, dirty, alpha=alpha)
     entities = dirty.select("p_row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
     flagged = entities.join(reveals, "entity").groupBy("p_row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("p_terms"))
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("p_terms", "|"), F.lit(r")(?!\p{L})"))
-    own = _places(F.coalesce("text", F.lit("")), pattern, "term", lambda m: F.lit(True))
+    own = _places(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"), "term", lambda m: F.array_contains("p_terms", F.lower(m)))
     dirty = dirty.join(flagged, "p_row", "left").withColumn("spans", F.when(F.col("p_terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", own))))
     return clean, dirty.drop("p_row", "p_terms")
 
