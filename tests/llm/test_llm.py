@@ -342,3 +342,20 @@ def test_disclosing_terms_of_one_document(spark):
     got = {r.doc_id: r.spans for r in sanitise.span_digest(docs_of(spark, texts)).collect()}
     assert "email:19:32" in got[0] and "term:11:18" in got[0] and "term:0:3" not in got[0] and "term:4:10" not in got[0]
     assert got[5] == ""
+
+
+@pytest.mark.parametrize("pivots", [256, 1_024, 4_096])
+def test_pivot_index_recall_with_many_pivots(spark, pivots):
+    """Planted pairs at the threshold share enough of their nearest reference points, which are none of them, however many there are."""
+    rng = np.random.default_rng(17)
+    x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("size(embedding) = 64").select("embedding").collect()], float)
+    root = np.linalg.cholesky(np.cov(x.T) + 1e-9 * np.eye(64))
+    unit = lambda z: z / np.linalg.norm(z, axis=1, keepdims=True)
+    a, p = (unit(x.mean(0) + rng.normal(size=(n, 64)) @ root.T) for n in (2_000, pivots))
+    for cosine in (0.93, 0.95):
+        r = rng.normal(size=a.shape) @ root.T
+        r = unit(r - (r * a).sum(1, keepdims=True) * a)
+        near = [np.argpartition(-(v @ p.T), 12, axis=1)[:, :12] for v in (a, cosine * a + math.sqrt(1 - cosine**2) * r)]
+        shared = np.array([len(np.intersect1d(u, v)) for u, v in zip(*near)])
+        print(pivots, cosine, "shared", pivot_index.shared_of(pivots), "recall", (shared >= pivot_index.shared_of(pivots)).mean(), "with 6", (shared >= 6).mean())
+        assert (shared >= pivot_index.shared_of(pivots)).mean() >= 0.95

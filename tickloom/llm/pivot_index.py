@@ -18,12 +18,21 @@ from pyspark.sql import functions as F
 from .common import components, stage
 from .topk import usable
 
+#: Two vectors near each other share fewer of their nearest reference points the more there are: one
+#: less is asked beyond SHARED_PIVOTS, and one less for each further factor of four.
+SHARED_PIVOTS = 256
 #: Reference points are vectors of smallest id hash, at most so many (a bounded sample); the number grows with the square root of the input.
 LEAST_PIVOTS, MOST_PIVOTS = 64, 4_096
 NEAREST, SHARED = 12, 6
 BLOCK = 512
 
 
+def shared_of(pivots: int, nearest: int = NEAREST, shared: int = SHARED) -> int:
+    """How many of the nearest reference points a candidate pair shares, for so many reference points of its length."""
+    fewer = max(0, math.ceil(math.log(pivots / SHARED_PIVOTS, 4))) if pivots else 0
+    return max(1, min(shared - fewer, nearest, pivots))
+
+
 def _unit(values) -> np.ndarray:
     x = np.asarray(values.flatten(), np.float64).reshape(len(values), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -65,7 +74,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, nearest: int =
                 yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("label"), part.column("v"), pa.array([size] * part.num_rows, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["cls", "label", "v", "size", "pivots"])
 
     described = stage(classes.select("cls", "label", "v").mapInArrow(describe, "cls long, label int, v array<double>, size int, pivots array<int>"), "vector-pivots")
-    need = min(shared, nearest, *(len(p) for p in pivots.values())) if pivots else 1
+    need = min(shared_of(len(p), nearest, shared) for p in pivots.values()) if pivots else 1
     # Lists of pivots: a bounded table (labels x pivots), whose counts order the pivots from rare to common.
     counts = {r.pivot: r["count"] for r in described.select(F.explode("pivots").alias("pivot")).groupBy("pivot").count().collect()}
     order = spark.sparkContext.broadcast(counts)
