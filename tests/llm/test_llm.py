@@ -359,3 +359,15 @@ def test_pivot_index_recall_with_many_pivots(spark, pivots):
         shared = np.array([len(np.intersect1d(u, v)) for u, v in zip(*near)])
         print(pivots, cosine, "shared", pivot_index.shared_of(pivots), "recall", (shared >= pivot_index.shared_of(pivots)).mean(), "with 6", (shared >= 6).mean())
         assert (shared >= pivot_index.shared_of(pivots)).mean() >= 0.95
+
+
+def test_pivot_index_links_vectors_of_a_length_without_pivots(spark, monkeypatch):
+    rng = np.random.default_rng(18)
+    for name in ("LEAST_PIVOTS", "MOST_PIVOTS"):
+        monkeypatch.setattr(pivot_index, name, 8)
+    rows = [(i, v.tolist(), 0, "s") for i, v in enumerate(rng.normal(size=(200, 8)))]
+    odd = [(1_000, [1.0, 0.0, 0.0], 0, "s"), (1_001, [1.0, 0.1, 0.0], 0, "s"), (1_002, [0.0, 0.0, 1.0], 0, "s")]
+    points = vectors(spark, rows + odd).orderBy(F.xxhash64("vec_id"), "vec_id").limit(8).collect()
+    assert all(len(r.embedding) == 8 for r in points)
+    got = {r.vec_id: r for r in pivot_index.near_duplicates(vectors(spark, rows + odd)).collect()}
+    assert [got[i].n_links for i in (1_000, 1_001, 1_002)] == [1, 1, 0] and got[1_001].component_id == 1_000

@@ -74,14 +74,14 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, nearest: int =
                 yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("label"), part.column("v"), pa.array([size] * part.num_rows, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["cls", "label", "v", "size", "pivots"])
 
     described = stage(classes.select("cls", "label", "v").mapInArrow(describe, "cls long, label int, v array<double>, size int, pivots array<int>"), "vector-pivots")
-    need = min(shared_of(len(p), nearest, shared) for p in pivots.values()) if pivots else 1
+    need = {size: shared_of(len(p), nearest, shared) for size, p in pivots.items()}
     # Lists of pivots: a bounded table (labels x pivots), whose counts order the pivots from rare to common.
     counts = {r.pivot: r["count"] for r in described.select(F.explode("pivots").alias("pivot")).groupBy("pivot").count().collect()}
     order = spark.sparkContext.broadcast(counts)
 
     def post(batches):
         for batch in batches:
-            lists = [sorted(p, key=lambda x: (order.value[x], x))[: max(1, len(p) - need + 1)] for p in batch.column("pivots").to_pylist()]
+            lists = [sorted(p, key=lambda x: (order.value[x], x))[: max(1, len(p) - need.get(size, 1) + 1)] for p, size in zip(batch.column("pivots").to_pylist(), batch.column("size").to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], [*batch.schema.names, "prefix"])
 
     posts = described.mapInArrow(post, "cls long, label int, v array<double>, size int, pivots array<int>, prefix array<int>").select("cls", "label", "size", "v", "pivots", F.explode("prefix").alias("pivot"))
@@ -98,10 +98,10 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, nearest: int =
         for batch in batches:
             for k in range(batch.num_rows):
                 same = batch.column("i")[k].as_py() == batch.column("j")[k].as_py()
-                a, b = _verified(batch.column("left")[k].values, batch.column("right")[k].values, need, threshold, same)
+                a, b = _verified(batch.column("left")[k].values, batch.column("right")[k].values, need.get(batch.column("size")[k].as_py(), 1), threshold, same)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    links = left.join(right, [*keys, "j"]).select("left", "right", "i", "j").mapInArrow(verify, "a long, b long").distinct()
+    links = left.join(right, [*keys, "j"]).select("left", "right", "size", "i", "j").mapInArrow(verify, "a long, b long").distinct()
     return members, stage(links, "vector-links")
 
 
