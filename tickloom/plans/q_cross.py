@@ -231,9 +231,12 @@ def purged_folds(spark, sf_dir):
 
 @register("assert_no_overlap", "WITH w AS (SELECT o_custkey AS fold, min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders WHERE o_custkey < 50 GROUP BY 1) SELECT fold, coalesce(a <= max(b) OVER (ORDER BY a, fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS overlaps FROM w")
 def assert_no_overlap(spark, sf_dir):
-    w = table(spark, sf_dir, "orders").where("o_custkey < 50").groupBy(col("o_custkey").alias("fold")).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
-    before = F.max("b").over(Window.orderBy("a", "fold").rowsBetween(Window.unboundedPreceding, -1))
-    return w.select("fold", F.coalesce(col("a") <= before, F.lit(False)).alias("overlaps"))
+    """The running maximum of earlier ends comes in two levels, within the day of the start and then over the days."""
+    w = table(spark, sf_dir, "orders").groupBy(col("o_custkey").alias("fold")).agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b")).withColumn("day", col("a").cast("date"))
+    earlier = lambda x, w: F.max(x).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    days = w.groupBy("day").agg(F.max("b").alias("last")).select("day", earlier("last", Window.orderBy("day")).alias("carried"))
+    before = F.greatest(earlier("b", Window.partitionBy("day").orderBy("a", "fold")), "carried")
+    return w.join(days, "day").select("fold", F.coalesce(col("a") <= before, F.lit(False)).alias("overlaps"))
 
 
 @register("triple_barrier", f"""WITH {base.HB}, s AS (SELECT asset, ts, close, avg(tr) OVER (PARTITION BY asset ORDER BY ts ROWS 13 PRECEDING) AS atr, idx FROM hb), e AS (SELECT *, close - 0.5 * atr AS stop, close + 0.6 * atr AS target FROM s WHERE idx >= 14),

@@ -32,7 +32,7 @@ def logret_k(spark, sf_dir):
 
 @register("finite_or_null", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax <> 0 THEN round(l_discount / l_tax, 6) END AS ratio FROM lineitem WHERE l_partkey % 20 = 0")
 def finite_or_null(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_partkey % 20 = 0")
+    li = table(spark, sf_dir, "lineitem")
     raw = F.when(col("l_tax") == 0, F.lit(float("inf"))).otherwise(col("l_discount") / col("l_tax"))
     return li.select("l_orderkey", "l_linenumber", "l_partkey", F.round(S.finite_or_null(raw), 6).alias("ratio"))
 
@@ -105,7 +105,7 @@ def quarterly_statements(spark, sf_dir):
     period = F.date_format("o_orderdate", "yyyy-MM-dd")
     cell = lambda v: F.create_map(period, F.struct(period.alias("filing_date"), F.round(v, 2).alias("amount")))
     doc = F.to_json(F.struct(cell(col("o_totalprice")).alias("income"), F.when(col("o_orderstatus") != "P", cell(col("o_totalprice") / 3)).alias("balance")))
-    rows = table(spark, sf_dir, "orders").where("o_custkey % 5 = 0").select("o_orderkey", doc.alias("j"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", doc.alias("j"))
     return R.statements(rows, "j", ["income", "balance"]).select("o_orderkey", "period", "income", "balance")
 
 
@@ -139,7 +139,7 @@ def direction_features(spark, sf_dir):
 
 @register("event_reaction", f"WITH {base.DB}, e AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts) AS s FROM db), v AS (SELECT asset, ts, s FROM e WHERE s % 50 = 0) SELECT v.asset, v.ts, round(a.close / p.close - 1, 6) + 0.0 AS reaction_1, round(b.close / p.close - 1, 6) + 0.0 AS reaction_5 FROM v JOIN e p ON p.asset = v.asset AND p.s = v.s - 1 LEFT JOIN e a ON a.asset = v.asset AND a.s = v.s LEFT JOIN e b ON b.asset = v.asset AND b.s = v.s + 4")
 def event_reaction(spark, sf_dir):
-    """Price reaction 1 and 5 sessions after an event, from the close before it."""
+    """Price reaction 1 and 5 sessions after an event, from the close before it; every fiftieth session of an asset stands for an event."""
     t = Window.partitionBy("asset").orderBy("ts")
     d = base.daily_basics(spark, sf_dir).withColumn("p", F.lag("close").over(t)).withColumn("c5", F.lead("close", 4).over(t))
     return d.where("idx % 50 = 0").select("asset", "ts", _r(col("close") / col("p") - 1).alias("reaction_1"), _r(col("c5") / col("p") - 1).alias("reaction_5"))
