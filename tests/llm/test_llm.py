@@ -371,3 +371,11 @@ def test_pivot_index_links_vectors_of_a_length_without_pivots(spark, monkeypatch
     assert all(len(r.embedding) == 8 for r in points)
     got = {r.vec_id: r for r in pivot_index.near_duplicates(vectors(spark, rows + odd)).collect()}
     assert [got[i].n_links for i in (1_000, 1_001, 1_002)] == [1, 1, 0] and got[1_001].component_id == 1_000
+
+
+def test_disclosing_terms_of_whole_documents(spark):
+    """Terms far from the span and short ones are judged; counts are of whole documents."""
+    far = "Zorblat signs for Li Ng. " + "the person text about the weather " * 30 + "bob@y.example"
+    texts = [far] + [f"the person text number {i} about the weather for" for i in range(80)]
+    spans = {r.doc_id: r.spans for r in sanitise.span_digest(docs_of(spark, texts)).collect()}
+    assert all(x in spans[0].split(",") for x in ("term:0:7", "term:18:20", "term:21:23")) and f"term:{far.index('the')}:{far.index('the') + 3}" not in spans[0] and spans[5] == ""

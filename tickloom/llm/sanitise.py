@@ -1,7 +1,7 @@
 """Personal data and what reveals it: base patterns, and terms whose co-occurrence discloses them.
 
 Base spans (email, ip, card, phone) are found by patterns and checks.  Every value found is a
-protected entity e.  Over the whole corpus, a term t beside e discloses it if
+protected entity e.  Over the whole corpus, a term t (a run of letters) in documents that hold e discloses it if
 PMI(e; t) >= IC(e) / alpha, where IC(e) = log(N / n(e)) and
 PMI(e; t) = log(N n(e, t) / (n(e) n(t))), n counting documents (C-sanitisation, Sanchez and Batet,
 2016).  Entities and terms of a single document are judged as well.  In documents that hold e, all
@@ -26,9 +26,7 @@ PATTERNS = {
 }
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-TERM = r"\p{L}{4,}"
-#: Characters on either side of a span that are its context, and terms taken from each side.
-CONTEXT_CHARS, CONTEXT_TERMS = 64, 5
+TERM = r"\p{L}+"
 ALPHA = 1.5
 SPAN = "array<struct<start: int, kind: int, end: int, value: string>>"
 
@@ -81,29 +79,28 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), F.when(span["kind"] == 0, F.lower(span["value"])).when(span["kind"] == 1, span["value"]).otherwise(_digits(span["value"])))
 
 
-def _context(text: Column, span: Column) -> Column:
-    """Terms beside a span: the nearest few of the characters before and after it."""
-    words = lambda s: F.regexp_extract_all(F.lower(s), F.lit(TERM), F.lit(0))
-    before = words(F.substring(text, F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT_CHARS))))
-    after = words(F.substring(text, span["end"] + 1, F.lit(CONTEXT_CHARS)))
-    return F.concat(F.slice(before, F.greatest(F.size(before) - CONTEXT_TERMS, F.lit(0)) + 1, F.lit(CONTEXT_TERMS)), F.slice(after, 1, CONTEXT_TERMS))
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text: its runs of letters, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM), F.lit(0)), F.lower))
 
 
 def disclosing_terms(docs: DataFrame, dirty: DataFrame, *, alpha: float = ALPHA) -> DataFrame:
     """entity and the terms that disclose it (array); ``dirty`` has text and base of documents with base spans."""
-    text = F.coalesce("text", F.lit(""))
-    beside = F.array_distinct(F.flatten(F.transform("base", lambda s: F.transform(_context(text, s), lambda t: F.struct(_entity(s).alias("entity"), t.alias("term"))))))
-    both = dirty.select(F.explode(beside).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both"))
-    both = stage(both, "term-pairs")
-    holds = dirty.select(F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
-    # Counted first, with partial sums before the shuffle: the inner join below sees each word once.
-    counted = words.groupBy("term").agg(F.count("*").alias("n_term"))
     n = docs.count()
+    protects = F.array_distinct(F.transform("base", _entity))
+    holds = stage(dirty.select(F.explode(protects).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
+    # PMI reaches IC / alpha only if n_term <= n_entity (N / n_entity) ** (1 - 1 / alpha), as n_both <= n_entity: other terms aren't joined.
+    most = F.col("n_entity") * F.pow(F.lit(float(n)) / F.col("n_entity"), F.lit(1 - 1 / alpha)) * (1 + 1e-9)
+    largest = holds.agg(F.max(most)).first()[0] or 0.0
+    counted = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    counted = stage(counted.where(F.col("n_term") <= largest), "terms")
+    held = dirty.select(protects.alias("entities"), F.explode(_terms(F.col("text"))).alias("term")).join(counted, "term")
+    # Whole documents: every entity of a document with every term of it.
+    both = held.select(F.explode("entities").alias("entity"), "term", "n_term").groupBy("entity", "term", "n_term").agg(F.count("*").alias("n_both"))
     ic = F.log(F.lit(float(n)) / F.col("n_entity"))
     pmi = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    found = both.join(holds, "entity").join(counted, "term").where((ic > 0) & (pmi >= ic / alpha))
-    # Terms of an entity come from its contexts; each list is as long as the terms that pass.
+    found = both.join(holds, "entity").where((ic > 0) & (pmi >= ic / alpha))
+    # Each list is as long as the terms that pass, which are words of the entity's documents.
     return found.groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
@@ -120,7 +117,7 @@ def found_spans(docs: DataFrame, *, alpha: float = ALPHA) -> tuple[DataFrame, Da
     reveals = disclosing_terms(docs, dirty, alpha=alpha)
     entities = dirty.select("p_row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
     flagged = entities.join(reveals, "entity").groupBy("p_row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("p_terms"))
-    own = _places(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"), "term", lambda m: F.array_contains("p_terms", F.lower(m)))
+    own = _places(F.coalesce("text", F.lit("")), F.lit(TERM), "term", lambda m: F.array_contains("p_terms", F.lower(m)))
     dirty = dirty.join(flagged, "p_row", "left").withColumn("spans", F.when(F.col("p_terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", own))))
     return clean, dirty.drop("p_row", "p_terms")
 
