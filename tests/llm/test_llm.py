@@ -379,3 +379,10 @@ def test_disclosing_terms_of_whole_documents(spark):
     texts = [far] + [f"the person text number {i} about the weather for" for i in range(80)]
     spans = {r.doc_id: r.spans for r in sanitise.span_digest(docs_of(spark, texts)).collect()}
     assert all(x in spans[0].split(",") for x in ("term:0:7", "term:18:20", "term:21:23")) and f"term:{far.index('the')}:{far.index('the') + 3}" not in spans[0] and spans[5] == ""
+
+
+def test_url_keys_of_deep_paths_and_domains(spark):
+    host = ".".join("abcdefghijkl")
+    row = spark.createDataFrame([(f"https://{host}/1/2/3/4/5/6",)], "url string").select(url_filter.keys_of(F.col("url")).alias("k")).first()
+    keys = {(k.kind, k.key) for k in row.k}
+    assert ("prefix", f"{host}/1/2/3/4/5/6") in keys and ("domain", host) in keys and ("domain", "k.l") in keys and len(keys) == 1 + 11 + 6

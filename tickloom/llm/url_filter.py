@@ -16,7 +16,6 @@ from .common import stage
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[^:]+://[^/?#]*((?:/[^/?#]+)*)"
 DAY = 86_400
-MOST_LABELS, MOST_STEPS = 8, 4
 
 
 def host_of(url: Column) -> Column:
@@ -26,14 +25,14 @@ def host_of(url: Column) -> Column:
 def keys_of(url: Column) -> Column:
     """Keys under which a list may hold a URL: (kind, key) of its host, its domains and its paths; none for a URL without host.
 
-    Domains are the host's last 2 to 8 labels, paths its first 1 to 4 steps.
+    Domains are the host's last labels, from two to all of them, paths all starts of its steps: as many keys as the URL has parts.
     """
     host = host_of(url)
     labels, steps = F.split(host, r"\."), F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda s: s != "")
     pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     some = lambda a, b: F.when(b >= a, F.sequence(F.lit(a), b)).otherwise(F.array().cast("array<int>"))
-    domains = F.transform(some(2, F.least(F.size(labels), F.lit(MOST_LABELS))), lambda i: pair("domain", F.array_join(F.slice(labels, -i, i), ".")))
-    paths = F.transform(some(1, F.least(F.size(steps), F.lit(MOST_STEPS))), lambda i: pair("prefix", F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, i), "/"))))
+    domains = F.transform(some(2, F.size(labels)), lambda i: pair("domain", F.array_join(F.slice(labels, -i, i), ".")))
+    paths = F.transform(some(1, F.size(steps)), lambda i: pair("prefix", F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, i), "/"))))
     return F.when(F.coalesce(host, F.lit("")) != "", F.concat(F.array(pair("host", host)), domains, paths)).otherwise(F.array().cast("array<struct<kind: string, key: string>>"))
 
 
