@@ -304,6 +304,42 @@ def test_url_filter_against_brute_force(spark):
     assert url_filter.evaluate_captures(p.limit(0), e).count() == 0 and url_filter.evaluate_captures(p, e.limit(0)).where("blocked").count() == 0
 
 
+def test_sanitising_of_very_many_matches(spark):
+    """Spans and rewriting of a text with 4,000 addresses among words, against the plain pattern."""
+    text = " ".join(f"u{i % 50}@x{i}.example a{chr(0x400 + i % 90)}😀" for i in range(4000))
+    rows = docs_of(spark, [text, "quiet words", None, ""])
+    got = {r.doc_id: r for r in sanitise.span_digest(rows).collect()}
+    want = brute_base(text)
+    assert got[0].n_email == len(want) == 4000 and got[0].base_sha256 == hashlib.sha256(",".join(f"email:{a}:{b}" for a, _, b in want).encode()).hexdigest()
+    assert got[1].spans == got[2].spans == ""
+    spans = [(int(x.split(":")[1]), int(x.split(":")[2]), sanitise.MARKS[x.split(":")[0]]) for x in got[0].spans.split(",")]
+    out, at = "", 0
+    for a, b, mark in spans:
+        if a >= at:
+            out += text[at:a] + mark
+        at = max(at, b)
+    assert {r.doc_id: r.text for r in sanitise.sanitised(rows).collect()} == {0: out + text[at:], 1: "quiet words", 2: None, 3: ""}
+
+
+def test_entities_of_the_same_documents_are_judged_alone(spark):
+    """PMI and IC from plain counts, by entity; an entity in two documents keeps only what both or few hold."""
+    texts = ["ann@x.example bob@x.example alpha beta", "ann@x.example beta gamma", "beta delta"] + [f"common filler w{chr(97 + i)}" for i in range(20)] + ["common ann@x.example alpha"]
+    got = {r.doc_id: r.spans for r in sanitise.span_digest(docs_of(spark, texts)).collect()}
+    n = len(texts) + 1
+    words = [set(re.findall(r"[a-z]+", re.sub(r"[^ ]+@[^ ]+", lambda m: m[0], t))) for t in texts]
+    holds = {e: {i for i, t in enumerate(texts) if e in t} for e in ("ann@x.example", "bob@x.example")}
+    for i, t in enumerate(texts):
+        terms = set()
+        for e, docs in holds.items():
+            if i in docs:
+                for w in words[i]:
+                    both, df = sum(w in words[j] for j in docs), sum(w in x for x in words)
+                    if math.log(both / len(docs) / ((df + 1) / n)) >= -math.log((len(docs) + 1) / n) / 1.5:
+                        terms.add(w)
+        places = {(m.start(), m.end()) for m in re.finditer("[a-z]+", t) if m[0] in terms}
+        assert {tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x.startswith("term")} == places
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     """Every stage on small documents with null, empty, repeated and clashing columns."""
     import corpus_pipeline
@@ -329,7 +365,7 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert left == set(clean) - {300, 301} and unique.columns == docs.columns
     safe = corpus_pipeline.sanitise_stage(spark, docs, str(tmp_path))
     text = {r.doc_id: r for r in safe.collect()}
-    assert text[301].text.endswith("mail [EMAIL]") and text[301].spans == "x" and text[1].text == rows[1][1] and text[302].text is None and len(text) == len(rows)
+    assert text[301].text.endswith(" [TERM] [EMAIL]") and text[301].text.startswith(rows[2][1]) and text[301].spans == "x" and text[1].text == rows[1][1] and text[302].text is None and len(text) == len(rows)
     mixed = corpus_pipeline.mixing_stage(spark, docs, str(tmp_path))
     taken = {r.doc_id: round(r.taken / r.size) if r.size else 1 for r in mixing.mix(docs)[0].collect()}
     assert collections.Counter(r.doc_id for r in mixed.collect()) == {k: v for k, v in taken.items() if v} and mixed.columns == docs.columns

@@ -164,16 +164,13 @@ b AS (
     WHEN 1 THEN regexp_full_match(value, '0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(\.0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}')
     WHEN 2 THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda j: CASE WHEN (length(digits) - j) % 2 = 0 THEN digits[j]::INT WHEN digits[j]::INT > 4 THEN 2 * digits[j]::INT - 9 ELSE 2 * digits[j]::INT END)) % 10 = 0
     ELSE length(digits) BETWEEN 9 AND 15 END),
-c AS (
-  SELECT DISTINCT doc_id, entity, unnest(list_concat(
-    regexp_extract_all(lower(substring(text, greatest(a - 64, 0) + 1, least(a, 64))), '\p{L}{4,}')[-5:],
-    regexp_extract_all(lower(substring(text, z + 1, 64)), '\p{L}{4,}')[1:5])) AS term FROM b),
-pairs AS (SELECT entity, term, count(*) AS n_both FROM c GROUP BY 1, 2 HAVING count(*) >= 3),
-holds AS (SELECT entity, count(DISTINCT doc_id) AS n_entity FROM b GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
-words AS (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}{4,}'))) AS term FROM d),
-df AS (SELECT term, count(*) AS n_term FROM words WHERE term IN (SELECT term FROM pairs) GROUP BY 1),
-n AS (SELECT count(*)::DOUBLE AS n FROM d),
-f AS (SELECT entity, term FROM pairs JOIN holds USING (entity) JOIN df USING (term), n WHERE n > n_entity AND ln(n * n_both / (n_entity * n_term)) >= ln(n / n_entity) / 1.5),
+c AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '\p{L}+'), lambda m: lower(m)))) AS term FROM d),
+df AS (SELECT term, count(*) AS n_term FROM c GROUP BY 1),
+holds AS (SELECT entity, count(DISTINCT doc_id) AS n_entity FROM b GROUP BY 1),
+pairs AS (SELECT entity, term, count(*) AS n_both FROM (SELECT DISTINCT doc_id, entity FROM b) JOIN c USING (doc_id) GROUP BY 1, 2),
+n AS (SELECT count(*) + 1.0::DOUBLE AS n FROM d),
+f AS (SELECT entity, term FROM pairs JOIN holds USING (entity) JOIN df USING (term), n
+      WHERE -ln((n_entity + 1) / n) > 0 AND ln(n_both / n_entity / ((n_term + 1) / n)) >= -ln((n_entity + 1) / n) / 1.5),
 t AS (SELECT b.doc_id, any_value(b.text) AS text, list(DISTINCT f.term) AS terms FROM b JOIN f USING (entity) GROUP BY 1),
 r AS (SELECT doc_id, terms, regexp_extract_all(text, '\p{L}+') AS ms, string_split_regex(text, '\p{L}+') AS ps FROM t),
 q AS (SELECT doc_id, terms, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM r),

@@ -1,11 +1,14 @@
 """Personal data and what reveals it: base patterns, and terms whose co-occurrence discloses them.
 
 Base spans (email, ip, card, phone) are found by patterns and checks.  Every value found is a
-protected entity e.  Over the whole corpus, a term t (a run of letters) in documents that hold e discloses it if
-PMI(e; t) >= IC(e) / alpha, where IC(e) = log(N / n(e)) and
-PMI(e; t) = log(N n(e, t) / (n(e) n(t))), n counting documents (C-sanitisation, Sanchez and Batet,
-2016).  Entities and terms of a single document are judged as well.  In documents that hold e, all
-places of its disclosing terms become spans, which are generalised.  DataFrame functions only.
+protected entity e.  Over the whole corpus, a term t (a run of letters) of documents that hold e
+discloses it if PMI(e; t) >= IC(e) / alpha (C-sanitisation, Sanchez and Batet, 2016), where
+IC(e) = -log p(e) and PMI(e; t) = log(p(t | e) / p(t)).  n counts whole documents, all of them:
+p(t | e) = n(e, t) / n(e), and p(x) = (n(x) + 1) / (N + 1), smoothed by one document, so that what
+was never seen elsewhere doesn't count as certain never to be.  Entities and terms of a single
+document are judged as well.  In documents that hold e, all places of its disclosing terms become
+spans, which are generalised.  Kinds are no entities: the mark that replaces a span names its kind.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 TERM = r"\p{L}+"
 ALPHA = 1.5
+#: Documents added to the counts of an entity and of a term.
+SMOOTHING = 1.0
 SPAN = "array<struct<start: int, kind: int, end: int, value: string>>"
 
 
@@ -50,21 +55,44 @@ CHECKS = {
 HINTS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike("[0-9]\\.[0-9]"), "card": lambda t: t.rlike("[0-9][\\x20-]?[0-9]"), "phone": lambda t: t.contains("+")}
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _folded(items: Column, step, kind: str) -> Column:
+    """What ``step(at, item)`` gives for each item, an array; it returns the next ``at`` (from 0) and an array of what to add.
+
+    The array is put together in about sqrt(n) parts, so that no long array is copied for each item.
+    """
+    none, zero = F.array().cast(f"array<{kind}>"), F.lit(0).cast("int")
+
+    def one(acc, item):
+        at, more = step(acc["at"], item)
+        return F.struct(at.alias("at"), F.concat(acc["out"], more).alias("out"))
+
+    def whole(xs):
+        k = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        part = lambda acc, c: F.aggregate(F.slice(xs, c * k + 1, k), F.struct(acc["at"].alias("at"), none.alias("out")), one)
+        add = lambda acc, c: _let(part(acc, c), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+        return F.aggregate(F.sequence(zero, F.greatest(k - 1, zero)), F.struct(zero.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out")), add, lambda acc: F.flatten(acc["out"]))
+
+    return _let(items, whole)
+
+
 def _places(text: Column, pattern: Column, kind: str, check) -> Column:
     """Spans of the pattern's leftmost matches that pass the check, in code points."""
     found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    items = _let(found, lambda f: F.zip_with(F.slice(between, 1, F.size(f)), f, lambda b, m: F.struct(F.length(b).alias("gap"), m.alias("value"))))
+    empty = F.array().cast(SPAN)
 
-    def step(acc, i):
-        start = acc["at"] + F.length(F.get(acc["between"], i))
-        value = F.get(acc["found"], i)
-        end = (start + F.length(value)).cast("int")
-        span = F.struct(start.cast("int").alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), acc["found"].alias("found"), acc["between"].alias("between"), F.when(check(value), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def step(at, item):
+        start = at + item["gap"]
+        end = start + F.length(item["value"])
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), item["value"].alias("value"))
+        return end, F.when(check(item["value"]), F.array(span)).otherwise(empty)
 
-    empty = F.array().cast(SPAN)
-    zero = F.struct(F.lit(0).cast("int").alias("at"), found.alias("found"), between.alias("between"), empty.alias("out"))
-    none = F.size(found) == 0
-    return F.when(none, empty).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0))), zero, step, lambda acc: acc["out"]))
+    return _folded(items, step, SPAN[len("array<") : -1])
 
 
 def base_spans(text: Column) -> Column:
@@ -84,42 +112,48 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM), F.lit(0)), F.lower))
 
 
-def disclosing_terms(docs: DataFrame, dirty: DataFrame, *, alpha: float = ALPHA) -> DataFrame:
-    """entity and the terms that disclose it (array); ``dirty`` has text and base of documents with base spans."""
-    n = docs.count()
-    protects = F.array_distinct(F.transform("base", _entity))
-    holds = stage(dirty.select(F.explode(protects).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")), "entities")
-    # PMI reaches IC / alpha only if n_term <= n_entity (N / n_entity) ** (1 - 1 / alpha), as n_both <= n_entity: other terms aren't joined.
-    most = F.col("n_entity") * F.pow(F.lit(float(n)) / F.col("n_entity"), F.lit(1 - 1 / alpha)) * (1 + 1e-9)
-    largest = holds.agg(F.max(most)).first()[0] or 0.0
-    counted = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    counted = stage(counted.where(F.col("n_term") <= largest), "terms")
-    held = dirty.select(protects.alias("entities"), F.explode(_terms(F.col("text"))).alias("term")).join(counted, "term")
-    # Whole documents: every entity of a document with every term of it.
-    both = held.select(F.explode("entities").alias("entity"), "term", "n_term").groupBy("entity", "term", "n_term").agg(F.count("*").alias("n_both"))
-    ic = F.log(F.lit(float(n)) / F.col("n_entity"))
-    pmi = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    found = both.join(holds, "entity").where((ic > 0) & (pmi >= ic / alpha))
-    # Each list is as long as the terms that pass, which are words of the entity's documents.
-    return found.groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+def disclosing_terms(docs: DataFrame, dirty: DataFrame, *, alpha: float = ALPHA, smoothing: float = SMOOTHING) -> DataFrame:
+    """p_row and term: what discloses an entity of the row; ``dirty`` has p_row, text and base of documents with base spans.
+
+    Entities that stand in the same documents have the same counts and are judged as one (a class,
+    known by its size and 128 bits of hash over its documents), so a text that holds thousands of
+    values is not multiplied by its words.
+    """
+    total = F.lit(docs.count() + smoothing)
+    share = lambda n: (F.col(n) + smoothing) / total
+    entities = dirty.select("p_row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    held = entities.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("p_row", F.lit(1))).alias("h1"), F.bit_xor(F.xxhash64("p_row", F.lit(2))).alias("h2"))
+    classes = stage(entities.join(held, "entity").select("p_row", "n_entity", "h1", "h2").distinct(), "entities")
+    # As p(t | e) <= 1, PMI reaches IC / alpha only if p(t) <= p(e) ** (1 / alpha): other terms aren't joined.
+    rare = F.pow(share("n_entity"), F.lit(1 / alpha)) * (1 + 1e-9)
+    largest = classes.agg(F.max(rare)).first()[0] or 0.0
+    counted = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(share("n_term") <= largest)
+    words = dirty.select("p_row", F.explode(_terms(F.col("text"))).alias("term")).join(counted, "term")
+    pairs = stage(words.join(classes, "p_row").where(share("n_term") <= rare).select("p_row", "n_entity", "h1", "h2", "term", "n_term"), "terms")
+    keys = ["n_entity", "h1", "h2", "term"]
+    both = pairs.groupBy(*keys, "n_term").agg(F.count("*").alias("n_both"))
+    ic = -F.log(share("n_entity"))
+    pmi = F.log(F.col("n_both") / F.col("n_entity") / share("n_term"))
+    found = both.where((ic > 0) & (pmi >= ic / alpha)).select(*keys)
+    return pairs.join(found, keys, "left_semi").select("p_row", "term").distinct()
 
 
 def found_spans(docs: DataFrame, *, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
     """``clean`` rows of ``docs`` without base spans, and ``dirty`` rows with ``base`` and ``spans`` added.
 
     Both keep all columns.  ``spans`` holds the base spans and those of disclosing terms, by start
-    and then kind.  Null and empty texts are clean.
+    and then kind.  Null and empty texts are clean.  Rows that repeat are documents of their own.
     """
     docs = docs.drop("base", "spans")
     all_base = base_spans(F.col("text"))
     clean = docs.where(F.size(all_base) == 0)
     dirty = stage(docs.withColumn("base", all_base).where(F.size("base") > 0).withColumn("p_row", F.monotonically_increasing_id()), "personal")
     reveals = disclosing_terms(docs, dirty, alpha=alpha)
-    entities = dirty.select("p_row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
-    flagged = entities.join(reveals, "entity").groupBy("p_row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("p_terms"))
-    own = _places(F.coalesce("text", F.lit("")), F.lit(TERM), "term", lambda m: F.array_contains("p_terms", F.lower(m)))
-    dirty = dirty.join(flagged, "p_row", "left").withColumn("spans", F.when(F.col("p_terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", own))))
-    return clean, dirty.drop("p_row", "p_terms")
+    # Places of all words of these documents meet their disclosing terms by equality.
+    placed = dirty.select("p_row", F.explode(_places(F.coalesce("text", F.lit("")), F.lit(TERM), "term", lambda m: F.lit(True))).alias("s")).withColumn("term", F.lower("s.value"))
+    own = placed.join(reveals, ["p_row", "term"], "left_semi").groupBy("p_row").agg(F.collect_list("s").alias("p_own"))
+    dirty = dirty.join(own, "p_row", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("p_own", F.array().cast(SPAN)))))
+    return clean, dirty.drop("p_row", "p_own")
 
 
 def _listed(spans: Column) -> Column:
@@ -137,19 +171,33 @@ def span_digest(docs: DataFrame) -> DataFrame:
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, same columns, with every span's text replaced by its kind's mark (n_chars follows, if there)."""
+    """The rows of ``docs``, same columns, with every span's text replaced by its kind's mark (n_chars follows, if there).
+
+    Where spans overlap, the mark of the first stands for them all.  Null and empty texts stay.
+    """
     clean, dirty = found_spans(packed(docs, "text"))
     marks = F.array(*(F.lit(MARKS[k]) for k in KINDS))
-    text = F.col("text")
 
-    def step(acc, s):
-        upto = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+    def step(at, span):
         # A span that starts within the last one adds no mark of its own.
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], upto, F.get(marks, s["kind"]))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        new = F.when(span["start"] >= at, F.array(F.struct(at.alias("from"), span["start"].alias("to"), F.get(marks, span["kind"]).alias("mark"), span["end"].alias("end"))))
+        return F.greatest(at, span["end"]), F.coalesce(new, F.array().cast("array<struct<from: int, to: int, mark: string, end: int>>"))
+
+    def written(pieces):
+        """Text before each mark and the mark; text is cut in sqrt(n) parts first, as each cut counts characters from the start."""
+        k = F.greatest(F.ceil(F.sqrt(F.size(pieces))).cast("int"), F.lit(1))
+        cut = lambda text, a, b: F.substring(text, a + 1, b - a)
+
+        def part(c):
+            own = F.slice(pieces, c * k + 1, k)
+            first, last = F.get(own, F.lit(0))["from"], F.element_at(own, -1)["to"]
+            return _let(cut(F.col("text"), first, last), lambda t: F.array_join(F.transform(own, lambda x: F.concat(cut(t, x["from"] - first, x["to"] - first), x["mark"])), ""))
+
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / k).cast("int")), part)
+        end = F.element_at(pieces, -1)["end"]
+        return F.concat(F.array_join(parts, ""), F.substring(F.col("text"), end + 1, F.length("text")))
 
-    zero = F.struct(F.lit(0).cast("int").alias("at"), F.lit("").alias("out"))
-    new = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    new = _let(_folded(F.col("spans"), step, "struct<from: int, to: int, mark: string, end: int>"), written)
     fixed = dirty.withColumn("text", new)
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
