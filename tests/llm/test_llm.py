@@ -397,9 +397,80 @@ def test_pivot_index_recall_with_many_pivots(spark, pivots):
         assert (shared >= pivot_index.shared_of(pivots)).mean() >= 0.95
 
 
+@pytest.mark.parametrize("pivots, rows", [(64, 1_500), (1_024, 3_000), (4_096, 6_000)])
+def test_pivot_index_finds_near_pairs_alone(spark, monkeypatch, pivots, rows):
+    """End to end, no exact copies: pairs at cosine 0.93 to 0.95 are the only links, and at least 95 % are found with each number of pivots."""
+    for name in ("LEAST_PIVOTS", "MOST_PIVOTS"):
+        monkeypatch.setattr(pivot_index, name, pivots)
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(rows, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = rows // 4
+    side = rng.normal(size=(pairs, 64))
+    side -= (side * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9301, 0.95, (pairs, 1))
+    x[pairs : 2 * pairs] = cosine * x[:pairs] + np.sqrt(1 - cosine**2) * side
+    made = spark.createDataFrame([(i, v.tolist(), 0, "s") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, score string")
+    got = {r.vec_id: r for r in pivot_index.near_duplicates(made).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & ~np.eye(rows, dtype=bool)
+    found = sum(got[i].n_links for i in range(rows))
+    assert near.sum() == 2 * pairs and 0.95 * near.sum() <= found <= near.sum()
+    assert all(got[i].n_links <= near[i].sum() and got[i].component_id in (i, i - pairs) for i in range(rows))
+
+
+def test_pivot_index_of_a_dense_group(spark):
+    """Every vector of a group is linked with every other: counts and component are exact, and few rows stand for the pairs."""
+    rng = np.random.default_rng(24)
+    centre = rng.normal(size=24)
+    x = centre + rng.normal(scale=0.05, size=(400, 24))
+    rows = [(i, v.tolist(), 0, "s") for i, v in enumerate(x)] + [(500 + i, x[7].tolist(), 0, "s") for i in range(5)]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, score string")
+    got = {r.vec_id: r for r in pivot_index.near_duplicates(made, block=64).collect()}
+    u = np.concatenate([x, np.repeat(x[7:8], 5, 0)])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93).sum(1) - 1
+    assert near.min() == 404 and all(r.component_id == 0 for r in got.values())
+    counts = np.array([got[r[0]].n_links for r in rows])
+    assert (counts <= near).all() and counts.sum() >= 0.99 * near.sum()
+    _, links = pivot_index.near_vectors(made, block=64)
+    assert links.count() < 10_000
+
+
+def test_pivot_index_of_a_group_among_others(spark):
+    """A third of all rows in one group of near copies: reference points don't crowd in it, and its links are found."""
+    rng = np.random.default_rng(26)
+    centre, other = rng.normal(size=64), rng.normal(size=(600, 64))
+    x = np.concatenate([centre + rng.normal(scale=0.25, size=(300, 64)), other])
+    made = spark.createDataFrame([(i, v.tolist(), 0, "s") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, score string")
+    got = {r.vec_id: r for r in pivot_index.near_duplicates(made).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93).sum(1) - 1
+    counts = np.array([got[i].n_links for i in range(len(x))])
+    assert near[:300].mean() > 100 and (counts <= near).all() and counts.sum() >= 0.95 * near.sum()
+
+
+def test_spanning_forest():
+    rng = np.random.default_rng(25)
+    for _ in range(100):
+        hit = rng.random((rng.integers(1, 9), rng.integers(1, 9))) < 0.3
+        u, w = pivot_index._forest(hit)
+        assert all(hit[i, j] for i, j in zip(u, w))
+
+        def groups(edges):
+            label = list(range(sum(hit.shape)))
+            for i, j in edges:
+                a, b = sorted((label[i], label[hit.shape[0] + j]))
+                label = [a if x == b else x for x in label]
+            return label
+
+        assert groups(zip(u, w)) == groups(zip(*np.nonzero(hit))) and len(u) == sum(hit.shape) - len(set(groups(zip(u, w))))
+
+
 def test_pivot_index_links_vectors_of_a_length_without_pivots(spark, monkeypatch):
     rng = np.random.default_rng(18)
-    for name in ("LEAST_PIVOTS", "MOST_PIVOTS"):
+    for name in ("LEAST_PIVOTS", "MOST_PIVOTS", "SAMPLE"):
         monkeypatch.setattr(pivot_index, name, 8)
     rows = [(i, v.tolist(), 0, "s") for i, v in enumerate(rng.normal(size=(200, 8)))]
     odd = [(1_000, [1.0, 0.0, 0.0], 0, "s"), (1_001, [1.0, 0.1, 0.0], 0, "s"), (1_002, [0.0, 0.0, 1.0], 0, "s")]

@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share; where the session names none, a temporary one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tickloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -37,7 +39,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start from the files."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete what :func:`stage` wrote, once no later job reads it."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def packed(docs: DataFrame, *keep: str) -> DataFrame:
@@ -129,7 +140,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): smallest id reachable, for every id that stands in an edge.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014).  Each round is written to
-    the shared folder; the number of rounds grows with the logarithm of the graph's diameter.
+    the shared folder and the one before deleted; the number of rounds grows with the logarithm of
+    the graph's diameter.  Repeated and self edges change nothing; without edges no id is returned.
     """
     pairs = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     known = None
@@ -139,7 +151,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        pairs = stage(small.where("u <> v").distinct(), "edges")
+        last, pairs = pairs, stage(small.where("u <> v").distinct(), "edges")
+        discard(last)
         seen = pairs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if seen == known:
             break
