@@ -269,13 +269,19 @@ def test_maximal_segments_against_brute_force():
         assert max((x[2] for x in got), default=0) == pytest.approx(max((s[i:j].sum() for i in range(len(s)) for j in range(i + 1, len(s) + 1) if s[i:j].sum() > 0), default=0))
 
 
-def test_url_filter_against_brute_force(spark):
+@pytest.mark.parametrize("salted, keys", [(50_000, 100_000), (5, 0)])
+def test_url_filter_against_brute_force(spark, monkeypatch, salted, keys):
+    """Hosts of 12 labels and paths of 8 steps; also with salted keys, and with listed keys joined by shuffle."""
+    monkeypatch.setattr(url_filter, "SALTED", salted)
+    monkeypatch.setattr(url_filter, "BROADCAST_KEYS", keys)
     rng = np.random.default_rng(9)
-    hosts = ["a.example.com", "b.a.example.com", "c.example.org"]
-    pages = [(i, f"https://{hosts[rng.integers(3)]}/p{rng.integers(2)}/q?x#y" if i % 17 else None, 86_400 * 3 * i // 40 + int(rng.integers(50))) for i in range(300)]
+    deep = "1.2.3.4.5.6.7.8.9"
+    hosts = ["a.example.com", "b.a.example.com", f"{deep}.example.com"]
+    pages = [(i, f"https://{hosts[rng.integers(3)]}/p{rng.integers(2)}/q/r/s/t/u/v/w?x#y" if i % 17 else None, 86_400 * 3 * i // 40 + int(rng.integers(50))) for i in range(300)]
     pages += [(301, "not a url", 5), (302, "https://a.example.com", None)]
-    entries = [(["block", "allow"][int(rng.random() < 0.3)], *[("host", hosts[rng.integers(3)]), ("domain", "example.com"), ("prefix", f"{hosts[0]}/p0")][rng.integers(3)], ["add", "remove"][rng.integers(2)], int(rng.integers(0, 2_000_000))) for _ in range(120)]
+    entries = [(["block", "allow"][int(rng.random() < 0.3)], *[("host", hosts[rng.integers(3)]), ("domain", ["example.com", hosts[2]][rng.integers(2)]), ("prefix", [f"{hosts[0]}/p0", f"{hosts[1]}/p1/q/r/s/t/u/v/w"][rng.integers(2)])][rng.integers(3)], ["add", "remove"][rng.integers(2)], int(rng.integers(0, 2_000_000))) for _ in range(120)]
     entries += [("block", "host", None, "add", 4), ("block", "host", hosts[0], "other", 4), ("block", "host", hosts[0], "add", None)]
+    pages += pages[:3]
     p = spark.createDataFrame(pages, "page_id long, url string, s long").select("page_id", "url", F.timestamp_seconds("s").alias("fetched_at"), F.lit(1).alias("blocked"))
     e = spark.createDataFrame(entries, "list string, kind string, key string, action string, s long").withColumn("at", F.timestamp_seconds("s"))
     got = {r.page_id: r for r in url_filter.evaluate_captures(p, e).collect()}
@@ -288,7 +294,7 @@ def test_url_filter_against_brute_force(spark):
         active = []
         if host and at is not None:
             h = host[1]
-            keys = [("host", h)] + [("domain", h.split(".", k)[-1]) for k in range(h.count("."))] + [("prefix", h + "/" + "/".join(re.findall(r"/([^/?#]+)", url[8 + len(h) :].partition("?")[0])[:k])) for k in (1, 2)]
+            keys = [("host", h)] + [("domain", h.split(".", k)[-1]) for k in range(h.count("."))] + [("prefix", h + "/" + "/".join(re.findall(r"/([^/?#]+)", url[8 + len(h) :].partition("?")[0])[:k])) for k in range(1, 9)]
             for (lst, kind, key), events in log.items():
                 seen, since = False, None
                 for t in sorted(events):

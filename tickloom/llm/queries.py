@@ -35,9 +35,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _url_lists(pages: DataFrame) -> DataFrame:
-    """A list log derived from the pages: some captures list or delist their host, domain or path when fetched."""
+    """A list log derived from the pages: some captures list or delist their host, domain, whole path or its first step when fetched."""
     host = url_filter.host_of(F.col("url"))
-    step = F.regexp_extract("url", r"^[^:]+://[^/?#]*/([^/?#]+)", 1)
+    step = F.regexp_extract("url", r"^[^:]+://[^/?#]*/([^/?#]+(?:/[^/?#]+)*)", 1)
+    step = F.when(F.col("page_id") % 40 < 20, step).otherwise(F.regexp_extract(step, "^[^/]*", 0))
     domain = F.regexp_replace(host, r"^[^.]*\.", "")
     m = F.col("page_id") % 20
     kind = F.when(m.isin(3, 7, 11), "host").when(m.isin(4, 14), "domain").when(m.isin(5, 9, 19), "prefix")
@@ -126,7 +127,7 @@ FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source
 _OP2_SQL = r"""
 WITH RECURSIVE p AS (
   SELECT page_id, url, 1704067200 + 60 * page_id AS ts, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
-         regexp_extract(url, '^[^:]+://[^/?#]*/([^/?#]+)', 1) AS step, page_id % 20 AS m,
+         CASE WHEN page_id % 40 < 20 THEN regexp_extract(url, '^[^:]+://[^/?#]*/([^/?#]+(?:/[^/?#]+)*)', 1) ELSE regexp_extract(url, '^[^:]+://[^/?#]*/([^/?#]+)', 1) END AS step, page_id % 20 AS m,
          list_filter(string_split(regexp_extract(url, '^[^:]+://[^/?#]*((?:/[^/?#]+)*)', 1), '/'), lambda s: s <> '') AS steps FROM pages),
 e AS (
   SELECT CASE WHEN m IN (11, 19) THEN 'allow' ELSE 'block' END AS list,
@@ -135,8 +136,8 @@ e AS (
          ts, min(CASE WHEN m IN (7, 14, 9) OR page_id % 3 = 0 THEN 0 ELSE 1 END) AS act FROM p WHERE m IN (3, 7, 11, 4, 14, 5, 9, 19) GROUP BY 1, 2, 3, 4),
 k AS (
   SELECT page_id, ts, 'host' AS kind, host AS key FROM p WHERE host <> ''
-  UNION SELECT page_id, ts, 'domain', array_to_string(string_split(host, '.')[-i:], '.') FROM p, range(2, 9) r(i) WHERE host <> '' AND len(string_split(host, '.')) >= i
-  UNION SELECT page_id, ts, 'prefix', host || '/' || array_to_string(steps[1:i], '/') FROM p, range(1, 5) r(i) WHERE host <> '' AND len(steps) >= i),
+  UNION SELECT page_id, ts, 'domain', array_to_string(string_split(host, '.')[-i:], '.') FROM (SELECT *, unnest(range(2, len(string_split(host, '.')) + 1)) AS i FROM p WHERE host <> '')
+  UNION SELECT page_id, ts, 'prefix', host || '/' || array_to_string(steps[1:i], '/') FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS i FROM p WHERE host <> '')),
 c AS (
   SELECT *, lead(ts) OVER (PARTITION BY list, kind, key ORDER BY ts) AS until FROM (
     SELECT *, coalesce(lag(act) OVER (PARTITION BY list, kind, key ORDER BY ts), 0) AS was FROM e) WHERE act <> was),

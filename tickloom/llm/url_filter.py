@@ -2,8 +2,8 @@
 
 A list is a log of additions and removals of keys (a host, a domain with what is below it, or a
 host with the start of a path).  As-of joins look back from each capture's fetch time.  Running
-values come in two levels, by key and day and then by day, so that a hot host is not gathered into
-one task.  DataFrame functions only.
+values come in two levels, by key and day and then by day, and the captures of a hot key are dealt
+over copies of its intervals, so that no host is gathered into one task.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ from .common import stage
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[^:]+://[^/?#]*((?:/[^/?#]+)*)"
 DAY = 86_400
+#: Captures of a key beyond this many are dealt over several copies of its intervals.
+SALTED = 50_000
+#: Listed keys up to this many (about 10 MB) are broadcast to find the captures that any list concerns; more are joined by shuffle.
+BROADCAST_KEYS = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -56,7 +60,7 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 
     action is 'add' or 'remove'.  Adding what is listed, or removing what isn't, changes nothing; at
     one instant a removal wins.  Entries with a null in any of these columns, or another action, are
-    ignored.
+    ignored, and entries that repeat count once.  An empty log gives no interval.
     """
     keys = ["list", "kind", "key"]
     usual = entries.where(F.col("action").isin("add", "remove")).select(*keys, "at", F.when(F.col("action") == "add", 1).otherwise(0).alias("on")).dropna()
@@ -73,15 +77,25 @@ def evaluate_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     A capture is blocked if an entry of list 'block' is active at its fetch time under any of its
     keys and none of list 'allow' is; n_active counts the active (list, kind, key), blocked_since is
     the latest start among the block entries.  Captures without URL, host or time are not blocked.
+    Rows that repeat are captures of their own; other columns are ignored.
     """
-    rows = captures.select("page_id", "url", "fetched_at").withColumn("c_row", F.xxhash64("page_id", "url", "fetched_at"))
+    # Rows are known by their place in the written table.
+    rows = stage(captures.select("page_id", "url", "fetched_at").withColumn("c_row", F.monotonically_increasing_id()), "captures")
     intervals = stage(validity_intervals(entries), "intervals")
-    probes = rows.where(F.col("fetched_at").isNotNull()).select("c_row", "fetched_at", F.explode(keys_of(F.col("url"))).alias("k")).distinct()
-    probes = probes.select("c_row", F.col("fetched_at").alias("at"), "k.kind", "k.key", F.explode(F.array(F.lit("allow"), F.lit("block"))).alias("list"))
+    listed = intervals.select("kind", "key").distinct()
+    few = listed.count() <= BROADCAST_KEYS
+    probes = rows.where(F.col("fetched_at").isNotNull()).select("c_row", F.col("fetched_at").alias("at"), F.explode(keys_of(F.col("url"))).alias("k")).select("c_row", "at", "k.kind", "k.key")
+    probes = stage(probes.join(F.broadcast(listed) if few else listed, ["kind", "key"], "left_semi"), "probes")
+    # At most one row for each SALTED probes: a small table.
+    hot = probes.groupBy("kind", "key").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("copies")).where("copies > 1")
+    many = F.coalesce("copies", F.lit(1))
+    salted = lambda df: df.join(F.broadcast(hot), ["kind", "key"], "left")
     span = F.struct("valid_from", "valid_to")
-    left = probes.select("list", "kind", "key", "at", F.lit(1).alias("side"), "c_row", F.lit(None).cast("struct<valid_from: timestamp, valid_to: timestamp>").alias("span"))
-    right = intervals.select("list", "kind", "key", F.col("valid_from").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("c_row"), span.alias("span"))
-    joined = before(left.union(right), ["list", "kind", "key"], "at", ["side"], "span", "seen").where("side = 1")
+    left = salted(probes).withColumn("salt", F.pmod(F.xxhash64("c_row"), many).cast("int")).withColumn("list", F.explode(F.array(F.lit("allow"), F.lit("block"))))
+    left = left.select("list", "kind", "key", "salt", "at", F.lit(1).alias("side"), "c_row", F.lit(None).cast("struct<valid_from: timestamp, valid_to: timestamp>").alias("span"))
+    right = salted(intervals).withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1)))
+    right = right.select("list", "kind", "key", "salt", F.col("valid_from").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("c_row"), span.alias("span"))
+    joined = before(left.union(right), ["list", "kind", "key", "salt"], "at", ["side"], "span", "seen").where("side = 1")
     active = joined.where(F.col("seen").isNotNull() & (F.col("seen.valid_to").isNull() | (F.col("seen.valid_to") > F.col("at"))))
     by = active.groupBy("c_row").agg(F.count("*").alias("n"), F.max(F.when(F.col("list") == "block", F.col("seen.valid_from"))).alias("since"), F.max(F.when(F.col("list") == "allow", 1)).alias("allowed"))
     out = rows.join(by, "c_row", "left")
