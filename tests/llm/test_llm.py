@@ -149,6 +149,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert minhash.near_duplicate_classes(rows.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_large_bucket_of_long_texts(spark):
+    """3,000 different near copies, some of them long, and two rows of one id with different texts: split leaders and byte-bounded tiles lose no link."""
+    rng = np.random.default_rng(14)
+    words = [f"w{i}" for i in range(900)]
+    base, long, twin = (rng.choice(words, n).tolist() for n in (150, 6_000, 50))
+    texts = [" ".join([*base[: 20 + i % 5], f"x{i}", *base[21 + i % 5 :]]) for i in range(3_000)]
+    texts += [" ".join([*long[:3_000], f"y{i}", *long[3_000:]]) for i in range(40)]
+    texts += [" ".join(rng.choice(words, 60)) for _ in range(200)]
+    ids = [*range(len(texts)), 5_000, 5_000, 5_001, 6_000]
+    texts += [" ".join(rng.choice(words, 50)), " ".join(twin), " ".join([*twin[:-1], "z"]), texts[3_239].upper()]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(docs_of(spark, texts, ids), group=64, group_bytes=50_000).collect()}
+    assert all(got[i] == 0 for i in range(3_000)) and all(got[i] == 3_000 for i in range(3_000, 3_040))
+    rest = [got[i] for i in range(3_040, 3_240)]
+    assert rest == list(range(3_040, 3_240)) and got[5_000] == got[5_001] == 5_000 and got[6_000] == 3_239
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 

@@ -1,13 +1,15 @@
 """Near-duplicate documents: improved consistent weighted sampling (Ioffe, 2010) over TF-IDF shingles.
 
 Shingles are five lower-cased words; a shingle's weight is its count times an idf between 1 and 2.
-Document frequencies of all documents stand in a count-mean-min sketch of fixed size.  Samples are
-banded; documents that share a band are candidates and are verified by weighted Jaccard similarity.
+Document frequencies of all documents stand in a count-mean-min sketch whose size grows with their
+number up to a bound.  Samples are banded; documents that share a band are candidates and are
+verified by weighted Jaccard similarity.
 
 Equal word sequences are one class and are not compared.  Within a band's bucket every document is
 first compared with a few leaders, which is linear; then documents outside their bucket's largest
 component are compared, in tiles, with all others of the bucket.  Every candidate pair of different
-components is verified, and none is emitted as a row.
+components is verified, and none is emitted as a row.  Texts reach a task sorted by the work they
+are for and pass through it one after another: what a task holds is one leader, or one tile's side.
 """
 
 from __future__ import annotations
@@ -19,14 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, counter_rows, merged_counters, powers, slices, stage, texts_of
+from .common import components, counter_rows, discard, merged_counters, powers, slices, stage, texts_of
 
 WORDS = 5
 THRESHOLD = 0.8
 ROWS, BANDS = 4, 12
-SKETCH_ROWS, SKETCH_BITS = 2, 20
+#: Counters in a row of the sketch, as powers of two: at least and at most (32 MB to broadcast).  With c counters a count
+#: of s shingles is off by about sqrt(s / c), and idf by log(1 + that) / log(documents) of its range of 1.
+SKETCH_ROWS, SKETCH_BITS, MOST_BITS = 2, 20, 22
 LEADERS = 4
-GROUP = 256
+#: A leader's members, and a tile's side: so many texts, or fewer if they are longer than so many bytes together.
+GROUP, GROUP_BYTES = 256, 4_000_000
 SMALL = 16
 #: Ids up to this many (16 MB) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -109,8 +114,9 @@ def shingle_counts(words: np.ndarray, lens: np.ndarray):
 
 
 def sketch_of(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Document frequencies of all shingles of all rows (a table of fixed size), and the number of rows."""
-    width = 2**SKETCH_BITS
+    """Document frequencies of all shingles of all rows (a table of bounded size), and the number of rows."""
+    bits = min(MOST_BITS, max(SKETCH_BITS, (docs.count() // 4).bit_length()))
+    width = 2**bits
 
     def count(batches):
         table = np.zeros((SKETCH_ROWS, width), np.int64)
@@ -118,7 +124,7 @@ def sketch_of(docs: DataFrame) -> tuple[np.ndarray, int]:
         for batch in slices(batches):
             value, _, _ = shingle_counts(*word_hashes(texts_of(batch)))
             for i, m in enumerate(_SKETCH_MIX):
-                table[i] += np.bincount((value * m) >> np.uint64(64 - SKETCH_BITS), minlength=width)
+                table[i] += np.bincount((value * m) >> np.uint64(64 - bits), minlength=width)
             rows[0, 0] += batch.num_rows
         yield from counter_rows(np.concatenate([table, rows]))
 
@@ -128,11 +134,11 @@ def sketch_of(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def idf_of(value: np.ndarray, sketch: np.ndarray, rows: int) -> np.ndarray:
     """1 for shingles in every document to 2 for rare ones; the sketch's mean load is taken off."""
-    width = sketch.shape[1]
+    width, bits = sketch.shape[1], sketch.shape[1].bit_length() - 1
     total = float(sketch[0].sum(dtype=np.float64))
     best = np.full(len(value), np.inf)
     for i, m in enumerate(_SKETCH_MIX):
-        c = sketch[i][((value * m) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.float64)
+        c = sketch[i][((value * m) >> np.uint64(64 - bits)).astype(np.int64)].astype(np.float64)
         best = np.minimum(best, c - (total - c) / (width - 1))
     return np.clip(1 + np.log((rows + 1) / (np.maximum(best, 1) + 1)) / math.log(rows + 1.0 + 1e-9), 1, 2)
 
@@ -178,11 +184,11 @@ def weighted_jaccard(a, b) -> float:
     return float(common / (a[1].sum() + b[1].sum() - common))
 
 
-def near_duplicate_classes(docs: DataFrame, *, threshold: float = THRESHOLD, leaders: int = LEADERS, group: int = GROUP) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, *, threshold: float = THRESHOLD, leaders: int = LEADERS, group: int = GROUP, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id and class_id (smallest doc_id of the class) of every row of ``docs``.
 
     Null and empty texts are in no class but their own; so are rows without an id (class null).
-    Rows that share an id belong to one class if any of them does.
+    Rows that share an id belong to one class if any of them does; each of their texts is compared.
     """
     spark = docs.sparkSession
     sketch, rows = sketch_of(docs)
@@ -190,96 +196,111 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = THRESHOLD, lea
 
     def sign(batches):
         for batch in slices(batches):
-            words, lens = word_hashes(texts_of(batch))
+            texts = texts_of(batch)
+            words, lens = word_hashes(texts)
             value, counts, each = shingle_counts(words, lens)
             keys = band_keys(value, counts * idf_of(value, held.value, rows), each).view(np.int64)
             same = sequence_keys(words, lens)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["doc_id", "same", "bands"])
-
-    usual = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stage(usual.mapInArrow(sign, "doc_id long, same binary, bands array<long>"), "signatures").where("same is not null")
-    equal = signed.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    members = stage(signed.select("doc_id", "same").join(equal, "same").select("doc_id", "rep").distinct(), "equal-texts")
-    reps = members.select("rep").distinct()
-
-    def texts(ids: DataFrame) -> DataFrame:
-        """Texts of the given ids; few enough ids are broadcast, so that no text is shuffled to find them."""
-        ids = stage(ids.withColumnRenamed("id", "doc_id"), "wanted")
-        few = ids.count() <= BROADCAST_IDS
-        return usual.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-
-    posts = signed.select("doc_id", "same", F.posexplode("bands").alias("band", "key")).groupBy("band", "key", "same").agg(F.min("doc_id").alias("id"))
-    posts = stage(posts.join(_buckets(posts, leaders), ["band", "key"]).select("band", "key", "id", "n", "first"), "postings")
+            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(same, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["t", "same", "size", "bands"])
+
+    # A text is known by its id and its hash, so that rows of one id with different texts stay apart.
+    key = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    usual = docs.where("doc_id is not null and text is not null").select(key.alias("t"), "text")
+    signed = stage(usual.mapInArrow(sign, "t struct<id: long, hash: long>, same binary, size long, bands array<long>"), "signatures").where("same is not null")
+    # Rows of one word sequence have the same bands; the smallest id stands for them.
+    equal = stage(signed.groupBy("same").agg(F.min(F.struct("t", "size")).alias("first"), F.any_value("bands").alias("bands")).select("same", "first.t", "first.size", "bands"), "equal-texts")
+
+    def texts(keys: DataFrame) -> DataFrame:
+        """t and text of the given rows (t); few enough are broadcast, so that no text is shuffled to find them."""
+        keys = stage(keys, "wanted")
+        few = keys.count() <= BROADCAST_IDS
+        return usual.join(F.broadcast(keys) if few else keys, "t", "left_semi").dropDuplicates(["t"])
+
+    posts = equal.select("t", "size", F.posexplode("bands").alias("band", "key"))
+    posts = stage(posts.join(_buckets(posts, leaders), ["band", "key"]).select("band", "key", "t", "n", "bytes", "first"), "postings")
     # Small buckets: all their pairs, a bounded number for each; large ones: each text with the leaders.
-    small = posts.where(F.col("n") <= SMALL).groupBy("band", "key").agg(F.collect_list("id").alias("ids"))
-    small = small.select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y")).where("x < y")
-    star = posts.where(F.col("n") > SMALL).select("id", F.explode("first").alias("leader")).where("id <> leader").select(F.least("id", "leader").alias("x"), F.greatest("id", "leader").alias("y"))
+    small = posts.where(F.col("n") <= SMALL).groupBy("band", "key").agg(F.collect_list("t").alias("ts"))
+    small = small.select(F.explode("ts").alias("x"), "ts").select("x", F.explode("ts").alias("y")).where("x < y")
+    star = posts.where(F.col("n") > SMALL).select("t", F.explode("first").alias("leader")).where("t <> leader").select(F.least("t", "leader").alias("x"), F.greatest("t", "leader").alias("y"))
     lead = F.xxhash64("x") < F.xxhash64("y")
     pairs = small.union(star).distinct().select(F.when(lead, F.col("x")).otherwise(F.col("y")).alias("leader"), F.when(lead, F.col("y")).otherwise(F.col("x")).alias("member"))
     pairs = stage(pairs, "pairs")
-    wanted = stage(texts(pairs.select(F.col("leader").alias("id")).union(pairs.select("member")).distinct()), "texts")
+    wanted = stage(texts(pairs.select(F.col("leader").alias("t")).union(pairs.select("member")).distinct()), "texts")
 
     def near(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                parts = _elements([row["leader_text"], *(m["text"] for m in row["members"])], held.value, rows)
-                found = [m["member"] for m, p in zip(row["members"], parts[1:]) if weighted_jaccard(parts[0], p) >= threshold]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([row["leader"]] * len(found), pa.int64()), pa.array(found, pa.int64())], ["a", "b"])
-
-    sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / group).alias("parts"))
-    grouped = pairs.join(sizes, "leader").withColumn("part", F.pmod(F.xxhash64("member"), "parts")).join(wanted.select(F.col("doc_id").alias("member"), "text"), "member").groupBy("leader", "part").agg(F.collect_list(F.struct("member", "text")).alias("members"))
-    star = grouped.join(wanted.select(F.col("doc_id").alias("leader"), F.col("text").alias("leader_text")), "leader").select("leader", "leader_text", "members")
-    links = stage(star.mapInArrow(near, "a long, b long"), "links")
+        lead = own = None
+        for batch in slices(batches):
+            found = ([], [])
+            for work, first, t, part in zip(batch.column("work").to_pylist(), batch.column("first").to_pylist(), batch.column("t").to_pylist(), _elements(texts_of(batch), held.value, rows)):
+                if first:
+                    lead, own = work, part
+                elif work == lead and t["id"] != work["leader"]["id"] and weighted_jaccard(own, part) >= threshold:
+                    found[0].append(work["leader"]["id"])
+                    found[1].append(t["id"])
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in found], ["a", "b"])
+
+    # A leader of many members is sent to several tasks: one row for every ``group`` of pairs at most.
+    many = stage(pairs.groupBy("leader").agg(F.ceil(F.count("*") / group).alias("parts")).where("parts > 1"), "hot-leaders")
+    few = many.count() <= BROADCAST_IDS // 4
+    work = F.struct("leader", F.pmod(F.xxhash64("member"), F.coalesce("parts", F.lit(1))).alias("part")).alias("work")
+    members = pairs.join(F.broadcast(many) if few else many, "leader", "left").select(work, F.lit(False).alias("first"), F.col("member").alias("t"))
+    links = stage(_in_order(members.union(members.select("work", F.lit(True), "work.leader").distinct()), wanted).mapInArrow(near, "a long, b long").distinct(), "links")
     known = stage(components(links), "components")
 
     # Documents outside the largest component of their bucket meet all others of the bucket.
-    large = posts.where(F.col("n") > SMALL).select("band", "key", "id").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    large = posts.where(F.col("n") > SMALL).select("band", "key", "t", "bytes").join(known, F.col("t.id") == F.col("id"), "left").withColumn("component", F.coalesce("component", "t.id"))
     tally = large.groupBy("band", "key", "component").agg(F.count("*").alias("m"))
     most = tally.groupBy("band", "key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("n")).where("n > top.m").select("band", "key", F.col("top.component").alias("main"), "n")
-    open_ = stage(large.join(most, ["band", "key"]), "open-buckets")
-    odd_rows = open_.where("component <> main")
-    odd = texts(odd_rows.select("id").distinct())
-    every = texts(open_.select("id").distinct())
-    blocks = lambda df, name: df.groupBy("band", "key", "n", "block").agg(F.collect_list(F.struct("id", "component", "text")).alias(name))
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / group))
-    left = blocks(odd_rows.withColumn("block", block).join(odd.withColumnRenamed("doc_id", "id"), "id"), "left").withColumnRenamed("block", "i")
-    right = blocks(open_.withColumn("block", block).join(every.withColumnRenamed("doc_id", "id"), "id"), "right").drop("n")
-    tiles = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / group) - 1))).join(right, ["band", "key", "block"])
+    blocks = F.greatest(F.ceil(F.col("n") / group), F.ceil(F.col("bytes") / group_bytes))
+    open_ = large.join(most, ["band", "key"]).select("band", "key", "t", "component", "main", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")))
+    open_ = stage(open_, "open-buckets")
+    odd = open_.where("component <> main")
+    left = odd.select("band", "key", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("first"), "t", "component")
+    right = open_.withColumnRenamed("block", "j").join(odd.select("band", "key", F.col("block").alias("i")).distinct(), ["band", "key"]).select("band", "key", "i", "j", F.lit(False).alias("first"), "t", "component")
+    tiles = left.union(right).select(F.struct("band", "key", "i", "j").alias("work"), "first", "t", "component")
 
     def cross(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                a, b = row["left"], row["right"]
-                p = _elements([x["text"] for x in a], held.value, rows)
-                q = _elements([x["text"] for x in b], held.value, rows)
-                found = []
-                for x, u in zip(a, p):
-                    met = {x["component"]}
-                    for y, v in zip(b, q):
-                        # One link to each other component is enough.
-                        if y["component"] not in met and weighted_jaccard(u, v) >= threshold:
-                            met.add(y["component"])
-                            found.append((x["id"], y["id"]))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*found)], ["a", "b"])
-
-    more = stage(tiles.select("left", "right").mapInArrow(cross, "a long, b long"), "links")
-    linked = components(links.union(more))
-    classes = reps.join(linked, reps.rep == linked.id, "left").select("rep", F.coalesce("component", "rep").alias("class_id"))
-    found = members.join(classes, "rep").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+        tile, side, met = None, [], []
+        for batch in slices(batches):
+            found = ([], [])
+            for work, first, t, component, part in zip(batch.column("work").to_pylist(), batch.column("first").to_pylist(), batch.column("t").to_pylist(), batch.column("component").to_pylist(), _elements(texts_of(batch), held.value, rows)):
+                if work != tile:
+                    tile, side, met = work, [], []
+                if first:
+                    side.append((t["id"], part))
+                    met.append({component})
+                    continue
+                for (id, own), seen in zip(side, met):
+                    # One link to each other component is enough.
+                    if component not in seen and weighted_jaccard(own, part) >= threshold:
+                        seen.add(component)
+                        found[0].append(id)
+                        found[1].append(t["id"])
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in found], ["a", "b"])
+
+    more = stage(_in_order(tiles, texts(open_.select("t").distinct())).mapInArrow(cross, "a long, b long"), "links")
+    linked = known if more.isEmpty() else components(links.union(more))
+    classes = equal.select("same", F.col("t.id").alias("rep")).join(linked, F.col("rep") == F.col("id"), "left").select("same", F.coalesce("component", "rep").alias("class_id"))
+    found = signed.select(F.col("t.id").alias("doc_id"), "same").join(classes, "same").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    discard(posts, pairs, wanted, open_, many)
     return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def _in_order(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` (work, first, t and more) with their text; the rows of one work stand together, those with ``first`` before the others."""
+    return rows.join(texts, "t").repartition("work").sortWithinPartitions("work", F.desc("first"))
+
+
 def _buckets(posts: DataFrame, leaders: int) -> DataFrame:
-    """Buckets of at least two texts: their size and their leaders (smallest id hashes)."""
-    salted = posts.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    """Buckets of at least two texts: their size, their bytes and their leaders (smallest hashes)."""
+    salted = posts.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(64)))
     # The least of each part: a large bucket is never gathered.
-    part = salted.groupBy("band", "key", "salt").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("first"))
-    whole = part.groupBy("band", "key").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_list("first")), 1, leaders).alias("first"))
-    return whole.where("n > 1").select("band", "key", "n", F.expr("transform(first, x -> x.id)").alias("first"))
+    part = salted.groupBy("band", "key", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("first"))
+    whole = part.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.slice(F.array_sort(F.collect_list("first")), 1, leaders).alias("first"))
+    return whole.where("n > 1").select("band", "key", "n", "bytes", F.expr("transform(first, x -> x.t)").alias("first"))
 
 
 def near_duplicate_kept(docs: DataFrame, **options) -> DataFrame:
