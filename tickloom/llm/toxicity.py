@@ -5,8 +5,12 @@
 2. A token's score is the lower confidence bound of its log-odds between the classes under a
    Dirichlet prior that has the corpus' own proportions, less a small drift.
 3. A linear-time scan (Ruzzo and Tompa, 1999) finds every maximal scoring segment of a document.
-4. The largest score of clean documents follows an extreme-value law whose parameters are fitted;
-   segments of small E-value are significant, and their surprise sums to the document's score.
+4. The largest score of clean documents follows an extreme-value law whose parameters are fitted: in
+   n words, segments of score s or more are Poisson with mean E(s) = scale n exp(-rate s).  Segments
+   of small E-value are significant, and their -log E sums to the document's surprise.  Beside it
+   stands that of its r best segments for the best r, -log P(Poisson(E(s_r)) >= r), by which many
+   weak passages of a long text count as well (Karlin and Altschul, 1993).  A logistic link of both
+   makes the score.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labels, counter_rows, merged_counters, powers, slices, stage, texts_of
+from .common import bounded_labels, counter_rows, discard, merged_counters, powers, slices, stage, texts_of
 
 BUCKETS = 2**18
 STEMS = (4, 6)
@@ -71,7 +75,7 @@ class ToxicityModel:
     scores: np.ndarray
     rate: float = 1.0
     scale: float = 1e-6
-    slope: float = 0.0
+    slopes: tuple[float, float] = (0.0, 0.0)
     offset: float = 0.0
     clean: int = 0
     toxic: int = 0
@@ -154,14 +158,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", t
 
     def measure(batches):
         for batch in slices(batches):
-            rows = [(n, max((s for *_, s in found), default=0.0), [s for *_, s in found]) for n, found in _segments(held.value, texts_of(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([sorted(r[2])[-64:] for r in rows], pa.list_(pa.float64()))], ["label", "words", "most", "sums"])
+            rows = [(n, sorted((s for *_, s in found), reverse=True)) for n, found in _segments(held.value, texts_of(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([n for n, _ in rows], pa.int64()), pa.array([x[0] if x else 0.0 for _, x in rows], pa.float64()), pa.array([x for _, x in rows], pa.list_(pa.float64()))], ["label", "words", "most", "sums"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(train.dropDuplicates(["doc_id"])), "doc_id").select("text", "label").mapInArrow(measure, "label int, words long, most double, sums array<double>").toPandas()
-    null = rows[rows.label == 0]
+    # As many rows as there are training texts, unless ids repeat: at most twice that many are learned from.
+    rows = docs.select("doc_id", "text").join(F.broadcast(train.dropDuplicates(["doc_id"])), "doc_id").select("text", "label").mapInArrow(measure, "label int, words long, most double, sums array<double>")
+    rows = stage(rows, "toxicity-segments")
+    null = rows.where("label = 0").select("words", "most").limit(2 * train_rows).toPandas()
     model.rate, model.scale = fit_extremes(null.most.to_numpy(float), np.maximum(null.words.to_numpy(float), 1.0))
-    x = np.array([surprise(model, n, s)[0] for n, s in zip(rows.words.tolist(), rows.sums.tolist())])
-    model.slope, model.offset = fit_link(x, rows.label.to_numpy(float))
+    law = ToxicityModel(np.zeros(0), rate=model.rate, scale=model.scale)
+
+    def condense(batches):
+        for batch in batches:
+            x = [surprise(law, n, np.array(sums)) for n, sums in zip(batch.column("words").to_pylist(), batch.column("sums").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64())], ["label", "strong", "many"])
+
+    found = rows.select("label", "words", "sums").mapInArrow(condense, "label int, strong double, many double").limit(2 * train_rows).toPandas().sort_values(["label", "strong", "many"])
+    model.slopes, model.offset = fit_link(np.log1p(found[["strong", "many"]].to_numpy(float)), found.label.clip(0, 1).to_numpy(float))
+    discard(train, rows)
     return model
 
 
@@ -177,26 +191,34 @@ def fit_extremes(most: np.ndarray, words: np.ndarray) -> tuple[float, float]:
     return best[1], best[2]
 
 
-def surprise(model: ToxicityModel, words: int, sums: list[float]) -> tuple[float, list[float]]:
-    """Total surprise of a document's significant segments, and the E-value of each segment."""
-    logs = [math.log(model.scale * max(words, 1)) - model.rate * s for s in sums]
-    return sum(-e for e in logs if e < math.log(E_LIMIT)), [math.exp(e) for e in logs]
+def surprise(model: ToxicityModel, words: int, sums: np.ndarray) -> tuple[float, float]:
+    """Of ``sums`` in descending order: the sum of -log E of the significant ones, and the most that the r largest surprise, for any r.
 
-
-def fit_link(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (not below 0) and offset of a logistic curve, lightly penalised."""
-    a, b = 0.1, -2.0
-    scale = max(float(x.std()), 1.0)
-    z = np.minimum(x, 50.0)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        w = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * z).sum() + 0.01 * a, (p - y).sum() + 0.01 * b])
-        h = np.array([[(w * z * z).sum() + 0.01, (w * z).sum()], [(w * z).sum(), w.sum() + 0.01]])
-        step = np.linalg.solve(h, g)
-        step /= max(1.0, np.abs(step).max() / 1.0)
-        a, b = a - step[0], b - step[1]
-    return max(float(a), 1e-3 / scale), float(b)
+    Above the mean, r log(r / E) - r + E bounds -log P(Poisson(E) >= r).
+    """
+    if not len(sums):
+        return 0.0, 0.0
+    expected = np.log(model.scale * max(words, 1)) - model.rate * sums
+    r = np.arange(1, len(sums) + 1)
+    gain = r * (np.log(r) - expected) - r + np.exp(expected)
+    return float(-expected[expected < math.log(E_LIMIT)].sum()), float(np.where(np.log(r) > expected, gain, 0.0).max())
+
+
+def fit_link(z: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Slopes (not below 0) and offset of a logistic curve, lightly penalised; a slope that would be negative is left out."""
+    use = list(range(z.shape[1]))
+    while True:
+        x, w = np.column_stack([z[:, use], np.ones(len(z))]), np.zeros(len(use) + 1)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 0.01 * np.eye(len(w))
+            step = np.linalg.solve(h, x.T @ (p - y) + 0.01 * w)
+            w = w - step / max(1.0, np.abs(step).max())
+        if not use or w[:-1].min() >= 0:
+            slopes = np.zeros(z.shape[1])
+            slopes[use] = w[:-1]
+            return tuple(slopes.tolist()), float(w[-1])
+        use.pop(int(np.argmin(w[:-1])))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -215,8 +237,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for batch in slices(batches):
             scores, passages = [], []
             for n, found in _segments(m.scores, texts_of(batch)):
-                x, expected = surprise(m, n, [s for *_, s in found])
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, m.slope * min(x, 50.0) + m.offset)))))
+                strong, many = surprise(m, n, np.sort(np.array([s for *_, s in found]))[::-1])
+                scores.append(1 / (1 + math.exp(-max(-700.0, m.slopes[0] * math.log1p(strong) + m.slopes[1] * math.log1p(many) + m.offset))))
+                expected = [m.scale * max(n, 1) * math.exp(-m.rate * s) for *_, s in found]
                 passages.append([{"first_word": a, "last_word": b, "score": s, "e_value": e} for (a, b, s), e in zip(found, expected) if e < E_LIMIT])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(passages, pa.list_(passage))], [*names, "toxicity", "toxic_passages"])
 
