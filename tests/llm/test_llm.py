@@ -254,35 +254,113 @@ def test_classifiers(spark):
     docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = toxicity.fit_toxicity(docs, labels)
     got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
-    wrong = [i for i in range(400) if (got[i].toxicity >= 0.5) != (i % 5 == 0)]
-    assert len(wrong) <= 4 and got[900].toxic_passages == [] and 0 <= got[900].toxicity < 0.5 and len(got) == len(rows)
+    out = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    wrong = [i for i in out if (got[i].toxicity >= 0.5) != (i % 5 == 0)]
+    assert len(out) > 60 and len(wrong) <= 1 and got[900].toxic_passages == [] and 0 <= got[900].toxicity < 0.5 and len(got) == len(rows)
     hit = got[0].toxic_passages[0]
     assert hit.first_word >= 40 and hit.last_word <= 52
     net = quality.fit_quality(docs, labels)
     scored = {r.doc_id: r for r in quality.score_quality(docs, net).collect()}
-    assert sum((scored[i].quality >= 0.3) != (i % 4 != 0) for i in range(400)) <= 4 and 0 <= scored[901].quality <= 1
+    assert sum((scored[i].quality >= 0.3) != (i % 4 != 0) for i in out) <= 1 and 0 <= scored[901].quality <= 1
     none = labels.limit(0)
     assert toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, none)).count() == len(rows)
     assert quality.score_quality(docs.limit(0), quality.fit_quality(docs, none)).count() == 0
 
 
 def test_maximal_segments_against_brute_force():
+    """All maximal segments: the best one, and again those to its left and to its right."""
     rng = np.random.default_rng(6)
-    for _ in range(200):
-        s = rng.choice([-0.5, -0.5, 1.0, 2.5], rng.integers(1, 14))
+    for _ in range(300):
+        n = int(rng.integers(1, 40))
+        s = np.where(rng.random(n) < 0.4, rng.uniform(0.1, 3, n), -0.5)
 
         def brute(a, b):
-            best = max(((s[i:j].sum(), -(j - i), -i) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
-            if best[0] <= 0:
-                return []
-            i, j = -best[2], -best[2] - best[1]
-            return brute(a, i) + [(i, j - 1)] + brute(j, b)
+            best = max(((s[i:j].sum(), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+            return [] if best[0] <= 1e-12 else [*brute(a, best[1]), (best[1], best[2] - 1, best[0]), *brute(best[2], b)]
 
         hot = np.flatnonzero(s > 0)
-        got = toxicity.maximal_segments(hot.tolist(), s[hot].tolist(), 0.5)
-        assert math.isclose(sum(x[2] for x in got), sum(s[i : j + 1].sum() for i, j in brute(0, len(s))), abs_tol=1e-9) or len(got) >= 1
-        assert all(math.isclose(x[2], s[x[0] : x[1] + 1].sum(), abs_tol=1e-9) for x in got)
-        assert max((x[2] for x in got), default=0) == pytest.approx(max((s[i:j].sum() for i in range(len(s)) for j in range(i + 1, len(s) + 1) if s[i:j].sum() > 0), default=0))
+        got, want = toxicity.maximal_segments(hot.tolist(), s[hot].tolist(), 0.5), brute(0, n)
+        assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
+
+
+def test_extreme_value_fit_and_surprise():
+    """Parameters of drawn extremes are found again, the surprise bounds a Poisson tail, and strong documents are told apart."""
+    rng = np.random.default_rng(31)
+    words = rng.integers(50, 3_000, 40_000).astype(float)
+    count = rng.poisson(0.002 * words)
+    most = np.array([rng.exponential(1 / 1.4, k).max() if k else 0.0 for k in count])
+    rate, scale = toxicity.fit_extremes(most, words)
+    assert abs(rate - 1.4) < 0.08 and abs(scale / 0.002 - 1) < 0.1
+    model = toxicity.ToxicityModel(np.zeros(0), rate=1.0, scale=1e-3)
+    for n, sums in [(1_000, [0.5, 0.2, 0.1]), (200, [4.0]), (5_000, [1.0] * 30), (10, [])]:
+        strong, many = toxicity.surprise(model, n, np.array(sums))
+        expected = [1e-3 * n * math.exp(-x) for x in sums]
+        assert math.isclose(strong, sum(-math.log(e) for e in expected if e < 0.05), abs_tol=1e-9)
+        tails = [sum(math.exp(k * math.log(e) - e - math.lgamma(k + 1)) for k in range(r, r + 200)) for r, e in enumerate(expected, 1)]
+        assert many <= max([-math.log(t) for t in tails], default=0) + 1e-6
+    a, b = (toxicity.surprise(model, 100, np.array([x] * 40))[0] for x in (9.0, 10.0))
+    assert b > a > 50
+
+
+def test_link_against_plain_descent():
+    rng = np.random.default_rng(32)
+    z = rng.exponential(1, (500, 2))
+    y = (rng.random(500) < 1 / (1 + np.exp(-(2 * z[:, 0] - 2)))).astype(float)
+    slopes, offset = toxicity.fit_link(z, y)
+    w = np.array([*slopes, offset])
+    x = np.column_stack([z, np.ones(500)])
+    used = np.array([slopes[0] > 0, slopes[1] > 0, True])
+    assert min(slopes) >= 0 and np.abs((x.T @ (1 / (1 + np.exp(-x @ w)) - y) + 0.01 * w)[used]).max() < 1e-6
+
+
+def test_gradients_of_the_net():
+    """Every gradient against differences of the loss, and the forward pass against one bag at a time."""
+    rng = np.random.default_rng(33)
+    texts = ["some plain words here " * 60, "X! Y! 9 " * 40, "", "short", "again words words " * 80]
+    x, each = quality.encode_passages(texts)
+    y = np.array([1.0, 0.0, 1.0, 0.0, 1.0])
+    net = quality.MilNet(x.mean(0), x.std(0) + 1e-3)
+
+    def loss():
+        s, _ = net.forward(x, each)
+        return -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s)) + 0.5 * (quality.DECAY * net.p["W"] ** 2).sum() + 0.5e-4 * (net.p["c"] ** 2).sum()
+
+    grads = net.gradients(x, each, y)
+    for name, value in net.p.items():
+        flat = np.atleast_1d(value).reshape(-1)
+        for k in rng.choice(flat.size, min(6, flat.size), replace=False):
+            old, step = net.p[name], 1e-5
+            up, down = (np.array(old, float).copy().reshape(-1) for _ in range(2))
+            up[k] += step
+            down[k] -= step
+            net.p[name] = up.reshape(np.shape(old))
+            high = loss()
+            net.p[name] = down.reshape(np.shape(old))
+            low = loss()
+            net.p[name] = old
+            assert math.isclose((high - low) / (2 * step), np.atleast_1d(grads[name]).reshape(-1)[k], rel_tol=1e-3, abs_tol=1e-6), name
+    ends = np.cumsum(each)
+    alone = [net.forward(x[b - n : b], np.array([n]))[0][0] for b, n in zip(ends, each)]
+    assert np.allclose(alone, net.forward(x, each)[0])
+
+
+def test_words_of_passages_against_plain_counts():
+    """Hashed words and pairs: as many buckets hold them as there are kinds, in the passage where a word starts."""
+    text = "Alpha beta alpha " * 50
+    x, each = quality.encode_passages([text, "beta alpha", text])
+    part = x[:, quality.CLASSES + quality.CLASSES**2 : -4]
+    assert each.tolist() == [2, 1, 2] and np.array_equal(part[:2], part[3:])
+    assert np.allclose(np.sort(part[0][: quality.WORDS])[-3:], 1 / 3, atol=0.02) and np.allclose(part[2][: quality.WORDS].sum(), 1)
+    assert (part[2][quality.WORDS :] > 0).sum() == 1 and np.allclose(part[2][quality.WORDS :].sum(), 0.5)
+
+
+def test_classifiers_of_a_very_long_text(spark):
+    """A text of 3 MB is scored whole beside short ones."""
+    docs = docs_of(spark, ["plain words " * 250_000, "x", None])
+    net = quality.MilNet(np.zeros(quality.WIDTH), np.ones(quality.WIDTH))
+    assert quality.score_quality(docs, net).where("quality between 0 and 1").count() == 3
+    model = toxicity.ToxicityModel(np.zeros(toxicity.BUCKETS))
+    assert toxicity.score_toxicity(docs, model).where("toxicity between 0 and 1").count() == 3
 
 
 @pytest.mark.parametrize("salted, keys", [(50_000, 100_000), (5, 0)])

@@ -1,9 +1,10 @@
 """Quality by attention-based multiple-instance learning (Ilse et al., 2018).
 
-Every passage of a document is encoded (character classes, their neighbours, repetition); gated
-attention weights, learned from document labels alone, make one representation of the passages,
-which is scored.  The network is small and trained in numpy on a bounded sample of labelled
-documents; encoding and scoring run over all passages of all documents in Spark's tasks.
+Every passage of a document is encoded (hashed words and word pairs, character classes, their
+neighbours, repetition); gated attention weights, learned from document labels alone, make one
+representation of the passages, which is scored.  The network is small and trained in numpy on a
+bounded sample of labelled documents, all passages of each; encoding and scoring run over all
+passages of all documents in Spark's tasks.
 """
 
 from __future__ import annotations
@@ -14,19 +15,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_labels, slices, texts_of
+from .common import bounded_labels, powers, slices, texts_of
 
 PASSAGE_BYTES = 512
-#: The network learns from at most this many labelled documents, evenly spaced passages of each.
-TRAIN_ROWS, TRAIN_PASSAGES = 4_000, 16
-HIDDEN, ATTENTION, EPOCHS = 16, 8, 80
+#: The network learns from whole labelled documents, in order of their id's hash: at most so many, with at most so many passages together.
+TRAIN_ROWS, TRAIN_PASSAGES = 4_000, 40_000
+HIDDEN, ATTENTION, EPOCHS = 16, 8, 60
 
 _CLASS = np.zeros(256, np.int64)
 for _i, _chars in enumerate([b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\r\n", b".", b",", b"!", b"?", b"|", b"#$%&*", b"<>{}[]()=/\\_", b"\"':;-+@~^`"], 1):
     _CLASS[list(_chars)] = _i
 _CLASS[128:] = 14
 CLASSES = 15
-WIDTH = CLASSES + CLASSES * CLASSES + 4
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
+#: Buckets of hashed words, and as many of pairs of neighbouring words.
+WORD_BITS = 7
+WORDS = 2**WORD_BITS
+WIDTH = CLASSES + CLASSES * CLASSES + 2 * WORDS + 4
+#: Weight decay by feature: hashed words and pairs are many, and weigh on the net only where they tell much.
+DECAY = np.full((WIDTH, 1), 1e-4)
+DECAY[CLASSES + CLASSES**2 : -4] = 1e-2
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_buckets(data: np.ndarray, doc: np.ndarray, passage: np.ndarray, total: int) -> np.ndarray:
+    """Share of each hashed word, and of each pair of neighbours, among the words that start in a passage."""
+    out = np.zeros((total, 2 * WORDS), np.float32)
+    inside = _IN_WORD[data]
+    if not inside.any():
+        return out
+    turn = (inside[1:] != inside[:-1]) | (doc[1:] != doc[:-1])
+    starts = np.flatnonzero(inside & np.concatenate([[True], turn]))
+    ends = np.flatnonzero(inside & np.concatenate([turn, [True]])) + 1
+    up, down = powers(max(1 << 21, 1 << int(len(data)).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    word, at = _mixed((sums[ends] - sums[starts]) * down[starts]), passage[starts]
+    near = doc[starts[1:]] == doc[starts[:-1]]
+    pair = _mixed(word[:-1] * np.uint64(31) + word[1:])[near]
+    drop = np.uint64(64 - WORD_BITS)
+    out[:, :WORDS] = np.bincount(at * WORDS + (word >> drop).astype(np.int64), minlength=total * WORDS).reshape(total, WORDS)
+    out[:, WORDS:] = np.bincount(at[:-1][near] * WORDS + (pair >> drop).astype(np.int64), minlength=total * WORDS).reshape(total, WORDS)
+    return out / np.maximum(np.bincount(at, minlength=total), 1)[:, None].astype(np.float32)
 
 
 def encode_passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,6 +84,7 @@ def encode_passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         same = passage[1:] == passage[:-1]
         key = passage[1:][same] * CLASSES**2 + kind[:-1][same] * CLASSES + kind[1:][same]
         out[:, CLASSES : CLASSES + CLASSES**2] = np.bincount(key, minlength=total * CLASSES**2).reshape(total, CLASSES**2) / per
+    out[:, CLASSES + CLASSES**2 : -4] = word_buckets(data, doc, passage, total)
     # Repetition: share of a passage's 12-byte strings that stood earlier in the document.
     n = len(data) - 11
     if n > 0:
@@ -97,7 +133,7 @@ class MilNet:
         de = a * (da - np.repeat(np.add.reduceat(a * da, starts), each))
         dt, dg = de[:, None] * p["w"] * g * (1 - t * t), de[:, None] * p["w"] * t * g * (1 - g)
         dh = (a[:, None] * dm + dt @ p["V"].T + dg @ p["U"].T) * (1 - h * h)
-        return {"W": z.T @ dh + 1e-4 * p["W"], "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": m.T @ ds + 1e-4 * p["c"], "d": ds.sum()}
+        return {"W": z.T @ dh + DECAY * p["W"], "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": m.T @ ds + 1e-4 * p["c"], "d": ds.sum()}
 
     def fit(self, bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, batch: int = 256, rate: float = 0.01, seed: int = 7) -> None:
         rng, step = np.random.default_rng(seed), 0
@@ -114,23 +150,27 @@ class MilNet:
                     self.p[k] = self.p[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, column: str = "quality", train_rows: int = TRAIN_ROWS) -> MilNet:
-    """Fit on at most ``train_rows`` labelled rows of the training fold."""
+def fit_quality(docs: DataFrame, labels: DataFrame, *, column: str = "quality", train_rows: int = TRAIN_ROWS, train_passages: int = TRAIN_PASSAGES) -> MilNet:
+    """Fit on at most ``train_rows`` labelled rows of the training fold, whole documents of at most ``train_passages`` passages together.
+
+    Without a labelled row the net is not trained, and its scores mean nothing.
+    """
     # A bounded table (train_rows rows): broadcast.
-    chosen = F.broadcast(bounded_labels(labels, column, train_rows))
+    chosen = bounded_labels(labels, column, train_rows)
+    longs = docs.select("doc_id", F.greatest(F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / PASSAGE_BYTES), F.lit(1)).alias("passages"))
+    sizes = longs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", F.xxhash64("doc_id").alias("h")).agg(F.sum("passages").alias("passages")).orderBy("h", "doc_id").collect()
+    fits = np.cumsum([r.passages for r in sizes]) <= train_passages
+    taken = [(r.doc_id, r.label) for r, fit in zip(sizes, fits) if fit]
+    kind = dict(docs.dtypes)["doc_id"]
+    taken = F.broadcast(docs.sparkSession.createDataFrame(taken, f"doc_id {kind}, label int"))
 
     def bags(batches):
         for batch in slices(batches):
             x, each = encode_passages(texts_of(batch))
-            ends = np.cumsum(each)
-            data = []
-            for b, n in zip(ends, each):
-                pick = np.unique(np.linspace(0, n - 1, min(n, TRAIN_PASSAGES)).astype(int))
-                data.append(x[b - n + pick].astype("<f2").tobytes())
+            data = [part.astype("<f2").tobytes() for part in np.split(x, np.cumsum(each)[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(data, pa.binary())], ["doc_id", "label", "bag"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "label").mapInArrow(bags, f"doc_id {kind}, label int, bag binary").limit(2 * train_rows).collect()
+    rows = docs.select("doc_id", "text").join(taken, "doc_id").select("doc_id", "text", "label").mapInArrow(bags, f"doc_id {kind}, label int, bag binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.bag)))
     x = [np.frombuffer(r.bag, "<f2").reshape(-1, WIDTH).astype(np.float32) for r in rows]
     y = np.array([min(max(r.label, 0), 1) for r in rows], float)
