@@ -37,6 +37,14 @@ def test_codecs_equal_the_library(text):
             assert made.decode(np.array(got, "<u4").tobytes()) == Tokenizer.from_file(path).decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("letters, n", [("abcdefghijklmnopqrstuvwxyz", 300_000), ("aeinrst", 300_000), ("ab", 50_000), ("a", 50_001), ("éüß日本", 30_000), ("0123456789abcdef", 3_000_000)])
+def test_bpe_of_a_very_long_word(letters, n):
+    """Unbroken texts, merged apart from the others, equal the library's; 3 MB take seconds."""
+    text = "".join(np.random.default_rng(n).choice(list(letters), n))
+    want = Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids
+    assert np.array_equal(np.frombuffer(bpe.codec_of(BYTE).encode([text, "short one"])[0], "<u4"), np.array(want))
+
+
 def test_bpe_digest(spark):
     texts = [*ODD, None, "again again"]
     got = {r.doc_id: r for r in bpe.bpe_digest(docs_of(spark, texts), BYTE).collect()}
