@@ -29,8 +29,8 @@ from .common import slices, texts_of
 END_ID = 2
 LEVEL = 3
 DICTIONARY_BYTES = 65_536
-#: The dictionary is trained on at most this many documents (smallest id hashes), this many bytes of ids of each.
-SAMPLE_DOCUMENTS, SAMPLE_BYTES = 1_000, 8_192
+#: The dictionary is trained on pieces of so many bytes of the ids of about so many documents (small id hashes), whole ones; of at most so many pieces, those of smallest hash.
+SAMPLE_DOCUMENTS, SAMPLE_BYTES, SAMPLE_PIECES = 1_000, 8_192, 2_000
 BLOCK_BYTES = 1_000_000
 CACHED_WORDS = 700_000
 #: Characters on which every Unicode version agrees about letters, numbers and lower case (no capital sigma).
@@ -140,11 +140,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     def sample(batches):
         encoder = encoder_of(tokenizer)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([_narrow(x + end)[:SAMPLE_BYTES] for x in encoder.encode(texts_of(batch))], pa.binary())], ["ids"])
+            ids = map(_narrow, (x + end for x in encoder.encode(texts_of(batch))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i : i + SAMPLE_BYTES] for x in ids for i in range(0, len(x), SAMPLE_BYTES)], pa.binary())], ["ids"])
 
-    chosen = [r.doc_id for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS).collect()]
-    picked = docs.select("doc_id", "text").where(F.col("doc_id").isin(chosen)) if chosen else docs.select("doc_id", "text").limit(0)
-    samples = [bytes(r.ids) for r in picked.select("text").mapInArrow(sample, "ids binary").limit(2 * SAMPLE_DOCUMENTS).collect()]
+    total = F.lit(max(1, docs.count()))
+    picked = docs.where(F.pmod(F.xxhash64("doc_id"), total) < SAMPLE_DOCUMENTS).select("text")
+    samples = [bytes(r.ids) for r in picked.mapInArrow(sample, "ids binary").orderBy(F.xxhash64("ids"), "ids").limit(SAMPLE_PIECES).collect()]
     dictionary = train_dictionary(sorted(samples))
     sha = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(bytearray(dictionary), sha, tokenizer.rpartition("/")[2])], "dictionary binary, sha256 string, tokenizer string").write.parquet(f"{path}/dictionary")
