@@ -68,7 +68,9 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, nearest: int =
     members = usual.join(classes, ["label", "v"]).select("vec_id", "label", "cls")
     n = classes.count()
     wanted = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 * math.isqrt(n))))
-    sample = classes.orderBy(F.xxhash64("cls"), "cls", "label").select("v").limit(max(wanted, min(4 * wanted, SAMPLE))).toArrow().column("v").combine_chunks()
+    # About as many rows as wanted have a small hash; each task sends its own, and the driver puts them in order.
+    size = max(wanted, min(4 * wanted, SAMPLE))
+    sample = classes.withColumn("h", F.pmod(F.xxhash64("cls", "label"), F.lit(max(n, 1)))).where(F.col("h") < size).toArrow().sort_by([("h", "ascending"), ("cls", "ascending"), ("label", "ascending")]).column("v").combine_chunks()
     lens = np.asarray(sample.value_lengths())
     pivots: dict[int, np.ndarray] = {}
     for size in np.unique(lens).tolist():
