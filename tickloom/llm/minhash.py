@@ -251,7 +251,8 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = THRESHOLD, lea
     # Documents outside the largest component of their bucket meet all others of the bucket.
     large = posts.where(F.col("n") > SMALL).select("band", "key", "t", "bytes").join(known, F.col("t.id") == F.col("id"), "left").withColumn("component", F.coalesce("component", "t.id"))
     tally = large.groupBy("band", "key", "component").agg(F.count("*").alias("m"))
-    most = tally.groupBy("band", "key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("n")).where("n > top.m").select("band", "key", F.col("top.component").alias("main"), "n")
+    # Set down first, so that the join below may split a hot bucket.
+    most = stage(tally.groupBy("band", "key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("n")).where("n > top.m").select("band", "key", F.col("top.component").alias("main"), "n"), "open-buckets")
     blocks = F.greatest(F.ceil(F.col("n") / group), F.ceil(F.col("bytes") / group_bytes))
     open_ = large.join(most, ["band", "key"]).select("band", "key", "t", "component", "main", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")))
     open_ = stage(open_, "open-buckets")
@@ -285,7 +286,7 @@ def near_duplicate_classes(docs: DataFrame, *, threshold: float = THRESHOLD, lea
     classes = equal.select("same", F.col("t.id").alias("rep")).join(linked, F.col("rep") == F.col("id"), "left").select("same", F.coalesce("component", "rep").alias("class_id"))
     found = signed.select(F.col("t.id").alias("doc_id"), "same").join(classes, "same").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    discard(posts, pairs, wanted, open_, many)
+    discard(posts, pairs, wanted, most, open_, many)
     return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
