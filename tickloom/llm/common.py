@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 COUNTERS_IN_CHUNK = 4096
 
 
@@ -51,6 +52,15 @@ def discard(*staged: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(docs: DataFrame, *keep: str) -> DataFrame:
+    """``docs`` with every column but ``keep`` named by its number, so that none can clash with those added meanwhile; :func:`named` undoes it."""
+    return docs.select(*(docs[c] if c in keep else docs[c].alias(f"numbered_{i}") for i, c in enumerate(docs.columns)))
+
+
+def named(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
+    return df.select(*(F.col(c if c in keep else f"numbered_{i}").alias(c) for i, c in enumerate(columns)))
+
+
 def packed(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep``, and all columns as one struct: no name of ``docs`` can clash with those added meanwhile."""
     return docs.select(*keep, F.struct(*docs.columns).alias("packed_row"))
@@ -61,8 +71,15 @@ def unpacked(df: DataFrame, columns: list[str], **new) -> DataFrame:
     return df.select(*(new[c].alias(c) if c in new else F.col("packed_row")[c].alias(c) for c in columns))
 
 
+#: Powers to begin with: enough for a slice.
+LEAST_POWERS = 1 << 20
+
+
 def slices(batches, column: str = "text", budget: int = SLICE_BYTES):
-    """Cut Arrow batches into pieces of about ``budget`` bytes of ``column``; a longer value stands alone."""
+    """Cut Arrow batches into pieces of about ``budget`` bytes of ``column``; a longer value stands alone.
+
+    When the batches end, memory that the worker no longer needs goes back to the machine.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -72,6 +89,16 @@ def slices(batches, column: str = "text", budget: int = SLICE_BYTES):
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+        del batch
+    give_back()
+
+
+def give_back() -> None:
+    """Free pages of this worker return to the machine, where its C library can do that: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def texts_of(batch, column: str = "text") -> list[str]:

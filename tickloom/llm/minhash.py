@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, counter_rows, discard, merged_counters, powers, slices, stage, texts_of
+from .common import LEAST_POWERS, components, counter_rows, discard, merged_counters, powers, slices, stage, texts_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -67,7 +67,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = edges[0::2], edges[1::2]
     lens = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
     each = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(lens)])))
-    up, down = powers(max(1 << 21, 1 << int(len(data)).bit_length()))
+    up, down = powers(max(LEAST_POWERS, 1 << int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts]), each
@@ -80,7 +80,7 @@ def sequence_keys(words: np.ndarray, each: np.ndarray) -> list[bytes | None]:
     if len(full):
         starts = np.cumsum(each[full]) - each[full]
         place = np.arange(len(words)) - np.repeat(starts, each[full])
-        up, down = powers(max(1 << 21, 1 << int(each.max()).bit_length()))
+        up, down = powers(max(LEAST_POWERS, 1 << int(each.max()).bit_length()))
         both = np.stack([np.add.reduceat(words * p[place], starts) for p in (up, down)], axis=1).astype("<u8")
         for k, row in zip(full.tolist(), both):
             keys[k] = row.tobytes()

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_labels, powers, slices, texts_of
+from .common import LEAST_POWERS, bounded_labels, powers, slices, texts_of
 
 PASSAGE_BYTES = 512
 #: The network learns from whole labelled documents, in order of their id's hash: at most so many, with at most so many passages together.
@@ -52,7 +52,7 @@ def word_buckets(data: np.ndarray, doc: np.ndarray, passage: np.ndarray, total:
     turn = (inside[1:] != inside[:-1]) | (doc[1:] != doc[:-1])
     starts = np.flatnonzero(inside & np.concatenate([[True], turn]))
     ends = np.flatnonzero(inside & np.concatenate([turn, [True]])) + 1
-    up, down = powers(max(1 << 21, 1 << int(len(data)).bit_length()))
+    up, down = powers(max(LEAST_POWERS, 1 << int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     word, at = _mixed((sums[ends] - sums[starts]) * down[starts]), passage[starts]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labels, counter_rows, discard, merged_counters, powers, slices, stage, texts_of
+from .common import LEAST_POWERS, bounded_labels, counter_rows, discard, merged_counters, powers, slices, stage, texts_of
 
 BUCKETS = 2**18
 STEMS = (4, 6)
@@ -53,7 +53,7 @@ def word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lens = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
     each = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(lens)])))
     # A hash of any run of bytes from running sums of byte * factor ** place.
-    up, down = powers(max(1 << 21, 1 << int(len(data)).bit_length()))
+    up, down = powers(max(LEAST_POWERS, 1 << int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     out = np.empty((len(starts), 1 + len(STEMS)), np.int64)
