@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import bpe, minhash, mixing, sanitise, toxicity
-from tickloom.llm.common import packed, stage, unpacked
+from tickloom.llm.common import discard, named, numbered, stage
 
 #: A document at or above this score is rejected.
 REJECT = 0.5
@@ -16,7 +16,7 @@ REJECT = 0.5
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not rejected as toxic; the classifier learns from the training fold of ``labels``."""
     model = toxicity.fit_toxicity(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return unpacked(toxicity.score_toxicity(packed(docs, "text"), model).where(F.col("toxicity") < REJECT), docs.columns)
+    return named(toxicity.score_toxicity(numbered(docs, "text"), model).where(F.col("toxicity") < REJECT), docs.columns, "text")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +46,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, work in STAGES[:-1]:
         docs = stage(work(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
