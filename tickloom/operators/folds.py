@@ -117,13 +117,15 @@ def net_cap(book: DataFrame, by: str, id: str, weight: str, limit: float, least:
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         w = pdf.set_index(id)[weight].astype(float).sort_index()
-        for _ in range(len(w) + 2):
+        dropped = True
+        while dropped:  # once no position goes, the net is at the limit
             up, down = w[w > 0].sum(), -w[w < 0].sum()
             if abs(up - down) - limit <= 1e-12:
                 break
             heavy = (w > 0) if up > down else (w < 0)
             w = w.where(~heavy, w * ((min(up, down) + limit) / max(up, down)))
-            w = w[~(heavy & (w.abs() + 1e-12 < least))]
+            small = heavy & (w.abs() + 1e-12 < least)
+            w, dropped = w[~small], small.any()
         return pd.DataFrame({by: pdf[by].iloc[0], id: w.index, "weight": w.to_numpy()})
 
     return book.select(by, id, weight).groupBy(by).applyInPandas(fold, f"{by} {kinds[by]}, {id} {kinds[id]}, weight double")

@@ -90,9 +90,9 @@ def hour_profile(spark, sf_dir):
     return hours.join(means, "asset").groupBy("hour").agg(F.round(F.avg(col("v") / col("m")), 6).alias("volume"), F.round(F.avg("rg"), 6).alias("spread"))
 
 
-@register("universe_rank_inputs", f"WITH {base.DB0} SELECT asset, max(ts) AS last_bar, count(*) AS bars, round(median(quote_volume) FILTER (ts >= TIMESTAMP '2000-01-01'), 6) AS turnover FROM db0 WHERE ts < TIMESTAMP '2001-01-01' GROUP BY 1")
+@register("universe_rank_inputs", f"WITH {base.DB0} SELECT asset, max(ts) AS last_bar, count(*) AS bars, round(median(quote_volume) FILTER (ts >= TIMESTAMP '2000-01-01'), 6) AS turnover FROM db0 GROUP BY 1")
 def universe_rank_inputs(spark, sf_dir):
-    d = base.daily(spark, sf_dir).where(col("ts") < F.lit("2001-01-01").cast("timestamp_ntz"))
+    d = base.daily(spark, sf_dir)
     return d.groupBy("asset").agg(F.max("ts").alias("last_bar"), F.count("*").alias("bars"), F.round(F.percentile(F.when(col("ts") >= F.lit("2000-01-01").cast("timestamp_ntz"), col("quote_volume")), 0.5), 6).alias("turnover"))
 
 
@@ -199,7 +199,7 @@ def asset_report(spark, sf_dir):
     return base.hourly_basics(spark, sf_dir).groupBy("asset").agg(F.count("r1").alias("trades"), F.round(F.sum("r1") * 1e4, 4).alias("net_bps"), F.round(F.avg((col("r1") > 0).cast("double")), 6).alias("hit_rate"))
 
 
-@register("daily_pnl", "WITH s AS (SELECT ts::DATE AS day, sum(value) / 5 AS v FROM events WHERE event_type = 'purchase' AND user_id % 11 = 3 GROUP BY 1), d AS (SELECT unnest(generate_series((SELECT min(day) FROM s), (SELECT max(day) FROM s), INTERVAL 1 DAY))::DATE AS day) SELECT day, round(coalesce(v, 0), 6) AS total FROM d LEFT JOIN s USING (day)")
+@register("daily_pnl", "WITH s AS (SELECT ts::DATE AS day, sum(value) / 5 AS v FROM events WHERE event_type = 'purchase' GROUP BY 1), d AS (SELECT unnest(generate_series((SELECT min(day) FROM s), (SELECT max(day) FROM s), INTERVAL 1 DAY))::DATE AS day) SELECT day, round(coalesce(v, 0), 6) AS total FROM d LEFT JOIN s USING (day)")
 def daily_pnl(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("day", col("ts").cast("date"))
     return A.zero_filled_days(e, "day", F.sum("value") / 5).withColumn("total", F.round("total", 6))

@@ -14,8 +14,8 @@ from ..streaming import streams as ST
 from . import base
 from .base import ntz, table
 from .q_aggregates import sectors
-from .q_cross import labels
-from .q_stats import _drift, small, weights
+from .q_cross import _LBL, labels
+from .q_stats import _DRIFT, _SMALL, _W, _drift, small, weights
 
 col = F.col
 A = O.cascade_alpha(144)
@@ -31,7 +31,23 @@ def ema_cascade(spark, sf_dir):
     return O.ema_cascade(base.daily_basics(spark, sf_dir), "asset", "ts").select("asset", "ts", F.round("filter", 4).alias("filter"))
 
 
-@register("channel_geometry")
+def _poles(name: str, value: str) -> str:
+    """SQL of four chained averages after one more value."""
+    out, last = [], value
+    for k in range(1, 5):
+        last = f"({A} * {last} + {1 - A} * s.{name}{k})"
+        out.append(f"{last} AS {name}{k}")
+    return ", ".join(out)
+
+
+_FIRST = ", ".join(f"{v} AS {n}{k}" for n, v in (("p", "(high + low + close) / 3"), ("q", "tr")) for k in range(1, 5))
+
+
+@register("channel_geometry", f"""WITH RECURSIVE {base.DB}, s AS (
+  SELECT asset, idx, ts, close, {_FIRST} FROM db WHERE idx = 1
+  UNION ALL SELECT b.asset, b.idx, b.ts, b.close, {_poles('p', '((b.high + b.low + b.close) / 3)')}, {_poles('q', 'b.tr')} FROM s JOIN db b ON s.asset = b.asset AND b.idx = s.idx + 1),
+  f AS (SELECT *, CASE WHEN idx >= 144 THEN p4 END AS f, CASE WHEN idx >= 144 THEN p4 + 1.414 * q4 END AS u, CASE WHEN idx >= 144 THEN p4 - 1.414 * q4 END AS l FROM s)
+  SELECT asset, ts, round((u - l) / f, 6) AS band_width, round((close - u) / abs(u), 6) AS dist_upper, round((close - l) / abs(l), 6) AS dist_lower, round(f / lag(f, 20) OVER (PARTITION BY asset ORDER BY ts) - 1, 6) AS slope FROM f""")
 def channel_geometry(spark, sf_dir):
     """Band width, distances to the bands, and slope over 20 bars."""
     d = base.daily_basics(spark, sf_dir)
@@ -71,46 +87,83 @@ def _signals(spark, sf_dir):
     return b.select("asset", F.unix_seconds(col("ts").cast("timestamp")).alias("ts_s"), (col("r1") * 100).alias("pred_bps"), (F.lead("r1").over(w) * 100).alias("fwd_bps"), F.when(col("trades") > 1, F.lit(30.0)).alias("cost_bps")).where("pred_bps is not null and fwd_bps is not null")
 
 
-@register("cooldown_trades")
+def _cooldown_sql(release: str) -> str:
+    """Each opening leads to the first one at or after its release."""
+    return f"""WITH RECURSIVE {base.HB}, s AS (SELECT asset, epoch(ts)::BIGINT AS ts_s, r1 * 100 AS pred, lead(r1) OVER (PARTITION BY asset ORDER BY ts) * 100 AS fwd, CASE WHEN trades > 1 THEN 30.0 END AS cost FROM hb),
+  c AS (SELECT *, ts_s + {release} AS e FROM s WHERE pred IS NOT NULL AND fwd IS NOT NULL AND abs(pred) > cost),
+  n AS (SELECT a.asset, a.ts_s, min(b.ts_s) AS nxt FROM c a JOIN c b ON a.asset = b.asset AND b.ts_s >= a.e GROUP BY 1, 2),
+  t AS (SELECT asset, min(ts_s) AS ts_s FROM c GROUP BY 1 UNION ALL SELECT t.asset, n.nxt FROM t JOIN n USING (asset, ts_s))
+  SELECT asset, ts_s, sign(pred)::INT AS side, round(sign(pred) * fwd - cost, 6) AS net_bps FROM t JOIN c USING (asset, ts_s)"""
+
+
+@register("cooldown_trades", _cooldown_sql("21600"))
 def cooldown_trades(spark, sf_dir):
-    return O.cooldown_trades(_signals(spark, sf_dir), "asset", hold_s=6 * 3600)
+    return O.cooldown_trades(_signals(spark, sf_dir), "asset", hold_s=6 * 3600).withColumn("net_bps", F.round("net_bps", 6))
 
 
-@register("cooldown_trades_atr")
+@register("cooldown_trades_atr", _cooldown_sql("CASE WHEN abs(fwd) > 50 THEN 3600 ELSE 21600 END"))
 def cooldown_trades_atr(spark, sf_dir):
     """Holds end early where the next bars' barrier releases them."""
     s = _signals(spark, sf_dir).withColumn("release", col("ts_s") + F.when(F.abs("fwd_bps") > 50, 3600).otherwise(6 * 3600))
-    return O.cooldown_trades(s, "asset", release="release")
+    return O.cooldown_trades(s, "asset", release="release").withColumn("net_bps", F.round("net_bps", 6))
 
 
-@register("waterfall_cap")
+@register("waterfall_cap", f"""WITH RECURSIVE {_W}, b AS (SELECT asset, ts, sign(r) AS sg, least(0.1, abs(r) / 3) AS size, least(0.08, qty / 5000) AS cap FROM v),
+  z AS (SELECT asset, ts, sg, cap, least(size, cap) AS kept, sum(size - least(size, cap)) OVER (PARTITION BY ts, sg) AS spill, 0 AS pass FROM b
+    UNION ALL SELECT asset, ts, sg, cap, CASE WHEN spill > 0 AND total > 0 THEN kept + least(spill, total) * room / total ELSE kept END, CASE WHEN spill > 0 AND total > 0 THEN spill - least(spill, total) ELSE spill END, pass + 1
+    FROM (SELECT *, greatest(cap - kept, 0) AS room, sum(greatest(cap - kept, 0)) OVER (PARTITION BY ts, sg) AS total FROM z WHERE pass < 8))
+  SELECT ts, asset, round(sg * kept, 6) + 0.0 AS weight FROM z WHERE pass = 8""")
 def waterfall_cap(spark, sf_dir):
     b = weights(spark, sf_dir).select("asset", "ts", (F.signum("r") * F.least(F.lit(0.1), F.abs("r") / 3)).alias("w"), F.least(F.lit(0.08), col("qty") / 5000).alias("cap"))
-    return O.waterfall_cap(b, "ts", "asset", "w", "cap")
+    return O.waterfall_cap(b, "ts", "asset", "w", "cap").withColumn("weight", F.round("weight", 6) + 0.0)
 
 
-@register("net_cap")
+@register("net_cap", f"""WITH RECURSIVE {_W}, o AS (SELECT asset, ts, sign(r) * least(0.05, abs(r) / 5) AS w FROM v WHERE sign(r) * least(0.05, abs(r) / 5) <> 0),
+  z AS (SELECT asset, ts, w, 0 AS k, true AS more FROM o
+    UNION ALL SELECT asset, ts, CASE WHEN heavy THEN w * f ELSE w END, k + 1, abs(up - down) - 0.1 > 1e-12
+    FROM (SELECT *, (least(up, down) + 0.1) / greatest(up, down) AS f, abs(up - down) - 0.1 > 1e-12 AND (w > 0) = (up > down) AS heavy
+      FROM (SELECT *, coalesce(sum(w) FILTER (w > 0) OVER g, 0) AS up, -coalesce(sum(w) FILTER (w < 0) OVER g, 0) AS down FROM z WHERE more WINDOW g AS (PARTITION BY ts)))
+    WHERE NOT heavy OR abs(w * f) + 1e-12 >= 0.002)
+  SELECT ts, asset, round(w, 6) + 0.0 AS weight FROM z WHERE NOT more""")
 def net_cap(spark, sf_dir):
     b = weights(spark, sf_dir).select("asset", "ts", (F.signum("r") * F.least(F.lit(0.05), F.abs("r") / 5)).alias("w")).where("w <> 0")
-    return O.net_cap(b, "ts", "asset", "w", 0.1, 0.002)
+    return O.net_cap(b, "ts", "asset", "w", 0.1, 0.002).withColumn("weight", F.round("weight", 6) + 0.0)
 
 
-@register("turnover_budget")
+@register("turnover_budget", _DRIFT.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT *, w * held < 0 OR abs(w) < abs(held) AS free, row_number() OVER (PARTITION BY ts ORDER BY abs(drift) DESC, asset) AS k FROM d),
+  z AS (SELECT DISTINCT ts, 0::BIGINT AS k, 0.0::DOUBLE AS spent, 0::BIGINT AS asset, 0.0::DOUBLE AS drift, false AS keep FROM o
+    UNION ALL SELECT o.ts, o.k, CASE WHEN NOT free AND spent + abs(o.drift) <= 0.5 THEN spent + abs(o.drift) ELSE spent END, o.asset, o.drift, free OR spent + abs(o.drift) <= 0.5 FROM z JOIN o ON o.ts = z.ts AND o.k = z.k + 1)
+  SELECT ts, asset, round(drift, 6) + 0.0 AS drift FROM z WHERE keep""")
 def turnover_budget(spark, sf_dir):
     d = _drift(spark, sf_dir).withColumn("free", (col("w") * col("held") < 0) | (F.abs("w") < F.abs("held")))
-    return O.turnover_budget(d, "ts", "asset", "drift", "free", 0.5)
-
-
-@register("direction_state")
+    return O.turnover_budget(d, "ts", "asset", "drift", "free", 0.5).withColumn("drift", F.round("drift", 6) + 0.0)
+
+
+@register("direction_state", f"""WITH RECURSIVE {base.DB}, d AS (SELECT asset, ts, idx, greatest(-1.0, least(1.0, coalesce(avg(lr) OVER w5, 0.0))) AS score, coalesce(stddev_pop(lr) OVER w20, 0.0) AS vol FROM db
+    WINDOW w5 AS (PARTITION BY asset ORDER BY ts ROWS 4 PRECEDING), w20 AS (PARTITION BY asset ORDER BY ts ROWS 19 PRECEDING)),
+  s AS (SELECT DISTINCT asset, 0::BIGINT AS idx, NULL::TIMESTAMP AS ts, 0 AS side, 0.0::DOUBLE AS g, 0.0::DOUBLE AS n FROM d
+    UNION ALL SELECT asset, idx, ts, side, g2, CASE WHEN abs(cur) <= 1e-12 THEN 0.0 ELSE greatest(-g2, least(g2, b + greatest(-0.2, least(0.2, cur - b)))) END
+    FROM (SELECT *, CASE WHEN n * cur < 0 THEN 0.0 ELSE n END AS b
+    FROM (SELECT *, CASE WHEN wg > 1e-12 THEN wn / wg * g2 ELSE 0.0 END AS cur
+    FROM (SELECT *, CASE WHEN wg < g THEN wg ELSE g + greatest(-0.2, least(0.2, wg - g)) END AS g2
+    FROM (SELECT *, CASE lvl WHEN 0 THEN 0.4 WHEN 1 THEN 0.8 ELSE 1.0 END::DOUBLE * scale AS wg, side * CASE lvl WHEN 0 THEN 0.0 WHEN 1 THEN 0.3 ELSE 0.6 END::DOUBLE * scale AS wn
+    FROM (SELECT *, CASE WHEN side = 0 THEN 0 WHEN abs(score) >= 0.8 THEN 2 ELSE 1 END AS lvl, CASE WHEN vol <= 1e-12 THEN 1.0 ELSE least(1.0, 0.15 / vol) END AS scale
+    FROM (SELECT s.asset, d.idx, d.ts, s.g, s.n, d.score, d.vol, CASE WHEN s.side = 0 THEN CASE WHEN score >= 0.4 THEN 1 WHEN score <= -0.4 THEN -1 ELSE 0 END WHEN s.side * score <= -0.4 THEN -s.side WHEN s.side * score <= 0 THEN 0 ELSE s.side END AS side
+      FROM s JOIN d ON s.asset = d.asset AND d.idx = s.idx + 1)))))))
+  SELECT asset, ts, side, round(g, 6) AS gross, round(n, 6) + 0.0 AS net FROM s WHERE idx > 0""")
 def direction_state(spark, sf_dir):
     t = Window.partitionBy("asset").orderBy("ts")
     d = base.daily_basics(spark, sf_dir).select("asset", "ts", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.avg("lr").over(t.rowsBetween(-4, 0)), F.lit(0.0)))).alias("score"), F.coalesce(F.stddev_pop("lr").over(t.rowsBetween(-19, 0)), F.lit(0.0)).alias("vol"))
-    return O.direction_state(d, "asset", "ts")
+    return O.direction_state(d, "asset", "ts").select("asset", "ts", "side", F.round("gross", 6).alias("gross"), (F.round("net", 6) + 0.0).alias("net"))
 
 
-@register("vol_target_overlay")
+@register("vol_target_overlay", f"""WITH RECURSIVE {_SMALL}, o AS (SELECT ts, r, row_number() OVER w AS k, CASE WHEN count(*) OVER p = 8 THEN stddev_samp(r) OVER p * sqrt(52.0) END AS v FROM x WINDOW w AS (ORDER BY ts), p AS (ORDER BY ts ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
+  s AS (SELECT NULL::TIMESTAMP AS ts, 0::BIGINT AS k, 1.0::DOUBLE AS e, 1.0::DOUBLE AS eq, 1.0::DOUBLE AS peak
+    UNION ALL SELECT ts, k, e, eq * (1 + e * r), greatest(peak, eq * (1 + e * r))
+    FROM (SELECT o.ts, o.k, o.r, s.eq, s.peak, least(CASE WHEN v > 0 THEN least(1.0, 0.01 / v) ELSE 1.0 END, CASE WHEN s.eq / s.peak - 1 <= -0.05 THEN 0.5 ELSE 1.0 END) AS e FROM s JOIN o ON o.k = s.k + 1))
+  SELECT 'all' AS book, ts, round(e, 6) AS exposure, round(eq, 6) AS equity FROM s WHERE k > 0""")
 def vol_target_overlay(spark, sf_dir):
-    return O.vol_target_overlay(small(spark, sf_dir).withColumn("book", F.lit("all")), "book", "ts", "r", 0.01, 0.05)
+    return O.vol_target_overlay(small(spark, sf_dir).withColumn("book", F.lit("all")), "book", "ts", "r", 0.01, 0.05).withColumn("exposure", F.round("exposure", 6)).withColumn("equity", F.round("equity", 6))
 
 
 # ---------------------------------------------------------------- models
@@ -123,10 +176,15 @@ def _matrix(spark, sf_dir):
     return x.join(labels(spark, sf_dir).select("asset", "ts", col("label").alias("y")), ["asset", "ts"]).dropna().withColumn("w", F.lit(1.0))
 
 
-@register("fit_ridge")
+@register("fit_ridge", f"""WITH {_LBL}, x AS (SELECT asset, ts, close / lag(close, 5) OVER o - 1 AS x1, avg(r1) OVER (PARTITION BY asset ORDER BY ts ROWS 9 PRECEDING) AS x2 FROM db WINDOW o AS (PARTITION BY asset ORDER BY ts)),
+  m AS (SELECT x.*, l.label AS y FROM x JOIN l USING (asset, ts) WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND l.label IS NOT NULL),
+  t AS (SELECT sum(x1 * x1) + 1 AS a, sum(x1 * x2) AS b, sum(x1) AS c, sum(x2 * x2) + 1 AS d, sum(x2) AS e, count(*)::DOUBLE AS n, sum(x1 * y) AS u, sum(x2 * y) AS v, sum(y) AS w FROM m),
+  k AS (SELECT *, a * (d * n - e * e) - b * (b * n - e * c) + c * (b * e - d * c) AS det FROM t),
+  f AS (SELECT (u * (d * n - e * e) - b * (v * n - e * w) + c * (v * e - d * w)) / det AS b1, (a * (v * n - e * w) - u * (b * n - e * c) + c * (b * w - v * c)) / det AS b2, (a * (d * w - v * e) - b * (b * w - v * c) + u * (b * e - d * c)) / det AS b0 FROM k)
+  SELECT asset, ts, round(b0 + x1 * b1 + x2 * b2, 6) + 0.0 AS prediction FROM m, f""")
 def fit_ridge(spark, sf_dir):
     m = _matrix(spark, sf_dir)
-    return m.select("asset", "ts", F.round(M.linear_score(["x1", "x2"], M.fit_ridge(m, ["x1", "x2"], "y", "w", 1.0)), 6).alias("prediction"))
+    return m.select("asset", "ts", F.round(M.linear_score(["x1", "x2"], M.fit_ridge(m, ["x1", "x2"], "y", "w", 1.0)), 6).alias("p")).select("asset", "ts", (col("p") + 0.0).alias("prediction"))
 
 
 @register("fit_trees")
@@ -189,9 +247,12 @@ def stream_positions(spark, sf_dir):
     return ST.run_available(ST.positions(ST.event_stream(spark, sf_dir), "user_id"), "positions").select("user_id", "qty", "fills")
 
 
-@register("stream_cooldown")
+@register("stream_cooldown", """WITH RECURSIVE c AS (SELECT user_id, ts, max(value) AS value FROM events WHERE value > 30 GROUP BY 1, 2),
+  n AS (SELECT a.user_id, a.ts, min(b.ts) AS nxt FROM c a JOIN c b ON a.user_id = b.user_id AND b.ts >= a.ts + INTERVAL 1 HOUR GROUP BY 1, 2),
+  t AS (SELECT user_id, min(ts) AS ts FROM c GROUP BY 1 UNION ALL SELECT t.user_id, n.nxt FROM t JOIN n USING (user_id, ts))
+  SELECT user_id, ts, value FROM t JOIN c USING (user_id, ts)""")
 def stream_cooldown(spark, sf_dir):
-    return ST.run_available(ST.cooldown(ST.event_stream(spark, sf_dir), "user_id", 30.0, 3600), "cooldown")
+    return ST.run_available(ST.cooldown(ST.event_stream(spark, sf_dir), "user_id", 30.0, 3600), "cooldown").withColumn("ts", ntz(col("ts")))
 
 
 @register("stream_session_features", "SELECT user_id, event_id, row_number() OVER w - 1 AS slot, round(avg(value) OVER w, 6) AS vwap FROM events WINDOW w AS (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")

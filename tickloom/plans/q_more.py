@@ -30,7 +30,7 @@ def logret_k(spark, sf_dir):
     return base.hourly(spark, sf_dir).select("asset", "ts", *(_r(t.logret(k)).alias(f"ret_{k}") for k in (1, 3, 5, 15, 30, 60)))
 
 
-@register("finite_or_null", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax <> 0 THEN round(l_discount / l_tax, 6) END AS ratio FROM lineitem WHERE l_partkey % 20 = 0")
+@register("finite_or_null", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_tax <> 0 THEN round(l_discount / l_tax, 6) END AS ratio FROM lineitem")
 def finite_or_null(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     raw = F.when(col("l_tax") == 0, F.lit(float("inf"))).otherwise(col("l_discount") / col("l_tax"))
@@ -74,10 +74,9 @@ def read_pdmr(spark, sf_dir):
     return r.select(col("p")[0].cast("long").alias("o_orderkey"), F.to_date(col("p")[1]).alias("published"), F.round(S.parse_number(F.nullif(col("p")[2], F.lit(""))), 2).alias("volume"))
 
 
-@register("read_macro", "SELECT o_orderpriority AS series, o_orderdate::DATE AS day, round(avg(o_totalprice), 4) AS value FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31' GROUP BY 1, 2")
+@register("read_macro", "SELECT o_orderpriority AS series, o_orderdate::DATE AS day, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY 1, 2")
 def read_macro(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where(col("o_orderdate").between(F.lit("1997-01-01").cast("timestamp_ntz"), F.lit("1997-12-31").cast("timestamp_ntz")))
-    rows = o.groupBy(col("o_orderpriority").alias("series"), col("o_orderdate").cast("date").alias("day")).agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
+    rows = table(spark, sf_dir, "orders").groupBy(col("o_orderpriority").alias("series"), col("o_orderdate").cast("date").alias("day")).agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
     return B.require_unique(rows, ["series", "day"])
 
 
@@ -100,7 +99,7 @@ def read_xbrl_facts(spark, sf_dir):
     return R.xbrl_facts(rows, "j", "report_end").select("o_orderkey", "concept", "end", "unit", F.round(col("value").cast("double"), 2).alias("value"))
 
 
-@register("quarterly_statements", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS period, round(o_totalprice, 2) AS income, CASE WHEN o_orderstatus <> 'P' THEN round(o_totalprice / 3, 2) END AS balance FROM orders WHERE o_custkey % 5 = 0")
+@register("quarterly_statements", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS period, round(o_totalprice, 2) AS income, CASE WHEN o_orderstatus <> 'P' THEN round(o_totalprice / 3, 2) END AS balance FROM orders")
 def quarterly_statements(spark, sf_dir):
     period = F.date_format("o_orderdate", "yyyy-MM-dd")
     cell = lambda v: F.create_map(period, F.struct(period.alias("filing_date"), F.round(v, 2).alias("amount")))

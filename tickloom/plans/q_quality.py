@@ -120,11 +120,18 @@ def consistent_merge(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("inputs"), (F.max(v) - F.min(v) <= 1e-12).alias("consistent"))
 
 
-@register("matrix_model_agreement")
+@register("matrix_model_agreement", "WITH p AS (SELECT p_partkey, p_size % 4 = 0 AS f, p_size % 3 = 0 AS v, p_size % 5 = 0 AS l FROM part) SELECT p_partkey, NOT f AS features_agree, NOT v AS version_agrees, NOT l AS label_agrees, NOT (f OR v OR l) AS agrees FROM p")
 def matrix_model_agreement(spark, sf_dir):
-    m = base.monthly(spark, sf_dir)
-    wanted = B.validate_selection(m, ["price", "qty", "disc"])
-    return m.select("asset", "ts", *wanted)
+    """Feature list (in order), version and label of each model's document against the matrix it was made for; here one of each for every part."""
+    s = col("p_size")
+    name = lambda k: F.concat(F.lit(f"f{k}_"), col("p_brand"))
+    doc = lambda features, version, label: F.to_json(F.struct(features.alias("features"), version.alias("version"), label.alias("label")))
+    matrix = doc(F.array(name(1), name(2)), F.lit("2"), F.lit("fwd_15"))
+    model = doc(F.when(s % 4 == 0, F.array(name(2), name(1))).otherwise(F.array(name(1), name(2))), F.when(s % 3 == 0, "1").otherwise("2"), F.when(s % 5 == 0, "fwd_60").otherwise("fwd_15"))
+    kind = "features array<string>, version string, label string"
+    both = table(spark, sf_dir, "part").select("p_partkey", F.from_json(matrix, kind).alias("matrix"), F.from_json(model, kind).alias("model"))
+    same = [(col(f"matrix.{x}").eqNullSafe(col(f"model.{x}"))).alias(n) for x, n in (("features", "features_agree"), ("version", "version_agrees"), ("label", "label_agrees"))]
+    return both.select("p_partkey", *same).withColumn("agrees", col("features_agree") & col("version_agrees") & col("label_agrees"))
 
 
 @register("staleness_gate", "WITH m AS (SELECT max(ts) AS t FROM events) SELECT user_id, epoch(m.t - max(ts)) > 2 * 86400 AS stale FROM events, m GROUP BY user_id, m.t")
@@ -221,9 +228,13 @@ def read_html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", R.html_text("html").alias("text"))
 
 
-@register("read_listing_history")
+@register("read_listing_history", "SELECT o_orderkey AS page_id, 0 AS \"row\", 'Company' AS company, NULL::DATE AS effective, 'other' AS kind FROM orders UNION ALL SELECT o_orderkey, 1, 'Company ' || o_custkey, o_orderdate::DATE, CASE o_orderstatus WHEN 'F' THEN 'delisting' WHEN 'O' THEN 'listing' ELSE 'change' END FROM orders")
 def read_listing_history(spark, sf_dir):
-    cells = table(spark, sf_dir, "pages").select("page_id", F.posexplode(R.html_cells("html")).alias("row", "cells")).where("size(cells) >= 2")
+    """Tables of notices, one page for every order: a heading and a row of company, event and date in words."""
+    event = F.when(col("o_orderstatus") == "F", "Delisted &amp; gone").when(col("o_orderstatus") == "O", "Listed").otherwise("Name changed")
+    td = lambda *xs: F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td class='c'> "), x, F.lit("</td>")) for x in xs), F.lit("</tr>"))
+    html = F.concat(F.lit("<html><table><tr><th>Company</th><th>Event</th><th>Day</th></tr>"), td(F.concat(F.lit("Company <b>"), col("o_custkey").cast("string"), F.lit("</b>")), event, F.date_format("o_orderdate", "d MMMM yyyy")), F.lit("<tr><td>end</td></tr></table></html>"))
+    cells = table(spark, sf_dir, "orders").select(col("o_orderkey").alias("page_id"), F.posexplode(R.html_cells(html)).alias("row", "cells")).where("size(cells) >= 2")
     kind = S.classify_text(F.array_join("cells", " "), [("delisting", "delist|avnoter"), ("listing", "list|noter"), ("change", "chang|byt")])
     return cells.select("page_id", "row", F.get("cells", F.lit(0)).alias("company"), S.parse_date_text(F.array_join("cells", " ")).alias("effective"), kind.alias("kind"))
 
@@ -250,7 +261,7 @@ def read_market_history(spark, sf_dir):
     return a.join(b, "asset", "left").select("asset", F.coalesce("rejected", F.lit(0)).alias("rejected"), "crossed", (col("kept") + F.coalesce("rejected", F.lit(0))).alias("n"))
 
 
-@register("read_fi_positions", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount >= 0.05 THEN l_discount * 100 END AS percent, l_discount < 0.05 AS below FROM lineitem WHERE l_partkey % 50 = 0")
+@register("read_fi_positions", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount >= 0.05 THEN l_discount * 100 END AS percent, l_discount < 0.05 AS below FROM lineitem")
 def read_fi_positions(spark, sf_dir):
     """Percent as text: '<5' is a flag with a null percent."""
     text = F.when(col("l_discount") < 0.05, "<5").otherwise(F.replace(F.round(col("l_discount") * 100, 2).cast("string"), F.lit("."), F.lit(",")))
@@ -333,7 +344,7 @@ def parse_date_text(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", S.parse_date_text(text).alias("day"))
 
 
-@register("isin_valid")
+@register("isin_valid", "WITH p AS (SELECT p_partkey, 'SE' || lpad(p_partkey::VARCHAR, 9, '0') || (p_partkey % 10) AS isin FROM part), n AS (SELECT *, '2814' || isin[3:] AS d FROM p) SELECT p_partkey, isin, list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN d[i]::INT WHEN d[i]::INT > 4 THEN 2 * d[i]::INT - 9 ELSE 2 * d[i]::INT END)) % 10 = 0 AS valid FROM n")
 def isin_valid(spark, sf_dir):
     isin = F.concat(F.lit("SE"), F.lpad(col("p_partkey").cast("string"), 9, "0"), (col("p_partkey") % 10).cast("string"))
     return table(spark, sf_dir, "part").select("p_partkey", isin.alias("isin"), S.isin_valid(isin).alias("valid"))
@@ -387,8 +398,8 @@ def short_interest_state(spark, sf_dir):
     return e.select("isin", "ts", F.round(F.sum("d").over(Window.partitionBy("isin").orderBy("ts", "event_id")), 4).alias("total"))
 
 
-@register("fundamental_ratios", "SELECT o_custkey, round(arg_max(o_totalprice, {'a': o_orderdate, 'b': o_orderkey}) / nullif(sum(o_totalprice), 0), 6) AS to_assets, round((max(o_totalprice) - min(o_totalprice)) / abs(min(o_totalprice)), 6) AS growth FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01' GROUP BY 1")
+@register("fundamental_ratios", "SELECT o_custkey, round(arg_max(o_totalprice, {'a': o_orderdate, 'b': o_orderkey}) / nullif(sum(o_totalprice), 0), 6) AS to_assets, round((max(o_totalprice) - min(o_totalprice)) / abs(min(o_totalprice)), 6) AS growth FROM orders GROUP BY 1")
 def fundamental_ratios(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where(col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
+    o = table(spark, sf_dir, "orders")
     g = o.groupBy("o_custkey").agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("last"), F.sum("o_totalprice").alias("s"), F.max("o_totalprice").alias("a"), F.min("o_totalprice").alias("b"))
     return g.select("o_custkey", F.round(S.safe_ratio("last", "s"), 6).alias("to_assets"), F.round(S.growth("a", "b"), 6).alias("growth"))

@@ -220,9 +220,9 @@ def round_trip_cost(spark, sf_dir):
     return out.select("user_id", "day", F.round(9 + F.when(col("have"), col("c")).otherwise(col("past.p")), 6).alias("cost_bps"))
 
 
-@register("flat_round_trip", "SELECT p_partkey, round(2 * (4.5 + coalesce(CASE WHEN p_size > 5 THEN p_size / 10.0 END, 0.5) / 2 + 1), 6) AS bps FROM part WHERE p_retailprice < 1500")
+@register("flat_round_trip", "SELECT p_partkey, round(2 * (4.5 + coalesce(CASE WHEN p_size > 5 THEN p_size / 10.0 END, 0.5) / 2 + 1), 6) AS bps FROM part")
 def flat_round_trip(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_retailprice < 1500").select("p_partkey", F.round(2 * (4.5 + F.coalesce(F.when(col("p_size") > 5, col("p_size") / 10.0), F.lit(0.5)) / 2 + 1), 6).alias("bps"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(2 * (4.5 + F.coalesce(F.when(col("p_size") > 5, col("p_size") / 10.0), F.lit(0.5)) / 2 + 1), 6).alias("bps"))
 
 
 _IMPACT = "CASE WHEN qty > 0 THEN 0.1 * sqrt(1000 / (qty * price)) * disc * 1e4 ELSE 10000 END"

@@ -34,6 +34,13 @@ def _drawdown(n):
     return _full(n, f"list_reduce(list_transform(list(close) OVER w{n}, lambda v: {{'peak': v, 'worst': 0.0::DOUBLE}}), lambda a, v: {{'peak': greatest(a.peak, v.peak), 'worst': least(a.worst, v.peak / greatest(a.peak, v.peak) - 1)}}).worst")
 
 
+_TAKER, _DEPTH = "(quote_volume / (volume * high))", "((2 * close - high - low) / nullif(high + low, 0.0))"
+
+
+def _mean15(x):
+    return T.clean(15, x, T.agg(F.avg, x, 15))
+
+
 H, D = "hb", "db"
 FEATURES = {
     "ret_n": (H, {f"ret_{n}h": (lambda n=n: T.ret(n), f"close / lag(close, {n}) OVER w - 1") for n in (6, 24, 72, 168)}),
@@ -64,6 +71,9 @@ FEATURES = {
     "mom_k": (H, {f"mom_{k}": (lambda k=k: F.when(T.vol(60, "lr", 1.0, True) >= 1e-12, T.logret(k) / (T.vol(60, "lr", 1.0, True) * F.sqrt(F.lit(float(k))) + 1e-12)), f"CASE WHEN count(lr) OVER w60 = 60 AND stddev_pop(lr) OVER w60 >= 1e-12 THEN ln(close / lag(close, {k}) OVER w) / (stddev_pop(lr) OVER w60 * sqrt({k}.0) + 1e-12) END") for k in (5, 15, 30)}),
     "hl_range_vol_ratio": (H, {"hl_range": (lambda: (col("high") - col("low")) / col("close") / (T.vol(60, "lr", 1.0, True) + 1e-12), "(high - low) / close / (" + _clean(60, "lr", "stddev_pop(lr) OVER w60") + " + 1e-12)"), "vol_ratio_15_60": (lambda: T.vol(15, "lr", 1.0, True) / (T.vol(60, "lr", 1.0, True) + 1e-12), _clean(15, "lr", "stddev_pop(lr) OVER w15") + " / (" + _clean(60, "lr", "stddev_pop(lr) OVER w60") + " + 1e-12)")}),
     "mean_m15": (H, {"volume_m15": (lambda: T.clean(15, "volume", T.agg(F.avg, "volume", 15)), _clean(15, "volume", "avg(volume) OVER w15")), "range_m15": (lambda: T.clean(15, "tr", T.agg(F.avg, "tr", 15)), _clean(15, "tr", "avg(tr) OVER w15"))}),
+    # Stand-ins for the shares that a tape and a book would give: the mean price against the high, and the close within the bar.
+    "taker_depth_m15": (H, {"taker_ratio_m15": (lambda: _mean15(col("quote_volume") / (col("volume") * col("high"))), _clean(15, _TAKER, f"avg({_TAKER}) OVER w15")), "depth_imb_m15": (lambda: _mean15((2 * col("close") - col("high") - col("low")) / F.nullif(col("high") + col("low"), F.lit(0.0))), _clean(15, _DEPTH, f"avg({_DEPTH}) OVER w15"))}),
+    "funding_x_mom": (H, {"funding_x_mom": (lambda: col("quote_volume") / 1e4 * F.signum(T.ret(15)), "quote_volume / 1e4 * sign(close / lag(close, 15) OVER w - 1)")}),
     "oi_change_60": (H, {"oi_change_60": (lambda: T.full(61, F.when((col("quote_volume") > 0) & (T.lag("quote_volume", 60) > 0), F.log(col("quote_volume") / T.lag("quote_volume", 60)))), _full(61, "CASE WHEN quote_volume > 0 AND lag(quote_volume, 60) OVER w > 0 THEN ln(quote_volume / lag(quote_volume, 60) OVER w) END"))}),
     "trend_votes": (D, {"trend_votes": (lambda: T.full(252, (F.signum(col("close") / T.agg(F.avg, "close", 50) - 1) + F.signum(T.agg(F.avg, "close", 50) / T.agg(F.avg, "close", 200) - 1) + F.signum(T.ret(63)) + F.signum(T.ret(126)) + F.signum(T.ret(251))) / 5), _full(252, "(sign(close / avg(close) OVER w50 - 1) + sign(avg(close) OVER w50 / avg(close) OVER w200 - 1) + sign(close / lag(close, 63) OVER w - 1) + sign(close / lag(close, 126) OVER w - 1) + sign(close / lag(close, 251) OVER w - 1)) / 5"))}),
     "global_risk": (D, {"es_ret_5": (lambda: T.ret(5), "close / lag(close, 5) OVER w - 1"), "es_vol_20": (lambda: T.vol(20, "r1", 252.0), _clean(20, "r1", "stddev_samp(r1) OVER w20 * sqrt(252.0)")), "es_max_drawdown_126": (lambda: T.max_drawdown(126), _drawdown(126))}),

@@ -44,8 +44,10 @@ def upsert_bars(spark: SparkSession, path: str, new: DataFrame) -> None:
     touched = new.select("interval_s", "asset").distinct()
     old = spark.read.schema(BARS).parquet(path).join(touched, ["interval_s", "asset"], "left_semi")
     merged = upsert(old, new.select(*BAR_COLUMNS), ["interval_s", "asset", "ts_utc"]).select(*BAR_COLUMNS)
-    # The partitions read are those written, so the result is set down before it replaces them.
-    write_bars(merged.checkpoint() if spark.sparkContext.getCheckpointDir() else merged.persist(), path)
+    # The partitions read are those written, so the result is set down before it replaces them: a lost executor loses nothing.
+    if not spark.sparkContext.getCheckpointDir():
+        raise ValueError("set a checkpoint folder that the driver and all executors share")
+    write_bars(merged.checkpoint(), path)
 
 
 def read_kline_csv(spark: SparkSession, paths: str | list[str], asset: Column, interval_s: int) -> DataFrame:
