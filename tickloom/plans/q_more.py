@@ -175,3 +175,31 @@ def resume_from_mark(spark, sf_dir):
     for _ in range(2):
         rows.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{path}/out")
+
+
+@register("read_kline_csv", f"WITH {base.HB0} SELECT asset, ts, open, high, low, close, volume, quote_volume, trades FROM hb0")
+def read_kline_csv(spark, sf_dir):
+    """Bars written as CSV files by asset, some with a heading, times in seconds, milliseconds or microseconds, lines repeated; read back strictly."""
+    b, path = base.hourly(spark, sf_dir), ST.shared_path(spark, "klines")
+    s = F.unix_seconds(col("ts").cast("timestamp"))
+    unit = F.pmod(F.floor(s / 3600), F.lit(3))
+    time = F.when(unit == 0, s).when(unit == 1, s * 1000).otherwise(s * 1_000_000)
+    text = lambda x: col(x).cast("string").alias(x)
+    rows = b.select("asset", time.cast("string").alias("open_time"), *map(text, ("open", "high", "low", "close", "volume")), F.lit("0").alias("close_time"), text("quote_volume"), text("trades"), F.lit("x").alias("rest"))
+    rows.union(rows.where(unit == 1)).write.partitionBy("asset").csv(f"{path}/a", header=True)
+    rows.where("asset = 'CLICK'").write.partitionBy("asset").csv(f"{path}/b")
+    both = [R.read_kline_csv(spark, f"{path}/{x}", col("asset"), 3600) for x in ("a", "b")]
+    out = both[0].union(both[1]).dropDuplicates(["asset", "ts_utc"])
+    return out.select("asset", base.ntz(col("ts_utc")).alias("ts"), "open", "high", "low", "close", "volume", "quote_volume", "trades")
+
+
+@register("read_matrix", f"WITH {base.MX} SELECT asset, strftime(ts, '%Y-%m') AS month, price, qty FROM mx")
+def read_matrix(spark, sf_dir):
+    """A matrix written as JSON lines with its manifest among them, and read back with the features that the manifest names."""
+    path = f"{ST.shared_path(spark, 'matrix')}/m"
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = base.monthly(spark, sf_dir).select(none("string").alias("kind"), none("string").alias("version"), none("array<string>").alias("features"), "asset", F.date_format("ts", "yyyy-MM").alias("month"), "price", "qty")
+    manifest = spark.range(1).select(F.lit("manifest").alias("kind"), F.lit("1").alias("version"), F.array(F.lit("price"), F.lit("qty")).alias("features"), none("long"), none("string"), none("double"), none("double"))
+    R.write_jsonl(rows.union(manifest), path)
+    data, head = R.read_matrix(spark, path, "asset long, month string, price double, qty double")
+    return data.select("asset", "month", *B.validate_selection(data, head.first().features))

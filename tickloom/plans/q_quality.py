@@ -223,7 +223,13 @@ def read_html_messages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(R.html_links("html")).alias("links"), F.size(F.regexp_extract_all("html", F.lit(r"(?is)<tr\b"), F.lit(0))).alias("table_rows"))
 
 
-@register("read_html_text")
+_HTML_TEXT = r"""WITH h AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g') AS h FROM pages),
+  b AS (SELECT page_id, coalesce(nullif(regexp_extract(h, '(?is)<div[^>]*id="view-body"[^>]*>(.*?)</div>', 1), ''), nullif(regexp_extract(h, '(?is)<pre\b[^>]*>(.*?)</pre>', 1), ''), nullif(regexp_extract(h, '(?is)<body\b[^>]*>(.*)</body>', 1), ''), h) AS b FROM h),
+  t AS (SELECT page_id, regexp_replace(regexp_replace(b, '(?is)<[^>]*>', ' ', 'g'), '[\s\x0b]+', ' ', 'g') AS t FROM b)
+  SELECT page_id, trim(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')) AS text FROM t"""
+
+
+@register("read_html_text", _HTML_TEXT)
 def read_html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", R.html_text("html").alias("text"))
 
@@ -355,11 +361,11 @@ def issuer_key(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", S.issuer_key(F.concat("s_name", F.lit(" AB ser. B")), ["ab", "publ"], ["a", "b", "ser"]).alias("key"))
 
 
-@register("extract_metric_pairs", "SELECT o_orderkey, round(floor(o_totalprice), 2) AS current, round(floor(o_totalprice / 2), 2) AS prior, round((floor(o_totalprice) - floor(o_totalprice / 2)) / floor(o_totalprice / 2), 6) AS growth FROM orders WHERE o_totalprice >= 1000")
+@register("extract_metric_pairs", "SELECT o_orderkey, round(floor(o_totalprice), 2) AS current, round(floor(o_totalprice / 2), 2) AS prior, round((floor(o_totalprice) - floor(o_totalprice / 2)) / nullif(floor(o_totalprice / 2), 0), 6) AS growth FROM orders")
 def extract_metric_pairs(spark, sf_dir):
     text = F.concat(F.lit("Report. Net sales amounted to SEK "), F.floor("o_totalprice").cast("string"), F.lit(" ("), F.floor(col("o_totalprice") / 2).cast("string"), F.lit(") this year"))
     current, prior = S.pair_values(text, "net sales|nettoomsättning")
-    return table(spark, sf_dir, "orders").where("o_totalprice >= 1000").select("o_orderkey", current.alias("current"), prior.alias("prior"), F.round(S.growth(current, prior), 6).alias("growth"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", current.alias("current"), prior.alias("prior"), F.round(S.growth(current, prior), 6).alias("growth"))
 
 
 @register("coalesce_supplements", "SELECT o_custkey, coalesce(max(o_totalprice) FILTER (o_orderstatus = 'F'), max(o_totalprice) FILTER (o_orderstatus = 'O'), max(o_totalprice)) AS v FROM orders GROUP BY 1")
