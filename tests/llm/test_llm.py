@@ -246,6 +246,30 @@ def test_mixing(spark):
     assert mixing.mixed_documents(docs, block=50).columns == docs.columns and mixing.mix(docs.limit(0))[0].count() == 0
 
 
+def test_schedule_against_plain_golden_points(spark):
+    """Slots draw from the source in whose interval their golden-ratio point falls; ranks count a source's slots; what is short closes at the end."""
+    block, goal, size = 100, [3_150.0, 820.5, 1_999.0, 40.0], [2_000, 900, 1_000, 20]
+    goals = spark.createDataFrame([(i + 1, g, s) for i, (g, s) in enumerate(zip(goal, size))], "n long, target double, source_size long")
+    got = collections.defaultdict(list)
+    for r in mixing.schedule(goals, block).collect():
+        got[r.n].append((r.slot, r.rank))
+    need = [math.floor(g) // s * math.ceil(s / block) + math.ceil(math.floor(g) % s / block) for g, s in zip(goal, size)]
+    bounds = np.round(np.cumsum([0, *goal]) / sum(goal) * 2**32)
+    want, count = collections.defaultdict(list), math.ceil(sum(goal) / block)
+    for slot in range(count):
+        n = int(np.searchsorted(bounds, slot * mixing.GOLDEN % 2**32, "right"))
+        if len(want[n]) < need[n - 1]:
+            want[n].append((slot, len(want[n])))
+    for n, slots in got.items():
+        slots.sort(key=lambda x: x[1])
+        assert slots[: len(want[n])] == want[n] and [r for _, r in slots] == list(range(need[n - 1])) and all(s >= count for s, _ in slots[len(want[n]) :])
+    # Low discrepancy: after any number of slots each source is near its share.
+    for n, slots in want.items():
+        if goal[n - 1] / size[n - 1] <= 2 and len(slots) < need[n - 1]:
+            for i, (slot, rank) in enumerate(slots):
+                assert abs(i - slot * goal[n - 1] / sum(goal)) <= 3
+
+
 def test_classifiers(spark):
     rng = np.random.default_rng(8)
     plain, bad = [f"word{i}" for i in range(300)], ["scoundrel", "nitwit"]
