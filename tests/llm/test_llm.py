@@ -96,6 +96,20 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(vectors(spark, rows).limit(0), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("unit", [1.0, 40.0, 1e5, 2.2e6])
+def test_top_k_of_wide_integers(spark, monkeypatch, unit):
+    """Narrow and wide integer types, strips smaller than a block, sums beyond 2**53."""
+    monkeypatch.setattr(topk, "STRIP", 3)
+    x = [[unit], [-unit], [unit / 3], [-unit / 7], [0.0], [unit], [-32.0], [31.999]]
+    rows = [(i, v, 0, "s") for i, v in enumerate(x)]
+    ints = [math.floor(1024 * float(np.float32(v[0]))) for v in x]
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(vectors(spark, rows), F.col("vec_id") >= 0, k=3).collect()}
+    assert len(got) == 24
+    for q, a in enumerate(ints):
+        best = sorted((-a * b, i) for i, b in enumerate(ints) if i != q)[:3]
+        assert [got[q, k + 1] for k in range(3)] == [(i, -s) for s, i in best]
+
+
 def test_pivot_index_against_brute_force(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(120, 16))

@@ -1,7 +1,8 @@
 """Exact top-k search: tiles of queries times shards of candidates, merged as a tree.
 
-Vectors become integers; query blocks and candidate shards meet in a grid of tiles, each a matrix
-product with a partial selection of k per query.  The tiles' lists merge in two levels.
+Vectors become integers of the narrowest type that holds them; query blocks and candidate shards
+meet in a grid of tiles, each a matrix product with a partial selection of k per query.  The tiles'
+lists merge in two levels.  A shard is sent once to each query block.
 """
 
 from __future__ import annotations
@@ -11,7 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, SHARD = 1_024, 4_096
+from .common import stage
+
+QUERY_BLOCK, SHARD = 8_192, 4_096
+#: Queries multiplied with a shard at once.
+STRIP = 1_024
 FAN_IN = 16
 
 
@@ -21,8 +26,14 @@ def usable(column: str = "embedding") -> "F.Column":
 
 
 def _blocks(df: DataFrame, number: str, rows_in: str) -> DataFrame:
-    """One row for each block: its ids and its vectors, in the same order."""
-    return df.groupBy(number).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias(rows_in))
+    """One row for each block: its vectors with their ids, in any order."""
+    return df.groupBy(number).agg(F.collect_list(F.struct("vec_id", "v")).alias(rows_in))
+
+
+def _narrowest(least: int | None, most: int | None) -> str:
+    """The smallest integer type from ``least`` to ``most``."""
+    bits = max((x if x >= 0 else ~x).bit_length() for x in (least or 0, most or 0))
+    return "smallint" if bits < 16 else "int" if bits < 32 else "bigint"
 
 
 def top_k(vectors: DataFrame, is_query: "F.Column", *, k: int = 10, scale: int = 1024, query_block: int = QUERY_BLOCK, shard: int = SHARD) -> DataFrame:
@@ -34,10 +45,11 @@ def top_k(vectors: DataFrame, is_query: "F.Column", *, k: int = 10, scale: int =
     Rows that repeat exactly count once.  Where one id has several vectors, each is a candidate and
     the least is the query.  Ties go to the smaller vec_id.  Integer sums are exact below 2**63.
     """
-    rows = vectors.where(F.col("vec_id").isNotNull() & usable()).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v")).distinct()
+    rows = stage(vectors.where(F.col("vec_id").isNotNull() & usable()).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v")).distinct(), "integers")
+    size = rows.agg(F.count("*").alias("all"), F.count_if(is_query).alias("queries"), F.min(F.array_min("v")).alias("least"), F.max(F.array_max("v")).alias("most")).first()
+    rows = rows.withColumn("v", F.col("v").cast(f"array<{_narrowest(size.least, size.most)}>"))
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_all, n_queries = rows.count(), queries.count()
-    c, q = max(1, -(-n_all // shard)), max(1, -(-n_queries // query_block))
+    c, q = max(1, -(-size["all"] // shard)), max(1, -(-size.queries // query_block))
     shards = _blocks(rows.withColumn("c", F.pmod(F.xxhash64("vec_id", "v"), F.lit(c))), "c", "candidates")
     blocks = _blocks(queries.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(q))), "q", "queries")
     # A grid, not a product of rows: each block goes once to each tile of its row or column.
@@ -75,10 +87,14 @@ def _tile(a, b, k: int):
             continue
         ids, y = right[n]
         # Doubles hold the sums exactly below 2**53 and use fast products; beyond, integers.
-        exact = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * n < 2**53
-        score = (x.astype(np.float64) @ y.astype(np.float64).T).astype(np.int64) if exact else x @ y.T
+        fx, fy = x.astype(np.float64), y.astype(np.float64)
+        exact = np.abs(fx).max(initial=0) * np.abs(fy).max(initial=0) * n < 2**53
+        if not exact:
+            fx, fy = x.astype(np.int64), y.astype(np.int64)
         for i, query in enumerate(queries):
-            s, own = score[i], ids != query
+            if i % STRIP == 0:
+                score = (fx[i : i + STRIP] @ fy.T).astype(np.int64)
+            s, own = score[i % STRIP], ids != query
             s, d = s[own], ids[own]
             if len(s) > k:
                 keep = s >= np.partition(s, len(s) - k)[len(s) - k]
