@@ -151,16 +151,16 @@ def parse_number(text) -> Column:
 
 
 def parse_date_text(text) -> Column:
-    """'12 March 2024', 'March 12, 2024', '12 mars 2024' or '12/03/2024' (day first) as a date, else null."""
+    """The first '12 March 2024', else 'March 12, 2024', '12 mars 2024' or '12/03/2024' (day first) as a date; null without one that exists."""
     t = F.lower(c(text))
-    day_first, month_first = r"(\d{1,2})\s+(\p{L}+)\s+(\d{4})", r"(\p{L}+)\s+(\d{1,2}),?\s+(\d{4})"
-    slashed = r"(\d{1,2})/(\d{1,2})/(\d{4})"
-    month = lambda name: F.coalesce(F.when(name.isin(MONTHS_EN), F.array_position(F.array(*map(F.lit, MONTHS_EN)), name)), F.when(name.isin(MONTHS_SV), F.array_position(F.array(*map(F.lit, MONTHS_SV)), name)))
+    names = "|".join([*MONTHS_EN, *MONTHS_SV])
+    day_first, month_first, slashed = rf"(\d{{1,2}})\s+({names})\s+(\d{{4}})", rf"({names})\s+(\d{{1,2}}),?\s+(\d{{4}})", r"(\d{1,2})/(\d{1,2})/(\d{4})"
+    place = lambda name: F.greatest(*(F.array_position(F.array(*map(F.lit, m)), name) for m in (MONTHS_EN, MONTHS_SV))).cast("string")
     part = lambda p, i: F.regexp_extract(t, p, i)
-    made = lambda y, m, d: F.to_date(F.concat_ws("-", y, F.lpad(m.cast("string"), 2, "0"), F.lpad(d, 2, "0")))
+    made = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
     return F.coalesce(
-        F.when(t.rlike(day_first) & month(part(day_first, 2)).isNotNull(), made(part(day_first, 3), month(part(day_first, 2)), part(day_first, 1))),
-        F.when(t.rlike(month_first) & month(part(month_first, 1)).isNotNull(), made(part(month_first, 3), month(part(month_first, 1)), part(month_first, 2))),
+        F.when(t.rlike(day_first), made(part(day_first, 3), place(part(day_first, 2)), part(day_first, 1))),
+        F.when(t.rlike(month_first), made(part(month_first, 3), place(part(month_first, 1)), part(month_first, 2))),
         F.when(t.rlike(slashed), made(part(slashed, 3), part(slashed, 2), part(slashed, 1))),
     )
 

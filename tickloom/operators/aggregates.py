@@ -32,10 +32,22 @@ def effective_spread(pairs: DataFrame, keys: list[str], ask: str, bid: str, anch
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, least: int = 1) -> DataFrame:
-    """The value at place n / 2 of the sorted values, from 0; null below ``least`` values."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(c(value).isNotNull()).withColumn("k", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    return ranked.groupBy(*keys).agg(F.max(F.when((F.col("k") == F.floor(F.col("n") / 2)) & (F.col("n") >= least), c(value))).alias("median"), F.max("n").alias("n"))
+    """The value at place n / 2 of the sorted values, from 0; null below ``least`` values.
+
+    A sketch of each key with many rows brackets the place (error 0.01 % of its rows, bracket 1 % on
+    either side); rows below are counted where they lie, and only values inside are sorted.  Null
+    values are left out; a null key is a key.
+    """
+    x = df.where(c(value).isNotNull()).select(*keys, c(value).alias("m_v"))
+    edges = F.percentile_approx("m_v", [0.49, 0.51], 10_000)
+    b = x.groupBy(*(F.col(k).alias(f"m_{i}") for i, k in enumerate(keys))).agg(F.count("*").alias("n"), edges.alias("m_e"), F.min("m_v").alias("m_min"), F.max("m_v").alias("m_max"))
+    many = F.col("n") >= 1_000
+    b = b.withColumns({"m_lo": F.when(many, F.col("m_e")[0]).otherwise(F.col("m_min")), "m_hi": F.when(many, F.col("m_e")[1]).otherwise(F.col("m_max"))}).drop("m_e", "m_min", "m_max")
+    near = x.join(b, [F.col(k).eqNullSafe(F.col(f"m_{i}")) for i, k in enumerate(keys)]).where("m_v <= m_hi")
+    counts = near.groupBy(*keys, "n", F.when(F.col("m_v") >= F.col("m_lo"), F.col("m_v")).alias("m_v")).agg(F.count("*").alias("m_n"))
+    upto = F.sum("m_n").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("m_v")))
+    found = counts.withColumn("m_upto", upto).where(F.col("m_upto") > F.floor(F.col("n") / 2))
+    return found.groupBy(*keys).agg(F.min(F.when(F.col("n") >= least, F.col("m_v"))).alias("median"), F.max("n").alias("n"))
 
 
 def position_fold(fills: DataFrame, keys: list[str], order: list[str], qty: str, price: str) -> DataFrame:

@@ -18,12 +18,13 @@ def micros(ts) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: Column, right_on: Column, name: str, values: list[str], *, tolerance_s: float | None = None, strict: bool = False, span_s: int = 30 * DAY_S) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: Column, right_on: Column, name: str, values: list[str], *, tolerance_s: float | None = None, strict: bool = False, span_s: int = DAY_S) -> DataFrame:
     """Add ``name``: a struct of the last right row (``values`` and its time ``t``, microseconds) not after the left row.
 
     ``left_on`` and ``right_on`` are times in microseconds; ``strict`` takes earlier rows only; rows
     older than ``tolerance_s`` give null.  Among right rows of one time the largest values count.
     Left rows keep all their columns and their number; a null time or key matches nothing.
+    A task sorts one key's rows within ``span_s`` seconds, and one row for each of its spans.
     """
     row = F.struct(right_on.alias("t"), *values)
     r = right.where(right_on.isNotNull()).groupBy(*keys, right_on.alias("j_t")).agg(F.max(row).alias("j_r"))

@@ -48,15 +48,21 @@ def longest_run(df: DataFrame, ts: str, flag: str) -> DataFrame:
     return runs.orderBy(F.desc("width"), "first").limit(1).select("width", "first", "last")
 
 
+def drawn(*parts) -> Column:
+    """A number below 2**32, spread evenly: the first 32 bits of MD5 of the parts as text."""
+    text = F.concat_ws(":", *(c(x).cast("string") for x in parts))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def block_bootstrap(df: DataFrame, ts: str, r: str, b: str, iterations: int, block: int, seed: int = 17) -> DataFrame:
     """Paired circular block resample of the difference of Sharpe ratios: quantiles and share above zero.
 
-    Each iteration draws hashed starts; days come by an equi-join on their number.
+    Each iteration draws starts from MD5 of seed, iteration and place; days come by an equi-join on their number.
     """
     x = df.where(c(b).isNotNull()).withColumn("i", F.row_number().over(Window.orderBy(ts)) - 1)
     n = x.agg(F.count("*").alias("n"))
     draws = df.sparkSession.range(iterations).withColumnRenamed("id", "it").join(F.broadcast(n)).withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(col("n") / block).cast("int") - 1)))
-    days = draws.withColumn("start", F.pmod(F.xxhash64("it", "k", F.lit(seed)), "n")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(col("k") * block + col("j") < col("n")).select("it", F.pmod(col("start") + col("j"), "n").cast("int").alias("i"))
+    days = draws.withColumn("start", F.pmod(drawn(F.lit(seed), "it", "k"), "n")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(col("k") * block + col("j") < col("n")).select("it", F.pmod(col("start") + col("j"), "n").cast("int").alias("i"))
     sharpe = lambda v: F.avg(v) / F.stddev_samp(v)
     per = days.join(x, "i").groupBy("it").agg((sharpe(r) - sharpe(b)).alias("d"))
     return per.agg(F.count("*").alias("iterations"), F.round(F.percentile("d", 0.05), 6).alias("p05"), F.round(F.percentile("d", 0.5), 6).alias("p50"), F.round(F.percentile("d", 0.95), 6).alias("p95"), F.round(F.avg((col("d") > 0).cast("int")), 6).alias("positive"))
@@ -67,9 +73,9 @@ def permutation_null(df: DataFrame, ts: str, id: str, x: str, y: str, seeds: int
     w = Window.partitionBy("seed", ts)
     many = df.select(ts, id, x, y).withColumn("seed", F.explode(F.sequence(F.lit(-1), F.lit(seeds - 1))))
     left = many.withColumn("p", F.row_number().over(w.orderBy(id)))
-    right = many.select("seed", ts, F.row_number().over(w.orderBy(F.when(col("seed") < 0, 0).otherwise(F.xxhash64("seed", id)), id)).alias("p"), c(y).alias("shuffled"))
+    right = many.select("seed", ts, F.row_number().over(w.orderBy(F.when(col("seed") < 0, F.lit(0)).otherwise(drawn("seed", id)), id)).alias("p"), c(y).alias("shuffled"))
     ic = rank_ic(left.join(right, ["seed", ts, "p"]), ["seed", ts], x, "shuffled", 10)
-    return ic.groupBy("seed").agg(F.count("ic").alias("dates"), F.round(F.avg("ic"), 6).alias("mean_ic"))
+    return ic.groupBy("seed").agg(F.count("ic").alias("dates"), (F.round(F.avg("ic"), 6) + 0.0).alias("mean_ic"))
 
 
 def phase_combine(df: DataFrame, phase: str, ts: str, nav: str, phases: int) -> DataFrame:

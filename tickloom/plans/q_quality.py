@@ -247,9 +247,25 @@ def read_listing_history(spark, sf_dir):
 
 @register("read_equity_notice")
 def read_equity_notice(spark, sf_dir):
-    text = R.html_text("html")
-    isins = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r"\b([A-Z]{2}[A-Z0-9]{9}[0-9])\b"), F.lit(1)), lambda x: S.isin_valid(x)))
-    return table(spark, sf_dir, "pages").select("page_id", isins.alias("isins"), S.classify_text(text, [("admission", "admitted|first day of trading"), ("removal", "delist|last day of trading")]).alias("kind"))
+    n = R.notices(table(spark, sf_dir, "pages"), "html")
+    kind = S.classify_text(R.html_text("html"), [("admission", "admitted|first day of trading"), ("removal", "delist|last day of trading")])
+    return n.select("page_id", "short_names", "isins", "order_book_ids", "first_day", "last_day", kind.alias("kind"))
+
+
+@register("read_notice_tables", """SELECT p_partkey AS id, upper(p_name) AS short_names, CASE WHEN p_partkey % 3 = 0 THEN 'SE0000108656,US0378331005' ELSE 'US0378331005' END AS isins,
+    p_partkey::VARCHAR AS order_book_ids, CASE WHEN p_partkey % 2 = 0 THEN DATE '2024-01-01' + p_size::INT END AS first_day, DATE '2024-03-01' + p_size::INT AS last_day,
+    ['delisting', 'segment_change', 'identity_change', 'resumption', 'suspension', 'listing', 'other'][(p_partkey % 7 + 1)::INT] AS kind FROM part""")
+def read_notice_tables(spark, sf_dir):
+    """One notice for every part: labelled cells in its view body, the last day in words, a false ISIN and other cells beside."""
+    heads = ["De-listing of", "Transfer to Nasdaq Stockholm:", "Change of name for", "Lift of suspension in", "Trading halt in", "Listing of", "Report of"]
+    td = lambda *xs: F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td> "), x, F.lit("</td>")) for x in xs), F.lit("</tr>"))
+    day = lambda first: F.date_format(F.date_add(F.to_date(F.lit(first)), col("p_size").cast("int")), "d MMMM yyyy")
+    isins = F.when(col("p_partkey") % 3 == 0, "(SE0000108656), US0378331006").otherwise("US0378331006")
+    rows = F.concat(td(F.lit("Short name:"), F.upper("p_name"), F.lit("Order book <i>ID</i>"), F.concat(col("p_partkey").cast("string"), F.lit(" x1"))), td(F.lit("ISIN code"), isins), F.when(col("p_partkey") % 2 == 0, td(F.lit("First day of trading"), day("2024-01-01"))).otherwise(td(F.lit("Note"))))
+    html = F.concat(F.lit("<html><body><table>"), td(F.lit("Short name"), F.lit("outside")), F.lit('</table><div id="view-body"><table>'), rows, F.lit("</table><p>us0378331005; the last trading day is "), day("2024-03-01"), F.lit(".</p></div></body></html>"))
+    part = table(spark, sf_dir, "part").select(col("p_partkey").alias("id"), html.alias("html"), F.concat_ws(" ", F.get(F.array(*map(F.lit, heads)), (col("p_partkey") % 7).cast("int")), "p_name").alias("headline"))
+    text = [F.array_join(x, ",").alias(x) for x in ("short_names", "isins", "order_book_ids")]
+    return R.notices(part, "html").select("id", *text, "first_day", "last_day", S.classify_text("headline", R.NOTICE_KINDS).alias("kind"))
 
 
 @register("dedupe_documents", "SELECT md5(text) AS key, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1")

@@ -132,12 +132,27 @@ def sharpe_difference_noise(spark, sf_dir):
     return small(spark, sf_dir).where("b is not null").agg(F.round(F.sqrt((1 + 0.5 * F.pow(F.avg("r") / F.stddev_samp("r"), 2)) / F.count("*")), 8).alias("se"), F.round(F.sqrt((2 - 2 * F.corr("r", "b")) / F.count("*")), 8).alias("se_difference"))
 
 
-@register("block_bootstrap")
+_DRAWN = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
+
+
+@register("block_bootstrap", f"""WITH {_SMALL}, y AS (SELECT r, b, row_number() OVER (ORDER BY ts) - 1 AS i FROM x WHERE b IS NOT NULL), n AS (SELECT count(*) AS n FROM y),
+  k AS (SELECT it, unnest(range(0, ((n + 19) // 20)::BIGINT)) AS k, n FROM n, range(200) t(it)),
+  z AS (SELECT it, k, n, {_DRAWN.format("'17:' || it || ':' || k")} % n AS start FROM k),
+  e AS (SELECT it, (start + j) % n AS i FROM z, range(20) t(j) WHERE k * 20 + j < n),
+  p AS (SELECT avg(r) / stddev_samp(r) - avg(b) / stddev_samp(b) AS d FROM e JOIN y USING (i) GROUP BY it)
+  SELECT count(*) AS iterations, round(quantile_cont(d, 0.05), 6) AS p05, round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.95), 6) AS p95, round(avg((d > 0)::INT), 6) AS positive FROM p""")
 def block_bootstrap(spark, sf_dir):
     return S.block_bootstrap(small(spark, sf_dir), "ts", "r", "b", iterations=200, block=20)
 
 
-@register("permutation_null")
+@register("permutation_null", f"""WITH {_SECTOR}, y AS (SELECT *, lead(r) OVER (PARTITION BY asset ORDER BY ts) AS fwd FROM s),
+  m AS (SELECT seed, ts, asset, r, fwd FROM y, range(-1, 20) t(seed) WHERE r IS NOT NULL AND fwd IS NOT NULL),
+  a AS (SELECT seed, ts, r, row_number() OVER (PARTITION BY seed, ts ORDER BY asset) AS p FROM m),
+  b AS (SELECT seed, ts, fwd, row_number() OVER (PARTITION BY seed, ts ORDER BY CASE WHEN seed < 0 THEN 0 ELSE {_DRAWN.format("seed || ':' || asset")} END, asset) AS p FROM m),
+  j AS (SELECT * FROM a JOIN b USING (seed, ts, p)),
+  k AS (SELECT seed, ts, {_avg_rank('r', 'seed, ts')} AS x, {_avg_rank('fwd', 'seed, ts')} AS y FROM j),
+  i AS (SELECT seed, corr(x, y) AS ic FROM k GROUP BY seed, ts HAVING count(*) >= 10)
+  SELECT seed::INT AS seed, count(ic) AS dates, round(avg(ic), 6) + 0.0 AS mean_ic FROM i GROUP BY 1""")
 def permutation_null(spark, sf_dir):
     y = sectors(spark, sf_dir).withColumn("fwd", F.lead("r").over(Window.partitionBy("asset").orderBy("ts"))).where("r is not null and fwd is not null")
     return S.permutation_null(y, "ts", "asset", "r", "fwd", 20)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import c, epoch_timestamp, isin_valid, normalize_text, parse_number
+from ..functions.scalars import c, epoch_timestamp, isin_valid, normalize_text, parse_date_text, parse_number
 
 BARS = "ts_utc timestamp, asset string, interval_s int, open double, high double, low double, close double, volume double, quote_volume double, trades long"
 BAR_COLUMNS = [field.split()[0] for field in BARS.split(", ")]
@@ -103,12 +103,20 @@ def valid_isin_rows(rows: DataFrame, isin: str) -> DataFrame:
     return rows.withColumn(isin, F.when(isin_valid(isin), F.col(isin)).otherwise(F.raise_error(F.concat(F.lit("not an ISIN: "), F.coalesce(F.col(isin), F.lit("null"))))))
 
 
-def html_text(html) -> Column:
-    """Visible text of a page: the view body, else preformatted text, else the body; white space collapsed."""
+def html_body(html) -> Column:
+    """Markup of the view body, else preformatted text, else the body, without scripts, styles and comments."""
     h = F.regexp_replace(c(html), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
     pick = lambda p: F.nullif(F.regexp_extract(h, p, 1), F.lit(""))
-    body = F.coalesce(pick(r'(?is)<div[^>]*id="view-body"[^>]*>(.*?)</div>'), pick(r"(?is)<pre\b[^>]*>(.*?)</pre>"), pick(r"(?is)<body\b[^>]*>(.*)</body>"), h)
-    text = F.regexp_replace(F.regexp_replace(body, r"(?is)<[^>]*>", " "), r"\s+", " ")
+    return F.coalesce(pick(r'(?is)<div[^>]*id="view-body"[^>]*>(.*?)</div>'), pick(r"(?is)<pre\b[^>]*>(.*?)</pre>"), pick(r"(?is)<body\b[^>]*>(.*)</body>"), h)
+
+
+def html_text(html) -> Column:
+    """Visible text of a page's body; white space collapsed."""
+    return _visible(html_body(html))
+
+
+def _visible(markup: Column) -> Column:
+    text = F.regexp_replace(F.regexp_replace(markup, r"(?is)<[^>]*>", " "), r"\s+", " ")
     for mark, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(mark), F.lit(char))
     return F.trim(text)
@@ -151,6 +159,60 @@ def report_body(text) -> Column:
     return normalize_text(text)
 
 
+#: Phrases after which a notice gives a trading day.
+FIRST_DAY = ["first day of trading", "first day for trading", "trading will commence", "admitted to trading on"]
+LAST_DAY = ["last day of trading", "last day for trading", "last trading day", "delisted on"]
+#: Headline phrases by kind of notice, the first kind that matches counts.
+NOTICE_KINDS = [
+    ("delisting", "delisting|de-listing|removal from nasdaq"),
+    ("segment_change", "change of market segment|segment change|transfer to nasdaq stockholm"),
+    ("identity_change", "change of company name|change of name|change of short name|change of ticker|change of isin|new company name"),
+    ("resumption", "lift of suspension|resumption of trading|trading resumes"),
+    ("suspension", "suspension|suspended|trading halt"),
+    ("listing", "listing of|admission to trading|first day of trading|new share for trading"),
+]
+
+
+def tokens(text) -> Column:
+    """Words in capitals, without marks at their ends."""
+    return F.filter(F.transform(F.split(c(text), r"\s+"), lambda x: F.upper(F.regexp_replace(x, "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))), lambda x: x != "")
+
+
+def notice_pairs(html) -> Column:
+    """Label (letters and digits in lower case) and value of each two neighbouring cells of a table row."""
+    rows = F.filter(html_cells(html_body(html)), lambda r: F.size(r) >= 2)
+    return F.flatten(F.transform(rows, lambda r: F.transform(F.sequence(F.lit(1), F.floor(F.size(r) / 2).cast("int")), lambda i: F.struct(F.regexp_replace(F.lower(F.get(r, 2 * i - 2)), "[^a-z0-9]", "").alias("label"), F.get(r, 2 * i - 1).alias("value")))))
+
+
+def trading_day(values: Column, text: Column, phrases: list[str]) -> Column:
+    """The first date among ``values``, else one within 180 characters after the first of ``phrases`` that has one."""
+    listed = F.get(F.filter(F.transform(values, parse_date_text), lambda d: d.isNotNull()), F.lit(0))
+    lower = F.lower(text)
+    after = [F.when(F.contains(lower, F.lit(p)), parse_date_text(F.substr(lower, F.locate(p, lower) + len(p), F.lit(180)))) for p in phrases]
+    return F.coalesce(listed, *after)
+
+
+def notices(pages: DataFrame, html: str) -> DataFrame:
+    """Add short_names, isins, order_book_ids (sorted arrays), first_day and last_day, from labelled cells and, failing them, the text.
+
+    A null page has empty arrays and no days.
+    """
+    p = pages.withColumn("n_pairs", F.coalesce(notice_pairs(html), F.array().cast("array<struct<label: string, value: string>>"))).withColumn("n_text", F.coalesce(html_text(html), F.lit("")))
+    of = lambda pattern: F.transform(F.filter("n_pairs", lambda x: x["label"].rlike(pattern)), lambda x: x["value"])
+    found = lambda a: F.array_sort(F.array_distinct(a))
+    words = F.flatten(F.transform(of("orderbookid"), tokens))
+    p = p.withColumns({
+        "short_names": found(F.filter(of("shortname|shortcode"), lambda x: x != "")),
+        "isins": found(F.filter(tokens("n_text"), isin_valid)),
+        "order_book_ids": found(F.filter(words, lambda x: x.rlike("^[0-9]+$"))),
+        "first_day": trading_day(of("firstdayoftrading"), F.col("n_text"), FIRST_DAY),
+        "last_day": trading_day(of("lastdayoftrading"), F.col("n_text"), LAST_DAY),
+    })
+    return p.drop("n_pairs", "n_text")
+
+
 def recent(spark: SparkSession, url: str, table: str, order: str, id: str, limit: int, **options) -> DataFrame:
-    """Newest rows of an operational table over JDBC, at most ``limit``."""
-    return spark.read.jdbc(url, table, properties={k: str(v) for k, v in options.items()}).orderBy(F.desc(order), F.desc(id)).limit(limit)
+    """Newest rows of an operational table over JDBC, at most ``limit``: the database sorts and cuts, Spark reads ``limit`` rows."""
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
+    newest = f"SELECT * FROM {table} ORDER BY {quoted(order)} DESC, {quoted(id)} DESC FETCH FIRST {int(limit)} ROWS ONLY"
+    return spark.read.format("jdbc").options(**{**options, "url": url, "query": newest}).load()
