@@ -69,12 +69,16 @@ def block_bootstrap(df: DataFrame, ts: str, r: str, b: str, iterations: int, blo
 
 
 def permutation_null(df: DataFrame, ts: str, id: str, x: str, y: str, seeds: int) -> DataFrame:
-    """Mean rank IC of hashed permutations of the outcomes within dates, beside the actual one (seed -1)."""
-    w = Window.partitionBy("seed", ts)
-    many = df.select(ts, id, x, y).withColumn("seed", F.explode(F.sequence(F.lit(-1), F.lit(seeds - 1))))
-    left = many.withColumn("p", F.row_number().over(w.orderBy(id)))
-    right = many.select("seed", ts, F.row_number().over(w.orderBy(F.when(col("seed") < 0, F.lit(0)).otherwise(drawn("seed", id)), id)).alias("p"), c(y).alias("shuffled"))
-    ic = rank_ic(left.join(right, ["seed", ts, "p"]), ["seed", ts], x, "shuffled", 10)
+    """Mean rank IC of drawn permutations of the outcomes within dates, beside the actual one (seed -1).
+
+    Ranks don't depend on the order, so they are taken once; each seed only deals the outcomes' ranks out anew.
+    """
+    k = df.select(ts, id, average_rank(x, [ts]).alias("a"), average_rank(y, [ts]).alias("b"))
+    many = k.select(ts, id, "b", F.explode(F.sequence(F.lit(-1), F.lit(seeds - 1))).alias("seed"))
+    order = F.when(col("seed") < 0, F.lit(0)).otherwise(drawn("seed", id))
+    dealt = many.select("seed", ts, "b", F.row_number().over(Window.partitionBy("seed", ts).orderBy(order, id)).alias("p"))
+    fixed = k.select(ts, "a", F.row_number().over(Window.partitionBy(ts).orderBy(id)).alias("p"))
+    ic = dealt.join(fixed, [ts, "p"]).groupBy("seed", ts).agg(F.corr("a", "b").alias("ic"), F.count("*").alias("n")).where("n >= 10")
     return ic.groupBy("seed").agg(F.count("ic").alias("dates"), (F.round(F.avg("ic"), 6) + 0.0).alias("mean_ic"))
 
 
