@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tickloom.llm import bpe, common, minhash, mixing, pivot_index, quality, sanitise, token_store, topk, toxicity, url_filter
+from tickloom.llm import bpe, common, minhash, mixing, pivot_index, quality, queries, sanitise, token_store, topk, toxicity, url_filter
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string"
@@ -134,6 +134,21 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def brute_groups(texts, n):
+    """The least place of each text's class, by comparing all pairs; ``n`` is the number of rows that idf counts."""
+    value, counts, each = minhash.shingle_counts(*minhash.word_hashes([t or "" for t in texts]))
+    df = collections.Counter(value.tolist())
+    weight = counts * np.array([np.clip(1 + math.log((n + 1) / (df[v] + 1)) / math.log(n + 1), 1, 2) for v in value.tolist()])
+    parts = list(zip(np.split(value, np.cumsum(each)[:-1]), np.split(weight, np.cumsum(each)[:-1])))
+    group = list(range(len(parts)))
+    for i in range(len(parts)):
+        for j in range(i):
+            if minhash.weighted_jaccard(parts[i], parts[j]) >= 0.8:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    return group
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = np.random.default_rng(11)
     words = [f"w{i}" for i in range(400)]
@@ -155,19 +170,10 @@ def test_near_duplicates_against_brute_force(spark):
     texts += [texts[0].upper(), "  " + texts[0], "", "", None, "one", "one", "one two", " ".join(words * 20)]
     rows = docs_of(spark, texts, [*range(len(texts) - 1), None])
     got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(rows, group=8).collect()}
-    value, counts, each = minhash.shingle_counts(*minhash.word_hashes([t or "" for t in texts[:-1]]))
-    df, n = collections.Counter(value.tolist()), len(texts)
-    weight = counts * np.array([np.clip(1 + math.log((n + 1) / (df[v] + 1)) / math.log(n + 1), 1, 2) for v in value.tolist()])
-    parts = list(zip(np.split(value, np.cumsum(each)[:-1]), np.split(weight, np.cumsum(each)[:-1])))
-    group = list(range(len(parts)))
-    for i in range(len(parts)):
-        for j in range(i):
-            if minhash.weighted_jaccard(parts[i], parts[j]) >= 0.8:
-                a, b = sorted((group[i], group[j]))
-                group = [a if g == b else g for g in group]
-    assert [got[i] for i in range(len(parts))] == group and got[None] is None
+    group = brute_groups(texts[:-1], len(texts))
+    assert [got[i] for i in range(len(group))] == group and got[None] is None
     kept = {r.doc_id for r in minhash.near_duplicate_kept(rows).collect()}
-    assert kept == {i for i in range(len(parts)) if group[i] == i} | {None}
+    assert kept == {i for i in range(len(group)) if group[i] == i} | {None}
     assert minhash.near_duplicate_classes(rows.limit(0)).count() == 0
 
 
@@ -639,3 +645,91 @@ def test_url_keys_of_deep_paths_and_domains(spark):
     row = spark.createDataFrame([(f"https://{host}/1/2/3/4/5/6",)], "url string").select(url_filter.keys_of(F.col("url")).alias("k")).first()
     keys = {(k.kind, k.key) for k in row.k}
     assert ("prefix", f"{host}/1/2/3/4/5/6") in keys and ("domain", host) in keys and ("domain", "k.l") in keys and len(keys) == 1 + 11 + 6
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_codec_queries_equal_the_library(spark):
+    """op1 and op7 over the whole table, against the library's ids."""
+    texts = {r.doc_id: r.text or "" for r in common.table(spark, SMALL, "documents").collect()}
+    packed = lambda ids: np.array(ids, "<u4").tobytes()
+    word, start, want = Tokenizer.from_file(WORD), 0, []
+    for i in sorted(texts):
+        ids = [*word.encode(texts[i], add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(packed(ids))))
+        start += len(ids)
+    got = queries.QUERIES["op1_token_store"](spark, SMALL).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == want
+    byte, sha = Tokenizer.from_file(BYTE), lambda b: hashlib.sha256(b).hexdigest()
+    byte.no_truncation(), byte.no_padding()
+    got = {r.doc_id: r for r in queries.QUERIES["op7_bpe"](spark, SMALL).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        ids = byte.encode(t, add_special_tokens=False).ids
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), sha(packed(ids)), sha(byte.decode(ids, skip_special_tokens=False).encode()))
+
+
+@pytest.mark.parametrize("name, limit", [("op9_quality", 0.3), ("op10_toxicity", 0.5)])
+def test_score_queries_cover_the_table(spark, name, limit):
+    ids = [r.doc_id for r in common.table(spark, SMALL, "documents").collect()]
+    got = queries.QUERIES[name](spark, SMALL).collect()
+    assert sorted(r.doc_id for r in got) == sorted(ids)
+    for r in got:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= limit) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_pipeline_run_against_brute_force(spark, monkeypatch):
+    """run() over the whole table; each stage's rows against all pairs, SQL or the library on the rows before it."""
+    import corpus_pipeline
+    import duckdb
+
+    written, stage = {}, corpus_pipeline.stage
+
+    def recorded(df, name):
+        written[name] = stage(df, name)
+        return written[name]
+
+    monkeypatch.setattr(corpus_pipeline, "stage", recorded)
+    monkeypatch.setattr(corpus_pipeline, "discard", lambda *staged: None)
+    got = corpus_pipeline.run(spark, SMALL).collect()
+    rows = {name: df.collect() for name, df in written.items()}
+    docs = common.table(spark, SMALL, "documents")
+    assert list(rows) == [n for n, _ in corpus_pipeline.STAGES[:-1]] and all(df.columns == docs.columns for df in written.values())
+    toxic = {r.doc_id for r in queries.QUERIES["op10_toxicity"](spark, SMALL).collect() if r.predicted}
+    assert sorted(rows["toxicity"], key=lambda r: r.doc_id) == sorted((r for r in docs.collect() if r.doc_id not in toxic), key=lambda r: r.doc_id)
+    before = sorted(rows["toxicity"], key=lambda r: r.doc_id)
+    leaders = [before[i] for i, g in enumerate(brute_groups([r.text for r in before], len(before))) if g == i]
+    assert sorted(rows["near_duplicates"], key=lambda r: r.doc_id) == leaders
+    sql = lambda name, text: duckdb.sql(f"WITH RECURSIVE documents AS (SELECT * FROM '{written[name].staged_at}/*.parquet'), {text.strip().removeprefix('WITH RECURSIVE')}").df()
+    spans = {r.doc_id: r.spans for r in sql("near_duplicates", queries.SQL["op6_sanitise"]).itertuples()}
+    safe = {}
+    for r in leaders:
+        out, at = "", 0
+        for kind, a, z in (x.split(":") for x in spans[r.doc_id].split(",") if x):
+            if int(a) >= at:
+                out += r.text[at : int(a)] + sanitise.MARKS[kind]
+            at = max(at, int(z))
+        safe[r.doc_id] = r.text if r.text is None else out + r.text[at:]
+    assert {r.doc_id: r.text for r in rows["sanitise"]} == safe and len(rows["sanitise"]) == len(leaders) and any("[EMAIL]" in (t or "") for t in safe.values())
+    mixed = sql("sanitise", queries.SQL["op5_mixing"])
+    times = {r.doc_id: int(r.taken / r.size + 0.5) if r.size else 1 for r in mixed.itertuples()}
+    assert collections.Counter(r.doc_id for r in rows["mixing"]) == {i: k for i, k in times.items() if k}
+    byte, sha = Tokenizer.from_file(BYTE), lambda b: hashlib.sha256(b).hexdigest()
+    byte.no_truncation(), byte.no_padding()
+    want = collections.Counter()
+    for r in rows["mixing"]:
+        ids = byte.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(byte.decode(ids, skip_special_tokens=False).encode())] += 1
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
+    for df in written.values():
+        common.discard(df)
+
+
+def test_pipeline_stages_of_an_empty_table(spark):
+    import corpus_pipeline
+
+    docs = docs_of(spark, ["x"]).limit(0)
+    for name, work in corpus_pipeline.STAGES[1:]:
+        out = work(spark, docs, SMALL)
+        assert out.count() == 0 and (name == "bpe" or out.columns == docs.columns)
