@@ -155,6 +155,8 @@ def test_store_and_readers(spark, tmp_path):
     f = tmp_path / "k.csv"
     f.write_text("open_time,open,high,low,close,volume,close_time,quote_volume,trades,rest\n1704067200000,1,2,0.5,1.5,10,0,15,3,x\n1704067200000000,1,2,0.5,1.5,10,0,15,3,x\n1704070800,1,2,0.5,1.5,10,0,15,3,x\n")
     assert R.read_kline_csv(spark, str(f), F.lit("AA"), 3600).count() == 2
+    assert [r.ts_utc.hour for r in R.read_kline_csv(spark, str(f), F.lit("AA"), 3600, "2024-01-01 01:00:00").collect()] == [1]
+    assert [r.ts_utc.hour for r in R.read_kline_csv(spark, str(f), F.lit("AA"), 3600, "2024-01-01", "2024-01-01 01:00:00").collect()] == [0]
     (tmp_path / "m.jsonl").write_text('{"kind":"manifest","version":"1","features":["x"]}\n{"x":1.5}\n')
     data, manifest = R.read_matrix(spark, str(tmp_path / "m.jsonl"), "x double")
     assert data.first().x == 1.5 and manifest.first().features == ["x"]
@@ -278,3 +280,23 @@ def test_upper_median_of_large_and_small_keys(spark):
     rows = [(k, v) for k, vs in values.items() for v in vs] + [("hot", None), ("none", None)]
     got = {r.k: (r.median, r.n) for r in A.upper_median(spark.createDataFrame(rows, "k string, v double").repartition(4), ["k"], "v", 2).collect()}
     assert got == {k: (sorted(vs)[len(vs) // 2] if len(vs) >= 2 else None, len(vs)) for k, vs in values.items()}
+
+
+def test_position_fold_against_plain_fold(spark):
+    """Adds, reductions, crossings and closings over many spans, null keys, fills without quantity."""
+    rng = np.random.default_rng(4)
+    rows = [(k, i // 7, i, float(rng.choice([-3, -2, -1, 1, 2, 3])), float(rng.uniform(1, 9))) for k in ("A", "B", None) for i in range(400)]
+    rows += [("C", 0, 0, 2.0, 5.0), ("C", 1, 1, -2.0, 6.0), ("D", 0, 0, 0.3, 2.0), ("D", 0, 1, -0.1, 7.0), ("D", 3, 2, -0.2, 7.0), ("D", 4, 3, -0.5, 4.0), ("A", 9, 65, None, 1.0)]
+    want = {}
+    for k, _, _, f, px in sorted((r for r in rows if r[3] is not None), key=lambda r: (r[0] or "", r[2])):
+        q, p = want.get(k, (0.0, 0.0))
+        n = q + f
+        if abs(n) < 1e-12:
+            want[k] = (0.0, 0.0)
+        elif abs(q) < 1e-12 or (q > 0) == (f > 0):
+            want[k] = (n, (q * p + f * px) / n)
+        else:
+            want[k] = (n, px if (n > 0) != (q > 0) else p)
+    d = spark.createDataFrame(rows, "k string, day int, i int, q double, px double").repartition(5)
+    got = {r.k: (r.qty, r.avg_price) for r in A.position_fold(d, ["k"], ["i"], "q", "px", span=F.col("day")).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)

@@ -50,24 +50,35 @@ def upper_median(df: DataFrame, keys: list[str], value: str, least: int = 1) ->
     return found.groupBy(*keys).agg(F.min(F.when(F.col("n") >= least, F.col("m_v"))).alias("median"), F.max("n").alias("n"))
 
 
-def position_fold(fills: DataFrame, keys: list[str], order: list[str], qty: str, price: str) -> DataFrame:
+def position_fold(fills: DataFrame, keys: list[str], order: list[str], qty: str, price: str, *, span: Column) -> DataFrame:
     """Signed quantity and average price by key from ordered fills.
 
     Adding averages the price by weight, reducing keeps it, crossing zero starts at the fill's
-    price, and a closed position has none.  A key's fills are folded in one row of one task: they
-    are what one account traded in one asset.
+    price, and a closed position has none.  ``span`` never falls along the order (such as the day):
+    the fills of a key and span become one affine map of the price before them, and a key's maps
+    are applied one after another, so that no task holds all fills of a key.  Fills without a
+    quantity are left out.
     """
-    seq = F.array_sort(F.collect_list(F.struct(*order, c(qty).cast("double").alias("q"), c(price).cast("double").alias("p"))))
-    zero = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("p"))
-
-    def step(a, f):
-        q = a["q"] + f["q"]
-        same = (a["q"] == 0) | (F.signum(a["q"]) == F.signum(f["q"]))
-        flipped = F.signum(q) != F.signum(a["q"])
-        price_ = F.when(F.abs(q) < 1e-12, 0.0).when(same, (a["q"] * a["p"] + f["q"] * f["p"]) / q).when(flipped, f["p"]).otherwise(a["p"])
-        return F.struct(q.alias("q"), price_.alias("p"))
-
-    return fills.groupBy(*keys).agg(F.aggregate(seq, zero, step).alias("s")).select(*keys, F.col("s.q").alias("qty"), F.col("s.p").alias("avg_price"))
+    f = fills.where(c(qty).isNotNull()).select(*keys, span.alias("f_span"), F.struct(*order, c(qty).cast("double").alias("q"), c(price).cast("double").alias("p")).alias("f_row"))
+    sums = f.groupBy(*(F.col(k).alias(f"f_{i}") for i, k in enumerate(keys)), F.col("f_span").alias("f_at")).agg(F.sum("f_row.q").alias("f_sum"))
+    earlier = Window.partitionBy(*(f"f_{i}" for i in range(len(keys)))).orderBy("f_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("f_before", F.coalesce(F.sum("f_sum").over(earlier), F.lit(0.0))).drop("f_sum")
+    parts = f.groupBy(*keys, "f_span").agg(F.array_sort(F.collect_list("f_row")).alias("f_rows"))
+    parts = parts.join(sums, [F.col("f_span").eqNullSafe(F.col("f_at")), *(F.col(k).eqNullSafe(F.col(f"f_{i}")) for i, k in enumerate(keys))])
+    none = lambda q: F.abs(q) < 1e-12
+
+    def step(m, fill):
+        q = m["q"] + fill["q"]
+        adds = none(m["q"]) | (F.signum(m["q"]) == F.signum(fill["q"]))
+        crosses = F.signum(q) != F.signum(m["q"])
+        by = F.when(none(q), 0.0).when(adds, m["q"] / q).when(crosses, 0.0).otherwise(1.0)
+        plus = F.when(none(q), 0.0).when(adds, fill["q"] * fill["p"] / q).when(crosses, fill["p"]).otherwise(0.0)
+        return F.struct(q.alias("q"), (by * m["by"]).alias("by"), (by * m["plus"] + plus).alias("plus"))
+
+    start = F.struct(F.col("f_before").alias("q"), F.lit(1.0).alias("by"), F.lit(0.0).alias("plus"))
+    maps = parts.select(*keys, F.struct("f_span", F.aggregate("f_rows", start, step).alias("m")).alias("f_map"))
+    whole = maps.groupBy(*keys).agg(F.array_sort(F.collect_list("f_map")).alias("f_maps"))
+    return whole.select(*keys, F.element_at("f_maps", -1)["m"]["q"].alias("qty"), F.aggregate("f_maps", F.lit(0.0), lambda p, x: x["m"]["by"] * p + x["m"]["plus"]).alias("avg_price"))
 
 
 def zero_filled_days(df: DataFrame, day: str, value: Column) -> DataFrame:

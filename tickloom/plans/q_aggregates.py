@@ -175,7 +175,7 @@ _SIGNED = "CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END"
 def position_fold(spark, sf_dir):
     q = F.when(col("l_returnflag") == "R", -col("l_quantity")).otherwise(col("l_quantity"))
     f = table(spark, sf_dir, "lineitem").select(col("l_suppkey").alias("asset"), "l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", q.alias("qty_"), (col("l_extendedprice") / col("l_quantity")).alias("px"))
-    out = A.position_fold(f, ["asset"], ["l_shipdate", "l_orderkey", "l_partkey", "l_linenumber"], "qty_", "px")
+    out = A.position_fold(f, ["asset"], ["l_shipdate", "l_orderkey", "l_partkey", "l_linenumber"], "qty_", "px", span=F.date_trunc("month", "l_shipdate"))
     return out.withColumn("avg_price", F.round("avg_price", 4))
 
 

@@ -50,12 +50,16 @@ def upsert_bars(spark: SparkSession, path: str, new: DataFrame) -> None:
     write_bars(merged.checkpoint(), path)
 
 
-def read_kline_csv(spark: SparkSession, paths: str | list[str], asset: Column, interval_s: int) -> DataFrame:
-    """Bars from header-optional CSV lines; the unit of the time goes by its size; one row for each time."""
+def read_kline_csv(spark: SparkSession, paths: str | list[str], asset: Column, interval_s: int, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Bars from header-optional CSV lines, from ``start`` on and before ``end``; the unit of the time goes by its size; one row for each time."""
     rows = spark.read.schema(KLINE).csv(paths).where(F.col("open_time").rlike("^[0-9]+$"))
     number = lambda x: F.col(x).cast("double").alias(x)
     bars = rows.select(epoch_timestamp(F.col("open_time").cast("long")).alias("ts_utc"), asset.alias("asset"), F.lit(interval_s).alias("interval_s"), *map(number, ("open", "high", "low", "close", "volume", "quote_volume")), F.col("trades").cast("long").alias("trades"))
     values = bars.columns[3:]
+    if start is not None:
+        bars = bars.where(F.col("ts_utc") >= F.lit(start).cast(bars.schema["ts_utc"].dataType))
+    if end is not None:
+        bars = bars.where(F.col("ts_utc") < F.lit(end).cast(bars.schema["ts_utc"].dataType))
     return bars.where("ts_utc is not null").groupBy("ts_utc", "asset", "interval_s").agg(F.min(F.struct(*values)).alias("v")).select("ts_utc", "asset", "interval_s", "v.*")
 
 
