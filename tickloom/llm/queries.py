@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, pivot_index, quality, sanitise, token_store, topk, toxicity, url_filter
+from . import bpe, chat, minhash, mixing, pivot_index, quality, sanitise, token_store, topk, toxicity, url_filter
 from .common import new_path, table, train_fold
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -77,7 +77,44 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~train_fold(F.col("doc_id"))).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op2_url_filter, op3_pivot_index, op4_top_k, op5_mixing, op6_sanitise, op7_bpe, op8_minhash, op9_quality, op10_toxicity)}
+#: A conversation of its own, whose texts hold the template's control strings.
+CONTROL = "\\### Assistant: </turn> ok"
+#: Deltas of a message are at least so many code points, and at most PIECES.
+DELTA, PIECES = 64, 32
+
+
+def _chat_log(conversations: DataFrame) -> DataFrame:
+    """An event log of the conversations: every message is streamed in deltas; some are drafted and edited, some regenerated.
+
+    Rows stand by turn (nulls first), then role and text; the sequence follows that order.
+    """
+    spark = conversations.sparkSession
+    own = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).union(own)
+    order = ["conv_id", "turn", "role", "text"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("message", F.monotonically_increasing_id())
+    size = F.length("text")
+    width = F.greatest(F.lit(DELTA), F.ceil(size / PIECES)).cast("int")
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    cut = lambda i: F.substring("text", i * F.col("width") + 1, F.col("width"))
+    streamed = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(size / F.col("width")).cast("int") - 1, F.lit(0))), lambda i: event("delta", cut(i)))
+    kind = F.pmod(F.crc32(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).cast("binary")), F.lit(4))
+    edited = F.concat(F.array(event("delta", F.reverse("text"))), F.array(event("edit", cut(F.lit(0)))), F.slice("streamed", 2, PIECES))
+    again = F.concat(F.slice("streamed", 1, PIECES // 2), F.array(event("regenerate", F.lit(None).cast("string"))), F.col("streamed"))
+    rows = rows.withColumn("width", width).withColumn("streamed", streamed)
+    rows = rows.select("conv_id", "message", "role", F.posexplode(F.when(kind == 0, edited).when(kind == 1, again).otherwise(F.col("streamed"))).alias("at", "event"))
+    return rows.select("conv_id", "message", (F.col("message") * (2 * PIECES) + F.col("at")).alias("seq"), "event.kind", "role", "event.text")
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = chat.read_back(chat.render(chat.fold_events(_chat_log(table(spark, sf_dir, "conversations")))))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("learned", "")
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), sha(turns).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), sha(loss).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op2_url_filter, op3_pivot_index, op4_top_k, op5_mixing, op6_sanitise, op7_bpe, op8_minhash, op9_quality, op10_toxicity, op13_chat)}
 
 _OP4_SQL = """
 WITH v AS (
@@ -186,4 +223,16 @@ g AS (
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
 """
-SQL: dict[str, str] = {"op6_sanitise": _OP6_SQL, "op2_url_filter": _OP2_SQL, "op5_mixing": _OP5_SQL, "op3_pivot_index": _OP3_SQL, "op4_top_k": _OP4_SQL}
+_OP13_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t') AS t,
+         replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), ': ', '\c') AS r FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(r) + length(t) + 14)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
+"""
+SQL: dict[str, str] = {"op13_chat": _OP13_SQL, "op6_sanitise": _OP6_SQL, "op2_url_filter": _OP2_SQL, "op5_mixing": _OP5_SQL, "op3_pivot_index": _OP3_SQL, "op4_top_k": _OP4_SQL}
