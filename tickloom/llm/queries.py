@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, mixing, pivot_index, quality, sanitise, token_store, topk, toxicity, url_filter
+from . import bpe, chat, minhash, mixing, pivot_index, quality, sanitise, spelling, token_store, topk, toxicity, url_filter
 from .common import new_path, table, train_fold
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -77,6 +77,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~train_fold(F.col("doc_id"))).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.word_counts(table(spark, sf_dir, "documents"), lose_every=97))
+
+
 #: A conversation of its own, whose texts hold the template's control strings.
 CONTROL = "\\### Assistant: </turn> ok"
 #: Deltas of a message are at least so many code points, and at most PIECES.
@@ -114,7 +118,7 @@ def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), sha(turns).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), sha(loss).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op2_url_filter, op3_pivot_index, op4_top_k, op5_mixing, op6_sanitise, op7_bpe, op8_minhash, op9_quality, op10_toxicity, op13_chat)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op2_url_filter, op3_pivot_index, op4_top_k, op5_mixing, op6_sanitise, op7_bpe, op8_minhash, op9_quality, op10_toxicity, op11_spelling, op13_chat)}
 
 _OP4_SQL = """
 WITH v AS (
@@ -223,6 +227,31 @@ g AS (
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
 """
+_OP11_SQL = r"""
+WITH RECURSIVE bits AS (SELECT b, b AS v, 0 AS i FROM range(256) r(b) UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i + 1 FROM bits WHERE i < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE i = 8),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY 1, 2),
+bytes AS (
+  SELECT run, k, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS bs FROM runs),
+hashed AS (
+  SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(bs, lambda b: b::BIGINT)), lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM hashed)
+  WHERE length(word) >= 5 GROUP BY 1 HAVING sum(k) >= 3),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words)),
+near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, {'a': -m, 'b': other}) AS form, max(m) AS form_n FROM near GROUP BY 1),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 2 * w.n THEN form END AS form, CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+up AS (SELECT word, word AS root, form AS next FROM formed UNION ALL SELECT up.word, f.word, f.form FROM up JOIN formed f ON up.next = f.word)
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM formed f JOIN up ON f.word = up.word AND up.next IS NULL
+"""
 _OP13_SQL = r"""
 WITH RECURSIVE c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -235,4 +264,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(length(r) + length(t) + 14)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
 """
-SQL: dict[str, str] = {"op13_chat": _OP13_SQL, "op6_sanitise": _OP6_SQL, "op2_url_filter": _OP2_SQL, "op5_mixing": _OP5_SQL, "op3_pivot_index": _OP3_SQL, "op4_top_k": _OP4_SQL}
+SQL: dict[str, str] = {"op13_chat": _OP13_SQL, "op11_spelling": _OP11_SQL, "op6_sanitise": _OP6_SQL, "op2_url_filter": _OP2_SQL, "op5_mixing": _OP5_SQL, "op3_pivot_index": _OP3_SQL, "op4_top_k": _OP4_SQL}
