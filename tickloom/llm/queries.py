@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, mixing, pivot_index, quality, sanitise, spelling, token_store, topk, toxicity, url_filter
+from . import bpe, chat, minhash, mixing, pivot_index, quality, repair, sanitise, spelling, token_store, topk, toxicity, url_filter
 from .common import new_path, table, train_fold
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -81,6 +81,21 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.word_counts(table(spark, sf_dir, "documents"), lose_every=97))
 
 
+def _damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with the faults that crc32 of `conv_id:turn` deals out (nulls are one space)."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    h = F.pmod(F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")), F.lit(20))
+    rows = conversations.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), h.alias("h")).where("h <> 0")
+    text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.select("conv_id", "turn", F.when(F.col("h") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(F.when(F.col("h") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+    return rows.drop("copy")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.report(repair.repair_conversations(_damaged(rows)), rows)
+
+
 #: A conversation of its own, whose texts hold the template's control strings.
 CONTROL = "\\### Assistant: </turn> ok"
 #: Deltas of a message are at least so many code points, and at most PIECES.
@@ -118,7 +133,7 @@ def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), sha(turns).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), sha(loss).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op2_url_filter, op3_pivot_index, op4_top_k, op5_mixing, op6_sanitise, op7_bpe, op8_minhash, op9_quality, op10_toxicity, op11_spelling, op13_chat)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op2_url_filter, op3_pivot_index, op4_top_k, op5_mixing, op6_sanitise, op7_bpe, op8_minhash, op9_quality, op10_toxicity, op11_spelling, op12_repair, op13_chat)}
 
 _OP4_SQL = """
 WITH v AS (
