@@ -108,11 +108,11 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same + rest >= m
 
 
-def near_in_tile(words: list[str], n: np.ndarray, shorter: np.ndarray, tile: np.ndarray, group: int) -> tuple[np.ndarray, np.ndarray]:
+def near_in_tile(words: list[str], n: np.ndarray, shorter: np.ndarray, tile: np.ndarray, across: bool, group: int) -> tuple[np.ndarray, np.ndarray]:
     """How many near words each word meets here, and the place of the best one (-1: none).
 
-    Words are those of one length, and those one shorter (``shorter``); of two tiles only pairs
-    across count.  A pair counts if ``group`` is the first group of letters whose counts it shares.
+    Words are those of one length, and those one shorter (``shorter``); of two tiles
+    (``across``) only pairs of one word of each count.  A pair counts if ``group`` is the first group of letters whose counts it shares.
     The best near word has the largest n, and is the smallest in code-point order among equals.
     """
     letters, sizes = letters_of(words)
@@ -128,7 +128,6 @@ def near_in_tile(words: list[str], n: np.ndarray, shorter: np.ndarray, tile: np.
     rank = np.empty(total, np.int64)
     rank[order] = np.arange(total)
     best = np.full(total, total, np.int64)
-    across = len(np.unique(tile)) > 1
 
     def met(rows: np.ndarray, columns: np.ndarray) -> None:
         if not len(rows) or not len(columns):
@@ -197,7 +196,7 @@ def near_words(words: DataFrame, *, block: int = BLOCK, tile: int = TILE) -> Dat
 
     def compare(part: pa.Table) -> pa.Table:
         words, n = part.column("word").to_pylist(), part.column("n").to_numpy()
-        near, best = near_in_tile(words, n, part.column("shorter").to_numpy(), part.column("tile").to_numpy(), part.column("g")[0].as_py())
+        near, best = near_in_tile(words, n, part.column("shorter").to_numpy(), part.column("tile").to_numpy(), part.column("a")[0] != part.column("b")[0], part.column("g")[0].as_py())
         found = np.flatnonzero(near)
         best_words = pa.array([words[i] for i in best[found]], pa.string())
         return pa.table({"word": pa.array([words[i] for i in found], pa.string()), "n_near": near[found], "best": best_words, "best_n": n[best[found]]})
