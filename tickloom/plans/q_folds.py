@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import folds as O
 from ..operators import models as M
 from ..registry import register
+from ..streaming import stateful as SF
 from ..streaming import streams as ST
 from . import base
 from .base import ntz, table
@@ -242,26 +243,77 @@ def stream_dedupe(spark, sf_dir):
     return ST.run_available(ST.dedupe(twice, ["event_id"]).select("event_id", "user_id"), "dedupe")
 
 
-@register("stream_positions", "SELECT user_id, sum(CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS qty, count(*) AS fills FROM events GROUP BY 1")
-def stream_positions(spark, sf_dir):
-    return ST.run_available(ST.positions(ST.event_stream(spark, sf_dir), "user_id"), "positions").select("user_id", "qty", "fills")
+def _delivered(spark, sf_dir, more=None):
+    """The events in three deliveries by time; ``more`` adds rows that come once again, or late."""
+    e = ST.time_slices(table(spark, sf_dir, "events").select("event_id", col("ts").cast("timestamp").alias("ts"), "user_id", "value"), "ts")
+    return [SF.with_micros(e.where(col("slice") == k) if more is None else more(e, k)).drop("slice") for k in range(3)]
 
 
-@register("stream_cooldown", """WITH RECURSIVE c AS (SELECT user_id, ts, max(value) AS value FROM events WHERE value > 30 GROUP BY 1, 2),
-  n AS (SELECT a.user_id, a.ts, min(b.ts) AS nxt FROM c a JOIN c b ON a.user_id = b.user_id AND b.ts >= a.ts + INTERVAL 1 HOUR GROUP BY 1, 2),
-  t AS (SELECT user_id, min(ts) AS ts FROM c GROUP BY 1 UNION ALL SELECT t.user_id, n.nxt FROM t JOIN n USING (user_id, ts))
-  SELECT user_id, ts, value FROM t JOIN c USING (user_id, ts)""")
-def stream_cooldown(spark, sf_dir):
-    return ST.run_available(ST.cooldown(ST.event_stream(spark, sf_dir), "user_id", 30.0, 3600), "cooldown").withColumn("ts", ntz(col("ts")))
+_SLICES = "x AS (SELECT *, epoch_us(ts) AS us FROM events), z AS (SELECT min(us) AS a, max(us) AS z FROM x)"
+_MARK = "(SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM events)"
 
 
-@register("stream_session_features", "SELECT user_id, event_id, row_number() OVER w - 1 AS slot, round(avg(value) OVER w, 6) AS vwap FROM events WINDOW w AS (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+@register("stream_positions", """WITH f AS (SELECT user_id, list({'q': (1 + event_id % 3) * CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE, 'p': value} ORDER BY ts, event_id) AS fs FROM events WHERE value IS NOT NULL GROUP BY 1),
+  s AS (SELECT user_id, len(fs) AS fills, list_reduce(fs, lambda a, f: {'q': a.q + f.q, 'p': CASE WHEN a.q + f.q = 0 THEN 0.0 WHEN a.q = 0 OR sign(a.q) = sign(f.q) THEN (a.q * a.p + f.q * f.p) / (a.q + f.q) WHEN sign(a.q + f.q) <> sign(a.q) THEN f.p ELSE a.p END}, {'q': 0.0::DOUBLE, 'p': 0.0::DOUBLE}) AS s FROM f)
+  SELECT user_id, s.q AS qty, round(s.p, 6) + 0.0 AS avg_price, fills FROM s""")
+def stream_positions(spark, sf_dir):
+    """Fills in three deliveries; every tenth is delivered twice at once, every seventh once more with the next delivery."""
+    again = lambda e, k: e.where(col("slice") == k).withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(col("event_id") % 10 == 0, 2).otherwise(1)))).drop("copy").union(e.where((col("slice") == k - 1) & (col("event_id") % 7 == 0)))
+    fills = [d.where("value is not null").select("user_id", "ts", "us", "event_id", ((1 + col("event_id") % 3) * F.when(col("event_id") % 2 == 0, 1.0).otherwise(-1.0)).alias("qty"), col("value").alias("price")) for d in _delivered(spark, sf_dir, again)]
+    # The watermark trails by more than two deliveries, so that replays reach the processor.
+    out, _ = ST.run_deliveries(fills, lambda s: SF.positions(s, "user_id"), "positions", watermark="40 days")
+    return out.groupBy("user_id").agg(F.max_by(F.struct("qty", "avg_price", "fills"), "fills").alias("last")).select("user_id", "last.qty", (F.round("last.avg_price", 6) + 0.0).alias("avg_price"), "last.fills")
+
+
+@register("stream_cooldown", f"""WITH RECURSIVE x AS (SELECT user_id, event_id, value, epoch_us(ts) AS us FROM events), c AS (SELECT * FROM x WHERE value > 30),
+  n AS (SELECT a.user_id, a.us, a.event_id, min({{'us': b.us, 'id': b.event_id}}) AS nxt FROM c a JOIN c b ON a.user_id = b.user_id AND b.us >= a.us + 3600000000 GROUP BY 1, 2, 3),
+  t AS (SELECT user_id, min({{'us': us, 'id': event_id}}) AS o FROM c GROUP BY 1 UNION ALL SELECT t.user_id, n.nxt FROM t JOIN n ON t.user_id = n.user_id AND t.o.us = n.us AND t.o.id = n.event_id),
+  o AS (SELECT c.* FROM t JOIN c ON t.user_id = c.user_id AND t.o.id = c.event_id AND t.o.us = c.us), l AS (SELECT user_id, max(us) AS last FROM x GROUP BY 1)
+  SELECT user_id, us, event_id, value, 'open' AS kind FROM o
+  UNION ALL SELECT user_id, us + 3600000000, event_id, value, 'exit' FROM o JOIN l USING (user_id) WHERE us + 3600000000 <= last OR (us + 3600000000 + 999) // 1000 <= {_MARK}""")
+def stream_cooldown(spark, sf_dir):
+    """Holds of an hour over three deliveries: openings, and exits at their own time."""
+    return ST.run_deliveries(_delivered(spark, sf_dir), lambda s: SF.cooldown(s, "user_id", 30.0, 3600), "cooldown")[0]
+
+
+@register("stream_session_features", f"""WITH RECURSIVE {base.HB0}, z AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS z FROM hb0),
+  p AS (SELECT hb0.*, ((epoch_us(ts) - a) * 3 / (z - a + 1))::DOUBLE AS f, hour(ts) = 5 AND day(ts) % 3 = 1 AS slow FROM hb0, z), d AS (SELECT *, floor(f) AS slice FROM p),
+  g AS (SELECT *, slow AND EXISTS (SELECT 1 FROM d b WHERE b.asset = d.asset AND NOT b.slow AND b.ts > d.ts AND b.slice <= d.slice) AS late FROM d),
+  hb AS (SELECT *, greatest(high - low, coalesce(abs(high - pc), high - low), coalesce(abs(low - pc), high - low)) AS tr FROM (SELECT *, row_number() OVER o AS idx, lag(close) OVER o AS pc FROM g WHERE NOT late WINDOW o AS (PARTITION BY asset ORDER BY ts))),
+  a AS (SELECT b.asset, 14 AS idx, b.ts, m.a AS atr FROM hb b JOIN (SELECT asset, avg(tr) AS a FROM hb WHERE idx <= 14 GROUP BY 1) m USING (asset) WHERE b.idx = 14 UNION ALL SELECT b.asset, b.idx, b.ts, (atr * 13 + b.tr) / 14 FROM a JOIN hb b ON a.asset = b.asset AND b.idx = a.idx + 1),
+  h AS (SELECT *, ts::DATE AS session FROM hb), x AS (SELECT *, sum((high + low + close) / 3 * volume) OVER w / sum(volume) OVER w AS vwap, row_number() OVER (PARTITION BY asset, session ORDER BY ts) - 1 AS slot, first(open) OVER w AS s_open FROM h WINDOW w AS (PARTITION BY asset, session ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+  c AS (SELECT asset, session, lag(c) OVER (PARTITION BY asset ORDER BY session) AS pc FROM (SELECT asset, session, arg_max(close, ts) AS c FROM h GROUP BY 1, 2)),
+  n AS (SELECT x.* EXCLUDE (pc), c.pc, CASE WHEN count(*) OVER k = 14 THEN avg(abs(close / s_open - 1)) OVER k END AS sigma FROM x JOIN c USING (asset, session) WINDOW k AS (PARTITION BY asset, slot ORDER BY session ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING))
+  SELECT n.asset, epoch_us(n.ts) AS us, slot::BIGINT AS slot, round(vwap, 6) AS vwap, round(atr, 4) AS atr, round(sigma, 6) AS noise_sigma, round(CASE WHEN sigma IS NOT NULL THEN greatest(s_open, pc) * (1 + sigma) END, 6) AS noise_ub, round(least(s_open, pc) * (1 - sigma), 6) + 0.0 AS noise_lb, false AS late FROM n LEFT JOIN a USING (asset, ts)
+  UNION ALL SELECT asset, epoch_us(ts), NULL, NULL, NULL, NULL, NULL, NULL, true FROM g WHERE late""")
 def stream_session_features(spark, sf_dir):
-    out = ST.run_available(ST.session_state(ST.event_stream(spark, sf_dir), "user_id"), "session")
-    return out.withColumn("vwap", F.round("vwap", 6))
-
-
-@register("stream_heartbeat", f"SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS since, max(ts) AS last_seen, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= {_LATE}")
+    """Hourly bars in deliveries by time; some bars come one delivery late, and go to the side table."""
+    bars = ST.time_slices(base.hourly(spark, sf_dir).withColumn("ts", col("ts").cast("timestamp")), "ts")
+    slow = (F.hour("ts") == 5) & (F.dayofmonth("ts") % 3 == 1)
+    bars = bars.withColumn("slice", col("slice") + slow.cast("int")).select("asset", "ts", F.unix_micros("ts").alias("us"), F.unix_date(col("ts").cast("date")).cast("long").alias("session"), "open", "high", "low", "close", "volume", "slice")
+    on_time, late = ST.run_deliveries([bars.where(col("slice") == k).drop("slice") for k in range(4)], lambda s: SF.session_features(s, "asset"), "session", late="late")
+    places = {"vwap": 6, "atr": 4, "noise_sigma": 6, "noise_ub": 6, "noise_lb": 6}
+    return on_time.unionByName(late).select("asset", "us", "slot", *((F.round(k, n) + 0.0).alias(k) for k, n in places.items()), "late")
+
+
+@register("stream_heartbeat", f"""WITH x AS (SELECT DISTINCT user_id, epoch_us(ts) AS us FROM events), g AS (SELECT *, lag(us) OVER w AS last, lead(us) OVER w AS nxt FROM x WINDOW w AS (PARTITION BY user_id ORDER BY us))
+  SELECT user_id, us, 'live' AS status, last AS last_us FROM g WHERE last IS NULL OR us > last + 86400000000
+  UNION ALL SELECT user_id, us + 86400000000, 'dead', us FROM g WHERE nxt > us + 86400000000 OR nxt IS NULL AND (us + 86400000001 + 999) // 1000 <= {_MARK}""")
 def stream_heartbeat(spark, sf_dir):
-    out = ST.run_available(ST.heartbeat(ST.event_stream(spark, sf_dir), "user_id"), "heartbeat")
-    return out.select("user_id", ntz(col("since")).alias("since"), ntz(col("last_seen")).alias("last_seen"), "n")
+    """Users silent for more than a day are told dead at that time, and live when they return."""
+    return ST.run_deliveries(_delivered(spark, sf_dir), lambda s: SF.heartbeat(s, "user_id", 86_400), "heartbeat")[0]
+
+
+@register("file_stream_source", "SELECT event_id, CASE WHEN event_id % 50 IN (7, 8) THEN 'malformed' WHEN event_id % 50 = 9 THEN 'incomplete' END AS reason, CASE WHEN event_id % 50 NOT IN (7, 8, 9) THEN value END AS value FROM events WHERE value IS NOT NULL")
+def file_stream_source(spark, sf_dir):
+    """Events as JSON lines in two deliveries, read with a strict schema: lines cut off or of a wrong type, and lines without a value, go to a side table."""
+    path = ST.shared_path(spark, "json")
+    k = col("event_id") % 50
+    e = table(spark, sf_dir, "events").where("value is not null")
+    line = F.to_json(F.struct("event_id", "user_id", F.when(k != 9, col("value")).alias("value")))
+    line = F.when(k == 7, F.substring(line, 1, 20)).when(k == 8, F.replace(line, F.lit('"user_id":'), F.lit('"user_id":"x",'))).otherwise(line)
+    for part in range(2):
+        e.where(F.pmod("event_id", F.lit(2)) == part).select(line.alias("value")).write.mode("append").text(f"{path}/in")
+        good, bad = ST.quarantined(ST.json_stream(spark, f"{path}/in", "event_id long, user_id long, value double"), path)
+    wrong = bad.select(F.regexp_extract("raw", r'"event_id":([0-9]+)', 1).cast("long").alias("event_id"), "reason", F.lit(None).cast("double").alias("value"))
+    return good.select("event_id", F.lit(None).cast("string").alias("reason"), "value").unionByName(wrong)

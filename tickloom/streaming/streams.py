@@ -1,4 +1,4 @@
-"""Structured Streaming: resampling, flow, deduplication and stateful folds.
+"""Structured Streaming: resampling, flow, deduplication, deliveries, strict JSON sources and sinks with side tables.
 
 Event times are TIMESTAMP; rows later than the watermark are dropped by Spark.  A restarted query
 goes on from its checkpoint.  State is kept by key and is small: a position, a hold, a session.
@@ -6,20 +6,27 @@ goes on from its checkpoint.  State is kept by key and is small: a position, a h
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+from .stateful import PROVIDER
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or under the session's warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder under spark.checkpoint.dir; where the session names none, under a temporary one, in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tickloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -53,72 +60,79 @@ def dedupe(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(keys)
 
 
-def positions(stream: DataFrame, key: str) -> DataFrame:
-    """Running position and average price by key: +1 for even events, -1 for odd ones, at their value."""
-
-    def fold(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        q, p = state.get if state.exists else (0.0, 0.0)
-        rows = []
-        for pdf in batches:
-            rows += list(zip(pdf.ts, pdf.event_id, pdf.value))
-        for ts, event, price in sorted(rows, key=lambda r: (r[0], r[1])):
-            d = 1.0 if event % 2 == 0 else -1.0
-            n = q + d
-            if abs(n) < 1e-12:
-                p = 0.0
-            elif q == 0 or q * d > 0:
-                p = (q * p + d * price) / n
-            elif n * q < 0:
-                p = price
-            q = n
-        state.update((q, p))
-        yield pd.DataFrame({key: [k[0]], "qty": [q], "avg_price": [p], "fills": [len(rows)]})
-
-    kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, qty double, avg_price double, fills long", "q double, p double", "append", GroupStateTimeout.NoTimeout)
-
-
-def cooldown(stream: DataFrame, key: str, threshold: float, hold_s: int) -> DataFrame:
-    """Openings when the value exceeds the threshold and the key is not held; the hold carries over batches."""
-
-    def fold(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        free = state.get[0] if state.exists else -(2**62)
-        rows, out = [], []
-        for pdf in batches:
-            rows += list(zip(pdf.ts, pdf.value))
-        for ts, value in sorted(rows, key=lambda r: r[0]):
-            us = ts.value // 1000
-            if us >= free and value > threshold:
-                out.append((k[0], ts, value))
-                free = us + hold_s * 1_000_000
-        state.update((free,))
-        yield pd.DataFrame(out, columns=[key, "ts", "value"])
-
-    kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, ts timestamp, value double", "free long", "append", GroupStateTimeout.NoTimeout)
-
-
-def session_state(stream: DataFrame, key: str) -> DataFrame:
-    """Vwap and slot within the session (a day), updated row by row with carried state."""
-
-    def fold(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        day, slot, pv, n = state.get if state.exists else ("", -1, 0.0, 0.0)
-        rows, out = [], []
-        for pdf in batches:
-            rows += list(zip(pdf.ts, pdf.event_id, pdf.value))
-        for ts, event, value in sorted(rows, key=lambda r: (r[0], r[1])):
-            today = str(ts)[:10]
-            if today != day:
-                day, slot, pv, n = today, -1, 0.0, 0.0
-            slot, pv, n = slot + 1, pv + value, n + 1
-            out.append((k[0], event, slot, pv / n))
-        state.update((day, slot, pv, n))
-        yield pd.DataFrame(out, columns=[key, "event_id", "slot", "vwap"])
-
-    kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, event_id long, slot long, vwap double", "day string, slot long, pv double, n double", "append", GroupStateTimeout.NoTimeout)
-
-
-def heartbeat(stream: DataFrame, key: str, width: str = "1 day") -> DataFrame:
-    """Last sight of each key by closed window."""
-    return stream.groupBy(F.window("ts", width).alias("w"), key).agg(F.max("ts").alias("last_seen"), F.count("*").alias("n")).select(key, F.col("w.start").alias("since"), "last_seen", "n")
+# ---------------------------------------------------------------- deliveries and sinks
+
+
+def time_slices(rows: DataFrame, ts: str, n: int = 3) -> DataFrame:
+    """Add ``slice`` (0 to n - 1): which of ``n`` equal spans of all times the row's lies in."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    ends = rows.agg(F.min(us).alias("a"), F.max(us).alias("z")).first()
+    low, width = ends["a"] or 0, (ends["z"] or 0) - (ends["a"] or 0) + 1
+    return rows.withColumn("slice", F.floor((us - F.lit(low)) * n / F.lit(width)).cast("int"))
+
+
+def run_deliveries(deliveries: list[DataFrame], work: Callable[[DataFrame], DataFrame], name: str, *, ts: str = "ts", watermark: str = "1 hour", late: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Hand ``deliveries`` to the stream one after another; each is taken up by a query that restarts from the checkpoint of the last.
+
+    Returns the rows written, and where ``late`` names a boolean column, the rows it marks, which go
+    to a table of their own.  Each micro-batch overwrites the folder of its own number, so one that
+    is run again after a failure writes nothing twice.
+    """
+    spark, path = deliveries[0].sparkSession, shared_path(deliveries[0].sparkSession, name)
+    schema = deliveries[0].schema
+    for rows in deliveries:
+        rows.write.mode("append").parquet(f"{path}/in")
+        stream = work(spark.readStream.schema(schema).parquet(f"{path}/in").withWatermark(ts, watermark))
+
+        def write(batch: DataFrame, number: int) -> None:
+            kept = batch.persist()
+            if late:
+                kept.where(F.col(late)).write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+            (kept.where(~F.col(late)) if late else kept).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+            kept.unpersist()
+
+        start_and_wait(stream, write, f"{path}/checkpoint")
+    out = lambda kind: spark.read.schema(stream.schema).parquet(f"{path}/{kind}").select(stream.columns)
+    return out("out"), out("late") if late else None
+
+
+def start_and_wait(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Process what is there with state in RocksDB, and stop; the session's own provider is put back."""
+    spark, (key, provider) = stream.sparkSession, PROVIDER
+    before = spark.conf.get(key)
+    spark.conf.set(key, provider)
+    try:
+        stream.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+
+
+def json_stream(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
+    """JSON lines of a folder as a stream, each with its text (``raw``) and what is wrong with it (``reason``; null: nothing).
+
+    A line that isn't JSON of this schema is 'malformed'; one that lacks a field, or has it null, is 'incomplete'.
+    """
+    fields = [f.split()[0] for f in schema.split(", ")]
+    rows = spark.readStream.options(**options).text(path).where(F.trim("value") != "")
+    parsed = rows.select(F.col("value").alias("raw"), F.from_json("value", f"{schema}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}).alias("row"))
+    missing = F.lit(False)
+    for f in fields:
+        missing = missing | F.col(f"row.{f}").isNull()
+    reason = F.when(F.col("row").isNull() | F.col("row.broken").isNotNull(), "malformed").when(missing, "incomplete")
+    return parsed.select(*(F.col(f"row.{f}").alias(f) for f in fields), "raw", reason.alias("reason"))
+
+
+def quarantined(stream: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Write a :func:`json_stream`: good rows to path/good, the others with raw text and reason to path/bad; returns both tables.
+
+    Called again on the same path, it goes on from the checkpoint.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.where("reason is not null").select("raw", "reason").write.mode("overwrite").parquet(f"{path}/bad/batch={number}")
+        batch.where("reason is null").drop("raw", "reason").write.mode("overwrite").parquet(f"{path}/good/batch={number}")
+
+    start_and_wait(stream, write, f"{path}/checkpoint")
+    good = [f for f in stream.schema.fields if f.name not in ("raw", "reason")]
+    read = stream.sparkSession.read
+    return read.schema(StructType(good)).parquet(f"{path}/good").drop("batch"), read.schema("raw string, reason string").parquet(f"{path}/bad").drop("batch")
