@@ -27,6 +27,8 @@ LEAST_PIVOTS, MOST_PIVOTS, SAMPLE = 64, 4_096, 8_192
 APART = 0.85
 NEAREST, SHARED = 12, 6
 BLOCK = 512
+#: Products of vectors and reference points held at once.
+STRIP = 1 << 20
 
 
 def shared_of(pivots: int, nearest: int = NEAREST, shared: int = SHARED) -> int:
@@ -44,6 +46,16 @@ def reference_points(x: np.ndarray, wanted: int) -> np.ndarray:
     return x[chosen]
 
 
+def nearest_points(x: np.ndarray, points: np.ndarray, nearest: int) -> np.ndarray:
+    """The ``nearest`` rows of ``points`` for each row of ``x``, nearest first (ties: the smaller number); a strip of rows at a time."""
+    k, out = min(nearest, len(points)), []
+    for part in np.array_split(x, max(1, -(-x.shape[0] * len(points) // STRIP))):
+        far = -(part @ points.T)
+        some = np.sort(np.argpartition(far, k - 1, axis=1)[:, :k], axis=1)
+        out.append(np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable"), axis=1))
+    return np.concatenate(out)
+
+
 def _unit(values) -> np.ndarray:
     x = np.asarray(values.flatten(), np.float64).reshape(len(values), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -58,7 +70,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, nearest: int =
     classes are linked to a by pairs of one tile.  Each pair belongs to one tile, that of its first
     common list, so the n of a class sum to its links, and a dense group isn't spelt out in pairs.
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without id or
-    label, are in neither.  Vectors of different lengths never link.
+    label, are in neither.  Vectors of different lengths never link.  Labels are of any type that can be grouped by.
     """
     spark = vectors.sparkSession
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -77,6 +89,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, nearest: int =
         own = sample.filter(pa.array(lens == size))
         pivots[size] = reference_points(_unit(own), max(1, round(wanted * len(own) / len(sample))))
     held = spark.sparkContext.broadcast(pivots)
+    label = dict(classes.dtypes)["label"]
 
     def describe(batches):
         for batch in batches:
@@ -87,11 +100,10 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, nearest: int =
                 if p is None:  # no reference point of this length: one common list
                     lists = [[-1]] * part.num_rows
                 else:
-                    near = np.argsort(-(_unit(part.column("v")) @ p.T), axis=1, kind="stable")[:, :nearest]
-                    lists = near.tolist()
+                    lists = nearest_points(_unit(part.column("v")), p, nearest).tolist()
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([size] * part.num_rows, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], [*part.schema.names, "size", "pivots"])
 
-    described = stage(classes.select("cls", "label", "m", "v").mapInArrow(describe, "cls long, label int, m long, v array<double>, size int, pivots array<int>"), "vector-pivots")
+    described = stage(classes.select("cls", "label", "m", "v").mapInArrow(describe, f"cls long, label {label}, m long, v array<double>, size int, pivots array<int>"), "vector-pivots")
     need = {size: shared_of(len(p), nearest, shared) for size, p in pivots.items()}
     # Lists of pivots: a bounded table (at most MOST_PIVOTS), whose counts order the pivots from rare to common.
     counts = {r.pivot: r["count"] for r in described.select(F.explode("pivots").alias("pivot")).groupBy("pivot").count().collect()}
@@ -105,7 +117,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, nearest: int =
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(lists, pa.list_(pa.int32())), pa.array(short, pa.list_(pa.int32()))], [*kept.schema.names, "pivots", "prefix"])
 
     # From here on pivots are numbered by that order.
-    posts = described.mapInArrow(post, "cls long, label int, m long, v array<double>, size int, pivots array<int>, prefix array<int>").select("*", F.explode("prefix").alias("pivot")).drop("prefix")
+    posts = described.mapInArrow(post, f"cls long, label {label}, m long, v array<double>, size int, pivots array<int>, prefix array<int>").select("*", F.explode("prefix").alias("pivot")).drop("prefix")
     posts = stage(posts, "vector-postings")
     # A long list is cut into blocks of about ``block`` vectors; pairs of blocks are the tiles of its work.
     keys = ["label", "size", "pivot"]

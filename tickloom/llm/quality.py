@@ -153,14 +153,20 @@ class MilNet:
 def fit_quality(docs: DataFrame, labels: DataFrame, *, column: str = "quality", train_rows: int = TRAIN_ROWS, train_passages: int = TRAIN_PASSAGES) -> MilNet:
     """Fit on at most ``train_rows`` labelled rows of the training fold, whole documents of at most ``train_passages`` passages together.
 
-    Without a labelled row the net is not trained, and its scores mean nothing.
+    Documents are taken in the order of their id's hash; one that doesn't fit any more is passed
+    over, and where none fits this raises.  Without a labelled row the net is not trained, and its scores mean nothing.
     """
     # A bounded table (train_rows rows): broadcast.
     chosen = bounded_labels(labels, column, train_rows)
     longs = docs.select("doc_id", F.greatest(F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / PASSAGE_BYTES), F.lit(1)).alias("passages"))
     sizes = longs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", F.xxhash64("doc_id").alias("h")).agg(F.sum("passages").alias("passages")).orderBy("h", "doc_id").collect()
-    fits = np.cumsum([r.passages for r in sizes]) <= train_passages
-    taken = [(r.doc_id, r.label) for r, fit in zip(sizes, fits) if fit]
+    taken, room = [], train_passages
+    for r in sizes:
+        if r.passages <= room:
+            taken.append((r.doc_id, r.label))
+            room -= r.passages
+    if sizes and not taken:
+        raise ValueError(f"no labelled document has at most {train_passages} passages")
     kind = dict(docs.dtypes)["doc_id"]
     taken = F.broadcast(docs.sparkSession.createDataFrame(taken, f"doc_id {kind}, label int"))
 

@@ -15,10 +15,10 @@ from .common import stage
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[^:]+://[^/?#]*((?:/[^/?#]+)*)"
-DAY = 86_400
-#: Captures of a key beyond this many are dealt over several copies of its intervals.
+DAY = 86_400_000_000
+#: Captures of a key beyond this many are dealt over several copies of its intervals, together no more rows than its captures.
 SALTED = 50_000
-#: Listed keys up to this many (about 10 MB) are broadcast to find the captures that any list concerns; more are joined by shuffle.
+#: Listed keys up to this many (about 10 MB) are broadcast to find the captures that any list concerns, and as many hot keys; more are joined by shuffle.
 BROADCAST_KEYS = 100_000
 
 
@@ -43,11 +43,11 @@ def keys_of(url: Column) -> Column:
 def before(df: DataFrame, keys: list[str], time: str, tie: list[str], value: str, name: str, *, backward: bool = False) -> DataFrame:
     """Add the last ``value`` that is not null of earlier rows of the same keys (``backward``: the first of later rows)."""
     sign = -1 if backward else 1
-    at = (sign * F.unix_seconds(time)).alias("at")
+    at = (sign * F.unix_micros(time)).alias("at")
     rows = df.withColumn("w_at", at).withColumn("w_day", F.floor(F.col("w_at") / DAY))
     order = [F.col("w_at"), *(F.desc(t) if backward else F.asc(t) for t in tie)]
     rows = rows.withColumn("w_own", F.last(value, ignorenulls=True).over(Window.partitionBy(*keys, "w_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
-    # Ties within a second keep the rows' order: later in the order is larger.
+    # Ties within a microsecond keep the rows' order: later in the order is larger.
     place = F.struct("w_at", *(F.col(t) if not backward else -F.col(t) for t in tie))
     days = rows.where(F.col(value).isNotNull()).groupBy(*keys, "w_day").agg(F.max_by(value, place).alias("w_tail"))
     every = rows.select(*keys, "w_day").distinct().join(days, [*keys, "w_day"], "left")
@@ -75,7 +75,7 @@ def evaluate_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, fetched_at, blocked, n_active and blocked_since of every capture.
 
     A capture is blocked if an entry of list 'block' is active at its fetch time under any of its
-    keys and none of list 'allow' is; n_active counts the active (list, kind, key), blocked_since is
+    keys (from its start on, and before its end, to the microsecond) and none of list 'allow' is; n_active counts the active (list, kind, key), blocked_since is
     the latest start among the block entries.  Captures without URL, host or time are not blocked.
     Rows that repeat are captures of their own; other columns are ignored.
     """
@@ -86,17 +86,21 @@ def evaluate_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     few = listed.count() <= BROADCAST_KEYS
     probes = rows.where(F.col("fetched_at").isNotNull()).select("c_row", F.col("fetched_at").alias("at"), F.explode(keys_of(F.col("url"))).alias("k")).select("c_row", "at", "k.kind", "k.key")
     probes = stage(probes.join(F.broadcast(listed) if few else listed, ["kind", "key"], "left_semi"), "probes")
-    # At most one row for each SALTED probes: a small table.
-    hot = probes.groupBy("kind", "key").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("copies")).where("copies > 1")
+    # At most one row for each SALTED probes.
+    hot = probes.groupBy("kind", "key").agg(F.count("*").alias("probes")).where(F.col("probes") > SALTED)
+    spans = intervals.groupBy("kind", "key").agg(F.count("*").alias("spans"))
+    copies = F.least(F.ceil(F.col("probes") / SALTED), F.floor(F.col("probes") / F.coalesce("spans", F.lit(1)))).cast("int")
+    hot = stage(hot.join(spans, ["kind", "key"], "left").select("kind", "key", copies.alias("copies")).where("copies > 1"), "hot")
+    few_hot = hot.count() <= BROADCAST_KEYS
     many = F.coalesce("copies", F.lit(1))
-    salted = lambda df: df.join(F.broadcast(hot), ["kind", "key"], "left")
+    salted = lambda df: df.join(F.broadcast(hot) if few_hot else hot, ["kind", "key"], "left")
     span = F.struct("valid_from", "valid_to")
     left = salted(probes).withColumn("salt", F.pmod(F.xxhash64("c_row"), many).cast("int")).withColumn("list", F.explode(F.array(F.lit("allow"), F.lit("block"))))
     left = left.select("list", "kind", "key", "salt", "at", F.lit(1).alias("side"), "c_row", F.lit(None).cast("struct<valid_from: timestamp, valid_to: timestamp>").alias("span"))
     right = salted(intervals).withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1)))
     right = right.select("list", "kind", "key", "salt", F.col("valid_from").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("c_row"), span.alias("span"))
     joined = before(left.union(right), ["list", "kind", "key", "salt"], "at", ["side"], "span", "seen").where("side = 1")
-    active = joined.where(F.col("seen").isNotNull() & (F.col("seen.valid_to").isNull() | (F.col("seen.valid_to") > F.col("at"))))
+    active = joined.where(F.col("seen").isNotNull() & (F.col("seen.valid_from") <= F.col("at")) & (F.col("seen.valid_to").isNull() | (F.col("seen.valid_to") > F.col("at"))))
     by = active.groupBy("c_row").agg(F.count("*").alias("n"), F.max(F.when(F.col("list") == "block", F.col("seen.valid_from"))).alias("since"), F.max(F.when(F.col("list") == "allow", 1)).alias("allowed"))
     out = rows.join(by, "c_row", "left")
     blocked = F.col("since").isNotNull() & F.col("allowed").isNull()
