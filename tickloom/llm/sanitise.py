@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, stage, unpacked
+from .common import discard, packed, stage, unpacked
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The contract's patterns, written so that no text makes them backtrack: an address starts where its
@@ -33,6 +33,8 @@ TERM = r"\p{L}+"
 ALPHA = 1.5
 #: Documents added to the counts of an entity and of a term.
 SMOOTHING = 1.0
+#: Values of more than this share of the documents meet their counts by a broadcast, if no more than so many do (about 20 MB).
+HOT_SHARE, BROADCAST_VALUES = 1e-3, 200_000
 SPAN = "array<struct<start: int, kind: int, end: int, value: string>>"
 
 
@@ -112,6 +114,20 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM), F.lit(0)), F.lower))
 
 
+def _counted(rows: DataFrame, counts: DataFrame, key: str, columns: list[str], n: str, total: float, keep: Column) -> DataFrame:
+    """Rows joined with those counts of their ``key`` that ``keep`` holds for; ``counts`` is a written table.
+
+    Keys of many rows are broadcast (their number is at most that of values in a document / HOT_SHARE,
+    and it is checked), so that no task gathers their rows; the others meet by shuffle.
+    """
+    hot = counts.where(F.col(n) > HOT_SHARE * total)
+    if not 0 < hot.count() <= BROADCAST_VALUES:
+        return rows.join(counts.where(keep).select(key, *columns), key)
+    held = rows.join(F.broadcast(hot.select(key, F.struct(*columns).alias("k_hot"))), key, "left")
+    cold = held.where("k_hot is null").drop("k_hot").join(counts.where((F.col(n) <= HOT_SHARE * total) & keep).select(key, *columns), key)
+    return held.where("k_hot is not null").select(*rows.columns, "k_hot.*").where(keep).select(*cold.columns).union(cold)
+
+
 def disclosing_terms(docs: DataFrame, dirty: DataFrame, *, alpha: float = ALPHA, smoothing: float = SMOOTHING) -> DataFrame:
     """p_row and term: what discloses an entity of the row; ``dirty`` has p_row, text and base of documents with base spans.
 
@@ -119,22 +135,26 @@ def disclosing_terms(docs: DataFrame, dirty: DataFrame, *, alpha: float = ALPHA,
     known by its size and 128 bits of hash over its documents), so a text that holds thousands of
     values is not multiplied by its words.
     """
-    total = F.lit(docs.count() + smoothing)
+    size = docs.count()
+    total = F.lit(size + smoothing)
     share = lambda n: (F.col(n) + smoothing) / total
     entities = dirty.select("p_row", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
-    held = entities.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("p_row", F.lit(1))).alias("h1"), F.bit_xor(F.xxhash64("p_row", F.lit(2))).alias("h2"))
-    classes = stage(entities.join(held, "entity").select("p_row", "n_entity", "h1", "h2").distinct(), "entities")
+    held = stage(entities.groupBy("entity").agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("p_row", F.lit(1))).alias("h1"), F.bit_xor(F.xxhash64("p_row", F.lit(2))).alias("h2")), "entity-counts")
+    counted = _counted(entities, held, "entity", ["n_entity", "h1", "h2"], "n_entity", size, F.lit(True))
+    classes = stage(counted.select("p_row", "n_entity", "h1", "h2").distinct(), "entities")
     # As p(t | e) <= 1, PMI reaches IC / alpha only if p(t) <= p(e) ** (1 / alpha): other terms aren't joined.
     rare = F.pow(share("n_entity"), F.lit(1 / alpha)) * (1 + 1e-9)
     largest = classes.agg(F.max(rare)).first()[0] or 0.0
-    counted = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).where(share("n_term") <= largest)
-    words = dirty.select("p_row", F.explode(_terms(F.col("text"))).alias("term")).join(counted, "term")
+    counts = stage(docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "term-counts")
+    words = _counted(dirty.select("p_row", F.explode(_terms(F.col("text"))).alias("term")), counts, "term", ["n_term"], "n_term", size, share("n_term") <= largest)
     pairs = stage(words.join(classes, "p_row").where(share("n_term") <= rare).select("p_row", "n_entity", "h1", "h2", "term", "n_term"), "terms")
     keys = ["n_entity", "h1", "h2", "term"]
     both = pairs.groupBy(*keys, "n_term").agg(F.count("*").alias("n_both"))
     ic = -F.log(share("n_entity"))
     pmi = F.log(F.col("n_both") / F.col("n_entity") / share("n_term"))
-    found = both.where((ic > 0) & (pmi >= ic / alpha)).select(*keys)
+    # Written first, so that Spark may split the rows of an entity and a term that many documents hold together.
+    found = stage(both.where((ic > 0) & (pmi >= ic / alpha)).select(*keys), "disclosing")
+    discard(held, counts)
     return pairs.join(found, keys, "left_semi").select("p_row", "term").distinct()
 
 
