@@ -25,6 +25,7 @@ from tickloom.operators import statistics as E
 from tickloom.operators.windows import Trailing, with_basics
 from tickloom.plans import load
 from tickloom.sources import readers as R
+from tickloom.sources import store as ST
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = load()
@@ -147,11 +148,10 @@ def test_store_and_readers(spark, tmp_path):
     rows = [(dt.datetime(2024, 1, 1 + i), a, 86_400, 1.0, 2.0, 1.0, 2.0, 5.0, None, None) for i in range(3) for a in ("AA", "BB")]
     bars = spark.createDataFrame(rows, R.BARS)
     store = str(tmp_path / "store")
-    R.write_bars(bars, store)
-    spark.sparkContext.setCheckpointDir(str(tmp_path / "ck"))
-    R.upsert_bars(spark, store, spark.createDataFrame([(dt.datetime(2024, 1, 2), "AA", 86_400, 1.0, 9.0, 1.0, 9.0, 5.0, None, None)], R.BARS))
-    got = R.scan_bars(spark, store, 86_400, "AA").orderBy("ts_utc").collect()
-    assert [r.close for r in got] == [2.0, 9.0, 2.0] and R.scan_bars(spark, store, 86_400).count() == 6
+    ST.replace(bars, store)
+    ST.merge(spark.createDataFrame([(dt.datetime(2024, 1, 2), "AA", 86_400, 1.0, 9.0, 1.0, 9.0, 5.0, None, None)], R.BARS), store)
+    got = ST.scan(spark, store, 86_400, "AA").orderBy("ts_utc").collect()
+    assert [r.close for r in got] == [2.0, 9.0, 2.0] and ST.scan(spark, store, 86_400).count() == 6
     f = tmp_path / "k.csv"
     f.write_text("open_time,open,high,low,close,volume,close_time,quote_volume,trades,rest\n1704067200000,1,2,0.5,1.5,10,0,15,3,x\n1704067200000000,1,2,0.5,1.5,10,0,15,3,x\n1704070800,1,2,0.5,1.5,10,0,15,3,x\n")
     assert R.read_kline_csv(spark, str(f), F.lit("AA"), 3600).count() == 2
@@ -186,8 +186,8 @@ def test_direction_state(spark):
 def test_plans_push_filters_and_prune(spark, tmp_path):
     """A scan of one asset lists its partition alone, and reads the columns asked for."""
     rows = [(dt.datetime(2024, 1, 1), a, 86_400, 1.0, 2.0, 1.0, 2.0, 5.0, None, None) for a in ("AA", "BB")]
-    R.write_bars(spark.createDataFrame(rows, R.BARS), str(tmp_path / "store"))
-    plan = R.scan_bars(spark, str(tmp_path / "store"), 86_400, "AA").select("close")._jdf.queryExecution().toString()
+    ST.replace(spark.createDataFrame(rows, R.BARS), str(tmp_path / "store"))
+    plan = ST.scan(spark, str(tmp_path / "store"), 86_400, "AA").select("close")._jdf.queryExecution().toString()
     assert "(asset#" in plan.split("PartitionFilters")[1] and "quote_volume" not in plan.split("ReadSchema")[1]
 
 

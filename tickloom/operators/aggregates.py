@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import c
+from .quantiles import quantiles
 
 
 def walk_cost_bps(levels: Column, notional: float, mid: Column) -> Column:
@@ -27,8 +28,11 @@ def impact_bps(notional: float, depth: Column, factor: float, width_bps: float)
 def effective_spread(pairs: DataFrame, keys: list[str], ask: str, bid: str, anchor: str, least: int = 5, anchors: int = 3) -> DataFrame:
     """Median of non-negative (ask - bid) / mid by key; null with too few pairs or distinct anchors."""
     x = (c(ask) - c(bid)) / ((c(ask) + c(bid)) / 2) * 1e4
-    g = pairs.withColumn("x", F.when(x >= 0, x)).groupBy(*keys).agg(F.percentile("x", 0.5).alias("m"), F.count("x").alias("n"), F.countDistinct(F.when(x >= 0, c(anchor))).alias("k"))
-    return g.select(*keys, F.when((F.col("n") >= least) & (F.col("k") >= anchors), F.col("m")).alias("spread_bps"), "n")
+    p = pairs.withColumn("e_x", F.when(x >= 0, x))
+    medians = quantiles(p, keys, "e_x", {"e_m": 0.5}).select(*(F.col(k).alias(f"e_{i}") for i, k in enumerate(keys)), "n", "e_m")
+    distinct = p.groupBy(*keys).agg(F.countDistinct(F.when(x >= 0, c(anchor))).alias("e_a"))
+    g = distinct.join(medians, [F.col(k).eqNullSafe(F.col(f"e_{i}")) for i, k in enumerate(keys)])
+    return g.select(*keys, F.when((F.col("n") >= least) & (F.col("e_a") >= anchors), F.col("e_m")).alias("spread_bps"), "n")
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, least: int = 1) -> DataFrame:

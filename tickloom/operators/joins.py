@@ -1,16 +1,23 @@
 """Point-in-time joins.
 
-As-of joins unite both sides and carry the last right row forward by key and time.  The carry comes
-in two levels, within spans of time and then over the spans, so that a hot key is not sorted in one
-task.  Exact forward joins look for a row at a given instant, never for the n-th next row.
+As-of joins unite both sides and carry the last right row forward by key and time.  For keys of many
+rows the carry comes in two levels, within spans of time that hold equally many rows and then over
+the spans, so that a hot key is not sorted in one task.  Exact forward joins look for a row at a
+given instant, never for the n-th next row.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 DAY_S = 86_400
+#: Keys of more rows than this are cut into SPANS spans (a square number); hot keys up to HOT_KEYS (about 16 MB of bounds) are broadcast.
+SPAN_ROWS, SPANS, HOT_KEYS = 1_000_000, 1_024, 2_000
 
 
 def micros(ts) -> Column:
@@ -18,26 +25,66 @@ def micros(ts) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: Column, right_on: Column, name: str, values: list[str], *, tolerance_s: float | None = None, strict: bool = False, span_s: int = DAY_S) -> DataFrame:
+def time_spans(times: DataFrame, keys: list[str], span_rows: int, spans: int = SPANS) -> DataFrame | None:
+    """Bounds that cut each key of more than ``span_rows`` rows into ``spans`` spans of equally many rows; None if there is no such key.
+
+    ``times`` has keys and j_t.  The bounds come from a sketch, written once: all that uses them sees
+    the same.  ``coarse`` has every root of ``spans``-th bound, ``fine`` those between.
+    """
+    usual = times.where(F.col("j_t").isNotNull())
+    many = staged(usual.groupBy(*keys).agg(F.count("*").alias("j_n")).where(F.col("j_n") > span_rows), "asof-hot")
+    n, step = many.count(), math.isqrt(spans)
+    if not n:
+        return None
+    some = usual.join(F.broadcast(many) if n <= HOT_KEYS else many, keys)
+    bounds = some.groupBy(*keys).agg(F.percentile_approx("j_t", [i / spans for i in range(1, spans)], 10 * spans).alias("j_b"))
+    fine = F.transform(F.sequence(F.lit(0), F.lit(step - 1)), lambda i: F.slice("j_b", i * step + 1, step - 1))
+    coarse = F.transform(F.sequence(F.lit(1), F.lit(step - 1)), lambda i: F.get("j_b", i * step - 1))
+    return staged(bounds.select(*keys, coarse.alias("coarse"), fine.alias("fine")), "asof-bounds")
+
+
+def _in_spans(rows: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """Add j_span: how many of the key's bounds are at or before j_t; 0 for keys without bounds."""
+    few = bounds.count() <= HOT_KEYS
+    held = rows.join(F.broadcast(bounds) if few else bounds, keys, "left")
+    upto = lambda a: F.size(F.filter(a, lambda b: b <= F.col("j_t")))
+    return held.withColumn("j_at", upto("coarse")).withColumn("j_span", F.when(F.col("coarse").isNull() | F.col("j_t").isNull(), 0).otherwise(F.col("j_at") * (F.size("coarse") + 1) + upto(F.get("fine", F.col("j_at"))))).drop("coarse", "fine", "j_at")
+
+
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: Column, right_on: Column, name: str, values: list[str], *, tolerance_s: float | None = None, strict: bool = False, span_s: int | None = None, span_rows: int = SPAN_ROWS) -> DataFrame:
     """Add ``name``: a struct of the last right row (``values`` and its time ``t``, microseconds) not after the left row.
 
     ``left_on`` and ``right_on`` are times in microseconds; ``strict`` takes earlier rows only; rows
     older than ``tolerance_s`` give null.  Among right rows of one time the largest values count.
     Left rows keep all their columns and their number; a null time or key matches nothing.
-    A task sorts one key's rows within ``span_s`` seconds, and one row for each of its spans.
+    Rows are counted by key first; a task sorts the rows of a key of at most ``span_rows`` rows, or
+    one span of a larger key and then one row for each of its spans.  ``span_s`` sets spans of so
+    many seconds instead.
     """
     row = F.struct(right_on.alias("t"), *values)
-    r = right.where(right_on.isNotNull()).groupBy(*keys, right_on.alias("j_t")).agg(F.max(row).alias("j_r"))
+    known = right_on.isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    r = right.where(known).groupBy(*keys, right_on.alias("j_t")).agg(F.max(row).alias("j_r"))
     kind = r.schema["j_r"].dataType
     a = left.select(*keys, left_on.alias("j_t"), F.lit(0 if strict else 1).alias("j_side"), F.lit(None).cast(kind).alias("j_r"), F.struct(*left.columns).alias("j_l"))
     b = r.select(*keys, "j_t", F.lit(1 if strict else 0).alias("j_side"), "j_r", F.lit(None).cast(a.schema["j_l"].dataType).alias("j_l"))
-    both = a.union(b).withColumn("j_span", F.floor(F.col("j_t") / (span_s * 1_000_000)))
-    near = Window.partitionBy(*keys, "j_span").orderBy("j_t", "j_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("j_own", F.last("j_r", ignorenulls=True).over(near))
-    tails = b.withColumn("j_span", F.floor(F.col("j_t") / (span_s * 1_000_000))).groupBy(*keys, "j_span").agg(F.max("j_r").alias("j_tail"))
-    spans = both.select(*keys, "j_span").distinct().join(tails, [*keys, "j_span"], "left")
-    carried = spans.select(*keys, "j_span", F.last("j_tail", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("j_span").rowsBetween(Window.unboundedPreceding, -1)).alias("j_carry"))
-    found = both.where("j_l is not null").join(carried, [*keys, "j_span"], "left").withColumn("j_hit", F.coalesce("j_own", "j_carry"))
+    if span_s is not None:
+        cut = lambda rows: rows.withColumn("j_span", F.floor(F.col("j_t") / (span_s * 1_000_000)))
+    else:
+        bounds = time_spans(left.select(*keys, left_on.alias("j_t")).union(right.select(*keys, right_on.alias("j_t"))), keys, span_rows)
+        cut = None if bounds is None else lambda rows: _in_spans(rows, bounds, keys)
+    if cut is None:
+        near = Window.partitionBy(*keys).orderBy("j_t", "j_side").rowsBetween(Window.unboundedPreceding, 0)
+        found = a.union(b).withColumn("j_hit", F.last("j_r", ignorenulls=True).over(near)).where("j_l is not null")
+    else:
+        both = cut(a.union(b))
+        near = Window.partitionBy(*keys, "j_span").orderBy("j_t", "j_side").rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn("j_own", F.last("j_r", ignorenulls=True).over(near))
+        tails = cut(b).groupBy(*keys, "j_span").agg(F.max("j_r").alias("j_tail"))
+        spans = both.select(*keys, "j_span").distinct().join(tails, [*keys, "j_span"], "left")
+        carried = spans.select(*keys, "j_span", F.last("j_tail", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("j_span").rowsBetween(Window.unboundedPreceding, -1)).alias("j_carry"))
+        found = both.where("j_l is not null").join(carried, [*keys, "j_span"], "left").withColumn("j_hit", F.coalesce("j_own", "j_carry"))
     ok = F.col("j_t").isNotNull()
     if tolerance_s is not None:
         ok = ok & (F.col("j_t") - F.col("j_hit.t") <= int(tolerance_s * 1_000_000))

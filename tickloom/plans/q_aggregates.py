@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import bars as B
+from ..operators.quantiles import quantiles
 from ..registry import register
 from . import base
 from .base import ntz, table
@@ -39,9 +40,9 @@ def effective_spread(spark, sf_dir):
 
 @register("daily_cost", "SELECT event_type AS asset, ts::DATE AS day, round(quantile_cont(value, 0.75), 6) AS p75, round(CASE WHEN median(value) >= 2 THEN greatest(2.3 * (2 / median(value)) * 50, 1.5 * (2 / median(value)) * 10) END, 6) AS impact FROM events GROUP BY 1, 2")
 def daily_cost(spark, sf_dir):
-    depth = F.percentile("value", 0.5)
-    g = table(spark, sf_dir, "events").groupBy(col("event_type").alias("asset"), col("ts").cast("date").alias("day"))
-    return g.agg(F.round(F.percentile("value", 0.75), 6).alias("p75"), F.round(F.greatest(A.impact_bps(2, depth, 2.3, 50), A.impact_bps(2, depth, 1.5, 10)), 6).alias("impact"))
+    e = table(spark, sf_dir, "events").select(col("event_type").alias("asset"), col("ts").cast("date").alias("day"), "value")
+    q, depth = quantiles(e, ["asset", "day"], "value", {"p75": 0.75, "depth": 0.5}), col("depth")
+    return q.select("asset", "day", F.round("p75", 6).alias("p75"), F.round(F.greatest(A.impact_bps(2, depth, 2.3, 50), A.impact_bps(2, depth, 1.5, 10)), 6).alias("impact"))
 
 
 _LEVELS = "SELECT l_orderkey AS book, list({'px': px, 'sz': sz} ORDER BY px, sz) AS levels, min(px) AS best FROM (SELECT l_orderkey, l_extendedprice / l_quantity AS px, l_quantity AS sz FROM lineitem) GROUP BY 1"
@@ -73,7 +74,8 @@ def book_cost_summary(spark, sf_dir):
 
 @register("percentile_linear", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.1), 6) AS p10, round(quantile_cont(o_totalprice, 0.5), 6) AS p50, round(quantile_cont(o_totalprice, 0.9), 6) AS p90 FROM orders GROUP BY 1")
 def percentile_linear(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*(F.round(F.percentile("o_totalprice", p / 100), 6).alias(f"p{p}") for p in (10, 50, 90)))
+    q = quantiles(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", {f"p{p}": p / 100 for p in (10, 50, 90)})
+    return q.select("o_orderpriority", *(F.round(p, 6).alias(p) for p in ("p10", "p50", "p90")))
 
 
 @register("liquidity_profile", f"WITH {base.HB0}, r AS (SELECT asset, quote_volume, row_number() OVER (PARTITION BY asset ORDER BY quote_volume) - 1 AS k, count(*) OVER (PARTITION BY asset) AS n FROM hb0 WHERE hour(ts) IN (13, 14, 15)) SELECT asset, round(max(CASE WHEN k = n // 2 AND n >= 30 THEN quote_volume END), 6) AS median, max(n) AS n FROM r GROUP BY 1")

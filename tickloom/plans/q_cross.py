@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cross_section as X
 from ..operators.joins import forward_exact
+from ..operators.quantiles import quantiles
 from ..registry import register
 from . import base
 from .base import ntz, table
@@ -211,7 +212,7 @@ _label_query("sample_weight", "1.0 / count(*) OVER (PARTITION BY ts)", lambda w:
 def winsorise(spark, sf_dir):
     """Clipped at the quantiles of the training rows (one row of bounds)."""
     rows = labels(spark, sf_dir).where("label is not null")
-    q = rows.where(col("ts") < F.lit("2000-01-01").cast("timestamp_ntz")).agg(F.percentile("label", 0.05).alias("a"), F.percentile("label", 0.95).alias("b"))
+    q = quantiles(rows.where(col("ts") < F.lit("2000-01-01").cast("timestamp_ntz")), [], "label", {"a": 0.05, "b": 0.95}).select("a", "b")
     return rows.join(F.broadcast(q)).select("asset", "ts", (F.round(F.greatest("a", F.least("b", "label")), 6) + 0.0).alias("y"))
 
 

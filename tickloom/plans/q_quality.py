@@ -10,6 +10,8 @@ from ..operators import bars as B
 from ..operators import quality as Q
 from ..registry import register
 from ..sources import readers as R
+from ..sources import store as ST
+from ..sources.staging import shared_path
 from . import base
 from .base import ntz, table
 
@@ -178,6 +180,22 @@ def upsert_bars(spark, sf_dir):
     return R.upsert(o.where("o_orderstatus <> 'F'").drop("o_orderstatus"), o.where("o_orderstatus = 'F'").drop("o_orderstatus"), ["o_custkey", "o_orderdate"])
 
 
+@register("upsert_store", f"""WITH d AS (SELECT 'P' || substr(o_orderpriority, 1, 1) AS asset, date_trunc('day', o_orderdate)::TIMESTAMP AS ts, o_orderstatus = 'F' AS late, arg_max(o_totalprice, o_orderkey) AS close, count(*) AS trades FROM orders GROUP BY 1, 2, 3),
+  a AS (SELECT asset, ts, arg_max(close, late) AS close, arg_max(trades, late) AS trades FROM d WHERE NOT late OR asset IN ('P1', 'P2') GROUP BY 1, 2)
+  SELECT asset, ts, close, trades, CASE WHEN asset IN ('P1', 'P2') THEN 2 ELSE 1 END::BIGINT AS version FROM a""")
+def upsert_store(spark, sf_dir):
+    """Daily bars written to a store, those of two assets then replaced where closed orders have bars: one version, all at once."""
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("P"), F.substring("o_orderpriority", 1, 1)).alias("asset"), F.date_trunc("day", "o_orderdate").cast("timestamp").alias("ts_utc"), (col("o_orderstatus") == "F").alias("late"), "o_orderkey", col("o_totalprice").alias("p"))
+    none = lambda c: F.lit(None).cast("double").alias(c)
+    bars = o.groupBy("asset", "ts_utc", "late").agg(F.max_by("p", "o_orderkey").alias("close"), F.count("*").alias("trades"))
+    bars = bars.select("ts_utc", "asset", F.lit(86_400).alias("interval_s"), none("open"), none("high"), none("low"), "close", none("volume"), none("quote_volume"), "trades", "late")
+    path = shared_path(spark, "store")
+    ST.replace(bars.where("not late"), path)
+    ST.merge(bars.where("late and asset in ('P1', 'P2')"), path)
+    held = ST.scan(spark, path, 86_400).join(F.broadcast(ST.partitions(spark, path).select("asset", "version")), "asset")
+    return held.select("asset", ntz(col("ts_utc")).alias("ts"), "close", "trades", "version")
+
+
 @register("epoch_unit", "SELECT event_id, make_timestamp(epoch_us(ts) // 1000000 * 1000000) AS t FROM events")
 def epoch_unit(spark, sf_dir):
     s = F.unix_seconds(col("ts").cast("timestamp"))

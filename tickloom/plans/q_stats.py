@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import statistics as S
 from ..operators import cross_section as X
+from ..operators.quantiles import quantiles
 from ..registry import register
 from . import base
 from .base import ntz, table
@@ -54,7 +55,7 @@ def feature_ic_table(spark, sf_dir):
 @register("ic_screen_event", f"WITH {_SECTOR}, y AS (SELECT *, lead(r) OVER (PARTITION BY asset ORDER BY ts) AS fwd FROM s), q AS (SELECT quantile_cont(abs(r), 0.9) AS p FROM y WHERE fwd IS NOT NULL) SELECT CASE WHEN abs(r) > p THEN 'moved' ELSE 'quiet' END AS kind, count(*) AS n, round(corr(r, fwd), 6) + 0.0 AS ic FROM y, q WHERE r IS NOT NULL AND fwd IS NOT NULL GROUP BY 1")
 def ic_screen_event(spark, sf_dir):
     y = sectors(spark, sf_dir).withColumn("fwd", F.lead("r").over(Window.partitionBy("asset").orderBy("ts"))).where("r is not null and fwd is not null")
-    q = y.agg(F.percentile(F.abs("r"), 0.9).alias("p"))
+    q = quantiles(y, [], F.abs("r"), {"p": 0.9}).select("p")
     return y.join(F.broadcast(q)).groupBy(F.when(F.abs("r") > col("p"), "moved").otherwise("quiet").alias("kind")).agg(F.count("*").alias("n"), (F.round(F.corr("r", "fwd"), 6) + 0.0).alias("ic"))
 
 

@@ -16,17 +16,6 @@ BAR_COLUMNS = [field.split()[0] for field in BARS.split(", ")]
 KLINE = "open_time string, open string, high string, low string, close string, volume string, close_time string, quote_volume string, trades string, rest string"
 
 
-def write_bars(bars: DataFrame, path: str) -> None:
-    """Hive-style store, partitioned by interval and asset; each write replaces the partitions it has rows for."""
-    bars.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval_s", "asset").parquet(path)
-
-
-def scan_bars(spark: SparkSession, path: str, interval_s: int, asset: str | None = None) -> DataFrame:
-    """Bars of one interval (and asset): partitions of others are not listed."""
-    bars = spark.read.schema(BARS).parquet(path).where(F.col("interval_s") == interval_s)
-    return bars if asset is None else bars.where(F.col("asset") == asset)
-
-
 def list_assets(bars: DataFrame) -> DataFrame:
     return bars.select("asset").distinct().where(F.col("asset").rlike("^[A-Z0-9]{1,20}$"))
 
@@ -39,17 +28,6 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, *(F.col(f"u.{v}").alias(v) for v in values if v != "u_load"))
 
 
-def upsert_bars(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Merge bars into the store: only partitions with new rows are read and replaced."""
-    touched = new.select("interval_s", "asset").distinct()
-    old = spark.read.schema(BARS).parquet(path).join(touched, ["interval_s", "asset"], "left_semi")
-    merged = upsert(old, new.select(*BAR_COLUMNS), ["interval_s", "asset", "ts_utc"]).select(*BAR_COLUMNS)
-    # The partitions read are those written, so the result is set down before it replaces them: a lost executor loses nothing.
-    if not spark.sparkContext.getCheckpointDir():
-        raise ValueError("set a checkpoint folder that the driver and all executors share")
-    write_bars(merged.checkpoint(), path)
-
-
 def read_kline_csv(spark: SparkSession, paths: str | list[str], asset: Column, interval_s: int, start: str | None = None, end: str | None = None) -> DataFrame:
     """Bars from header-optional CSV lines, from ``start`` on and before ``end``; the unit of the time goes by its size; one row for each time."""
     rows = spark.read.schema(KLINE).csv(paths).where(F.col("open_time").rlike("^[0-9]+$"))

@@ -6,30 +6,18 @@ goes on from its checkpoint.  State is kept by key and is small: a position, a h
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.staging import shared_path
 from .stateful import PROVIDER
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where the session names none, under a temporary one, in local mode only."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str, watermark: str = "1 hour") -> DataFrame:
     """The events as a stream of files, with an event time and a watermark."""
     rows = spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parque[t]")
