@@ -60,36 +60,44 @@ def position_fold(fills: DataFrame, keys: list[str], order: list[str], qty: str,
     Adding averages the price by weight, reducing keeps it, crossing zero starts at the fill's
     price, and a closed position has none.  ``span`` never falls along the order (such as the day):
     the fills of a key and span become one affine map of the price before them, and a key's maps
-    are applied one after another, so that no task holds all fills of a key.  Fills without a
-    quantity are left out.
+    are applied one after another, so that no task holds all fills of a key.  Quantities are decimals
+    of eight places, so that what sums to nothing is exactly closed.  Fills without a quantity are
+    left out.
     """
-    f = fills.where(c(qty).isNotNull()).select(*keys, span.alias("f_span"), F.struct(*order, c(qty).cast("double").alias("q"), c(price).cast("double").alias("p")).alias("f_row"))
+    exact = lambda q: q.cast("decimal(38,8)")
+    f = fills.where(c(qty).isNotNull()).select(*keys, span.alias("f_span"), F.struct(*order, exact(c(qty)).alias("q"), c(price).cast("double").alias("p")).alias("f_row"))
     sums = f.groupBy(*(F.col(k).alias(f"f_{i}") for i, k in enumerate(keys)), F.col("f_span").alias("f_at")).agg(F.sum("f_row.q").alias("f_sum"))
     earlier = Window.partitionBy(*(f"f_{i}" for i in range(len(keys)))).orderBy("f_at").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("f_before", F.coalesce(F.sum("f_sum").over(earlier), F.lit(0.0))).drop("f_sum")
+    sums = sums.withColumn("f_before", exact(F.coalesce(F.sum("f_sum").over(earlier), F.lit(0)))).drop("f_sum")
     parts = f.groupBy(*keys, "f_span").agg(F.array_sort(F.collect_list("f_row")).alias("f_rows"))
     parts = parts.join(sums, [F.col("f_span").eqNullSafe(F.col("f_at")), *(F.col(k).eqNullSafe(F.col(f"f_{i}")) for i, k in enumerate(keys))])
-    none = lambda q: F.abs(q) < 1e-12
+    none = lambda q: q == 0
 
     def step(m, fill):
-        q = m["q"] + fill["q"]
+        q = exact(m["q"] + fill["q"])
         adds = none(m["q"]) | (F.signum(m["q"]) == F.signum(fill["q"]))
         crosses = F.signum(q) != F.signum(m["q"])
-        by = F.when(none(q), 0.0).when(adds, m["q"] / q).when(crosses, 0.0).otherwise(1.0)
-        plus = F.when(none(q), 0.0).when(adds, fill["q"] * fill["p"] / q).when(crosses, fill["p"]).otherwise(0.0)
+        by = F.when(none(q), 0.0).when(adds, m["q"].cast("double") / q.cast("double")).when(crosses, 0.0).otherwise(1.0)
+        plus = F.when(none(q), 0.0).when(adds, fill["q"].cast("double") * fill["p"] / q.cast("double")).when(crosses, fill["p"]).otherwise(0.0)
         return F.struct(q.alias("q"), (by * m["by"]).alias("by"), (by * m["plus"] + plus).alias("plus"))
 
     start = F.struct(F.col("f_before").alias("q"), F.lit(1.0).alias("by"), F.lit(0.0).alias("plus"))
     maps = parts.select(*keys, F.struct("f_span", F.aggregate("f_rows", start, step).alias("m")).alias("f_map"))
     whole = maps.groupBy(*keys).agg(F.array_sort(F.collect_list("f_map")).alias("f_maps"))
-    return whole.select(*keys, F.element_at("f_maps", -1)["m"]["q"].alias("qty"), F.aggregate("f_maps", F.lit(0.0), lambda p, x: x["m"]["by"] * p + x["m"]["plus"]).alias("avg_price"))
+    return whole.select(*keys, F.element_at("f_maps", -1)["m"]["q"].cast("double").alias("qty"), F.aggregate("f_maps", F.lit(0.0), lambda p, x: x["m"]["by"] * p + x["m"]["plus"]).alias("avg_price"))
 
 
-def zero_filled_days(df: DataFrame, day: str, value: Column) -> DataFrame:
-    """day and total for every calendar day between the first and the last, zero where none."""
-    sums = df.groupBy(F.col(day).alias("day")).agg(value.alias("v"))
-    days = sums.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("day"))
-    return days.join(sums, "day", "left").select("day", F.coalesce("v", F.lit(0.0)).alias("total"))
+def zero_filled_days(df: DataFrame, day: str, value: Column, keys: list[str] = ()) -> DataFrame:
+    """keys, day and total for every calendar day between a key's first and last, zero where none.
+
+    A key's calendar is made from its two ends; null keys are keys, rows without a day are left out.
+    """
+    names = [f"z_k{i}" for i in range(len(keys))]
+    sums = df.where(F.col(day).isNotNull()).groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(day).alias("z_day")).agg(value.alias("v"))
+    ends = sums.groupBy(*(F.col(n).alias(f"{n}_a") for n in names)).agg(F.min("z_day").alias("a"), F.max("z_day").alias("b")).where("a is not null")
+    days = ends.select(*(f"{n}_a" for n in names), F.explode(F.sequence("a", "b")).alias("day"))
+    same = [F.col("day") == F.col("z_day"), *(F.col(n).eqNullSafe(F.col(f"{n}_a")) for n in names)]
+    return days.join(sums, same, "left").select(*(F.col(f"{n}_a").alias(k) for n, k in zip(names, keys)), "day", F.coalesce("v", F.lit(0.0)).alias("total"))
 
 
 def slices(orders: DataFrame, qty: str, parts: Column, places: int = 2) -> DataFrame:

@@ -201,10 +201,11 @@ def asset_report(spark, sf_dir):
     return base.hourly_basics(spark, sf_dir).groupBy("asset").agg(F.count("r1").alias("trades"), F.round(F.sum("r1") * 1e4, 4).alias("net_bps"), F.round(F.avg((col("r1") > 0).cast("double")), 6).alias("hit_rate"))
 
 
-@register("daily_pnl", "WITH s AS (SELECT ts::DATE AS day, sum(value) / 5 AS v FROM events WHERE event_type = 'purchase' GROUP BY 1), d AS (SELECT unnest(generate_series((SELECT min(day) FROM s), (SELECT max(day) FROM s), INTERVAL 1 DAY))::DATE AS day) SELECT day, round(coalesce(v, 0), 6) AS total FROM d LEFT JOIN s USING (day)")
+@register("daily_pnl", "WITH s AS (SELECT user_id, ts::DATE AS day, sum(value) / 5 AS v FROM events WHERE event_type = 'purchase' GROUP BY 1, 2), d AS (SELECT user_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM s GROUP BY 1) SELECT user_id, day, round(coalesce(v, 0), 6) AS total FROM d LEFT JOIN s USING (user_id, day)")
 def daily_pnl(spark, sf_dir):
+    """Each user's days from the first purchase to the last; most of them have none."""
     e = table(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("day", col("ts").cast("date"))
-    return A.zero_filled_days(e, "day", F.sum("value") / 5).withColumn("total", F.round("total", 6))
+    return A.zero_filled_days(e, "day", F.sum("value") / 5, ["user_id"]).withColumn("total", F.round("total", 6))
 
 
 @register("calendar_days", "SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH))::DATE AS month FROM orders")

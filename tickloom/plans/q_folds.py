@@ -7,9 +7,11 @@ import json
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import artefacts as MA
 from ..operators import folds as O
 from ..operators import models as M
 from ..registry import register
+from ..sources.staging import shared_path
 from ..streaming import stateful as SF
 from ..streaming import streams as ST
 from . import base
@@ -188,10 +190,16 @@ def fit_ridge(spark, sf_dir):
     return m.select("asset", "ts", F.round(M.linear_score(["x1", "x2"], M.fit_ridge(m, ["x1", "x2"], "y", "w", 1.0)), 6).alias("p")).select("asset", "ts", (col("p") + 0.0).alias("prediction"))
 
 
+_THROUGH = "1998-12-31"
+
+
 @register("fit_trees")
 def fit_trees(spark, sf_dir):
-    m = _matrix(spark, sf_dir).repartition("asset")
-    return M.fit_trees(m, ["x1", "x2"], "y")(m).select("asset", "ts", "prediction")
+    """A direction model of three seeds, its label winsorised, fitted up to a day and scoring the days after it."""
+    m = _matrix(spark, sf_dir)
+    model = MA.fit_tree_model(m, ["x1", "x2"], "y", "ts", _THROUGH, order=["asset", "ts"], clip_quantile=0.01)
+    later = MA.score(m.where(col("ts").cast("date") > F.lit(_THROUGH).cast("date")), model, "ts")
+    return later.select("asset", "ts", col("score").alias("prediction"), MA.direction_score("score", model).alias("direction"))
 
 
 _TREES = [{"split_feature": 0, "threshold": 30000.0, "default_left": True, "left_child": {"leaf_value": -0.5}, "right_child": {"split_feature": 1, "threshold": 100.0, "default_left": False, "left_child": {"leaf_value": 0.25}, "right_child": {"leaf_value": 1.0}}}, {"split_feature": 2, "threshold": 0.05, "left_child": {"leaf_value": 0.1}, "right_child": {"leaf_value": -0.1}}]
@@ -202,10 +210,20 @@ def score_trees(spark, sf_dir):
     return M.score_trees(base.monthly(spark, sf_dir), ["price", "qty", "disc"], json.dumps(_TREES)).select("asset", "ts", (F.round("score", 6) + 0.0).alias("score"))
 
 
-@register("score_linear_hybrid", f"WITH {base.MX} SELECT asset, ts, round(0.55 * (1.37e-5 * price + 0.53 * disc + 0.1) + 0.45 * (CASE WHEN price <= 30000 THEN -0.5 WHEN qty <= 100 THEN 0.25 ELSE 1.0 END + CASE WHEN disc <= 0.05 THEN 0.1 ELSE -0.1 END), 6) + 0.0 AS score FROM mx")
+_HYBRID = {"family": "hybrid", "features": ["price", "qty", "disc"], "weights": [1.37e-5, 0.0, 0.53, 0.1], "tree_weight": 0.45, "slope": 0.8, "offset": 0.02, "reward": "return_per_risk"}
+
+
+@register("score_linear_hybrid", f"WITH {base.MX}, t AS (SELECT *, 0.55 * (1.37e-5 * price + 0.53 * disc + 0.1) + 0.45 * (CASE WHEN price <= 30000 THEN -0.5 WHEN qty <= 100 THEN 0.25 ELSE 1.0 END + CASE WHEN disc <= 0.05 THEN 0.1 ELSE -0.1 END) AS raw FROM mx) SELECT asset, ts, round(0.02 + 0.8 * raw * (1 + tax), 6) + 0.0 AS score, ts <= TIMESTAMP '1996-06-30' AS learned FROM t")
 def score_linear_hybrid(spark, sf_dir):
-    m = M.score_trees(base.monthly(spark, sf_dir), ["price", "qty", "disc"], json.dumps(_TREES)).withColumn("linear", M.linear_score(["price", "disc"], [1.37e-5, 0.53, 0.1]))
-    return m.select("asset", "ts", (F.round(M.blend(["linear", "score"], [0.55, 0.45]), 6) + 0.0).alias("score"))
+    """A stored model per unit of risk, calibrated: one trained through mid-1996 scores what is later, one older than all rows the rest."""
+    rows, out = base.monthly(spark, sf_dir).withColumn("risk", 1 + col("tax")), None
+    for through, learned in (("1996-06-30", False), ("1900-01-01", True)):
+        path = shared_path(spark, "model")
+        MA.save(spark, MA.Model(**_HYBRID, trained_through=through, trees=_TREES), path)
+        part = rows.where((col("ts").cast("date") <= F.lit("1996-06-30").cast("date")) == learned)
+        part = MA.score(part, MA.load(spark, path), "ts", risk="risk").select("asset", "ts", (F.round("score", 6) + 0.0).alias("score"), F.lit(learned).alias("learned"))
+        out = part if out is None else out.union(part)
+    return out
 
 
 @register("calibrate", "WITH o AS (SELECT l_discount AS p, l_tax * 0.5 + l_discount * 0.3 AS y FROM lineitem) SELECT round(greatest(0, least(1, covar_pop(p, y) / var_pop(p))), 6) AS slope, round(avg(y) - greatest(0, least(1, covar_pop(p, y) / var_pop(p))) * avg(p), 6) AS \"offset\" FROM o")
@@ -307,7 +325,7 @@ def stream_heartbeat(spark, sf_dir):
 @register("file_stream_source", "SELECT event_id, CASE WHEN event_id % 50 IN (7, 8) THEN 'malformed' WHEN event_id % 50 = 9 THEN 'incomplete' END AS reason, CASE WHEN event_id % 50 NOT IN (7, 8, 9) THEN value END AS value FROM events WHERE value IS NOT NULL")
 def file_stream_source(spark, sf_dir):
     """Events as JSON lines in two deliveries, read with a strict schema: lines cut off or of a wrong type, and lines without a value, go to a side table."""
-    path = ST.shared_path(spark, "json")
+    path = shared_path(spark, "json")
     k = col("event_id") % 50
     e = table(spark, sf_dir, "events").where("value is not null")
     line = F.to_json(F.struct("event_id", "user_id", F.when(k != 9, col("value")).alias("value")))

@@ -12,6 +12,7 @@ from ..operators.joins import forward_exact
 from ..operators.windows import Trailing
 from ..registry import register
 from ..sources import readers as R
+from ..sources.staging import shared_path
 from ..streaming import streams as ST
 from . import base
 from .base import table
@@ -66,12 +67,23 @@ def read_symbol_list(spark, sf_dir):
     return r.where("r.Type = 'Common Stock'").select(col("r.id").alias("s_suppkey"), col("r.Code").alias("code"))
 
 
-@register("read_pdmr", "SELECT o_orderkey, o_orderdate::DATE AS published, CASE WHEN o_orderpriority <> '5-LOW' THEN round(o_totalprice, 2) END AS volume FROM orders")
+@register("read_pdmr", """SELECT o_orderdate::DATE + 1 AS publication_date, '08:' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') || ':00' AS publication_time, 'Issuer; "' || (o_custkey % 50) || '" Öst' AS issuer, 'LEI' || o_custkey AS lei, 'Notifier ' || o_custkey AS notifier, 'Person ' || o_custkey AS pdmr, 'CEO' AS position,
+    o_orderkey % 3 = 0 AS closely_associated, o_orderkey % 4 = 0 AS amendment, CASE WHEN o_orderkey % 4 = 0 THEN 'Row one' || chr(10) || 'row two; corrected' END AS amendment_details, o_orderkey % 2 = 0 AS initial_notification, false AS option_programme, CASE o_orderstatus WHEN 'F' THEN 'Disposal' ELSE 'Acquisition' END AS nature, 'Share' AS instrument_type,
+    'Share ' || o_orderkey AS instrument_name, CASE WHEN o_orderkey % 5 > 0 THEN 'SE0000108656' END AS isin, o_orderdate::DATE AS transaction_date, (o_orderkey * 1000)::DOUBLE AS volume, 'Quantity' AS unit, CASE WHEN o_orderpriority <> '5-LOW' THEN round(o_totalprice, 2) END AS price, 'SEK' AS currency, '' AS venue, 'Current' AS status FROM orders""")
 def read_pdmr(spark, sf_dir):
-    """Semicolon lines: dates, numbers with a decimal comma, blanks as null."""
-    line = F.concat_ws(";", col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(col("o_orderpriority") != "5-LOW", F.translate(F.format_number("o_totalprice", 2), ",.", " ,")).otherwise(""))
-    r = table(spark, sf_dir, "orders").select(F.split(line, ";").alias("p"))
-    return r.select(col("p")[0].cast("long").alias("o_orderkey"), F.to_date(col("p")[1]).alias("published"), F.round(S.parse_number(F.nullif(col("p")[2], F.lit(""))), 2).alias("volume"))
+    """Every order as an insider report, written as UTF-16LE files and read back: quotes, line ends and semicolons inside values, spaced thousands, decimal commas, blanks."""
+    k, cust = col("o_orderkey"), col("o_custkey").cast("string")
+    day = lambda d: F.date_format(d, "dd/MM/yyyy")
+    text = {
+        "publication": F.concat(day(F.date_add("o_orderdate", 1)), F.lit(" 08:"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit(":00")), "issuer": F.concat(F.lit('Issuer; "'), (col("o_custkey") % 50).cast("string"), F.lit('" Öst')), "lei": F.concat(F.lit("LEI"), cust),
+        "notifier": F.concat(F.lit("Notifier "), cust), "pdmr": F.concat(F.lit("Person "), cust), "position": F.lit("CEO"), "closely_associated": F.when(k % 3 == 0, "Yes").otherwise(""), "amendment": F.when(k % 4 == 0, "Ja").otherwise("No"),
+        "amendment_details": F.when(k % 4 == 0, "Row one\nrow two; corrected"), "initial_notification": F.when(k % 2 == 0, "yes"), "option_programme": F.lit(""), "nature": F.when(col("o_orderstatus") == "F", "Disposal").otherwise("Acquisition"), "instrument_type": F.lit("Share"),
+        "instrument_name": F.concat(F.lit("Share "), k.cast("string")), "isin": F.when(k % 5 > 0, "SE0000108656"), "transaction": F.concat(day("o_orderdate"), F.lit(" 00:00:00")), "volume": F.translate(F.format_number(k * 1000, 0), ",", "\u00a0"), "unit": F.lit("Quantity"),
+        "price": F.when(col("o_orderpriority") != "5-LOW", F.translate(F.format_number("o_totalprice", 2), ",.", " ,")), "currency": F.lit("SEK"), "venue": F.lit(""), "status": F.lit("Current"),
+    }
+    path = shared_path(spark, "pdmr")
+    R.write_pdmr(table(spark, sf_dir, "orders").select(*(x.alias(name) for name, x in text.items())), path)
+    return R.read_pdmr(spark, path).withColumn("price", F.round("price", 2))
 
 
 @register("read_macro", "SELECT o_orderpriority AS series, o_orderdate::DATE AS day, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY 1, 2")

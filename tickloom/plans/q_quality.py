@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -263,11 +265,21 @@ def read_listing_history(spark, sf_dir):
     return cells.select("page_id", "row", F.get("cells", F.lit(0)).alias("company"), S.parse_date_text(F.array_join("cells", " ")).alias("effective"), kind.alias("kind"))
 
 
-@register("read_equity_notice")
+@register("read_equity_notice", """SELECT page_id, CASE WHEN page_id % 5 = 4 THEN '' ELSE 'PG' || page_id END AS short_names, CASE WHEN page_id % 5 = 4 THEN '' WHEN page_id % 2 = 0 THEN 'SE0000108656,US0378331005' ELSE 'SE0000108656' END AS isins,
+    CASE WHEN page_id % 5 = 4 THEN '' ELSE page_id::VARCHAR END AS order_book_ids, CASE WHEN page_id % 5 <> 4 AND page_id % 3 = 0 THEN DATE '2023-05-01' + (page_id % 200)::INT END AS first_day,
+    CASE WHEN page_id % 5 <> 4 AND page_id % 3 <> 0 THEN DATE '2023-05-01' + (page_id % 200)::INT END AS last_day, CASE WHEN page_id % 5 = 4 THEN 'other' WHEN page_id % 3 = 0 THEN 'listing' ELSE 'delisting' END AS kind FROM pages""")
 def read_equity_notice(spark, sf_dir):
-    n = R.notices(table(spark, sf_dir, "pages"), "html")
-    kind = S.classify_text(R.html_text("html"), [("admission", "admitted|first day of trading"), ("removal", "delist|last day of trading")])
-    return n.select("page_id", "short_names", "isins", "order_book_ids", "first_day", "last_day", kind.alias("kind"))
+    """The pages, four of five with a notice in their view body: labelled cells, and a day in a cell or in words; the fifth has an empty one."""
+    k, day = col("page_id"), F.date_format(F.date_add(F.to_date(F.lit("2023-05-01")), (col("page_id") % 200).cast("int")), "d MMMM yyyy")
+    td = lambda *xs: F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), x, F.lit("</td>")) for x in xs), F.lit("</tr>"))
+    cells = td(F.lit("Short name"), F.concat(F.lit("PG"), k.cast("string")), F.lit("Order book ID"), F.concat(k.cast("string"), F.lit(" (new)")))
+    isins = td(F.lit("ISIN"), F.when(k % 2 == 0, "SE0000108656 / US0378331005").otherwise("SE0000108656 / US0378331006"))
+    first = F.concat(F.lit("Listing of the share"), td(F.lit("First day of trading"), day))
+    last = F.concat(F.lit("Delisting: the share was delisted on "), day)
+    notice = F.when(k % 5 == 4, "nothing new").otherwise(F.concat(F.lit("<table>"), cells, isins, F.when(k % 3 == 0, first).otherwise(last), F.lit("</table>")))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit('<div id="view-body">'), notice, F.lit("</div>"), F.coalesce("html", F.lit(""))).alias("html"))
+    text = [F.array_join(x, ",").alias(x) for x in ("short_names", "isins", "order_book_ids")]
+    return R.notices(pages, "html").select("page_id", *text, "first_day", "last_day", S.classify_text(R.html_text("html"), R.NOTICE_KINDS).alias("kind"))
 
 
 @register("read_notice_tables", """SELECT p_partkey AS id, upper(p_name) AS short_names, CASE WHEN p_partkey % 3 = 0 THEN 'SE0000108656,US0378331005' ELSE 'US0378331005' END AS isins,
@@ -328,9 +340,15 @@ def read_eod_bars(spark, sf_dir):
 
 @register("jdbc_operational", "SELECT event_type AS bot, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 20")
 def jdbc_operational(spark, sf_dir):
-    """Newest rows by bot (here from files; ``recent`` reads one over JDBC)."""
-    w = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    return table(spark, sf_dir, "events").withColumn("k", F.row_number().over(w)).where("k <= 20").select(col("event_type").alias("bot"), "event_id", "ts")
+    """The events in a database, read back by ranges of their key over four connections; newest rows by bot.
+
+    The database lives in the driver's memory, so this query needs local mode; ``read_keyset`` doesn't.
+    """
+    url = f"jdbc:derby:memory:operational{uuid.uuid4().hex};create=true"
+    table(spark, sf_dir, "events").select(col("event_type").alias("bot"), "event_id", "ts").coalesce(4).write.jdbc(url, "log", properties={"batchsize": "10000", "createTableColumnTypes": "bot VARCHAR(64)"})
+    w = Window.partitionBy("bot").orderBy(F.desc("ts"), F.desc("event_id"))
+    rows = R.read_keyset(spark, url, "log", "event_id", 4)
+    return rows.withColumn("k", F.row_number().over(w)).where("k <= 20").select("bot", "event_id", ntz(col("ts")).alias("ts"))
 
 
 # ---------------------------------------------------------------- scalars and text

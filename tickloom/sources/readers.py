@@ -193,8 +193,89 @@ def notices(pages: DataFrame, html: str) -> DataFrame:
     return p.drop("n_pairs", "n_text")
 
 
-def recent(spark: SparkSession, url: str, table: str, order: str, id: str, limit: int, **options) -> DataFrame:
+def recent(spark: SparkSession, url: str, table: str, order: str, id: str, limit: int, *, quote: str = '"', **options) -> DataFrame:
     """Newest rows of an operational table over JDBC, at most ``limit``: the database sorts and cuts, Spark reads ``limit`` rows."""
-    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
-    newest = f"SELECT * FROM {table} ORDER BY {quoted(order)} DESC, {quoted(id)} DESC FETCH FIRST {int(limit)} ROWS ONLY"
+    name = lambda x: f"{quote}{x.replace(quote, 2 * quote)}{quote}"
+    newest = f"SELECT * FROM {table} ORDER BY {name(order)} DESC, {name(id)} DESC FETCH FIRST {int(limit)} ROWS ONLY"
     return spark.read.format("jdbc").options(**{**options, "url": url, "query": newest}).load()
+
+
+def read_keyset(spark: SparkSession, url: str, table: str, id: str, connections: int, *, quote: str = '"', **options) -> DataFrame:
+    """A whole operational table over JDBC, by ranges of a numeric key between the bounds the database tells; one connection for each.
+
+    Rows whose key is null come with the first range; an empty table gives no row.
+    """
+    name = f"{quote}{id.replace(quote, 2 * quote)}{quote}"
+    ends = spark.read.format("jdbc").options(**{**options, "url": url, "query": f"SELECT MIN({name}) AS low, MAX({name}) AS high FROM {table}"}).load().first()
+    rows = spark.read.format("jdbc").options(**{**options, "url": url, "dbtable": table})
+    if ends[0] is not None and ends[0] < ends[1]:
+        rows = rows.options(partitionColumn=name, lowerBound=str(ends[0]), upperBound=str(ends[1] + 1), numPartitions=str(connections))
+    return rows.load()
+
+
+#: Columns of insider reports by their headers (the misspelt one is the source's own), and what they are called here.
+PDMR = {
+    "Publication date": "publication",
+    "Issuer": "issuer",
+    "LEI-code": "lei",
+    "Notifier": "notifier",
+    "Person discharging managerial responsibilities": "pdmr",
+    "Position": "position",
+    "Closely associated": "closely_associated",
+    "Amendment": "amendment",
+    "Details of amendment": "amendment_details",
+    "Initial notification": "initial_notification",
+    "Linked to share option programme": "option_programme",
+    "Nature of transaction": "nature",
+    "Intrument type": "instrument_type",
+    "Instrument name": "instrument_name",
+    "ISIN": "isin",
+    "Transaction date": "transaction",
+    "Volume": "volume",
+    "Unit": "unit",
+    "Price": "price",
+    "Currency": "currency",
+    "Trading venue": "venue",
+    "Status": "status",
+}
+_PDMR_CSV = {"header": True, "sep": ";", "encoding": "UTF-16LE", "escape": '"'}
+
+
+def write_pdmr(rows: DataFrame, path: str) -> None:
+    """Text columns named as in PDMR, written as UTF-16LE with semicolons."""
+    rows.select(*(F.col(c).alias(h) for h, c in PDMR.items())).write.options(**_PDMR_CSV).csv(path)
+
+
+def read_pdmr(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Insider reports: UTF-16LE files with semicolons and 22 named columns, in any order and among others; values may be quoted over lines.
+
+    Days are day/month/year with a time; publication_time keeps its text.  'yes' and 'ja' are true.
+    Blank numbers, ISINs and details are null, other blanks empty.  A missing column, a day or a
+    number that can't be read is an error.  A file is read by one task.
+    """
+    raw = spark.read.options(**_PDMR_CSV, multiLine=True).csv(paths)
+    raw = raw.toDF(*(h.lstrip("\ufeff").strip() for h in raw.columns))
+    if missing := [h for h in PDMR if h not in raw.columns]:
+        raise ValueError(f"no column {missing[0]!r}")
+    t = {c: F.trim(F.coalesce(F.col(f"`{h}`"), F.lit(""))) for h, c in PDMR.items()}
+    wrong = lambda what, x: F.raise_error(F.concat(F.lit(f"not a {what}: "), x))
+
+    def day(x: Column) -> Column:
+        d = F.when(x.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} "), F.try_to_date(F.substring_index(x, " ", 1), "d/M/yyyy"))
+        return F.coalesce(d, wrong("day", x).cast("date"))
+
+    def number(x: Column) -> Column:
+        n = F.regexp_replace(F.regexp_replace(x, "[\u00a0 ]", ""), ",", ".").try_cast("double")
+        return F.when(x != "", F.when(F.abs(n) < float("inf"), n).otherwise(wrong("number", x).cast("double")))
+
+    yes, blank = lambda x: F.lower(x).isin("yes", "ja"), lambda x: F.nullif(x, F.lit(""))
+    made = {"closely_associated": yes, "amendment": yes, "initial_notification": yes, "option_programme": yes, "amendment_details": blank, "isin": blank, "volume": number, "price": number}
+    columns = []
+    for name, x in t.items():
+        if name in ("publication", "transaction"):
+            columns.append(day(x).alias(f"{name}_date"))
+        else:
+            columns.append(made.get(name, lambda v: v)(x).alias(name))
+        if name == "publication":
+            columns.append(F.substring(x, F.locate(" ", x) + 1, F.length(x)).alias("publication_time"))
+    return raw.select(*columns)
