@@ -113,7 +113,8 @@ def _chat_log(conversations: DataFrame) -> DataFrame:
     own = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).union(own)
     order = ["conv_id", "turn", "role", "text"]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("message", F.monotonically_increasing_id())
+    # Ranges need no more of a text than its first characters: whole texts would travel to the driver in their sample.
+    rows = rows.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 16)).sortWithinPartitions(*order).withColumn("message", F.monotonically_increasing_id())
     size = F.length("text")
     width = F.greatest(F.lit(DELTA), F.ceil(size / PIECES)).cast("int")
     event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))

@@ -162,7 +162,8 @@ def ordered_rows(rows: DataFrame) -> DataFrame:
     space = lambda c: F.coalesce(c, F.lit(" ")).alias(c)
     one = rows.select("conv_id", "turn", space("role"), space("text")).groupBy("conv_id", "turn", "role", "text").agg((F.count("*") - 1).alias("copies"))
     order = ["conv_id", "turn", "role", "text"]
-    one = one.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    # Ranges need no more of a text than its first characters: whole texts would travel to the driver in their sample.
+    one = one.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 16)).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
     last = F.regexp_extract("text", rf"([^{SPACE}])[{SPACE}]*\z", 1)
     initial = F.substring("role", 1, 1)
     number = F.when(initial == "s", 0).when(initial == "u", 1).when(initial == "a", 2).otherwise(3)
@@ -172,7 +173,7 @@ def ordered_rows(rows: DataFrame) -> DataFrame:
 
 def _strips(batch, *columns: str):
     """A batch of chunks cut to STRIP rows: (batch, codes, sizes, arrays of the other list columns with four values a chunk)."""
-    sizes = np.array([len(x) for x in batch.column("codes").to_pylist()], np.int64) if batch.num_rows else np.zeros(0, np.int64)
+    sizes = np.asarray(batch.column("codes").value_lengths(), np.int64)
     cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // STRIP)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
@@ -279,7 +280,8 @@ def _traced(batches):
                 at = np.where(n > k, GIVEN[at], at)
             role = np.where(e == 2, np.where(GIVEN[at] == AFTER_U, "user", "assistant"), None)
             conv = part.column("conv_id").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-            yield _edits(conv, part.column("places").flatten(), inserted.tolist(), np.array(["D", "K", "R"], object)[e].tolist(), role.tolist())
+            place = np.repeat(part.column("id").to_numpy(), sizes) + part.column("offsets").flatten().to_numpy(zero_copy_only=False)
+            yield _edits(conv, pa.array(place, pa.int64()), inserted.tolist(), np.array(["D", "K", "R"], object)[e].tolist(), role.tolist())
             closing = [["", "ua", "a", ""][s] for s in last]
             some = [i for i, (x, final) in enumerate(zip(closing, part.column("final").to_pylist())) if x and final]
             if some:
@@ -310,7 +312,7 @@ def repair_conversations(rows: DataFrame, *, chunk_bits: int = CHUNK_BITS, fixup
     light = placed.where("not blank").select("conv_id", "place", "key", (F.col("initial") * 2 + F.col("truncated").cast("int")).cast("byte").alias("code"))
     first = light.join(again, F.col("conv_id").eqNullSafe(F.col("again_conv")) & (F.col("key") == F.col("again_key")), "left").where("first is null or first = place")
     pieces = first.groupBy("conv_id", F.shiftright("place", chunk_bits).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("place", "code"))).alias("rows"))
-    chunks = stage(pieces.select("conv_id", F.col("rows")[0]["place"].alias("id"), F.col("rows.place").alias("places"), F.col("rows.code").alias("codes")), "repair-chunks")
+    chunks = stage(pieces.select("conv_id", F.col("rows")[0]["place"].alias("id"), F.transform("rows", lambda r: (r["place"] - F.col("rows")[0]["place"]).cast("int")).alias("offsets"), F.col("rows.code").alias("codes")), "repair-chunks")
     order = Window.partitionBy("conv_id").orderBy("id")
     links = stage(chunks.select("conv_id", "id", F.lead("id").over(order).alias("next"), F.lag("id").over(order).alias("back")), "repair-links")
     several = links.where("next is not null or back is not null")
@@ -324,7 +326,7 @@ def repair_conversations(rows: DataFrame, *, chunk_bits: int = CHUNK_BITS, fixup
     else:
         known = light_chunks.withColumns({"end": end, "entry": F.lit(START).cast("long")})
     kind = dict(rows.dtypes)["conv_id"]
-    known = known.select("conv_id", "places", F.transform("codes", lambda c: c.cast("int")).alias("codes"), F.transform("end", lambda c: c.cast("long")).alias("end"), F.col("entry").cast("long").alias("entry"), F.col("next").isNull().alias("final"))
+    known = known.select("conv_id", "id", "offsets", "codes", F.transform("end", lambda c: c.cast("long")).alias("end"), F.col("entry").cast("long").alias("entry"), F.col("next").isNull().alias("final"))
     edits = stage(known.mapInArrow(_traced, f"conv_id {kind}, place long, inserted string, edit string, given_role string"), "repair-edits")
     discard(chunks, links, again)
     own = edits.where(F.col("place") < LAST_PLACE).drop("conv_id")
