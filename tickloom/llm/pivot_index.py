@@ -21,8 +21,11 @@ from .topk import usable
 #: Two vectors near each other share fewer of their nearest reference points the more there are: one
 #: less is asked beyond SHARED_PIVOTS, and one less for each further factor of four.
 SHARED_PIVOTS = 256
-#: Reference points come from a bounded sample (vectors of smallest id hash, SAMPLE at most); their number grows with the square root of the input.
-LEAST_PIVOTS, MOST_PIVOTS, SAMPLE = 64, 4_096, 8_192
+#: Reference points come from a bounded sample (vectors of smallest id hash: four for each point wanted, SAMPLE at most, or as many as
+#: points wanted if that is more).  Their number grows with the square root of the input up to MOST_PIVOTS, or PIVOT_BYTES together: two
+#: random vectors meet in a list about 80 times in as many pairs as there are points, so that work grows with the input to the power 1.5
+#: up to a billion vectors of 64 components (110 million of 384), and with its square from there on.
+LEAST_PIVOTS, MOST_PIVOTS, SAMPLE, PIVOT_BYTES = 64, 65_536, 8_192, 1 << 26
 #: No two reference points are as near as this: inside a dense group their order would be noise, and links would be lost.
 APART = 0.85
 NEAREST, SHARED = 12, 6
@@ -78,8 +81,9 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, nearest: int =
     firsts = usual.groupBy("label", "v").agg(F.min("vec_id").alias("cls"), F.count("*").alias("m"))
     classes = stage(firsts, "vector-classes")
     members = usual.join(classes, ["label", "v"]).select("vec_id", "label", "cls")
-    n = classes.count()
-    wanted = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 * math.isqrt(n))))
+    known = classes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("length")).first()
+    n, most = known.n, min(MOST_PIVOTS, PIVOT_BYTES // (8 * (known.length or 1)))
+    wanted = int(max(1, min(most, max(LEAST_PIVOTS, 2 * math.isqrt(n)))))
     # About as many rows as wanted have a small hash; each task sends its own, and the driver puts them in order.
     size = max(wanted, min(4 * wanted, SAMPLE))
     sample = classes.withColumn("h", F.pmod(F.xxhash64("cls", "label"), F.lit(max(n, 1)))).where(F.col("h") < size).toArrow().sort_by([("h", "ascending"), ("cls", "ascending"), ("label", "ascending")]).column("v").combine_chunks()
