@@ -7,6 +7,8 @@ lists merge in two levels.  A shard is sent once to each query block.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,6 +19,7 @@ from .common import stage
 QUERY_BLOCK, SHARD = 8_192, 4_096
 #: Queries multiplied with a shard at once.
 STRIP = 1_024
+#: Lists merged at once: so many at least, and the square root of all shards where that is more, so that no merge of a query reads more.
 FAN_IN = 16
 
 
@@ -65,7 +68,7 @@ def top_k(vectors: DataFrame, is_query: "F.Column", *, k: int = 10, scale: int =
 
     tiles = left.join(right, ["q", "c"]).select("queries", "candidates", "c").mapInArrow(run, "query_id long, vec_id long, score long, c long")
     best = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-    merged = best(tiles.withColumn("part", F.floor(F.col("c") / FAN_IN)), "query_id", "part").drop("rank")
+    merged = best(tiles.withColumn("part", F.floor(F.col("c") / max(FAN_IN, math.isqrt(c)))), "query_id", "part").drop("rank")
     return best(merged, "query_id").select("query_id", "rank", "vec_id", "score")
 
 
