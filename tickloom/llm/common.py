@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -32,8 +33,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders made inside each open :func:`staging`.
+_OPEN: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for paths in _OPEN:
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession):
+    """At its end, folders that operators staged inside are deleted: write or collect lazy results before."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN[:] = [x for x in _OPEN if x is not paths]
+        for path in paths:
+            _delete(spark, path)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -48,8 +69,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def discard(*staged: DataFrame) -> None:
     """Delete what :func:`stage` wrote, once no later job reads it."""
     for df in staged:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.staged_at)
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(docs: DataFrame, *keep: str) -> DataFrame:
