@@ -144,10 +144,26 @@ def test_keyset_reads_by_the_databases_bounds(spark):
     assert R.read_keyset(spark, url, "nothing", "id", 4).count() == 0 and R.read_keyset(spark, url, "single", "id", 4).count() == 1
 
 
-def test_a_position_of_decimals_closes_exactly(spark):
+@pytest.mark.parametrize("fold_rows", [10**6, 0])
+def test_positions_in_one_pass_and_by_spans(spark, fold_rows):
+    """Both ways against a plain fold: adds, reductions, crossings and closings over many spans, null keys, fills without quantity."""
+    rng = np.random.default_rng(4)
+    rows = [(k, i // 7, i, float(rng.choice([-3, -2, -1, 1, 2, 3])), float(rng.uniform(1, 9))) for k in ("A", "B", None) for i in range(300)] + [("A", 9, 65, None, 1.0)]
+    want = {}
+    for k, _, _, f, px in sorted((r for r in rows if r[3] is not None), key=lambda r: (r[0] or "", r[2])):
+        q, p = want.get(k, (0.0, 0.0))
+        n = q + f
+        want[k] = (0.0, 0.0) if n == 0 else (n, (q * p + f * px) / n) if q == 0 or (q > 0) == (f > 0) else (n, px if (n > 0) != (q > 0) else p)
+    d = spark.createDataFrame(rows, "k string, day int, i int, q double, px double").repartition(5)
+    got = {r.k: (r.qty, r.avg_price) for r in A.position_fold(d, ["k"], ["i"], "q", "px", span=F.col("day"), fold_rows=fold_rows).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+
+
+@pytest.mark.parametrize("fold_rows", [10**6, 0])
+def test_a_position_of_decimals_closes_exactly(spark, fold_rows):
     fills = [("x", 0, 0, 100000.1, 5.0), ("x", 0, 1, 200000.2, 6.0), ("x", 1, 2, -300000.3, 7.0), ("x", 1, 3, 5.0, 8.0), ("y", 0, 0, 0.1, 1.0), ("y", 0, 1, 0.2, 1.0), ("y", 1, 2, -0.3, 1.0)]
     d = spark.createDataFrame(fills, "k string, day int, i int, q double, px double").repartition(3)
-    assert {r.k: (r.qty, r.avg_price) for r in A.position_fold(d, ["k"], ["i"], "q", "px", span=F.col("day")).collect()} == {"x": (5.0, 8.0), "y": (0.0, 0.0)}
+    assert {r.k: (r.qty, r.avg_price) for r in A.position_fold(d, ["k"], ["i"], "q", "px", span=F.col("day"), fold_rows=fold_rows).collect()} == {"x": (5.0, 8.0), "y": (0.0, 0.0)}
 
 
 def test_zero_filled_days_by_key(spark):

@@ -54,35 +54,43 @@ def upper_median(df: DataFrame, keys: list[str], value: str, least: int = 1) ->
     return found.groupBy(*keys).agg(F.min(F.when(F.col("n") >= least, F.col("m_v"))).alias("median"), F.max("n").alias("n"))
 
 
-def position_fold(fills: DataFrame, keys: list[str], order: list[str], qty: str, price: str, *, span: Column) -> DataFrame:
+#: Keys of at most so many fills are folded in one pass.
+FOLD_ROWS = 1_000_000
+
+
+def position_fold(fills: DataFrame, keys: list[str], order: list[str], qty: str, price: str, *, span: Column, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Signed quantity and average price by key from ordered fills.
 
     Adding averages the price by weight, reducing keeps it, crossing zero starts at the fill's
-    price, and a closed position has none.  ``span`` never falls along the order (such as the day):
-    the fills of a key and span become one affine map of the price before them, and a key's maps
-    are applied one after another, so that no task holds all fills of a key.  Quantities are decimals
-    of eight places, so that what sums to nothing is exactly closed.  Fills without a quantity are
-    left out.
+    price, and a closed position has none.  Fills are counted by key first; where a key has more than
+    ``fold_rows``, ``span`` (which never falls along the order, such as the day) cuts all: the fills of
+    a key and span become one affine map of the price before them, and a key's maps are applied one
+    after another, so that no task holds all fills of a key.  Quantities are decimals of eight
+    places, so that what sums to nothing is exactly closed.  Fills without a quantity are left out.
     """
     exact = lambda q: q.cast("decimal(38,8)")
-    f = fills.where(c(qty).isNotNull()).select(*keys, span.alias("f_span"), F.struct(*order, exact(c(qty)).alias("q"), c(price).cast("double").alias("p")).alias("f_row"))
-    sums = f.groupBy(*(F.col(k).alias(f"f_{i}") for i, k in enumerate(keys)), F.col("f_span").alias("f_at")).agg(F.sum("f_row.q").alias("f_sum"))
-    earlier = Window.partitionBy(*(f"f_{i}" for i in range(len(keys)))).orderBy("f_at").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("f_before", exact(F.coalesce(F.sum("f_sum").over(earlier), F.lit(0)))).drop("f_sum")
-    parts = f.groupBy(*keys, "f_span").agg(F.array_sort(F.collect_list("f_row")).alias("f_rows"))
-    parts = parts.join(sums, [F.col("f_span").eqNullSafe(F.col("f_at")), *(F.col(k).eqNullSafe(F.col(f"f_{i}")) for i, k in enumerate(keys))])
-    none = lambda q: q == 0
+    row = F.struct(*order, exact(c(qty)).alias("q"), c(price).cast("double").alias("p"))
+    f = fills.where(c(qty).isNotNull()).select(*keys, span.alias("f_span"), row.alias("f_row"))
 
     def step(m, fill):
         q = exact(m["q"] + fill["q"])
-        adds = none(m["q"]) | (F.signum(m["q"]) == F.signum(fill["q"]))
+        adds = (m["q"] == 0) | (F.signum(m["q"]) == F.signum(fill["q"]))
         crosses = F.signum(q) != F.signum(m["q"])
-        by = F.when(none(q), 0.0).when(adds, m["q"].cast("double") / q.cast("double")).when(crosses, 0.0).otherwise(1.0)
-        plus = F.when(none(q), 0.0).when(adds, fill["q"].cast("double") * fill["p"] / q.cast("double")).when(crosses, fill["p"]).otherwise(0.0)
+        by = F.when(q == 0, 0.0).when(adds, m["q"].cast("double") / q.cast("double")).when(crosses, 0.0).otherwise(1.0)
+        plus = F.when(q == 0, 0.0).when(adds, fill["q"].cast("double") * fill["p"] / q.cast("double")).when(crosses, fill["p"]).otherwise(0.0)
         return F.struct(q.alias("q"), (by * m["by"]).alias("by"), (by * m["plus"] + plus).alias("plus"))
 
-    start = F.struct(F.col("f_before").alias("q"), F.lit(1.0).alias("by"), F.lit(0.0).alias("plus"))
-    maps = parts.select(*keys, F.struct("f_span", F.aggregate("f_rows", start, step).alias("m")).alias("f_map"))
+    start = lambda before: F.struct(exact(before).alias("q"), F.lit(1.0).alias("by"), F.lit(0.0).alias("plus"))
+    rows = F.array_sort(F.collect_list("f_row"))
+    if not f.groupBy(*keys).count().where(F.col("count") > fold_rows).limit(1).count():
+        whole = f.groupBy(*keys).agg(rows.alias("f_rows")).select(*keys, F.aggregate("f_rows", start(F.lit(0)), step).alias("m"))
+        return whole.select(*keys, F.col("m.q").cast("double").alias("qty"), F.col("m.plus").alias("avg_price"))
+    sums = f.groupBy(*(F.col(k).alias(f"f_{i}") for i, k in enumerate(keys)), F.col("f_span").alias("f_at")).agg(F.sum("f_row.q").alias("f_sum"))
+    earlier = Window.partitionBy(*(f"f_{i}" for i in range(len(keys)))).orderBy("f_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("f_before", F.coalesce(F.sum("f_sum").over(earlier), F.lit(0))).drop("f_sum")
+    parts = f.groupBy(*keys, "f_span").agg(rows.alias("f_rows"))
+    parts = parts.join(sums, [F.col("f_span").eqNullSafe(F.col("f_at")), *(F.col(k).eqNullSafe(F.col(f"f_{i}")) for i, k in enumerate(keys))])
+    maps = parts.select(*keys, F.struct("f_span", F.aggregate("f_rows", start(F.col("f_before")), step).alias("m")).alias("f_map"))
     whole = maps.groupBy(*keys).agg(F.array_sort(F.collect_list("f_map")).alias("f_maps"))
     return whole.select(*keys, F.element_at("f_maps", -1)["m"]["q"].cast("double").alias("qty"), F.aggregate("f_maps", F.lit(0.0), lambda p, x: x["m"]["by"] * p + x["m"]["plus"]).alias("avg_price"))
 
