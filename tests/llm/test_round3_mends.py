@@ -121,3 +121,48 @@ def test_hot_terms_and_addresses(spark, monkeypatch, share, most):
     assert got == want
     assert all("zebra" in got[i] and "the" not in got[i] for i in range(60)) and all("harmless" not in v for v in got.values())
     assert all(any(w.startswith("nickname") for w in got[i]) for i in range(60, 80))
+
+
+def test_staging_scope_deletes_what_was_staged_inside(spark, tmp_path):
+    import os
+
+    from tickloom.llm import common, minhash
+
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five six"), (3, None)], DOCS)
+    kept = common.stage(docs, "outside")
+    with common.staging(spark):
+        with common.staging(spark):
+            inner = common.stage(docs, "inside")
+        outer = common.stage(docs, "inside")
+        found = minhash.near_duplicate_classes(docs).count()
+        assert not os.path.exists(inner.staged_at) and os.path.exists(outer.staged_at)
+    assert found == 3 and kept.count() == 3 and not os.path.exists(outer.staged_at) and not common._OPEN
+    with pytest.raises(RuntimeError), common.staging(spark):
+        lost = common.stage(docs, "inside")
+        raise RuntimeError
+    assert not os.path.exists(lost.staged_at)
+
+
+@pytest.mark.parametrize("pivots", [16_384, 65_536])
+def test_recall_and_work_with_very_many_pivots(pivots):
+    """Planted pairs at the threshold share enough of their nearest reference points, and random vectors meet ever less often."""
+    rng = np.random.default_rng(31)
+    unit = lambda z: z / np.linalg.norm(z, axis=1, keepdims=True)
+    points, a = unit(rng.normal(size=(pivots, 48))), unit(rng.normal(size=(500, 48)))
+    side = rng.normal(size=a.shape)
+    side = unit(side - (side * a).sum(1, keepdims=True) * a)
+    near = [pivot_index.nearest_points(v, points, 12) for v in (a, 0.93 * a + np.sqrt(1 - 0.93**2) * side)]
+    need = pivot_index.shared_of(pivots)
+    shared = np.array([len(np.intersect1d(u, v)) for u, v in zip(*near)])
+    assert (shared >= need).mean() >= 0.95
+    listed = np.bincount(near[0].ravel(), minlength=pivots)
+    met = (listed * (listed - 1)).sum() / (len(a) * (len(a) - 1))
+    assert met < 250 / pivots
+
+
+def test_toxicity_stage_of_an_empty_table(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, score double")
+    out = corpus_pipeline.toxicity_stage(spark, docs, "/root/testdata/sf0.001")
+    assert out.count() == 0 and out.columns == docs.columns
