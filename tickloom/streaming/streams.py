@@ -85,14 +85,20 @@ def run_deliveries(deliveries: list[DataFrame], work: Callable[[DataFrame], Data
 
 
 def start_and_wait(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Process what is there with state in RocksDB, and stop; the session's own provider is put back."""
-    spark, (key, provider) = stream.sparkSession, PROVIDER
-    before = spark.conf.get(key)
-    spark.conf.set(key, provider)
+    """Process what is there and stop.
+
+    State is in RocksDB, in no more partitions than the cluster has cores (each keeps a worker busy in
+    every micro-batch; a checkpoint keeps its number).  The session's own settings are put back.
+    """
+    spark, partitions = stream.sparkSession, "spark.sql.shuffle.partitions"
+    before = {key: spark.conf.get(key) for key in (PROVIDER[0], partitions)}
+    spark.conf.set(*PROVIDER)
+    spark.conf.set(partitions, str(min(int(before[partitions]), spark.sparkContext.defaultParallelism)))
     try:
         stream.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def json_stream(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
