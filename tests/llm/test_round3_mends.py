@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import pivot_index, quality, sanitise, url_filter
+from tickloom.llm import pivot_index, quality, queries, sanitise, url_filter
 
 DOCS = "doc_id long, text string"
 
@@ -166,3 +166,28 @@ def test_toxicity_stage_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, score double")
     out = corpus_pipeline.toxicity_stage(spark, docs, "/root/testdata/sf0.001")
     assert out.count() == 0 and out.columns == docs.columns
+
+
+SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+
+
+def test_near_duplicate_query_against_all_pairs(spark):
+    """The query over the whole small table: classes as by weighted Jaccard similarity over all pairs of texts."""
+    from tests.llm.test_llm import brute_groups
+
+    docs = sorted(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect(), key=lambda r: r.doc_id)
+    groups = brute_groups([r.text for r in docs], len(docs))
+    got = {r.doc_id: (r.class_id, r.kept) for r in queries.QUERIES["op8_minhash"](spark, SMALL).collect()}
+    assert got == {r.doc_id: (docs[g].doc_id, docs[g].doc_id == r.doc_id) for r, g in zip(docs, groups)}
+    assert sum(not kept for _, kept in got.values()) > 5
+
+
+@pytest.mark.parametrize("name, column, missed, false", [("op9_quality", "quality", 0.15, 0.03), ("op10_toxicity", "toxic", 0.5, 0.03)])
+def test_score_queries_on_held_out_labels(spark, name, column, missed, false):
+    """Labels that training never saw: few wrong ones of the common class, most of the rare one found."""
+    label = {r.doc_id: r[column] for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
+    rows = [(label[r.doc_id], r.predicted) for r in queries.QUERIES[name](spark, MIDDLE).collect() if r.held_out and label.get(r.doc_id) is not None]
+    common = 1 if column == "quality" else 0
+    usual, rare = [p for y, p in rows if y == common], [p for y, p in rows if y != common]
+    assert len(usual) > 40 and len(rare) >= 5
+    assert np.mean([p != common for p in usual]) <= false and np.mean([p == common for p in rare]) <= missed
