@@ -9,6 +9,7 @@ event-time column that carries the watermark; rows behind the watermark never re
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -130,10 +131,13 @@ class Heartbeat(_Processor):
 class Positions(_Processor):
     """Running quantity and average price from fills; a fill id counts once.
 
-    Ids are kept until the watermark passes their fill: a replay after that is dropped as late.
-    Quantities are whole numbers of ``unit``, so that a closed position is exactly zero.
+    Ids are kept until the watermark passes the hour of their fill: a replay after that is dropped as
+    late.  Each hour has its list of ids and one timer, so that forgetting them costs no more than
+    learning them.  Quantities are whole numbers of ``unit``: a closed position is exactly zero.
     """
 
+    HOUR_US = 3_600_000_000
+
     def __init__(self, key: str, unit: float = 1e-8):
         self.columns, self.unit = [key, "us", "event_id", "qty", "avg_price", "fills"], unit
 
@@ -141,25 +145,32 @@ class Positions(_Processor):
         self.handle = handle
         self.book = handle.getValueState("book", "units long, price double, fills long")
         self.known = handle.getMapState("known", "event_id long", "us long")
+        self.hours = handle.getMapState("hours", "hour long", "events array<long>")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         units, price, fills = self.book.get() or (0, 0.0, 0)
-        last = None
+        last, new = None, defaultdict(list)
         for us, event, qty, at in _ordered(rows, "us", "event_id", "qty", "price"):
             if self.known.containsKey((event,)):
                 continue
             self.known.updateValue((event,), (us,))
-            self.handle.registerTimer(due(us + 1))
+            new[us // self.HOUR_US].append(event)
             units, price = filled(units, price, round(qty / self.unit), at)
             fills, last = fills + 1, (us, event)
+        for hour, events in new.items():
+            before = list(self.hours.getValue((hour,))[0]) if self.hours.containsKey((hour,)) else []
+            self.hours.updateValue((hour,), (before + events,))
+            self.handle.registerTimer(due((hour + 1) * self.HOUR_US))
         if last is not None:
             self.book.update((units, price, fills))
             yield self.frame(key, [(*last, units * self.unit, price, fills)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        ended = [event for event, (us,) in self.known.iterator() if due(us + 1) <= expiredTimerInfo.getExpiryTimeInMs()]
-        for event in ended:
-            self.known.removeKey(event)
+        hour = (expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.HOUR_US - 1,)
+        if self.hours.containsKey(hour):
+            for event in self.hours.getValue(hour)[0]:
+                self.known.removeKey((event,))
+            self.hours.removeKey(hour)
         return iter([])
 
 
