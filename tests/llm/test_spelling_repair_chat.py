@@ -66,6 +66,17 @@ def test_variants_against_all_pairs(spark, block, tile):
     assert got == want and any(v[0] and want[v[0]][0] for v in want.values())
 
 
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_runs_of_a_text_in_pieces(monkeypatch, piece):
+    """Pieces end between runs: the same runs as of the whole text, wherever it is cut."""
+    monkeypatch.setattr(spelling, "PIECE_CHARS", piece)
+    for text in ("", "a", "  ", "abc", "one twoÉ-three\n four5five × end ", "x" * 50 + " y", "日本 word" * 9):
+        got = collections.Counter()
+        for run, n in spelling._runs(text):
+            got[run] += n
+        assert got == collections.Counter(spelling.RUN.findall(text))
+
+
 def test_words_of_texts(spark):
     """Damage by crc32 of id and word, lower case of A-Z alone, empty, null and long texts, repeated rows and null ids."""
     texts = ["Étage étage ÉTAGE word-Words words_WORDS", "", None, "one two three " * 500, "ab" * 40_000 + " end", "naïve café×÷ " * 3]

@@ -23,15 +23,17 @@ from pyspark.sql import functions as F
 
 from .common import discard, give_back, slices, stage, texts_of
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
+RUN, _GAP = re.compile("[A-Za-zÀ-ÿ]+"), re.compile("[^A-Za-zÀ-ÿ]")
 _LOWER = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
 LETTERS, GROUPS = 26 + 64, 3
+#: Characters of a text whose runs are listed at once.
+PIECE_CHARS = 1 << 20
 #: Runs counted by a task before it passes them on.
 HELD_RUNS, HELD_CHARS = 200_000, 8_000_000
 #: Words in a block, about; blocks beyond TILE words are cut into tiles of that size.
 BLOCK, TILE = 1_024, 4_096
-#: Distances looked at at once.
-STRIP = 1 << 20
+#: Distances looked at at once, and products of parts so small that their pairs are multiplied one by one instead.
+STRIP, SMALL_PART = 1 << 20, 1_024
 #: Blocks that need tiles are few: up to so many (about 4 MB) are broadcast, more are joined by shuffle.
 BROADCAST_BLOCKS = 50_000
 
@@ -51,7 +53,7 @@ def word_counts(docs: DataFrame, *, least_letters: int = 5, least: int = 3, lose
         for batch in slices(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
                 prefix = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-                for run, n in Counter(RUN.findall(text)).items():
+                for run, n in _runs(text):
                     if len(run) < least_letters:
                         continue
                     word = run.lower() if run.isascii() else run.translate(_LOWER)
@@ -76,6 +78,18 @@ def word_counts(docs: DataFrame, *, least_letters: int = 5, least: int = 3, lose
     return rows.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
+def _runs(text: str):
+    """Runs of letters of a text and how often they stand, a piece of a long text at a time (a run may come again)."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE_CHARS
+        if end < len(text):
+            gap = _GAP.search(text, end)
+            end = gap.start() if gap else len(text)
+        yield from Counter(RUN.findall(text, at, end)).items()
+        at = end
+
+
 def _counts(held: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
@@ -92,10 +106,20 @@ def letter_counts(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.bincount(at * LETTERS + letters, minlength=len(sizes) * LETTERS).reshape(-1, LETTERS)
 
 
+_WEIGHT = np.random.default_rng(11).integers(1, 2**63, (2, LETTERS), dtype=np.uint64)
+
+
 def group_keys(counts: np.ndarray) -> np.ndarray:
     """A 64-bit key of each group's counts; words that share the counts share the key."""
-    weight = np.random.default_rng(11).integers(1, 2**63, LETTERS, dtype=np.uint64)
-    return np.stack([counts[:, g::GROUPS].astype(np.uint64) @ weight[g::GROUPS] for g in range(GROUPS)], axis=1)
+    return np.stack([counts[:, g::GROUPS].astype(np.uint64) @ _WEIGHT[0, g::GROUPS] for g in range(GROUPS)], axis=1)
+
+
+def part_keys(counts: np.ndarray, group: int) -> np.ndarray:
+    """For each third of the letters outside ``group``: a key of its counts and of the group's together."""
+    at = np.arange(LETTERS)
+    thirds = [(at % GROUPS != group) & (at // GROUPS % GROUPS == h) for h in range(GROUPS)]
+    whole = counts[:, group::GROUPS].astype(np.uint64) @ _WEIGHT[0, group::GROUPS]
+    return np.stack([whole * np.uint64(0x9E3779B97F4A7C15) + counts[:, t].astype(np.uint64) @ _WEIGHT[1, t] for t in thirds], axis=1)
 
 
 def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,24 +153,45 @@ def near_in_tile(words: list[str], n: np.ndarray, shorter: np.ndarray, tile: np.
     rank[order] = np.arange(total)
     best = np.full(total, total, np.int64)
 
+    parts = part_keys(counts, group)
+
     def met(rows: np.ndarray, columns: np.ndarray) -> None:
-        if not len(rows) or not len(columns):
-            return
-        for part in np.array_split(rows, -(-len(rows) * len(columns) // STRIP)):
-            if not len(part):
-                continue
-            distance = square[part][:, None] + square[columns][None, :] - 2 * (x[part] @ x[columns].T)
-            i, j = np.nonzero((distance > 0) & (distance <= 2))
-            i, j = part[i], columns[j]
-            ok = (keys[i, group] == keys[j, group]) & (tile[i] != tile[j] if across else True)
-            for g in range(group):
-                ok &= keys[i, g] != keys[j, g]
-            # Of two words of one length, each pair once.
-            ok &= (sizes[i] != sizes[j]) | (i < j)
-            i, j = i[ok], j[ok]
-            for k in np.array_split(np.arange(len(i)), max(1, len(i) * longest // (8 * STRIP))):
-                if len(k):
-                    verified(i[k], j[k])
+        for h in range(GROUPS):
+            r, c = rows[np.argsort(parts[rows, h], kind="stable")], columns[np.argsort(parts[columns, h], kind="stable")]
+            shared, first_r, n_r = np.unique(parts[r, h], return_index=True, return_counts=True)
+            other, first_c, n_c = np.unique(parts[c, h], return_index=True, return_counts=True)
+            _, at_r, at_c = np.intersect1d(shared, other, assume_unique=True, return_indices=True)
+            first_r, n_r, first_c, n_c = first_r[at_r], n_r[at_r], first_c[at_c], n_c[at_c]
+            pairs = n_r * n_c
+            small = np.flatnonzero(pairs <= SMALL_PART)
+            done = np.cumsum(pairs[small])
+            for some in np.split(small, np.flatnonzero(np.diff(done * LETTERS // (4 * STRIP))) + 1):
+                k = np.repeat(some, pairs[some])
+                at = np.arange(len(k)) - np.repeat(np.cumsum(pairs[some]) - pairs[some], pairs[some])
+                i, j = r[first_r[k] + at // n_c[k]], c[first_c[k] + at % n_c[k]]
+                candidates(i, j, square[i] + square[j] - 2 * np.einsum("ij,ij->i", x[i], x[j]), h)
+            for k in np.flatnonzero(pairs > SMALL_PART):
+                mine, theirs = r[first_r[k] : first_r[k] + n_r[k]], c[first_c[k] : first_c[k] + n_c[k]]
+                for strip in np.array_split(mine, -(-len(mine) * len(theirs) // STRIP)):
+                    distance = square[strip][:, None] + square[theirs][None, :] - 2 * (x[strip] @ x[theirs].T)
+                    i, j = np.nonzero((distance > 0) & (distance <= 2))
+                    candidates(strip[i], theirs[j], distance[i, j], h)
+
+    def candidates(i: np.ndarray, j: np.ndarray, distance: np.ndarray, h: int) -> None:
+        ok = (distance > 0) & (distance <= 2)
+        i, j = i[ok], j[ok]
+        ok = (keys[i, group] == keys[j, group]) & (tile[i] != tile[j] if across else True)
+        # A pair counts under the first group, and there under the first third, that it shares.
+        for g in range(group):
+            ok &= keys[i, g] != keys[j, g]
+        for third in range(h):
+            ok &= parts[i, third] != parts[j, third]
+        # Of two words of one length, each pair once.
+        ok &= (sizes[i] != sizes[j]) | (i < j)
+        i, j = i[ok], j[ok]
+        for k in np.array_split(np.arange(len(i)), max(1, len(i) * longest // (8 * STRIP))):
+            if len(k):
+                verified(i[k], j[k])
 
     def verified(i: np.ndarray, j: np.ndarray) -> None:
         a = letters[starts[i][:, None] + np.arange(sizes[i[0]])]
