@@ -47,8 +47,8 @@ def _min_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum((a[..., :, :, None] + b[..., None, :, :]).min(axis=-2), FAR)
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code (initial * 2 + truncated): cost matrix with insertions before it, cost of keeping and of renaming; and the cost at the end."""
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Cost matrices by code (initial * 2 + truncated), insertions before the row included; and the costs at the end, by state."""
     insert = np.where(np.eye(4, dtype=bool), 0, FAR)
     insert[np.arange(4), GIVEN] = INSERT
     closure = _min_plus(_min_plus(insert, insert), insert)
@@ -63,10 +63,10 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 edit[s, to] = min(edit[s, to], more)
         whole[code] = _min_plus(closure, edit)
     done = np.where(np.isin(np.arange(4), [START, AFTER_A]), 0, FAR)
-    return whole, (closure + done[None, :]).min(axis=1), closure
+    return whole, (closure + done[None, :]).min(axis=1)
 
 
-MATRIX, END, _ = _tables()
+MATRIX, END = _tables()
 
 
 def normal(v: np.ndarray) -> np.ndarray:
@@ -335,7 +335,6 @@ def repair_conversations(rows: DataFrame, *, chunk_bits: int = CHUNK_BITS, fixup
     types = dict(out.dtypes)
     none = lambda c: F.lit(None).cast(types[c]).alias(c)
     closing = edits.where(F.col("place") == LAST_PLACE).select("conv_id", "place", none("turn"), none("role"), none("text"), none("fault"), F.lit(0).cast("long").alias("copies"), "inserted", "edit", none("given_role"))
-    # A conversation that has no row left after its edits but must have none inserted has no closing row.
     return out.unionByName(closing)
 
 
