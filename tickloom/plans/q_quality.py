@@ -305,8 +305,8 @@ def dedupe_documents(spark, sf_dir):
 
 @register("read_market_history", f"WITH {base.HB0} SELECT asset, count(*) FILTER (high / low > 50) AS rejected, count(*) FILTER (high / low <= 50 AND open > close) AS crossed, count(*) AS n FROM hb0 GROUP BY 1")
 def read_market_history(spark, sf_dir):
-    """Rows that break the rule go aside with a reason; a crossed quote is nulled, not dropped."""
-    good, bad = B.split_valid(base.hourly(spark, sf_dir), F.when(col("high") / col("low") > 50, "range"))
+    """Rows that break the rule go aside with a reason, those with a low of zero too; a crossed quote is nulled, not dropped."""
+    good, bad = B.split_valid(base.hourly(spark, sf_dir), F.when(S.float_ratio("high", "low") > 50, "range"))
     quotes = good.withColumn("bid", F.when(col("open") <= col("close"), col("open")))
     a = quotes.groupBy("asset").agg(F.count_if(col("bid").isNull()).alias("crossed"), F.count("*").alias("kept"))
     b = bad.groupBy("asset").agg(F.count("*").alias("rejected"))
