@@ -46,7 +46,7 @@ def blend(columns: list[str], weights: list[float]) -> Column:
     total = sum(weights)
     out = F.lit(0.0)
     for name, w in zip(columns, weights):
-        out = out + F.col(name) * (w / total)
+        out = out + F.col(name) * w / total
     return out
 
 
