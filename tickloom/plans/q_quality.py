@@ -293,7 +293,9 @@ def read_notice_tables(spark, sf_dir):
     isins = F.when(col("p_partkey") % 3 == 0, "(SE0000108656), US0378331006").otherwise("US0378331006")
     rows = F.concat(td(F.lit("Short name:"), F.upper("p_name"), F.lit("Order book <i>ID</i>"), F.concat(col("p_partkey").cast("string"), F.lit(" x1"))), td(F.lit("ISIN code"), isins), F.when(col("p_partkey") % 2 == 0, td(F.lit("First day of trading"), day("2024-01-01"))).otherwise(td(F.lit("Note"))))
     html = F.concat(F.lit("<html><body><table>"), td(F.lit("Short name"), F.lit("outside")), F.lit('</table><div id="view-body"><table>'), rows, F.lit("</table><p>us0378331005; the last trading day is "), day("2024-03-01"), F.lit(".</p></div></body></html>"))
-    part = table(spark, sf_dir, "part").select(col("p_partkey").alias("id"), html.alias("html"), F.concat_ws(" ", F.get(F.array(*map(F.lit, heads)), (col("p_partkey") % 7).cast("int")), "p_name").alias("headline"))
+    # Parts are a few bytes in few files, their pages are long to read: they are dealt to all cores first.
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    part = part.select(col("p_partkey").alias("id"), html.alias("html"), F.concat_ws(" ", F.get(F.array(*map(F.lit, heads)), (col("p_partkey") % 7).cast("int")), "p_name").alias("headline"))
     text = [F.array_join(x, ",").alias(x) for x in ("short_names", "isins", "order_book_ids")]
     return R.notices(part, "html").select("id", *text, "first_day", "last_day", S.classify_text("headline", R.NOTICE_KINDS).alias("kind"))
 
