@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tickloom.streaming import stateful as SF
@@ -128,3 +129,8 @@ def test_streams_need_a_shared_folder_off_local_mode():
 
     with pytest.raises(ValueError):
         ST.shared_path(Session(), "x")
+
+
+def test_rows_of_one_time_and_id_stand_with_nulls_last():
+    rows = [Row(us=1, event_id=2, value=None), Row(us=1, event_id=2, value=3.0), Row(us=0, event_id=9, value=None)]
+    assert SF._ordered(iter(rows), "us", "event_id", "value") == [(0, 9, None), (1, 2, 3.0), (1, 2, None)]
