@@ -279,7 +279,7 @@ def stream_positions(spark, sf_dir):
     again = lambda e, k: e.where(col("slice") == k).withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(col("event_id") % 10 == 0, 2).otherwise(1)))).drop("copy").union(e.where((col("slice") == k - 1) & (col("event_id") % 7 == 0)))
     fills = [d.where("value is not null").select("user_id", "ts", "us", "event_id", ((1 + col("event_id") % 3) * F.when(col("event_id") % 2 == 0, 1.0).otherwise(-1.0)).alias("qty"), col("value").alias("price")) for d in _delivered(spark, sf_dir, again)]
     # The watermark trails by more than two deliveries, so that replays reach the processor.
-    out, _ = ST.run_deliveries(fills, lambda s: SF.positions(s, "user_id"), "positions", watermark="40 days")
+    out, _ = ST.run_deliveries(fills, lambda s: SF.positions(s, "user_id", 4 * 86_400), "positions", watermark="40 days")
     return out.groupBy("user_id").agg(F.max_by(F.struct("qty", "avg_price", "fills"), "fills").alias("last")).select("user_id", "last.qty", (F.round("last.avg_price", 6) + 0.0).alias("avg_price"), "last.fills")
 
 

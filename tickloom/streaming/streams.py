@@ -73,10 +73,12 @@ def run_deliveries(deliveries: list[DataFrame], work: Callable[[DataFrame], Data
         stream = work(spark.readStream.schema(schema).parquet(f"{path}/in").withWatermark(ts, watermark))
 
         def write(batch: DataFrame, number: int) -> None:
+            if late is None:
+                batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+                return
             kept = batch.persist()
-            if late:
-                kept.where(F.col(late)).write.mode("overwrite").parquet(f"{path}/late/batch={number}")
-            (kept.where(~F.col(late)) if late else kept).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+            kept.where(F.col(late)).write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+            kept.where(~F.col(late)).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
             kept.unpersist()
 
         start_and_wait(stream, write, f"{path}/checkpoint")
