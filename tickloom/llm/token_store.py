@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import unicodedata
 import zlib
 
@@ -34,7 +35,7 @@ SAMPLE_DOCUMENTS, SAMPLE_BYTES, SAMPLE_PIECES = 1_000, 8_192, 2_000
 BLOCK_BYTES = 1_000_000
 CACHED_WORDS = 700_000
 #: Characters on which every Unicode version agrees about letters, numbers and lower case (no capital sigma).
-SETTLED = regex.compile(r"[\t-\r\x20-\x7e\x85\xa0-\u024f\u0391-\u03a1\u03b1-\u03c9\u0400-\u045f\u2000-\u206f\u20ac\u3000-\u3029\u3041-\u3094\u30a1-\u30fe\u4e00-\u9fa5\uac00-\ud7a3]*")
+SETTLED = re.compile(r"[\t-\r\x20-\x7e\x85\xa0-\u024f\u0391-\u03a1\u03b1-\u03c9\u0400-\u045f\u2000-\u206f\u20ac\u3000-\u3029\u3041-\u3094\u30a1-\u30fe\u4e00-\u9fa5\uac00-\ud7a3]*")
 
 
 class WordEncoder:
@@ -90,10 +91,11 @@ class WordEncoder:
                 whole.append(i)
             else:
                 split[i] = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
-        new = list({w for words in split.values() for w in words}.difference(cache))
+        found = {i: list(map(cache.get, words)) for i, words in split.items()}
+        new = list({w for i, words in split.items() if not all(found[i]) for w, ids in zip(words, found[i]) if not ids})
         cache.update(zip(new, self._pieces(new)))
-        for i, words in split.items():
-            out[i] = b"".join(map(cache.__getitem__, words))
+        for i, parts in found.items():
+            out[i] = b"".join(parts if all(parts) else [ids or cache[w] for w, ids in zip(split[i], parts)])
         for i, ids in zip(whole, self._ask([texts[i] for i in whole])):
             out[i] = ids
         return out
