@@ -17,6 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -34,6 +35,8 @@ DICTIONARY_BYTES = 65_536
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, SAMPLE_PIECES = 1_000, 8_192, 2_000
 BLOCK_BYTES = 1_000_000
 CACHED_WORDS = 700_000
+#: So many bytes of text are split into words at once: each distinct word of them is looked up once.
+SLICE_BYTES = 2_000_000
 #: Characters on which every Unicode version agrees about letters, numbers and lower case (no capital sigma).
 SETTLED = re.compile(r"[\t-\r\x20-\x7e\x85\xa0-\u024f\u0391-\u03a1\u03b1-\u03c9\u0400-\u045f\u2000-\u206f\u20ac\u3000-\u3029\u3041-\u3094\u30a1-\u30fe\u4e00-\u9fa5\uac00-\ud7a3]*")
 
@@ -84,18 +87,29 @@ class WordEncoder:
         out: list[bytes] = [b""] * len(texts)
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
-        cache, whole = self.cache, []
-        split: dict[int, list[str]] = {}
+        whole, plain, settled = [], [], []
         for i, text in enumerate(texts):
             if not self.plain or not SETTLED.fullmatch(text) or any(s in text for s in self.special):
                 whole.append(i)
             else:
-                split[i] = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
-        found = {i: list(map(cache.get, words)) for i, words in split.items()}
-        new = list({w for i, words in split.items() if not all(found[i]) for w, ids in zip(words, found[i]) if not ids})
-        cache.update(zip(new, self._pieces(new)))
-        for i, parts in found.items():
-            out[i] = b"".join(parts if all(parts) else [ids or cache[w] for w, ids in zip(split[i], parts)])
+                plain.append(i)
+                settled.append((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+        # Words are split and told apart by Arrow; only distinct ones are Python's.
+        split = pc.utf8_split_whitespace(pa.array(settled, pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        distinct, places = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        parts = list(map(self.cache.get, distinct))
+        unknown = [k for k, ids in enumerate(parts) if ids is None]
+        new = [distinct[k] for k in unknown]
+        for k, word, ids in zip(unknown, new, self._pieces(new)):
+            self.cache[word] = parts[k] = ids
+        n = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        ids, counts = np.frombuffer(b"".join(parts), "<u4"), n[places]
+        stops = np.concatenate([[0], np.cumsum(counts)])
+        data = ids[np.repeat((np.cumsum(n) - n)[places] - stops[:-1], counts) + np.arange(stops[-1])].tobytes()
+        cuts = (4 * stops[split.offsets.to_numpy()]).tolist()
+        for i, a, b in zip(plain, cuts, cuts[1:]):
+            out[i] = data[a:b]
         for i, ids in zip(whole, self._ask([texts[i] for i in whole])):
             out[i] = ids
         return out
@@ -141,7 +155,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
 
     def sample(batches):
         encoder = encoder_of(tokenizer)
-        for batch in slices(batches):
+        for batch in slices(batches, budget=SLICE_BYTES):
             ids = map(_narrow, (x + end for x in encoder.encode(texts_of(batch))))
             yield pa.RecordBatch.from_arrays([pa.array([x[i : i + SAMPLE_BYTES] for x in ids for i in range(0, len(x), SAMPLE_BYTES)], pa.binary())], ["ids"])
 
@@ -160,7 +174,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
         def flush():
             return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "dictionary_sha256": sha, "first_place": first, "doc_ids": ids, "n_tokens": counts, "offsets": offsets, "payload": b"".join(payload)}], schema=BLOCK)
 
-        for batch in slices(batches):
+        for batch in slices(batches, budget=SLICE_BYTES):
             for doc, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch))):
                 found += end
                 frame = packer.compress(_narrow(found))
