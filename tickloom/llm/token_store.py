@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import re
+import string
 import unicodedata
 import zlib
 
@@ -34,18 +36,23 @@ DICTIONARY_BYTES = 65_536
 #: The dictionary is trained on pieces of so many bytes of the ids of about so many documents (small id hashes), whole ones; of at most so many pieces, those of smallest hash.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, SAMPLE_PIECES = 1_000, 8_192, 2_000
 BLOCK_BYTES = 1_000_000
-CACHED_WORDS = 700_000
-#: So many bytes of text are split into words at once: each distinct word of them is looked up once.
-SLICE_BYTES = 2_000_000
+#: Known stems are forgotten together once they are more than so many, or hold more than so many ids; pre-tokens of mixed words up to so many characters are kept, so many of them.
+CACHED_WORDS, CACHED_IDS = 700_000, 4_000_000
+PIECE_CHARACTERS, CACHED_PIECES = 64, 65_536
+#: So many bytes of text are split into words at once: each distinct stem of them is looked up once.
+SLICE_BYTES = 8_000_000
+#: The pre-tokens of the vocabulary file whose words are told apart here; with any other, texts go to the library whole.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters on which every Unicode version agrees about letters, numbers and lower case (no capital sigma).
 SETTLED = re.compile(r"[\t-\r\x20-\x7e\x85\xa0-\u024f\u0391-\u03a1\u03b1-\u03c9\u0400-\u045f\u2000-\u206f\u20ac\u3000-\u3029\u3041-\u3094\u30a1-\u30fe\u4e00-\u9fa5\uac00-\ud7a3]*")
 
 
 class WordEncoder:
-    """Encodes whole texts with the tokenizers library, asking it once for each distinct word.
+    """Encodes whole texts with the tokenizers library, asking its model once for each distinct stem.
 
     A text of settled characters is normalised as the file says (NFC, lower case), split at white
-    space, which no pre-token spans, and each new word's pre-tokens go to the library's model.
+    space, which no pre-token spans, and letters before closing ASCII punctuation are told apart
+    from it, as pre-tokens are; what is new goes to the library's model, pre-token by pre-token.
     Other texts, and those that hold special tokens, go to the library whole.
     """
 
@@ -57,36 +64,57 @@ class WordEncoder:
             spec = json.load(f)
         steps = spec["normalizer"]["normalizers"] if spec["normalizer"] else []
         split = spec["pre_tokenizer"]["pretokenizers"][0]
-        self.plain = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and split["type"] == "Split" and split["invert"]
-        self.pattern = regex.compile(split["pattern"]["Regex"] + r"|\n")
-        self.words = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
-        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
-        self.ends[[i for w, i in spec["model"]["vocab"].items() if w.endswith(spec["model"]["end_of_word_suffix"])]] = True
+        self.plain = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and split == {"type": "Split", "pattern": {"Regex": PRE_TOKENS}, "behavior": "Removed", "invert": True}
+        self.pattern = regex.compile(PRE_TOKENS)
+        self.model = self.tokenizer.model
+        self.again = functools.lru_cache(CACHED_PIECES)(self._piece)
         self.special = [x["content"] for x in spec["added_tokens"]]
-        self.stand_in = visible_bytes()
-        self.cache: dict[str, bytes] = {}
+        self.stand_in = visible_bytes() | {ord("\n"): "\n"}
+        self.forget()
+
+    def forget(self) -> None:
+        """``cache`` tells the row of a known stem: its ids are ``ids[stops[row] : stops[row + 1]]``."""
+        self.cache: dict[str, int] = {}
+        self.ids, self.stops = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, words: list[str]) -> list[bytes]:
-        """Ids of words without white space: their pre-tokens go to the library as one text, and tokens that end a word part them again."""
-        if not words:
-            return []
-        found = self.pattern.findall("\n".join(words) + "\n")
-        ends = np.flatnonzero([w == "\n" for w in found])
-        line = " ".join([w if w.isascii() else "".join(map(self.stand_in.__getitem__, w.encode())) for w in found if w != "\n"])
-        ids = np.array(self.words.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
-        stops = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
-        ends = stops[ends - np.arange(len(ends))]
-        data = ids.tobytes()
-        cuts = (4 * np.concatenate([[0], ends])).tolist()
-        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+    def _piece(self, piece: str) -> list[int]:
+        """Ids of one pre-token, its bytes written as their stand-ins."""
+        return [t.id for t in self.model.tokenize(piece)]
+
+    def _learn(self, words: pa.Array) -> None:
+        """Ids of stems without white space; letters alone are one pre-token."""
+        texts = _listed(words)
+        shown = "\n".join(texts).encode().decode("latin-1").translate(self.stand_in).split("\n")
+        ids, ends = [], []
+        for text, word, letters in zip(texts, shown, _listed(pc.utf8_is_alpha(words))):
+            if letters:
+                ids += self._piece(word)
+            else:
+                for piece in self.pattern.findall(text):
+                    ask = self.again if len(piece) <= PIECE_CHARACTERS else self._piece
+                    ids += ask("".join(map(self.stand_in.__getitem__, piece.encode())))
+            ends.append(len(ids))
+        first = len(self.stops) - 1
+        self.cache.update(zip(texts, range(first, first + len(texts))))
+        self.stops = np.concatenate([self.stops, self.stops[-1] + np.array(ends, np.int64)])
+        self.ids = np.concatenate([self.ids, np.array(ids, "<u4")])
+
+    def _rows(self, stems: pa.Array) -> np.ndarray:
+        """Rows of distinct stems, new ones learned."""
+        rows = np.fromiter(map(self.cache.get, _listed(stems), itertools.repeat(-1)), np.int64, len(stems))
+        new = np.flatnonzero(rows < 0)
+        rows[new] = np.arange(len(new)) + len(self.stops) - 1
+        if len(new):
+            self._learn(stems.take(pa.array(new)))
+        return rows
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
+        if len(self.cache) > CACHED_WORDS or len(self.ids) > CACHED_IDS:
+            self.forget()
         whole, plain, settled = [], [], []
         for i, text in enumerate(texts):
             if not self.plain or not SETTLED.fullmatch(text) or any(s in text for s in self.special):
@@ -94,20 +122,17 @@ class WordEncoder:
             else:
                 plain.append(i)
                 settled.append((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
-        # Words are split and told apart by Arrow; only distinct ones are Python's.
+        # Words are split and told apart by Arrow; only distinct stems are Python's.
         split = pc.utf8_split_whitespace(pa.array(settled, pa.large_string()))
         words = split.flatten().dictionary_encode()
-        distinct, places = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
-        parts = list(map(self.cache.get, distinct))
-        unknown = [k for k, ids in enumerate(parts) if ids is None]
-        new = [distinct[k] for k in unknown]
-        for k, word, ids in zip(unknown, new, self._pieces(new)):
-            self.cache[word] = parts[k] = ids
-        n = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        ids, counts = np.frombuffer(b"".join(parts), "<u4"), n[places]
-        stops = np.concatenate([[0], np.cumsum(counts)])
-        data = ids[np.repeat((np.cumsum(n) - n)[places] - stops[:-1], counts) + np.arange(stops[-1])].tobytes()
-        cuts = (4 * stops[split.offsets.to_numpy()]).tolist()
+        stems = _stems(words.dictionary).dictionary_encode()
+        rows = self._rows(stems.dictionary)[stems.indices.to_numpy()]
+        n = np.diff(self.stops)[rows]
+        ids = _gathered(self.ids, self.stops[rows], n)
+        n, places = n.reshape(-1, 2).sum(axis=1), words.indices.to_numpy()
+        counts = n[places]
+        data = _gathered(ids, (np.cumsum(n) - n)[places], counts).tobytes()
+        cuts = (4 * np.concatenate([[0], np.cumsum(counts)])[split.offsets.to_numpy()]).tolist()
         for i, a, b in zip(plain, cuts, cuts[1:]):
             out[i] = data[a:b]
         for i, ids in zip(whole, self._ask([texts[i] for i in whole])):
@@ -115,6 +140,24 @@ class WordEncoder:
         return out
 
 
+def _listed(values: pa.Array) -> list:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def _stems(words: pa.Array) -> pa.Array:
+    """Each word as two values: its letters and the ASCII punctuation behind them, or all of it and nothing."""
+    stems, sizes = pc.utf8_rtrim(words, characters=string.punctuation), pc.binary_length(words).to_numpy()
+    letters = np.where(pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False), pc.binary_length(stems).to_numpy(), sizes)
+    stops = np.concatenate([[0], np.cumsum(np.stack([letters, sizes - letters], axis=1), dtype=np.int64)])
+    return pa.LargeStringArray.from_buffers(2 * len(words), pa.py_buffer(stops), words.buffers()[2])
+
+
+def _gathered(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of so many ids from each start on, one behind the other."""
+    stops = np.concatenate([[0], np.cumsum(counts)])
+    return ids[np.repeat(starts - stops[:-1], counts) + np.arange(stops[-1])]
+
+
 @functools.lru_cache(2)
 def encoder_of(path: str) -> WordEncoder:
     """One encoder for each worker process, with its cache."""
