@@ -36,7 +36,7 @@ DICTIONARY_BYTES = 65_536
 #: The dictionary is trained on pieces of so many bytes of the ids of about so many documents (small id hashes), whole ones; of at most so many pieces, those of smallest hash.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, SAMPLE_PIECES = 1_000, 8_192, 2_000
 BLOCK_BYTES = 1_000_000
-#: Known stems are forgotten together once they are more than so many, or hold more than so many ids; pre-tokens of mixed words up to so many characters are kept, so many of them.
+#: Once known stems are more than so many, or hold more than so many ids, those not met again are forgotten; pre-tokens of mixed words up to so many characters are kept, so many of them.
 CACHED_WORDS, CACHED_IDS = 700_000, 4_000_000
 PIECE_CHARACTERS, CACHED_PIECES = 64, 65_536
 #: So many bytes of text are split into words at once: each distinct stem of them is looked up once.
@@ -75,7 +75,17 @@ class WordEncoder:
     def forget(self) -> None:
         """``cache`` tells the row of a known stem: its ids are ``ids[stops[row] : stops[row + 1]]``."""
         self.cache: dict[str, int] = {}
-        self.ids, self.stops = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.ids, self.stops, self.met = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def _trim(self) -> None:
+        """Stems that were met again since they were learned, or since the last trim, stay known; where those fill half the bound, none does."""
+        kept = np.flatnonzero(self.met)
+        sizes = np.diff(self.stops)[kept]
+        ids, stems = _gathered(self.ids, self.stops[kept], sizes), list(itertools.compress(self.cache, self.met.tolist()))
+        self.forget()
+        if len(stems) <= CACHED_WORDS // 2 and len(ids) <= CACHED_IDS // 2:
+            self.cache.update(zip(stems, range(len(stems))))
+            self.ids, self.stops, self.met = ids, np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(stems), bool)
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -101,10 +111,12 @@ class WordEncoder:
         self.cache.update(zip(texts, range(first, first + len(texts))))
         self.stops = np.concatenate([self.stops, self.stops[-1] + np.array(ends, np.int64)])
         self.ids = np.concatenate([self.ids, np.array(ids, "<u4")])
+        self.met = np.concatenate([self.met, np.zeros(len(texts), bool)])
 
     def _rows(self, stems: pa.Array) -> np.ndarray:
         """Rows of distinct stems, new ones learned."""
         rows = np.fromiter(map(self.cache.get, _listed(stems), itertools.repeat(-1)), np.int64, len(stems))
+        self.met[rows[rows >= 0]] = True
         new = np.flatnonzero(rows < 0)
         rows[new] = np.arange(len(new)) + len(self.stops) - 1
         if len(new):
@@ -114,7 +126,7 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         if len(self.cache) > CACHED_WORDS or len(self.ids) > CACHED_IDS:
-            self.forget()
+            self._trim()
         whole, plain, settled = [], [], []
         for i, text in enumerate(texts):
             if not self.plain or not SETTLED.fullmatch(text) or any(s in text for s in self.special):
