@@ -307,12 +307,15 @@ def dedupe_documents(spark, sf_dir):
 
 @register("read_market_history", f"WITH {base.HB0} SELECT asset, count(*) FILTER (high / low > 50) AS rejected, count(*) FILTER (high / low <= 50 AND open > close) AS crossed, count(*) AS n FROM hb0 GROUP BY 1")
 def read_market_history(spark, sf_dir):
-    """Rows that break the rule go aside with a reason, those with a low of zero too; a crossed quote is nulled, not dropped."""
+    """Rows that break the rule go aside with a reason, those with a low of zero too; a crossed quote is nulled, not dropped.
+
+    An asset keeps its counts where all of its rows go aside.
+    """
     good, bad = B.split_valid(base.hourly(spark, sf_dir), F.when(S.float_ratio("high", "low") > 50, "range"))
     quotes = good.withColumn("bid", F.when(col("open") <= col("close"), col("open")))
-    a = quotes.groupBy("asset").agg(F.count_if(col("bid").isNull()).alias("crossed"), F.count("*").alias("kept"))
-    b = bad.groupBy("asset").agg(F.count("*").alias("rejected"))
-    return a.join(b, "asset", "left").select("asset", F.coalesce("rejected", F.lit(0)).alias("rejected"), "crossed", (col("kept") + F.coalesce("rejected", F.lit(0))).alias("n"))
+    kept = quotes.select("asset", F.lit(False).alias("rejected"), (col("bid").isNull() & col("open").isNotNull()).alias("crossed"))
+    rows = kept.unionByName(bad.select("asset", F.lit(True).alias("rejected"), F.lit(False).alias("crossed")))
+    return rows.groupBy("asset").agg(F.count_if("rejected").alias("rejected"), F.count_if("crossed").alias("crossed"), F.count("*").alias("n"))
 
 
 @register("read_fi_positions", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount >= 0.05 THEN l_discount * 100 END AS percent, l_discount < 0.05 AS below FROM lineitem")
